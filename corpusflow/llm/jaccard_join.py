@@ -8,10 +8,10 @@ T = ceil(percent * (|x| + |y|) / (100 + percent)) common shingles.
    shingles (rare first), so its false hits cost time, never links.
 3. A set's first |x| - ceil(percent |x| / 100) + 1 shingles are posted to inverted lists: linked
    sets meet in one list at least. Lists of up to ``short_list`` entries give candidate pairs after
-   length and position bounds; a longer list gives only pairs with its first entry.
+   length and position bounds; a longer list gives only pairs with its first two entries.
 4. For each query set, lists over its candidates are searched: the longest lists are put aside, the
-   short ones merged through a heap, what occurs often enough there is looked up in the long ones
-   by binary search, and entries that reach T are links (``divide_skip``).
+   short ones merged through a heap (by counting, where they are many), what occurs often enough
+   there is looked up in the long ones by binary search, and entries that reach T are links.
 5. A long list whose entries are still in several components is searched in full: every entry outside
    its main component against all entries, in pairs of blocks, so no list meets in one task.
 """
@@ -40,14 +40,13 @@ def needed(x: int, y: int, percent: int) -> int:
     return -(-percent * (x + y) // (100 + percent))
 
 
-def divide_skip(query: list, lists: dict[int, list[int]], sizes: list[int], percent: int) -> list[tuple[int, int]]:
-    """Entries whose overlap with the query set reaches their T, as (entry, overlap).
+def divide_skip(n: int, lists: dict[int, list[int]], sizes: list[int], percent: int) -> list[tuple[int, int]]:
+    """Entries whose overlap with a query set of n shingles reaches their T, as (entry, overlap).
 
-    ``lists``: shingle -> ascending entry numbers; ``sizes``: set size by entry. With the L longest
-    lists aside, an entry that reaches T is in T - L short lists at least.
+    ``lists``: ascending entry numbers by shingle of the query; ``sizes``: set size by entry. With the L
+    longest lists aside, an entry that reaches T is in T - L short lists at least.
     """
-    n = len(query)
-    held = sorted((lists[t] for t in query if t in lists), key=len)
+    held = sorted(lists.values(), key=len)
     if not held:
         return []
     least = min(needed(n, s, percent) for s in sizes)
@@ -78,16 +77,62 @@ def divide_skip(query: list, lists: dict[int, list[int]], sizes: list[int], perc
     return found
 
 
-def search(queries: list[np.ndarray], entries: list[np.ndarray], percent: int) -> list[list[tuple[int, int]]]:
-    """Links of each query set among the entries, over inverted lists of the queries' own shingles."""
-    lists: dict[int, list[int]] = {int(t): [] for q in queries for t in q}
-    for k, e in enumerate(entries):
-        for t in e.tolist():
-            if t in lists:
-                lists[t].append(k)
-    lists = {t: x for t, x in lists.items() if x}
-    sizes = [len(e) for e in entries]
-    return [divide_skip(q.tolist(), lists, sizes, percent) if len(q) and sizes else [] for q in queries]
+class Roots:
+    """Union-find over component labels."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def of(self, x: int) -> int:
+        while self.up.get(x, x) != x:
+            x = self.up[x] = self.up.get(self.up[x], self.up[x])
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.of(x), self.of(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+class Block:
+    """Inverted lists over a block of entry sets, as one array sorted by shingle and entry."""
+
+    #: List entries up to which lists are merged through a heap; more are merged by counting.
+    HEAP = 4096
+
+    def __init__(self, entries: list[np.ndarray]):
+        self.size = np.array([len(e) for e in entries], np.int64)
+        tokens = np.concatenate(entries)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owner = tokens[order], np.repeat(np.arange(len(entries)), self.size)[order]
+
+    def search(self, query: np.ndarray, percent: int) -> np.ndarray:
+        """Entries that link with the query set."""
+        lo, hi = np.searchsorted(self.tokens, query, "left"), np.searchsorted(self.tokens, query, "right")
+        full = hi > lo
+        lo, hi = lo[full], hi[full]
+        if not len(lo):
+            return np.zeros(0, np.int64)
+        length = hi - lo
+        if length.sum() <= self.HEAP:
+            lists = {k: self.owner[x:y].tolist() for k, (x, y) in enumerate(zip(lo, hi, strict=True))}
+            return np.array([k for k, _ in divide_skip(len(query), lists, self.size.tolist(), percent)], np.int64)
+        goal = -(-percent * (len(query) + self.size) // (100 + percent))
+        aside = min(int(goal.min()) - 1, len(lo) // 2)
+        order = np.argsort(length, kind="stable")
+        short, long = order[: len(order) - aside], order[len(order) - aside :]
+        n = length[short]
+        at = np.arange(n.sum()) + np.repeat(lo[short] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+        count = np.bincount(self.owner[at], minlength=len(self.size))
+        found = np.flatnonzero(count + aside >= goal)
+        for left, k in zip(range(aside - 1, -1, -1), long, strict=True):
+            if not len(found):
+                break
+            x = self.owner[lo[k] : hi[k]]
+            place = np.minimum(np.searchsorted(x, found), len(x) - 1)
+            count[found] += x[place] == found
+            found = found[count[found] + left >= goal[found]]
+        return found[count[found] >= goal[found]]
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -129,11 +174,7 @@ def common_filter(docs: DataFrame, width: int) -> np.ndarray:
     common = seen.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_FROM)
     at = F.explode(F.array(F.col("token"), F.shiftrightunsigned("token", 32))).alias("at")
     bit = common.select(at).select(F.col("at").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("at"))
-    rows = bit.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask")).collect()
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    for r in rows:
-        bits[r["word"]] = np.uint64(r["mask"] & 0xFFFFFFFFFFFFFFFF)
-    return bits
+    return _bits_of(bit)
 
 
 def _described(width: int, percent: int, bits: np.ndarray):
@@ -168,47 +209,50 @@ def _described(width: int, percent: int, bits: np.ndarray):
 
 
 def _candidates(percent: int, short_list: int):
-    """Rows (token, rep, np) sorted by token, size -> pairs (0, a, b), |a| <= |b|, and entries of long lists (1, token, rep)."""
+    """Rows (token, rep, n, pos) sorted by token, pos -> pairs (0, a, b) and entries of long lists (1, token, rep).
+
+    A long list's first two entries, which have the fewest rarer shingles, stand in for its middle.
+    """
 
     def run(batches):
-        carry = None  # the open list: its rows, or only its first row once it is long
+        carry = None  # rows of the open list, or its first two rows once it is long
         long_of = None
 
         def out(kind, a, b):
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
 
-        def long_rows(token, lead, reps, sizes):
-            ok = 100 * lead[1] >= percent * sizes
-            yield out(0, np.full(int(ok.sum()), lead[0]), reps[ok])
+        def long_rows(token, leads, reps, sizes):
+            for rep, size in leads:
+                ok = (100 * np.minimum(size, sizes) >= percent * np.maximum(size, sizes)) & (reps != rep)
+                yield out(0, np.full(int(ok.sum()), rep), reps[ok])
             yield out(1, np.full(len(reps), token), reps)
 
         def short_rows(t, r, size, pos):
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for d in range(1, short_list):
-                same = np.flatnonzero(t[d:] == t[:-d])
-                if not len(same):
+                x = np.flatnonzero(t[d:] == t[:-d])
+                if not len(x):
                     break
-                x, y = same, same + d
-                goal = -(-percent * (size[x] + size[y]) // (100 + percent))
-                ok = (100 * size[x] >= percent * size[y]) & (np.minimum(size[x] - pos[x], size[y] - pos[y]) >= goal)
-                a.append(r[x[ok]])
-                b.append(r[y[ok]])
+                y = x + d
+                least, most = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+                goal = -(-percent * (least + most) // (100 + percent))
+                ok = (100 * least >= percent * most) & (np.minimum(size[x] - pos[x], size[y] - pos[y]) >= goal)
+                a.append(np.minimum(r[x[ok]], r[y[ok]]))
+                b.append(np.maximum(r[x[ok]], r[y[ok]]))
             yield out(0, np.concatenate(a), np.concatenate(b))
 
         for batch in batches:
-            t, r, packed = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("token", "rep", "np"))
+            t, r, size, pos = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("token", "rep", "n", "pos"))
             if carry is not None:
-                t, r, packed = (np.concatenate(x) for x in zip(carry, (t, r, packed), strict=True))
+                t, r, size, pos = (np.concatenate(x) for x in zip(carry, (t, r, size, pos), strict=True))
                 carry = None
-            size, pos = packed >> 32, packed & 0xFFFFFFFF
-            if long_of is not None:  # rows of a list already known as long
-                k = int(np.searchsorted(t != long_of[0], True)) if len(t) else 0
+            if long_of is not None and len(t):  # rows of a list already known as long
+                k = int(np.argmax(t != long_of[0])) if (t != long_of[0]).any() else len(t)
                 if k:
-                    yield from long_rows(long_of[0], long_of[1], r[:k], size[:k])
-                if k == len(t):
-                    continue
-                long_of = None
-                t, r, packed, size, pos = t[k:], r[k:], packed[k:], size[k:], pos[k:]
+                    yield from long_rows(*long_of, r[:k], size[:k])
+                t, r, size, pos = t[k:], r[k:], size[k:], pos[k:]
+                if len(t):
+                    long_of = None
             if not len(t):
                 continue
             starts = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
@@ -217,55 +261,87 @@ def _candidates(percent: int, short_list: int):
             keep = np.repeat((length > 1) & (length <= short_list), length)
             keep[closed:] = False
             yield from short_rows(t[keep], r[keep], size[keep], pos[keep])
-            for k in np.flatnonzero(length[:-1] > short_list):
-                s, e = starts[k], starts[k] + length[k]
-                yield from long_rows(t[s], (r[s], size[s]), r[s:e], size[s:e])
-            if length[-1] > short_list:
-                long_of = (t[closed], (r[closed], size[closed]))
-                yield from long_rows(*long_of, r[closed:], size[closed:])
-            else:
-                carry = (t[closed:], r[closed:], packed[closed:])
+            for s, e in zip(starts[length > short_list], (starts + length)[length > short_list], strict=True):
+                leads = [(r[s + k], size[s + k]) for k in (0, 1)]
+                yield from long_rows(t[s], leads, r[s:e], size[s:e])
+                if s == closed:
+                    long_of = (t[s], leads)
+            if long_of is None:
+                carry = (t[closed:], r[closed:], size[closed:], pos[closed:])
         if carry is not None:
-            yield from short_rows(carry[0], carry[1], carry[2] >> 32, carry[2] & 0xFFFFFFFF)
+            yield from short_rows(*carry)
 
     return run
 
 
 def _links(width: int, percent: int, block: int = 128):
-    """Rows (job, role, id, text) sorted by job, role: role 0 are the queries, role 1 the entries -> links (a, b)."""
+    """Rows (job, role, id, label, text) sorted by job, role: role 0 are queries, role 1 entries -> links (a, b).
+
+    Entries of the query's own component are left out, also when it grows within the job: what is
+    emitted is enough for the components and never more than a job's rows.
+    """
 
     def run(batches):
-        job, queries, entries = None, [], []
+        job, queries, entries, roots = None, [], [], Roots()
 
         def flush():
             a, b = [], []
             if queries and entries:
-                for (q, _), found in zip(queries, search([s for _, s in queries], [s for _, s in entries], percent), strict=True):
-                    for k, _n in found:
-                        if entries[k][0] != q:
+                held = Block([s for *_, s in entries])
+                labels = np.array([roots.of(x) for _, x, _ in entries])
+                for q, label, tokens in queries:
+                    for k in held.search(tokens, percent) if (labels != roots.of(label)).any() else ():
+                        if roots.join(label, entries[k][1]):
                             a.append(q)
                             b.append(entries[k][0])
             entries.clear()
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            jobs, roles, ids = (batch.column(k).to_pylist() for k in ("job", "role", "id"))
+            jobs, roles, ids, labels = (batch.column(k).to_pylist() for k in ("job", "role", "id", "label"))
             for a, _b, sets in _sets(batch, width):
                 for k, s in enumerate(sets, a):
                     if jobs[k] != job:
                         yield flush()
-                        job, queries = jobs[k], []
-                    if roles[k] == 0:
-                        queries.append((ids[k], s))
-                    else:
-                        entries.append((ids[k], s))
-                        if len(entries) >= block:
-                            yield flush()
+                        job, queries, roots = jobs[k], [], Roots()
+                    if not len(s):
+                        continue
+                    (entries if roles[k] else queries).append((ids[k], labels[k], s))
+                    if len(entries) >= block:
+                        yield flush()
         yield flush()
 
     return run
 
 
+def _among(bits: np.ndarray):
+    """Rows of (doc_id, text) whose id the bit filter has."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("doc_id")
+            at = mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)) & np.uint64(FILTER_BITS - 1)
+            hit = (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+            yield batch.filter(pa.array(hit & ids.is_valid().to_numpy(zero_copy_only=False)))
+
+    return run
+
+
+def _bits_of(positions: DataFrame) -> np.ndarray:
+    """Rows (at) of bit positions -> a filter of ``FILTER_BITS`` bits, whatever the number of rows."""
+    words = positions.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask"))
+    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    for r in words.collect():
+        bits[r["word"]] = np.uint64(r["mask"] & 0xFFFFFFFFFFFFFFFF)
+    return bits
+
+
+def _id_positions(batches):
+    for batch in batches:
+        at = np.unique(mix(batch.column("id").to_numpy().astype(np.uint64)) & np.uint64(FILTER_BITS - 1))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64))], ["at"])
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 4, percent: int = 85, short_list: int = 24, block: int = 512) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
@@ -280,18 +356,19 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 4, per
     each = work.save(texts.mapInArrow(_described(width, percent, bits), "doc_id long, n long, class binary, first array<long>"), "described")
     classes = each.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"))
     classes = work.save(classes, "classes")
-    posted = classes.where("rep is not null").select("rep", "n", F.posexplode("first").alias("pos", "token"))
-    posted = posted.select("token", "rep", (F.shiftleft(F.col("n"), 32) + F.col("pos")).alias("np"))
-    met = posted.repartition("token").sortWithinPartitions("token", "np", "rep").mapInArrow(_candidates(percent, short_list), "kind int, a long, b long")
-    met = work.save(met, "met")
-    pairs = met.where("kind = 0 and a <> b").select("a", "b").distinct()
-    links = work.save(_verified(texts, _pair_jobs(pairs), width, percent), "links")
-    labels = connected_components(spark, links)
+    posted = classes.where("rep is not null").select("rep", F.col("n").cast("int").alias("n"), F.posexplode("first").alias("pos", "token"))
+    met = posted.repartition("token").sortWithinPartitions("token", "pos", "rep").mapInArrow(_candidates(percent, short_list), "kind int, a long, b long")
+    met = work.save(met.distinct(), "met")
+    pairs = met.where("kind = 0").select("a", "b")
     entries = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("id"))
-    more = _open_lists(entries, labels, block)
-    more = work.save(more, "open")
+    # Only texts that are candidates are shuffled from here on; the filter lets few others pass.
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(entries.select("id"))
+    near = work.save(texts.mapInArrow(_among(_bits_of(ids.mapInArrow(_id_positions, "at long"))), "doc_id long, text string"), "near")
+    links = work.save(_verified(near, _pair_jobs(pairs), width, percent), "links")
+    labels = connected_components(spark, links)
+    more = work.save(_open_lists(entries, labels, block), "open")
     if not more.isEmpty():
-        links = links.union(work.save(_verified(texts, more, width, percent), "more"))
+        links = links.union(work.save(_verified(near, more, width, percent), "more"))
         labels = connected_components(spark, links)
     smallest = classes.join(labels, classes.rep == labels.id, "left").select("class", F.coalesce("label", "rep").alias("component"))
     # The second key stops the join from reusing the aggregate's layout, so AQE may split a class with very many rows.
@@ -307,24 +384,24 @@ def _pair_jobs(pairs: DataFrame, per_job: int = 256) -> DataFrame:
     cut = F.expr(f"pmod(xxhash64(b), cast(ceil(n / {per_job}) as long))")
     jobs = pairs.join(count, "a").select("a", "b", cut.alias("cut"))
     name = F.concat_ws("/", "a", "cut").alias("job")
-    heads = jobs.select("a", "cut").distinct().select(name, F.lit(0).alias("role"), F.col("a").alias("id"))
-    return heads.union(jobs.select(name, F.lit(1).alias("role"), F.col("b").alias("id")))
+    heads = jobs.select("a", "cut").distinct().select(name, F.lit(0).alias("role"), F.col("a").alias("id"), F.col("a").alias("label"))
+    return heads.union(jobs.select(name, F.lit(1).alias("role"), F.col("b").alias("id"), F.col("b").alias("label")))
 
 
 def _open_lists(entries: DataFrame, labels: DataFrame, block: int) -> DataFrame:
     """Jobs that search long lists whose entries are not yet in one component, in pairs of blocks."""
-    named = entries.distinct().join(labels, "id", "left").select("token", "id", F.coalesce("label", "id").alias("label"))
+    named = entries.join(labels, "id", "left").select("token", "id", F.coalesce("label", "id").alias("label"))
     parts = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
     lists = parts.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main")).where("labels > 1")
     lists = lists.select("token", "n", F.col("main.label").alias("main"), (F.col("n") - F.col("main.n")).alias("outside"))
     cuts = lambda n: F.expr(f"cast(ceil({n} / {block}) as int)")
     rows = named.join(lists, "token").select("token", "id", "label", "main", cuts("n").alias("entry_blocks"), cuts("outside").alias("query_blocks"))
-    queries = rows.where("label <> main").select("token", "id", F.expr("pmod(xxhash64(id), query_blocks)").alias("q"), F.explode(F.expr("sequence(0, entry_blocks - 1)")).alias("e"))
-    targets = rows.select("token", "id", F.expr("pmod(xxhash64(id, 1), entry_blocks)").alias("e"), F.explode(F.expr("sequence(0, query_blocks - 1)")).alias("q"))
+    queries = rows.where("label <> main").select("token", "id", "label", F.expr("pmod(xxhash64(id), query_blocks)").alias("q"), F.explode(F.expr("sequence(0, entry_blocks - 1)")).alias("e"))
+    targets = rows.select("token", "id", "label", F.expr("pmod(xxhash64(id, 1), entry_blocks)").alias("e"), F.explode(F.expr("sequence(0, query_blocks - 1)")).alias("q"))
     name = F.concat_ws("/", "token", "q", "e").alias("job")
-    return queries.select(name, F.lit(0).alias("role"), "id").union(targets.select(name, F.lit(1).alias("role"), "id"))
+    return queries.select(name, F.lit(0).alias("role"), "id", "label").union(targets.select(name, F.lit(1).alias("role"), "id", "label"))
 
 
 def _verified(texts: DataFrame, jobs: DataFrame, width: int, percent: int) -> DataFrame:
-    rows = jobs.join(texts.withColumnRenamed("doc_id", "id"), "id").select("job", "role", "id", "text")
+    rows = jobs.join(texts.withColumnRenamed("doc_id", "id"), "id").select("job", "role", "id", "label", "text")
     return rows.repartition("job").sortWithinPartitions("job", "role", "id").mapInArrow(_links(width, percent), "a long, b long")
