@@ -12,7 +12,7 @@ BUCKETS = 1 << 14
 #: Labelled rows of good quality that the target model is fitted on, at most.
 TARGET_ROWS = 20_000
 #: Mean log ratio per n-gram under which a document is rejected.
-THRESHOLD = -0.25
+THRESHOLD = -0.1
 SPACE = r"[ \t\n\x0B\f\r]+"
 
 
