@@ -15,11 +15,11 @@ from ..plans.scratch import Scratch
 
 #: Vectors that trees are fitted on, at most (the smallest by hash).
 SAMPLE = 20_000
-TREES = 12
+TREES = 8
 #: A tree's leaves: as many as give this share of all vectors in one, within the bounds on a leaf's vectors.
 LEAF_SHARE, LEAF_LEAST, LEAF_MOST = 1 / 64, 32, 4096
 #: Leaves that a query opens, over all trees.
-PROBES = 110
+PROBES = 72
 
 
 class Forest:
