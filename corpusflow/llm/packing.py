@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -10,10 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch
+from .textstream import chunks
 
 WINDOW = 2048
 #: Words whose ids a Python worker holds; the table starts anew beyond that.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 600_000
+#: Words of Latin letters whose lower case is one letter each in any context, digits and signs; and the runs that the tokenizer cuts them into.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]+")
+_RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
 class OpenWindows:
@@ -63,45 +68,78 @@ def best_fit_decreasing(lengths: list[int], size: int) -> list[tuple[int, int]]:
     return out
 
 
-def _pieces(path: str | None, window: int, end_id: int, with_ids: bool):
-    def run(batches):
+class WordIds:
+    """Token ids of white-space separated words, as little-endian bytes.
+
+    The tokenizer drops white space and joins nothing across it, so a text's ids are its words' ids; within
+    a word it cuts runs of letters, single digits and runs of other characters, and ids of a run don't
+    depend on its neighbours. Runs of letters are encoded many to a text: the id that ends a run ends in
+    ``</w>``. Words with characters whose case or composition may depend on context are encoded whole.
+    """
+
+    def __init__(self, path: str | None):
         from tokenizers import Tokenizer
 
         if path is None:
             import public_tokenizers
 
-            tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-        else:
-            tokenizer = Tokenizer.from_file(path)
-        ids_of: dict[bytes, bytes] = {}
-        end = np.uint32(end_id).astype("<u4").tobytes()
+            path = public_tokenizers.path("word_bpe_49k.json")
+        self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_runs(self, runs: list[str], together: int = 256) -> None:
+        letters = [r for r in runs if r.isalpha()]
+        groups = [letters[k : k + together] for k in range(0, len(letters), together)]
+        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            flat = ids.tobytes()
+            self.runs.update((r, flat[4 * x : 4 * y]) for r, x, y in zip(group, [0, *cuts], cuts, strict=False))
+        others = [r for r in runs if not r.isalpha()]
+        self.runs.update(zip(others, (i.tobytes() for i in self._encode(others)), strict=True))
+
+    def learn(self, words: list[bytes]) -> None:
+        plain, whole = [], []
+        for w in words:
+            s = w.decode("utf-8", "surrogatepass")
+            (plain if _PLAIN.fullmatch(s) and "<|" not in s else whole).append((w, s.lower()))
+        parts = [_RUNS.findall(s) for _, s in plain]
+        self._learn_runs(list({r for p in parts for r in p if r not in self.runs}))
+        self.words.update((w, b"".join([self.runs[r] for r in p])) for (w, _), p in zip(plain, parts, strict=True))
+        self.words.update(zip([w for w, _ in whole], (i.tobytes() for i in self._encode([w.decode("utf-8", "surrogatepass") for w, _ in whole])), strict=True))
+
+    def make_room(self) -> None:
+        if len(self.words) > CACHED_WORDS:
+            self.words.clear()
+        if len(self.runs) > CACHED_WORDS:
+            self.runs.clear()
 
-        def learn(words: list[bytes]) -> None:
-            for k in range(0, len(words), 4096):
-                part = words[k : k + 4096]
-                for w, e in zip(part, tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False), strict=True):
-                    ids_of[w] = np.array(e.ids, "<u4").tobytes()
 
+def _pieces(path: str | None, window: int, end_id: int, with_ids: bool):
+    def run(batches):
+        ids_of = WordIds(path)
+        end = np.uint32(end_id).astype("<u4").tobytes()
         for batch in batches:
-            docs, n = batch.column("doc_id").to_pylist(), 0
-            rows: list[list] = [[], [], [], [], [], []]
-            for doc, text in zip(docs, batch.column("text"), strict=True):
-                # The tokenizer never joins characters across white space, so a text's ids are its words' ids.
-                words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
-                if len(ids_of) > CACHED_WORDS:
-                    ids_of.clear()
-                learn([w for w in set(words) if w not in ids_of])
-                ids = b"".join([ids_of[w] for w in words] + [end])
-                total = len(ids) // 4
-                for start in range(0, total, window):
-                    part = ids[4 * start : 4 * (start + window)]
-                    for column, value in zip(rows, (doc, start, len(part) // 4, zlib.crc32(part), total, np.frombuffer(part, "<u4").astype(np.int32) if with_ids else None), strict=True):
-                        column.append(value)
-                n += len(ids)
-                if n > 1 << 24:
-                    yield _batch(rows, with_ids)
-                    rows, n = [[], [], [], [], [], []], 0
-            yield _batch(rows, with_ids)
+            docs = batch.column("doc_id").to_pylist()
+            for a, b, texts in chunks(batch.column("text").to_pylist(), 1 << 22):
+                rows: list[list] = [[], [], [], [], [], []]
+                words = [t.split() for t in texts]
+                ids_of.make_room()
+                known = ids_of.words
+                ids_of.learn(list({w for ws in words for w in ws if w not in known}))
+                for doc, ws in zip(docs[a:b], words, strict=True):
+                    ids = b"".join([known[w] for w in ws] + [end])
+                    total = len(ids) // 4
+                    for start in range(0, total, window):
+                        part = ids[4 * start : 4 * (start + window)]
+                        for column, value in zip(rows, (doc, start, len(part) // 4, zlib.crc32(part), total, np.frombuffer(part, "<u4").astype(np.int32) if with_ids else None), strict=True):
+                            column.append(value)
+                yield _batch(rows, with_ids)
 
     return run
 
