@@ -362,13 +362,13 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 4, per
     pairs = met.where("kind = 0").select("a", "b")
     entries = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("id"))
     # Only texts that are candidates are shuffled from here on; the filter lets few others pass.
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(entries.select("id"))
-    near = work.save(texts.mapInArrow(_among(_bits_of(ids.mapInArrow(_id_positions, "at long"))), "doc_id long, text string"), "near")
+    among = lambda rows, ids: rows.mapInArrow(_among(_bits_of(ids.mapInArrow(_id_positions, "at long"))), "doc_id long, text string")
+    near = work.save(among(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).union(entries.select("id"))), "near")
     links = work.save(_verified(near, _pair_jobs(pairs), width, percent), "links")
     labels = connected_components(spark, links)
     more = work.save(_open_lists(entries, labels, block), "open")
     if not more.isEmpty():
-        links = links.union(work.save(_verified(near, more, width, percent), "more"))
+        links = links.union(work.save(_verified(among(near, more.select("id")), more, width, percent), "more"))
         labels = connected_components(spark, links)
     smallest = classes.join(labels, classes.rep == labels.id, "left").select("class", F.coalesce("label", "rep").alias("component"))
     # The second key stops the join from reusing the aggregate's layout, so AQE may split a class with very many rows.
