@@ -15,10 +15,12 @@ from .textstream import chunks
 
 WINDOW = 2048
 #: Words whose ids a Python worker holds; the table starts anew beyond that.
-CACHED_WORDS = 600_000
-#: Words of Latin letters whose lower case is one letter each in any context, digits and signs; and the runs that the tokenizer cuts them into.
-_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]+")
-_RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+CACHED_WORDS = 400_000
+#: Anything but Latin letters whose lower case is one letter each in any context, digits and signs; special tokens.
+_ODD = re.compile("[^\n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]|<[|]")
+#: The runs that the tokenizer cuts such words into, and the ends of words; no id's bytes look like the mark.
+_MARK = b"\xff\xff\xff\xff"
+_RUNS = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
 class OpenWindows:
@@ -88,7 +90,7 @@ class WordIds:
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {"\n": _MARK}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -104,20 +106,25 @@ class WordIds:
         self.runs.update(zip(others, (i.tobytes() for i in self._encode(others)), strict=True))
 
     def learn(self, words: list[bytes]) -> None:
-        plain, whole = [], []
-        for w in words:
-            s = w.decode("utf-8", "surrogatepass")
-            (plain if _PLAIN.fullmatch(s) and "<|" not in s else whole).append((w, s.lower()))
-        parts = [_RUNS.findall(s) for _, s in plain]
-        self._learn_runs(list({r for p in parts for r in p if r not in self.runs}))
-        self.words.update((w, b"".join([self.runs[r] for r in p])) for (w, _), p in zip(plain, parts, strict=True))
-        self.words.update(zip([w for w, _ in whole], (i.tobytes() for i in self._encode([w.decode("utf-8", "surrogatepass") for w, _ in whole])), strict=True))
+        together = b"\n".join(words).decode("utf-8", "surrogatepass")
+        if _ODD.search(together):
+            plain, whole = [], []
+            for w in words:
+                (whole if _ODD.search(w.decode("utf-8", "surrogatepass")) else plain).append(w)
+            self.words.update(zip(whole, (i.tobytes() for i in self._encode([w.decode("utf-8", "surrogatepass") for w in whole])), strict=True))
+            words, together = plain, b"\n".join(plain).decode()
+        if not words:
+            return
+        runs = _RUNS.findall(together.lower())
+        self._learn_runs(list(set(runs).difference(self.runs)))
+        ids = b"".join(map(self.runs.__getitem__, runs)).split(_MARK)
+        self.words.update(zip(words, ids, strict=True))
 
     def make_room(self) -> None:
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
         if len(self.runs) > CACHED_WORDS:
-            self.runs.clear()
+            self.runs = {"\n": _MARK}
 
 
 def _pieces(path: str | None, window: int, end_id: int, with_ids: bool):
@@ -126,14 +133,14 @@ def _pieces(path: str | None, window: int, end_id: int, with_ids: bool):
         end = np.uint32(end_id).astype("<u4").tobytes()
         for batch in batches:
             docs = batch.column("doc_id").to_pylist()
-            for a, b, texts in chunks(batch.column("text").to_pylist(), 1 << 22):
+            for a, b, texts in chunks(batch.column("text").to_pylist(), 1 << 21):
                 rows: list[list] = [[], [], [], [], [], []]
                 words = [t.split() for t in texts]
                 ids_of.make_room()
                 known = ids_of.words
-                ids_of.learn(list({w for ws in words for w in ws if w not in known}))
+                ids_of.learn(list(set().union(*words).difference(known)))
                 for doc, ws in zip(docs[a:b], words, strict=True):
-                    ids = b"".join([known[w] for w in ws] + [end])
+                    ids = b"".join(map(known.__getitem__, ws)) + end
                     total = len(ids) // 4
                     for start in range(0, total, window):
                         part = ids[4 * start : 4 * (start + window)]
