@@ -122,10 +122,10 @@ def r6(spark, sf_dir):
     return K.pagerank(s, K.similarity_edges(K.sentence_terms(s)), rounds=6, tolerance=None).withColumn("score", F.round("score", 6))
 
 
-@query("w7_position_bias", "WITH " + _RANKS + " SELECT doc_id, sent_idx, round(0.95 * score + 0.05 * (n - i) / n, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx) - 1 AS i FROM p6)")
+@query("w7_position_bias", "WITH " + _RANKS + " SELECT doc_id, sent_idx, round(0.95 * score + 0.05 * (n - i) / n, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx) - 1 AS i FROM p6)")
 def w7(spark, sf_dir):
     s = _sentences(spark, sf_dir)
-    return K.position_bias(K.pagerank(s, K.similarity_edges(K.sentence_terms(s)), rounds=6, tolerance=None)).withColumn("score", F.round("score", 6))
+    return K.position_bias(K.pagerank(s, K.similarity_edges(K.sentence_terms(s)), rounds=6, tolerance=None)).withColumn("score", F.round("score", 5))
 
 
 @query("r7_extractive_summary")
@@ -238,7 +238,7 @@ def m1(spark, sf_dir):
     return S.mixed_batches(documents(spark, sf_dir), {"src0": 5, "src1": 3}, "source", "doc_id", 42, length="majority")
 
 
-@query("m3_given_steps", _mix_sql({"src0": 9, "src1": 4, "src2": 3}, "12"))
+@query("m3_given_steps", _mix_sql({"src0": 9, "src1": 4, "src2": 3}, "max(12)"))
 def m3(spark, sf_dir):
     return S.mixed_batches(documents(spark, sf_dir), S.batch_counts({"src0": 0.56, "src1": 0.24, "src2": 0.2}, 16), "source", "doc_id", 42, n_batches=12)
 
