@@ -122,10 +122,10 @@ def r6(spark, sf_dir):
     return K.pagerank(s, K.similarity_edges(K.sentence_terms(s)), rounds=6, tolerance=None).withColumn("score", F.round("score", 6))
 
 
-@query("w7_position_bias", "WITH " + _RANKS + " SELECT doc_id, sent_idx, round(0.95 * score + 0.05 * (n - i) / n, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx) - 1 AS i FROM p6)")
+@query("w7_position_bias", "WITH " + _RANKS + " SELECT doc_id, sent_idx, round(0.95 * score + 0.05 * (n - i) / n + 1e-9, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx) - 1 AS i FROM p6)")
 def w7(spark, sf_dir):
     s = _sentences(spark, sf_dir)
-    return K.position_bias(K.pagerank(s, K.similarity_edges(K.sentence_terms(s)), rounds=6, tolerance=None)).withColumn("score", F.round("score", 5))
+    return K.position_bias(K.pagerank(s, K.similarity_edges(K.sentence_terms(s)), rounds=6, tolerance=None)).withColumn("score", F.round(F.col("score") + 1e-9, 6))
 
 
 @query("r7_extractive_summary")
