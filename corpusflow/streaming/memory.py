@@ -20,29 +20,37 @@ def with_history(turns: DataFrame, used: int = USED) -> DataFrame:
     return turns.withColumn("history", F.collect_list("question").over(w)).withColumn("query", F.concat_ws(" ", "question", F.array_join("history", " ")))
 
 
-def _remember(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    kept = list(zip(*state.get, strict=True)) if state.exists else []  # (turn, question), oldest first
-    rows = pd.concat(batches).sort_values("turn")
-    out = []
-    for turn, question in zip(rows["turn"], rows["question"], strict=True):
-        before = [q for t, q in kept if t < turn][-USED:]
-        out.append((key[0], turn, question, " ".join([question, *before])))
-        kept = sorted([*kept, (turn, question)])[-HELD:]
-    state.update(([int(t) for t, _ in kept], [q for _, q in kept]))
-    state.setTimeoutDuration(24 * 3600 * 1000)
-    yield pd.DataFrame(out, columns=["conv_id", "turn", "question", "query"])
-
-
-def stream_with_history(turns: DataFrame) -> DataFrame:
-    """The same as ``with_history`` on a stream of turns: state is the last ``HELD`` turns per conversation, dropped after a day without any.
-
-    Within a micro-batch turns are put in order; a turn that comes in a later batch than its successor
-    sees only what is older than itself, and its successor is not rewritten.
+def _remember(idle_ms: int | None):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = list(zip(*state.get, strict=True)) if state.exists else []  # (turn, question), oldest first
+        rows = pd.concat(batches).sort_values("turn")
+        out = []
+        for turn, question in zip(rows["turn"], rows["question"], strict=True):
+            before = [q for t, q in kept if t < turn][-USED:]
+            out.append((key[0], turn, question, " ".join([question, *before])))
+            kept = sorted([*kept, (turn, question)])[-HELD:]
+        state.update(([int(t) for t, _ in kept], [q for _, q in kept]))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=["conv_id", "turn", "question", "query"])
+
+    return run
+
+
+def stream_with_history(turns: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """The same as ``with_history`` on a stream of turns: state is the last ``HELD`` turns per conversation.
+
+    ``idle_ms`` drops the state of a conversation that had no turn for that long; such a stream keeps
+    running batches without data, so one that ends with its input leaves it out. Within a micro-batch
+    turns are put in order; a turn that comes in a later batch than its successor sees only what is older
+    than itself, and its successor is not rewritten.
     """
-    return turns.select("conv_id", "turn", "question").groupBy("conv_id").applyInPandasWithState(_remember, "conv_id long, turn long, question string, query string", "turns array<long>, questions array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    rows = turns.select("conv_id", "turn", "question").groupBy("conv_id")
+    return rows.applyInPandasWithState(_remember(idle_ms), "conv_id long, turn long, question string, query string", "turns array<long>, questions array<string>", "append", timeout)
 
 
 def needed_documents(stream: DataFrame, needed: DataFrame, key: str = "doc_id") -> DataFrame:
