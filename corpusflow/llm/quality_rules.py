@@ -31,8 +31,9 @@ def n_words(text: Column) -> Column:
 
 
 def _repeat_words(hashes: Column) -> Column:
-    """Words that lie in 5-word windows found twice or more."""
-    windows = F.expr("slice(transform(hashes, (h, i) -> xxhash64(h, get(hashes, i + 1), get(hashes, i + 2), get(hashes, i + 3), get(hashes, i + 4))), 1, greatest(size(hashes) - 4, 0))")
+    """Words that lie in 5-word windows found twice or more. ``hashes`` has to be a variable of an outer step."""
+    five = F.transform(hashes, lambda h, i: F.xxhash64(h, *[F.get(hashes, i + k) for k in range(1, 5)]))
+    windows = F.slice(five, F.lit(1), F.greatest(F.size(hashes) - 4, F.lit(0)))
 
     def covered(w: Column) -> Column:
         placed = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -49,16 +50,16 @@ def _repeat_words(hashes: Column) -> Column:
     return _let(windows, covered)
 
 
-def _buckets() -> Column:
-    """Buckets of a document's word unigrams and bigrams, from the column ``hashes``."""
-    one = f"transform(hashes, h -> cast(pmod(h, {BUCKETS}) as int))"
-    two = f"slice(transform(hashes, (h, i) -> cast(pmod(xxhash64(h, get(hashes, i + 1)), {BUCKETS}) as int)), 1, greatest(size(hashes) - 1, 0))"
-    return F.expr(f"concat({one}, {two})")
+def _buckets(hashes: Column) -> Column:
+    """Buckets of word unigrams and bigrams. ``hashes`` has to be a variable of an outer step."""
+    one = F.transform(hashes, lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))
+    two = F.transform(hashes, lambda h, i: F.pmod(F.xxhash64(h, F.get(hashes, i + 1)), F.lit(BUCKETS)).cast("int"))
+    return F.concat(one, F.slice(two, F.lit(1), F.greatest(F.size(hashes) - 1, F.lit(0))))
 
 
-def with_word_hashes(docs: DataFrame) -> DataFrame:
-    """``docs`` and ``hashes``: one 64-bit value per word, in order; empty for null texts."""
-    return docs.withColumn("hashes", F.coalesce(F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)), F.array().cast("array<bigint>")))
+def word_hashes(text: Column) -> Column:
+    """One 64-bit value per word, in order; empty for null texts."""
+    return F.coalesce(F.transform(words_of(text), lambda w: F.xxhash64(w)), F.array().cast("array<bigint>"))
 
 
 def fit_ratio(docs: DataFrame, labels: DataFrame) -> list[float]:
@@ -70,7 +71,7 @@ def fit_ratio(docs: DataFrame, labels: DataFrame) -> list[float]:
     """
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_ROWS).select("doc_id", F.lit(1).alias("good"))
-    grams = with_word_hashes(docs.join(F.broadcast(good), "doc_id", "left").select("text", "good")).select("good", F.explode(_buckets()).alias("bucket"))
+    grams = docs.join(F.broadcast(good), "doc_id", "left").select("good", F.explode(_let(word_hashes(F.col("text")), _buckets)).alias("bucket"))
     raw, target = [1.0] * BUCKETS, [0.0] * BUCKETS
     for r in grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good")).collect():
         raw[r["bucket"]] += r["n"]
@@ -89,19 +90,26 @@ def quality_rules(docs: DataFrame, ratio: list[float], threshold: float = THRESH
     gets its own row back, repeated rows and null ids too.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in names and c != "hashes"]
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     text = F.coalesce(F.col("text"), F.lit(""))
     table = F.from_json(F.lit(json.dumps(ratio)), "array<double>")
-    total = F.aggregate(_buckets(), F.lit(0.0), lambda a, b: a + F.get(table, b))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, " \t\n\x0b\f\r", "") != "")
-    counted = with_word_hashes(docs.select(*own)).select(
+
+    def counted(h: Column) -> Column:
+        total = F.aggregate(_buckets(h), F.lit(0.0), lambda a, b: a + F.get(table, b))
+        score = F.when(F.size(h) > 0, total / (2 * F.size(h) - 1)).otherwise(0.0)
+        return F.struct(F.size(h).cast("long").alias("n_words"), _repeat_words(h).cast("long").alias("n_repeat_words"), score.alias("score"))
+
+    def judged(c: Column) -> Column:
+        failed = (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
+        return F.struct(*[c[k].alias(k) for k in ("n_words", "n_repeat_words", "score")], failed.alias("base_failed"), (~failed & (c["score"] >= threshold)).alias("kept"))
+
+    # One value holds all that depends on the words: a filter on its verdict, wherever the optimizer puts it, computes it once.
+    verdict = _let(_let(word_hashes(F.col("text")), counted), judged)
+    return docs.select(
         *own,
-        F.size("hashes").cast("long").alias("n_words"),
+        verdict.alias("__v"),
         F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("hashes")).cast("long").alias("n_repeat_words"),
-        F.when(F.size("hashes") > 0, total / (2 * F.size("hashes") - 1)).otherwise(0.0).alias("score"),
-    )
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return counted.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    ).select(*own, F.col("__v.n_words"), "word_chars", "n_symbols", "n_dup_lines", *[F.col(f"__v.{k}") for k in ("n_repeat_words", "base_failed", "score", "kept")])

@@ -204,7 +204,7 @@ def base_by_hand(text):
 def test_quality_rules(spark, docs, odd):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     ratio = quality_rules.fit_ratio(docs, labels)
-    hashes = {r["doc_id"]: r["hashes"] for r in quality_rules.with_word_hashes(docs).collect()}
+    hashes = {r["doc_id"]: r["hashes"] for r in docs.select("doc_id", quality_rules.word_hashes(docs.text).alias("hashes")).collect()}
     pair = {}
     flat = [(a, b) for h in hashes.values() for a, b in zip(h, h[1:], strict=False)]
     for r in spark.createDataFrame(list(set(flat)), "a long, b long").selectExpr("a", "b", f"cast(pmod(xxhash64(a, b), {quality_rules.BUCKETS}) as int) AS g").collect():
