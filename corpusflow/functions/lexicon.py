@@ -40,7 +40,7 @@ SECTION_PATTERNS = [
 ]
 
 # Term patterns of span evaluation.
-DEFINED_TERM = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
+DEFINED_TERM = r"(?U)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
 MONEY = r"(?i)\$[0-9][\d,]*(?:\.\d+)?|\b\d[\d,]*\s*(?:dollars?|USD|cents?)\b"
 TIME_SPAN = r"(?i)\b\d+\s*(?:days?|weeks?|months?|years?|hours?|minutes?)\b"
 PARTY_WORDS = "licensor licensee company customer supplier seller buyer lessor lessee party parties counterparty contractor subcontractor employer employee agent principal guarantor".split()

@@ -212,8 +212,9 @@ def t14(spark, sf_dir):
 
 @query(
     "t15_key_phrases",
-    f"""WITH w AS (SELECT doc_id, {_CONTENT.format('text')} AS w FROM documents), p AS (SELECT doc_id, list_concat(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i + 2], ' ')), list_transform(range(1, greatest(len(w), 1)), lambda i: array_to_string(w[i:i + 1], ' '))) AS p FROM w)
-SELECT doc_id, array_to_string(list_filter(p[1:400], lambda x, i: list_position(p, x) = i)[1:6], '|') AS phrases FROM p""",
+    f"""WITH w AS (SELECT doc_id, {_CONTENT.format('text')} AS w FROM documents), p AS (SELECT doc_id, list_concat(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i + 2], ' ')), list_transform(range(1, greatest(len(w), 1)), lambda i: array_to_string(w[i:i + 1], ' '))) AS p FROM w),
+u AS (SELECT doc_id, p[i] AS x, i FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM p)), f AS (SELECT doc_id, x, min(i) AS i FROM u GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) <= 6)
+SELECT p.doc_id, coalesce(string_agg(x, '|' ORDER BY i), '') AS phrases FROM p LEFT JOIN f ON f.doc_id = p.doc_id GROUP BY 1""",
 )
 def t15(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.array_join(T.key_phrases(F.col("text")), "|").alias("phrases"))
@@ -267,7 +268,7 @@ def f3(spark, sf_dir):
 @query(
     "f4_legal_terms",
     LEGAL_SQL
-    + r""" SELECT doc_id, len(list_distinct(regexp_extract_all(text, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b'))) AS n_defined, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i)\$[0-9][\d,]*(?:\.\d+)?|\b\d[\d,]*\s*(?:dollars?|USD|cents?)\b'), lambda x: lower(x)))), '|') AS monetary,
+    + r""" SELECT doc_id, len(list_distinct(regexp_extract_all(regexp_replace(text, '[a-zA-Z0-9_]*[^\x00-\x7F][^\s.,;:!?()]*', '~', 'g'), '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b'))) AS n_defined, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i)\$[0-9][\d,]*(?:\.\d+)?|\b\d[\d,]*\s*(?:dollars?|USD|cents?)\b'), lambda x: lower(x)))), '|') AS monetary,
 array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i)\b\d+\s*(?:days?|weeks?|months?|years?|hours?|minutes?)\b'), lambda x: lower(x)))), '|') AS spans, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '\b\w+\b'), lambda w: list_contains(["""
     + ", ".join(f"'{w}'" for w in lexicon.PARTY_WORDS)
     + """], w)))), '|') AS parties FROM legal""",
