@@ -18,7 +18,7 @@ MAX_LANGUAGES = 500
 LONGEST = 12
 #: Characters of a word scored as one unit; longer words are scored in runs of this length.
 WORD_RUN = 32
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -30,25 +30,29 @@ def letter_runs(text: str) -> list[str]:
 class PieceModel:
     """log P(word | language) over a fixed vocabulary of pieces, by a forward pass over all segmentations."""
 
-    def __init__(self, languages: list[str], pieces: list[str], log_probability: np.ndarray, unknown: np.ndarray):
-        """``log_probability``: pieces x languages; ``unknown``: log probability per character that no piece covers, by language."""
+    def __init__(self, languages: list[str], pieces: list[str], probability: np.ndarray, unknown: np.ndarray):
+        """``probability``: pieces x languages; ``unknown``: that of a character that no piece covers, by language."""
         self.languages, self.unknown = languages, unknown
         self.row = {p: k for k, p in enumerate(pieces)}
-        self.p = log_probability
+        #: Row of each piece, and -1 for each start of a piece that is none itself.
+        self.starts = dict.fromkeys((p[:k] for p in pieces for k in range(1, len(p))), -1) | self.row
+        self.p = probability
         self.cache: dict[str, int] = {}
         self.scores = np.zeros((1024, len(languages)))
 
     def forward(self, words: list[str]) -> np.ndarray:
         """log of the sum over all ways to cut "▁word" into pieces, for many words and all languages at once."""
         length = np.array([len(w) + 1 for w in words])
-        row, ends = self.row.get, [([], [], []) for _ in range(int(length.max()) + 1)]
+        row, ends = self.starts.get, [([], [], []) for _ in range(int(length.max()) + 1)]
         for k, w in enumerate(words):
             s = "▁" + w
             n = len(s)
             for i in range(n):
                 for j in range(i + 1, min(n, i + LONGEST) + 1):
                     piece = row(s[i:j])
-                    if piece is not None:
+                    if piece is None:
+                        break
+                    if piece >= 0:
                         at = ends[j]
                         at[0].append(k)
                         at[1].append(i)
