@@ -35,7 +35,7 @@ def bm25(passages: DataFrame, queries: DataFrame, passage: list[str], query: str
     df = tf.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
     q = term_counts(queries, [*scope, query], T.content_words(F.col("text"))).withColumnRenamed("tf", "times")
     rows = q.join(df, [*scope, "term"]).join(tf, [*scope, "term"]).join(lengths, keys)
-    rows = rows.join(F.broadcast(stats), scope) if scope else rows.crossJoin(F.broadcast(stats))  # without a scope, stats is one row
+    rows = rows.join(stats, scope) if scope else rows.crossJoin(F.broadcast(stats))  # without a scope, stats is one row
     idf = F.log((F.col("n_passages") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
     return rows.groupBy(*scope, query, *[p for p in passage if p not in scope]).agg(F.round(F.sum(F.col("times") * idf * gain), DIGITS).alias("score"))

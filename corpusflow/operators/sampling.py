@@ -85,12 +85,17 @@ def clause_negatives(pool: DataFrame, seed: int = 42, share: float = 45 / 55) ->
     cross_document: a seeded context of another document; wrong_clause: a seeded context of another clause of the same document.
     """
     pool = pool.select("doc_id", "clause", "question", "context")
-    first = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy(seeded(seed, *[c for c in (*by, "other_clause")]), "other_clause"))
-    contexts = pool.select(F.col("doc_id").alias("other_doc"), F.col("clause").alias("other_clause"), F.col("context").alias("neg_context"))
-    cross = pool.join(other_document(pool, "doc_id", seed), "doc_id").join(contexts, "other_doc")
-    cross = cross.withColumn("n", first(["doc_id", "clause"])).where("n = 1").withColumn("neg_kind", F.lit("cross_document"))
-    wrong = pool.join(contexts, (F.col("doc_id") == F.col("other_doc")) & (F.col("clause") != F.col("other_clause")))
-    wrong = wrong.withColumn("n", first(["doc_id", "clause"])).where("n = 1").withColumn("neg_kind", F.lit("wrong_clause"))
+    # One place per context and per clause in its document's seeded order: a pick is an equi join on a place, no pairs are made.
+    by_doc = Window.partitionBy("doc_id")
+    places = pool.withColumn("at", F.row_number().over(by_doc.orderBy(seeded(seed, "doc_id", "clause", "context"))) - 1).withColumn("size", F.count(F.lit(1)).over(by_doc))
+    contexts = places.select(F.col("doc_id").alias("other_doc"), F.col("at").alias("to"), F.col("context").alias("neg_context"))
+    sizes = places.groupBy(F.col("doc_id").alias("other_doc")).agg(F.count(F.lit(1)).alias("n"))
+    cross = pool.join(other_document(pool, "doc_id", seed), "doc_id").join(sizes, "other_doc").withColumn("to", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "clause"), F.col("n")))
+    cross = cross.join(contexts.withColumn("to", F.col("to").cast("long")), ["other_doc", "to"]).withColumn("neg_kind", F.lit("cross_document"))
+    clauses = pool.groupBy("doc_id", "clause").agg(F.min_by("context", seeded(seed, "doc_id", "clause", "context")).alias("neg_context"))
+    clauses = clauses.withColumn("at", F.row_number().over(by_doc.orderBy(seeded(seed, "doc_id", "clause"), "clause")) - 1).withColumn("n", F.count(F.lit(1)).over(by_doc))
+    ring = clauses.where("n > 1").select("doc_id", "clause", F.pmod(F.col("at") + 1, F.col("n")).alias("at"))
+    wrong = pool.join(ring, ["doc_id", "clause"]).join(clauses.select("doc_id", F.col("at").cast("long").alias("at"), "neg_context"), ["doc_id", "at"]).withColumn("neg_kind", F.lit("wrong_clause"))
     negatives = cross.select("doc_id", "clause", "question", "neg_context", "neg_kind").union(wrong.select("doc_id", "clause", "question", "neg_context", "neg_kind"))
     most = round(pool.count() * share)
     negatives = negatives.orderBy(seeded(seed, "doc_id", "clause", "neg_kind")).limit(most)

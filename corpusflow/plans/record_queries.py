@@ -156,14 +156,15 @@ def t24(spark, sf_dir):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("t25_decoded_spans", f"SELECT doc_id, array_to_string({_WORDS.format('text')}[4:9], ' ') AS span FROM documents WHERE len({_WORDS.format('text')}) >= 9")
+@query("t25_decoded_spans", f"""WITH t AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), v AS (SELECT x AS token, count(*) AS n FROM (SELECT unnest(w) AS x FROM t) GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, token LIMIT 5000)
+SELECT doc_id, string_agg(coalesce(v.token, '<unk>'), ' ' ORDER BY i) AS span FROM (SELECT doc_id, i, w[i] AS x FROM (SELECT *, unnest(range(4, 10)) AS i FROM t WHERE len(w) >= 9)) s LEFT JOIN v ON v.token = s.x GROUP BY doc_id""")
 def t25(spark, sf_dir):
     """Ids of a span of word tokens looked up in their vocabulary again."""
     tokens = documents(spark, sf_dir).select("doc_id", F.posexplode(T.words(F.col("text"))).alias("pos", "token"))
-    vocab = X.vocabulary(tokens.select("token"), size=1 << 30, least=1)
-    ids = tokens.where("pos between 3 and 8").join(vocab.select("token", "id"), "token").select("doc_id", "pos", "id")
-    words = ids.join(vocab.select("id", "token"), "id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("w"))
-    return words.where("size(w) = 6").select("doc_id", F.array_join(F.transform("w", lambda x: x["token"]), " ").alias("span"))
+    vocab = X.vocabulary(tokens.select("token"), 5000)
+    ids = X.encode(tokens.where("pos between 3 and 8"), vocab, ["doc_id"]).where("size(ids) = 6").select("doc_id", F.posexplode("ids").alias("pos", "id"))
+    words = ids.join(vocab.select("id", "token"), "id", "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token", F.lit("<unk>")).alias("token")))).alias("w"))
+    return words.select("doc_id", F.array_join(F.transform("w", lambda x: x["token"]), " ").alias("span"))
 
 
 @query("p22_domain_marker", f"SELECT doc_id, CASE WHEN source IN ('src0', 'src1') THEN least(len({_WORDS.format('text')}), 399) + 1 ELSE least(len({_WORDS.format('text')}), 399) END AS n_ids, source IN ('src0', 'src1') AS marked FROM documents")

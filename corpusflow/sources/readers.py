@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..plans.ranks import with_row_numbers
+
 QA_FIELDS = ["question", "context", "answer_text", "answer_start", "is_answerable", "domain"]
 QA_TEST = "example_id string, source string, question string, document string, gold_answers array<string>, is_answerable boolean, extras map<string,string>"
 
@@ -110,7 +112,10 @@ def first_column(df: DataFrame, *names: str) -> Column:
 def document_pairs(df: DataFrame, id_prefix: str | None = None, key: str = "doc_id") -> DataFrame:
     """(doc_id, text, summary) of a pair table whose columns bear any of the usual names."""
     text, summary = first_column(df, "article", "text", "document"), first_column(df, "abstract", "summary", "highlights")
-    name = F.col(key).cast("string") if id_prefix is None else F.concat(F.lit(id_prefix), F.row_number().over(Window.orderBy(key)) - 1)
+    name = F.col(key).cast("string")
+    if id_prefix is not None:
+        df = with_row_numbers(df, [key], "__no")
+        name = F.concat(F.lit(id_prefix), F.col("__no").cast("string"))
     return df.select(name.alias("doc_id"), text.alias("text"), summary.alias("summary"))
 
 
