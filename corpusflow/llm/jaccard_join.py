@@ -8,7 +8,7 @@ T = ceil(percent * (|x| + |y|) / (100 + percent)) common shingles.
    shingles (rare first), so its false hits cost time, never links.
 3. A set's first |x| - ceil(percent |x| / 100) + 1 shingles are posted to inverted lists: linked
    sets meet in one list at least. Lists of up to ``short_list`` entries give candidate pairs after
-   length and position bounds; a longer list gives only pairs with its first two entries.
+   bounds on length, position and shared lists; a longer list gives only pairs with its first two.
 4. For each query set, lists over its candidates are searched: the longest lists are put aside, the
    short ones merged through a heap (by counting, where they are many), what occurs often enough
    there is looked up in the long ones by binary search, and entries that reach T are links.
@@ -209,37 +209,38 @@ def _described(width: int, percent: int, bits: np.ndarray):
 
 
 def _candidates(percent: int, short_list: int):
-    """Rows (token, rep, n, pos) sorted by token, pos -> pairs (0, a, b) and entries of long lists (1, token, rep).
+    """Rows (token, rep, n, pos) sorted by token, pos -> pairs (0, a, b, room) and entries of long lists (1, token, rep, 0).
 
-    A long list's first two entries, which have the fewest rarer shingles, stand in for its middle.
+    room: the most shingles that the pair can share from this one on; -1 for pairs of a long list with its
+    first two entries, which have the fewest rarer shingles and stand in for its middle.
     """
 
     def run(batches):
         carry = None  # rows of the open list, or its first two rows once it is long
         long_of = None
 
-        def out(kind, a, b):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
+        def out(kind, a, b, room):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(room)], ["kind", "a", "b", "room"])
 
         def long_rows(token, leads, reps, sizes):
             for rep, size in leads:
                 ok = (100 * np.minimum(size, sizes) >= percent * np.maximum(size, sizes)) & (reps != rep)
-                yield out(0, np.full(int(ok.sum()), rep), reps[ok])
-            yield out(1, np.full(len(reps), token), reps)
+                yield out(0, np.minimum(rep, reps[ok]), np.maximum(rep, reps[ok]), np.full(int(ok.sum()), -1))
+            yield out(1, np.full(len(reps), token), reps, np.zeros(len(reps), np.int64))
 
         def short_rows(t, r, size, pos):
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            a, b, room = ([np.zeros(0, np.int64)] for _ in range(3))
             for d in range(1, short_list):
                 x = np.flatnonzero(t[d:] == t[:-d])
                 if not len(x):
                     break
                 y = x + d
                 least, most = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
-                goal = -(-percent * (least + most) // (100 + percent))
-                ok = (100 * least >= percent * most) & (np.minimum(size[x] - pos[x], size[y] - pos[y]) >= goal)
+                ok = 100 * least >= percent * most
+                room.append(np.minimum(size[x] - pos[x], size[y] - pos[y])[ok])
                 a.append(np.minimum(r[x[ok]], r[y[ok]]))
                 b.append(np.maximum(r[x[ok]], r[y[ok]]))
-            yield out(0, np.concatenate(a), np.concatenate(b))
+            yield out(0, np.concatenate(a), np.concatenate(b), np.concatenate(room))
 
         for batch in batches:
             t, r, size, pos = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("token", "rep", "n", "pos"))
@@ -357,10 +358,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 4, per
     classes = each.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"))
     classes = work.save(classes, "classes")
     posted = classes.where("rep is not null").select("rep", F.col("n").cast("int").alias("n"), F.posexplode("first").alias("pos", "token"))
-    met = posted.repartition("token").sortWithinPartitions("token", "pos", "rep").mapInArrow(_candidates(percent, short_list), "kind int, a long, b long")
-    met = work.save(met.distinct(), "met")
-    pairs = met.where("kind = 0").select("a", "b")
+    met = posted.repartition("token").sortWithinPartitions("token", "pos", "rep").mapInArrow(_candidates(percent, short_list), "kind int, a long, b long, room long")
+    met = work.save(met.groupBy("kind", "a", "b").agg(F.count_if(F.col("room") >= 0).alias("shared"), F.max("room").alias("room")), "met")
     entries = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("id"))
+    pairs = work.save(_possible(met.where("kind = 0"), entries, classes, percent), "pairs")
     # Only texts that are candidates are shuffled from here on; the filter lets few others pass.
     among = lambda rows, ids: rows.mapInArrow(_among(_bits_of(ids.mapInArrow(_id_positions, "at long"))), "doc_id long, text string")
     near = work.save(among(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).union(entries.select("id"))), "near")
@@ -378,6 +379,27 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 4, per
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _possible(met: DataFrame, entries: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose lists leave room for T common shingles.
+
+    From the first shingle that two linked sets share, T have to follow; and beyond the prefix that ends
+    first lie at most ceil(percent * n / 100) - 1 of the larger set's shingles, so the prefixes share what
+    T exceeds that by. Shared short lists are counted; of long ones each set's number is an upper bound.
+    """
+    long = entries.groupBy("id").agg(F.count(F.lit(1)).alias("long"))
+    sets = classes.where("rep is not null").groupBy(F.col("rep").alias("id")).agg(F.min("n").alias("n_min"), F.max("n").alias("n"))
+    sets = sets.join(long, "id", "left").select("id", "n", "n_min", F.coalesce("long", F.lit(0)).alias("long"))
+    side = lambda k: sets.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "n_min", "long")])
+    rows = met.join(side("a"), "a").join(side("b"), "b")
+    goal = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    beyond = F.ceil(percent * F.greatest("n_a", "n_b") / 100) - 1
+    enough = F.col("shared") + F.least("long_a", "long_b") >= goal - beyond
+    room = (F.col("room") >= goal) | (F.least("long_a", "long_b") > 0)
+    # An id that stands for several sets (a repeated doc_id) is not bounded by one size.
+    several = (F.col("n_a") != F.col("n_min_a")) | (F.col("n_b") != F.col("n_min_b"))
+    return rows.where("a <> b").where(several | (enough & room)).select("a", "b")
+
+
 def _pair_jobs(pairs: DataFrame, per_job: int = 256) -> DataFrame:
     """Candidates of one query as jobs of about ``per_job`` entries: (job, role, id)."""
     count = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
