@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,7 @@ from .textstream import chunks
 
 WINDOW = 2048
 #: Words whose ids a Python worker holds; the table starts anew beyond that.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 #: Anything but Latin letters whose lower case is one letter each in any context, digits and signs; special tokens.
 _ODD = re.compile("[^\n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]|<[|]")
 #: The runs that the tokenizer cuts such words into, and the ends of words; no id's bytes look like the mark.
@@ -80,6 +82,8 @@ class WordIds:
     """
 
     def __init__(self, path: str | None):
+        # One thread a task; the setting has to precede the first batch. Threads would each keep memory of their own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         if path is None:
@@ -127,13 +131,19 @@ class WordIds:
             self.runs = {"\n": _MARK}
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str | None) -> WordIds:
+    """A Python worker's own table, kept over its tasks."""
+    return WordIds(path)
+
+
 def _pieces(path: str | None, window: int, end_id: int, with_ids: bool):
     def run(batches):
-        ids_of = WordIds(path)
+        ids_of = word_ids(path)
         end = np.uint32(end_id).astype("<u4").tobytes()
         for batch in batches:
             docs = batch.column("doc_id").to_pylist()
-            for a, b, texts in chunks(batch.column("text").to_pylist(), 1 << 21):
+            for a, b, texts in chunks(batch.column("text").to_pylist(), 1 << 20):
                 rows: list[list] = [[], [], [], [], [], []]
                 words = [t.split() for t in texts]
                 ids_of.make_room()
