@@ -100,12 +100,12 @@ def s10(spark, sf_dir):
     return R.squad_tests(rows, "squad").select("example_id", "source", "question", "is_answerable", F.coalesce(F.get("gold_answers", F.lit(0)), F.lit("")).alias("first_gold"))
 
 
-@query("s11_label_tests", "SELECT CAST(d.doc_id AS VARCHAR) AS example_id, CASE l.quality WHEN 1 THEN 'Is it good?' END AS question, l.quality AS label FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 1")
+@query("s11_label_tests", r"""SELECT CAST(d.doc_id AS VARCHAR) AS example_id, CASE d.doc_id % 3 WHEN 0 THEN 'What are the payment obligations?' ELSE 'Where must disputes be filed?' END AS question,
+md5(CASE WHEN len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) <= 200 THEN text ELSE array_to_string(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')[1:200], ' ') END) AS gold_md5 FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE d.doc_id % 3 < 2""")
 def s11(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("doc_id").cast("string").alias("id"), "text", F.when(F.col("quality") == 1, " Good ").otherwise("Bad").alias("label"), "quality")
-    templates = spark.sql("SELECT 'good' AS label, 'Is it good?' AS question")
-    out = R.label_tests(rows, templates).select("example_id", "question")
-    return out.withColumn("label", F.lit(1))
+    label = F.when(F.col("doc_id") % 3 == 0, " Payments ").when(F.col("doc_id") % 3 == 1, "VENUE").otherwise("Something else")
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("doc_id").cast("string").alias("id"), "text", label.alias("label"))
+    return R.label_tests(rows, R.label_questions(spark)).select("example_id", "question", F.md5(F.get("gold_answers", F.lit(0))).alias("gold_md5"))
 
 
 @query("s14_corpus_texts", "SELECT count(*) AS n, sum(length(t)) AS chars FROM (SELECT text AS t FROM documents UNION ALL SELECT substring(text, 1, 200) FROM documents UNION ALL SELECT text FROM benchmark) WHERE length(t) > 50")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.lexicon import LABEL_QUESTIONS
 from ..plans.ranks import with_row_numbers
 
 QA_FIELDS = ["question", "context", "answer_text", "answer_start", "is_answerable", "domain"]
@@ -135,6 +136,12 @@ def squad_tests(df: DataFrame, source: str) -> DataFrame:
     return df.select(F.col("id").alias("example_id"), F.lit(source).alias("source"), "question", F.col("context").alias("document"), golds.alias("gold_answers"), F.coalesce(answerable, F.lit(False)).alias("is_answerable"), F.lit(None).cast("map<string,string>").alias("extras"))
 
 
+def label_questions(spark: SparkSession) -> DataFrame:
+    """The fixed table of clause labels and their questions."""
+    pairs = [x for kv in LABEL_QUESTIONS.items() for x in map(F.lit, kv)]
+    return spark.range(1).select(F.explode(F.create_map(*pairs)).alias("label", "question"))
+
+
 def label_tests(df: DataFrame, templates: DataFrame, words: int = 200) -> DataFrame:
     """Rows (id, text, label) with a question from a template table (label, question), case and white space of labels ignored; rows without a template are dropped; the gold answer is the first words of the text."""
     from ..functions import text as X
