@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -98,8 +96,3 @@ def recall_report(df: DataFrame, group: str = "source", short: int = 6) -> DataF
     side = F.when(T.word_count(F.col("question")) <= short, "short question").otherwise("long question")
     rows = known.withColumn("grp", F.explode(F.array(F.lit("all"), F.concat(F.lit("source "), group), side)))
     return rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *[F.round(hit(k), DIGITS).alias(f"recall_{k}") for k in (1, 3, 5)], F.round(1 - hit(1), DIGITS).alias("miss_1"))
-
-
-def log1p_idf(n: int, df: int) -> float:
-    """The idf that ``bm25`` uses, for one term."""
-    return math.log((n - df + 0.5) / (df + 0.5) + 1.0)

@@ -129,7 +129,6 @@ def a11(spark, sf_dir):
     return M.generation_report(predictions(spark, sf_dir))
 
 
-_SPAN_F1 = _F1.replace("(a)", "(sp)").replace("(b)", "(b)")
 _FAIL = _SCORED + f""", sp AS (SELECT * EXCLUDE (a, f1, em), {_TOK.format('ns')} AS a, CASE WHEN ns = ng THEN 1.0 ELSE 0.0 END AS em FROM s), sf AS (SELECT *, {_F1} AS f1, list_distinct({_WORDS.format('lower(extracted_span)')}) AS bs, list_distinct({_WORDS.format('lower(predicted_answer)')}) AS bp FROM sp),
 c AS (SELECT example_id, CASE WHEN NOT is_answerable AND trim(extracted_span) <> '' THEN 'has_answer_false_positive' WHEN NOT is_answerable THEN 'ok' WHEN gold_chunk_idx >= 0 AND NOT list_contains([best_chunk, (best_chunk + 1) % 4, (best_chunk + 2) % 4], gold_chunk_idx) THEN 'retrieval_failure'
 WHEN trim(extracted_span) = '' THEN 'missed_answer' WHEN f1 > 0.65 AND em < 0.5 THEN 'span_boundary_error' WHEN f1 < 0.40 AND ({' OR '.join(f"len(list_filter({_TERM[k].format('extracted_span')}, lambda x: NOT list_contains({_TERM[k].format('gold')}, x))) > 0" for k in ('defined', 'monetary', 'time'))}) THEN 'legal_term_hallucination'
@@ -204,9 +203,6 @@ def v8(spark, sf_dir):
     return M.flagged(summaries(spark, sf_dir))
 
 
-_ROUGE1 = f"{_BAG.format('g', 'r')}"
-
-
 @query("a14_rouge", _SUM + f""", t AS (SELECT {_PLAIN.format('generated')} AS g, {_PLAIN.format('reference')} AS r FROM u), b AS (SELECT list_transform(range(1, len(g)), lambda i: g[i] || ' ' || g[i + 1]) AS g2, list_transform(range(1, len(r)), lambda i: r[i] || ' ' || r[i + 1]) AS r2, g, r FROM t),
 h AS (SELECT {_BAG.format('g', 'r')} AS m1, len(g) AS a1, len(r) AS b1, {_BAG.format('g2', 'r2')} AS m2, len(g2) AS a2, len(r2) AS b2 FROM b),
 q AS (SELECT CASE WHEN a1 = 0 THEN 0 ELSE m1 / a1 END AS p1, CASE WHEN b1 = 0 THEN 0 ELSE m1 / b1 END AS q1, CASE WHEN a2 = 0 THEN 0 ELSE m2 / a2 END AS p2, CASE WHEN b2 = 0 THEN 0 ELSE m2 / b2 END AS q2 FROM h)

@@ -263,9 +263,6 @@ def s13(spark, sf_dir):
     return S.first_n(documents(spark, sf_dir).select("doc_id", "source"), 5, 42, "doc_id", ["source"])
 
 
-_POOL = "SELECT doc_id, chunk_idx, 'clause ' || (chunk_idx % 3) AS clause"
-
-
 @query("m7_clause_negatives")
 def m7(spark, sf_dir):
     pool = C.word_chunks(documents(spark, sf_dir), 60, 0).select("doc_id", F.concat(F.lit("clause "), (F.col("chunk_idx") % 5).cast("string"), F.lit("/"), F.col("chunk_idx").cast("string")).alias("clause"), F.concat(F.lit("What of chunk "), F.col("chunk_idx").cast("string")).alias("question"), F.col("chunk").alias("context"))
