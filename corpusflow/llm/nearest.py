@@ -16,8 +16,10 @@ from ..plans.scratch import Scratch
 #: Vectors that trees are fitted on, at most (the smallest by hash).
 SAMPLE = 20_000
 TREES = 8
-#: A tree's leaves: as many as give this share of all vectors in one, within the bounds on a leaf's vectors.
-LEAF_SHARE, LEAF_LEAST, LEAF_MOST = 1 / 64, 32, 4096
+#: A tree's leaves: as many as give this share of all vectors in one, or fewer, of LEAF_LEAST vectors. The depth that this gives does not grow further, as PROBES leaves would then be a smaller share.
+LEAF_SHARE, LEAF_LEAST = 1 / 64, 32
+#: A leaf's vectors and the queries that open it are compared in blocks of about so many.
+LEAF_MOST, QUERIES_MOST = 4096, 16384
 #: Leaves that a query opens, over all trees.
 PROBES = 72
 
@@ -88,8 +90,11 @@ def _lifted(x: np.ndarray, most: float, query: bool) -> np.ndarray:
     return np.concatenate((x, last[:, None]), axis=1)
 
 
-def _routed(forest: Forest, dim: int, most: float, probes: int, cuts: int):
-    """Rows (role, ids, embedding) -> rows by (tree, leaf, cut): a vector goes to its leaf in each tree, a query to the leaves it opens."""
+def _routed(forest: Forest, dim: int, most: float, probes: int, cuts: int, shares: int, every: int):
+    """Rows (role, ids, embedding) -> rows by (tree, leaf, cut of vectors, share of queries).
+
+    A vector goes to its cut of its leaf in each tree, once for each share; a query to its share of the leaves that it opens, once for each cut.
+    """
 
     def run(batches):
         for batch in batches:
@@ -99,46 +104,47 @@ def _routed(forest: Forest, dim: int, most: float, probes: int, cuts: int):
                 if not len(part):
                     continue
                 x = _matrix(part.column("embedding"), dim)
-                lifted = _lifted(x, most, role == 0)
-                if role:
+                lifted = _lifted(x, most, role == 1)
+                first = part.column("ids").flatten().to_numpy()[part.column("ids").offsets.to_numpy()[:-1] - part.column("ids").offsets[0].as_py()]
+                if role == 0:
                     leaf = forest.leaves(lifted)
-                    row, tree = np.repeat(np.arange(len(x)), leaf.shape[1]), np.tile(np.arange(leaf.shape[1]), len(x))
-                    leaf, cut = leaf.ravel(), np.repeat(np.array([hash(i[0]) % cuts for i in part.column("ids").to_pylist()], np.int64), leaf.shape[1])
+                    row, tree, leaf = np.repeat(np.arange(len(x)), leaf.shape[1]), np.tile(np.arange(leaf.shape[1]), len(x)), leaf.ravel()
+                    block, others, step = (first % cuts)[row], shares, cuts
                 else:
-                    found = [(k, t, f, c) for k, q in enumerate(lifted) for t, f in forest.probe(q, probes) for c in range(cuts)]
-                    row, tree, leaf, cut = (np.array(c, np.int64) for c in zip(*found, strict=True))
+                    found = [(k, t, f) for k, q in enumerate(lifted) for t, f in forest.probe(q, probes)]
+                    row, tree, leaf = (np.array(c, np.int64) for c in zip(*found, strict=True))
+                    block, others, step = (first // every % shares)[row] * cuts, cuts, 1
                 for k in range(0, len(row), 4096):
                     s = slice(k, k + 4096)
                     own = part.take(pa.array(row[s]))
-                    place = (tree[s] << 40) + (leaf[s] << 16) + cut[s]
-                    yield pa.RecordBatch.from_arrays([pa.array(place), own.column("role"), own.column("ids"), own.column("embedding")], ["place", "role", "ids", "embedding"])
+                    for other in range(others):
+                        place = (tree[s] << 48) + (leaf[s] << 40) + block[s] + other * step
+                        yield pa.RecordBatch.from_arrays([pa.array(place), own.column("role"), own.column("ids"), own.column("embedding")], ["place", "role", "ids", "embedding"])
 
     return run
 
 
 def _reranked(dim: int, k: int):
-    """Rows sorted by place, role (0 queries, 1 vectors) -> the k + 1 best vectors of the place for each query, by exact inner product."""
+    """Rows sorted by place, role (0 vectors, 1 queries) -> the k + 1 best vectors of the place for each query, by exact inner product.
 
-    def run(batches):
-        place, queries, ids, vectors = None, None, [], []
-
-        def flush():
-            if queries is None or not len(queries[0]) or not vectors:
-                return
-            x = np.concatenate(vectors)
-            rows: list[list] = [[], [], []]
-            for a in range(0, len(queries[0]), 256):
-                scores = np.concatenate(queries[1])[a : a + 256] @ x.T
-                for q, s in zip(queries[0][a : a + 256], scores, strict=True):
-                    near = np.argpartition(-s, k)[: k + 1] if len(s) > k + 1 else np.arange(len(s))
-                    edge = s[near].min()
-                    near = np.flatnonzero(s >= edge) if len(s) > k + 1 else near
-                    best = sorted((-s[n], i) for n in near for i in ids[n])[: k + 1]
-                    rows[0] += [q] * len(best)
-                    rows[1] += [i for _, i in best]
-                    rows[2] += [-v for v, _ in best]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.float64())], ["query_id", "vec_id", "score"])
+    Only the vectors of a place are held; its queries are answered as they come.
+    """
 
+    def answered(ids, queries, x, y):
+        rows: list[list] = [[], [], []]
+        scores = y @ x.T
+        for q, s in zip(queries, scores, strict=True):
+            near = np.argpartition(-s, k)[: k + 1] if len(s) > k + 1 else np.arange(len(s))
+            edge = s[near].min()
+            near = np.flatnonzero(s >= edge) if len(s) > k + 1 else near
+            best = sorted((-s[n], i) for n in near for i in ids[n])[: k + 1]
+            rows[0] += [q] * len(best)
+            rows[1] += [i for _, i in best]
+            rows[2] += [-v for v, _ in best]
+        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.float64())], ["query_id", "vec_id", "score"])
+
+    def run(batches):
+        place, ids, vectors = None, [], []
         for batch in batches:
             places, roles = batch.column("place").to_numpy(), batch.column("role").to_numpy()
             mark = np.flatnonzero((np.diff(places) != 0) | (np.diff(roles) != 0)) + 1
@@ -146,17 +152,17 @@ def _reranked(dim: int, k: int):
                 if b == a:
                     continue
                 if places[a] != place:
-                    yield from flush()
-                    place, queries, ids, vectors = places[a], ([], []), [], []
+                    place, ids, vectors = places[a], [], []
                 part = batch.slice(a, b - a)
                 x = _matrix(part.column("embedding"), dim)
                 if roles[a] == 0:
-                    queries[0].extend(i[0] for i in part.column("ids").to_pylist())
-                    queries[1].append(x)
-                else:
                     ids += part.column("ids").to_pylist()
                     vectors.append(x)
-        yield from flush()
+                elif vectors:
+                    vectors = [np.concatenate(vectors)] if len(vectors) > 1 else vectors
+                    queries = [i[0] for i in part.column("ids").to_pylist()]
+                    for c in range(0, len(queries), 256):
+                        yield answered(ids, queries[c : c + 256], vectors[0], x[c : c + 256])
 
     return run
 
@@ -168,7 +174,8 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 20, k: int = 2
     indexed once, with the k + 1 smallest of their ids: no answer needs more, so this loses nothing.
     Vectors that are null, zero, of another length than most, or hold null or non-finite components take no
     part, nor do null ids; a vec_id that repeats with one vector counts once. Fewer candidates give fewer rows.
-    Beyond ``LEAF_MOST / LEAF_SHARE`` vectors the share that a query examines falls with the number of vectors.
+    A query opens the same share of leaves at every size, and so examines about the same share of the vectors:
+    recall does not fall with size, and the work grows with queries times vectors.
     """
     work = Scratch(spark, "nearest")
     fit = "embedding is not null and vec_id is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
@@ -185,14 +192,17 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 20, k: int = 2
     index = work.save(same.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "index")
     n = index.count()
     drawn = index.orderBy(F.xxhash64("embedding"), "ids").limit(sample).select("embedding").toPandas()["embedding"]
-    leaf = min(LEAF_MOST, max(LEAF_LEAST, n * LEAF_SHARE))
+    leaf = max(LEAF_LEAST, n * LEAF_SHARE)
     depth = max(0, min(round(math.log2(max(1, n / leaf))), int(math.log2(max(1, min(n, sample) / 4)))))
     forest = Forest.fit(_lifted(np.stack(drawn.to_list()).astype(np.float64), most, False), trees, depth)
     cuts = max(1, math.ceil(n / (1 << depth) / LEAF_MOST))
-    queries = good.where(F.col("vec_id") % every == 0).select(F.lit(0).alias("role"), F.array("vec_id").alias("ids"), "embedding")
-    rows = queries.union(index.select(F.lit(1).alias("role"), "ids", "embedding"))
+    queries = good.where(F.col("vec_id") % every == 0).select(F.lit(1).alias("role"), F.array("vec_id").alias("ids"), "embedding")
+    # Shares are numbered by what queries have in a leaf if they open all alike.
+    opened = min(1.0, probes / (trees << depth))
+    shares = max(1, math.ceil(queries.count() * opened / QUERIES_MOST))
+    rows = queries.union(index.select(F.lit(0).alias("role"), "ids", "embedding"))
     element = good.schema["embedding"].dataType.simpleString()
-    routed = rows.mapInArrow(_routed(forest, dim, most, probes, cuts), f"place long, role int, ids array<long>, embedding {element}")
+    routed = rows.mapInArrow(_routed(forest, dim, most, probes, cuts, shares, every), f"place long, role int, ids array<long>, embedding {element}")
     found = routed.repartition("place").sortWithinPartitions("place", "role").mapInArrow(_reranked(dim, k), "query_id long, vec_id long, score double")
     found = found.where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

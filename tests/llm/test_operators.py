@@ -385,6 +385,21 @@ def test_nearest_recall_and_order(spark):
     assert np.mean(recall) >= 0.9
 
 
+def test_nearest_recall_beyond_leaf_bound(spark, monkeypatch):
+    # With leaves bounded to 16 vectors, 5,000 stand for a table five times LEAF_MOST / LEAF_SHARE: leaves are compared in blocks, not opened in a smaller share.
+    monkeypatch.setattr("corpusflow.llm.nearest.LEAF_MOST", 16)
+    monkeypatch.setattr("corpusflow.llm.nearest.QUERIES_MOST", 9, raising=False)
+    x = np.random.default_rng(3).standard_normal((5000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found = collections.defaultdict(list)
+    for r in nearest(spark, df, every=50).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append(r["vec_id"])
+    assert sorted(found) == list(range(0, 5000, 50)) and all(len(set(f)) == 20 for f in found.values())
+    best = {q: [i for i in np.argsort(-(x @ x[q])) if i != q][:20] for q in found}
+    assert np.mean([len({*best[q]} & {*found[q]}) / 20 for q in found]) >= 0.9
+
+
 def test_nearest_odd(spark):
     rng = np.random.default_rng(5)
     rows = [(k, [float(v) for v in rng.standard_normal(4)]) for k in range(1, 30)] + [(k, [1.0, 2.0, 3.0, 4.0]) for k in range(100, 160)]
