@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,12 +56,44 @@ def split_quotas(blocks: list[int], shards: int, seed: int) -> list[list[int]]:
     return out
 
 
+def _filled(work: Scratch, units: DataFrame, rests: list[tuple[int, float]], seed: int) -> DataFrame:
+    """What fills the rests of sources: no, block, extra (2: the whole block, 1: only ``got``), got (array of text_key); other blocks are absent.
+
+    Each round goes on behind the block in which the one before ended, with the room left, so every block is settled
+    at most once and the rounds end. Only per-source rows reach the driver.
+    """
+    spark, rounds = work.spark, []
+    units = work.save(units, "units")
+    order = F.xxhash64(F.lit(seed), F.lit("block"), "no", "block")
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("no").orderBy("order", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    fold = F.expr("aggregate(docs, struct(room as room, cast(array() as array<bigint>) as got), (a, d) -> if(d.size <= a.room, struct(a.room - d.size as room, array_append(a.got, d.text_key) as got), a))")
+    state = [(no, rest, -(1 << 63), -1) for no, rest in rests]
+    while state or not rounds:
+        now = F.broadcast(spark.createDataFrame(state, "no int, room double, last_order long, last_block long"))
+        left = units.join(now, "no").withColumn("order", order).where("order > last_order or order = last_order and block > last_block")
+        fits = F.col("size") <= F.col("room")
+        by = left.groupBy("no", "block", "order", "room").agg(F.sum(F.when(fits, F.col("size"))).alias("words"), F.count_if(fits).alias("n"), F.count(F.lit(1)).alias("n_all"))
+        # Blocks of documents without words only come along in the first round, and whole.
+        by = by.where(F.col("words") > 0 if rounds else "words > 0 or n = n_all").withColumn("before", before)
+        by = by.where("before < room or before + words <= room").withColumn("edge", F.col("before") + F.col("words") > F.col("room"))
+        by = work.save(by.select("no", "block", "order", (F.col("room") - F.col("before")).alias("free"), "edge", (~F.col("edge") & (F.col("n") == F.col("n_all"))).alias("all")), f"round_{len(rounds)}")
+        # ``docs``: what may be taken of a block that is not taken whole, in permuted order.
+        part = by.where("not all").select("no", "block", F.col("free").alias("room"))
+        part = left.where(fits).drop("room").join(part, ["no", "block"]).groupBy("no", "block", "room").agg(F.sort_array(F.collect_list(F.struct("text_key", "size"))).alias("docs")).select("no", "block", fold.alias("end"))
+        part = work.save(by.join(part, ["no", "block"], "left").select("no", "block", "order", "edge", F.when(F.col("all"), 2).otherwise(1).alias("extra"), F.col("end.got").alias("got"), F.col("end.room").alias("room")), f"filled_{len(rounds)}")
+        rounds.append(part.where("extra = 2 or size(got) > 0").select("no", "block", "extra", "got"))
+        state = [tuple(r) for r in part.where("edge and room > 0").select("no", "room", "order", "block").collect()]
+    return functools.reduce(DataFrame.union, rounds)
+
+
 def plan_mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, shards: int = 64, block_docs: int = 256, seed: int = 7) -> DataFrame:
     """One row per document: doc_id, source, text_key, size, source_size, target, draws (array of epoch, shard), taken.
 
     Sources in code-point order, null last, have the repeating weights. A source with target t and
-    size s is drawn whole floor(t / s) times; the rest of t comes from permuted blocks of its documents,
-    the last block document by document as far as they fit. Block copies go to shards by exact quotas
+    size s is drawn whole floor(t / s) times; the rest of t comes from permuted blocks of its documents:
+    documents longer than the room left are set aside, blocks whose others fit are taken, the next one is filled
+    document by document, and the room that it leaves goes on to the blocks after it in the same way, until no
+    document with words behind it fits. Block copies go to shards by exact quotas
     from ``split_quotas``. Documents without words take part with size 0. Documents are told apart by
     doc_id and text: rows equal in both share one fate. Only per-source rows reach the driver,
     ``MAX_SOURCES`` at most (more raise an error).
@@ -82,12 +116,10 @@ def plan_mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] =
     rows = rows.select("doc_id", F.col("s").alias("source"), "text_key", "size", "no", "source_size", "target", "whole", "rest", F.expr("pmod(xxhash64(text_key), n_blocks)").alias("block"))
     rows = work.save(rows, "rows")
 
-    order = F.xxhash64(F.lit(seed), F.lit("block"), "no", "block")
-    in_order = Window.partitionBy("no").orderBy(order, "block")
-    blocks = rows.groupBy("no", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("whole").alias("whole"))
-    before = F.coalesce(F.sum("words").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.withColumn("before", before).withColumn("extra", F.expr("case when before + words <= rest then 2 when before < rest then 1 else 0 end"))
-    blocks = work.save(blocks, "blocks")
+    rests = [(no, rest) for _, no, _, _, _, rest, _ in plan]
+    extras = _filled(work, rows.groupBy("no", "block", "text_key").agg(F.sum("size").alias("size")), rests, seed)
+    blocks = rows.groupBy("no", "block").agg(F.first("whole").alias("whole")).join(extras, ["no", "block"], "left")
+    blocks = work.save(blocks.withColumn("extra", F.coalesce("extra", F.lit(0))), "blocks")
 
     drawn = {r["no"]: r["n"] for r in blocks.groupBy("no").agg(F.sum(F.col("whole") + F.when(F.col("extra") > 0, 1).otherwise(0)).alias("n")).collect()}
     quotas = np.array(split_quotas([int(drawn.get(no, 0)) for no in range(len(plan))], shards, seed)).reshape(shards, len(plan))
@@ -98,13 +130,7 @@ def plan_mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] =
     copies = copies.select("no", "block", F.struct("epoch", F.size(F.filter("ends", lambda e: e <= F.col("at"))).alias("shard")).alias("draw"))
     draws = copies.groupBy("no", "block").agg(F.sort_array(F.collect_list("draw")).alias("draws"))
 
-    # The block in which a source's rest ends: documents in permuted order as long as they fit.
-    edge = blocks.where("extra = 1").select("no", "block", (F.col("rest") - F.col("before")).alias("room"))
-    edge = rows.join(edge, ["no", "block"]).groupBy("no", "block", "room").agg(F.sort_array(F.collect_set(F.struct("text_key", "doc_id", "size"))).alias("docs"))
-    fit = F.expr("aggregate(docs, struct(room as room, cast(array() as array<bigint>) as got), (a, d) -> if(d.size <= a.room, struct(a.room - d.size as room, array_append(a.got, d.text_key) as got), a), a -> a.got)")
-    edge = edge.select("no", "block", fit.alias("got"))
-
-    out = rows.join(blocks.select("no", "block", "extra").join(draws, ["no", "block"], "left").join(edge, ["no", "block"], "left"), ["no", "block"])
+    out = rows.join(blocks.select("no", "block", "extra", "got").join(draws, ["no", "block"], "left"), ["no", "block"])
     own = F.expr("filter(coalesce(draws, cast(array() as array<struct<epoch:int,shard:int>>)), d -> d.epoch < whole or extra = 2 or (extra = 1 and array_contains(got, text_key)))")
     out = out.withColumn("draws", own)
     return out.select("doc_id", "source", "text_key", "size", "source_size", "target", "draws", (F.col("size") * F.size("draws")).alias("taken"))

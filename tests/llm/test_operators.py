@@ -273,6 +273,16 @@ def test_mixing(spark, docs, odd, none):
     assert mixing.mixed_documents(spark, docs, shards=4).count() == sum(len(r["draws"]) for r in mixing.plan_mix(spark, docs, shards=4).collect())
 
 
+@pytest.mark.parametrize(("n", "long", "seed"), [(1000, 3001, 1), (1000, 3001, 2), (2000, 2500, 1)])
+def test_mixing_goes_on_behind_a_document_that_does_not_fit(spark, n, long, seed):
+    """Half of source a is wanted: what a long document cannot use goes to those of three words behind it."""
+    text = lambda k: " ".join(["w"] * k)
+    rows = [(k, text(3), "a") for k in range(n)] + [(n, text(long), "a"), (n + 1, text(3 * n + long), "b")]
+    got = mixing.plan_mix(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 3), block_docs=64, shards=4, seed=seed).where("source = 'a'").collect()
+    assert 0 <= (3 * n + long) / 2 - sum(r["taken"] for r in got) < 3
+    assert len(got) == n + 1 and all(len(r["draws"]) <= 1 for r in got)
+
+
 # secrets
 
 BASE = [
