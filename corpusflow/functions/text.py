@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -210,16 +212,44 @@ def word_overlap(premise: Column, hypothesis: Column) -> Column:
     return let(F.struct(w(premise).alias("p"), w(hypothesis).alias("h")), lambda t: F.coalesce(share_kept(t["p"], t["h"]), F.lit(1.0)))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays, one row of the table at a time."""
+def _codes(*sides: pa.Array) -> list[list]:
+    """Arrays of string arrays as lists of numbers, alike for equal strings; None for a null array."""
+    flat = [side.flatten() for side in sides]
+    codes = pa.concat_arrays(flat).dictionary_encode().indices
+    codes = codes.fill_null(-1).to_numpy(zero_copy_only=False)
+    out, at = [], 0
+    for side in sides:
+        rows = []
+        for n in pc.list_value_length(side).to_pylist():
+            rows.append(None if n is None else codes[at : at + n].tolist())
+            at += n or 0
+        out.append(rows)
+    return out
+
+
+def _lcs(a: list[int], b: list[int]) -> int:
+    """The table of the recurrence row by row, a row as the bits of one integer: 0 where the length grows by one."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    places: dict[int, int] = {}
+    for k, v in enumerate(a):
+        if v >= 0:  # a null equals nothing
+            places[v] = places.get(v, 0) | 1 << k
+    every = (1 << len(a)) - 1
+    row = every
+    for v in b:
+        if v in places:
+            hit = row & places[v]
+            row = ((row + hit) | (row - hit)) & every
+    return len(a) - row.bit_count()
 
-    def row(prev: Column, x: Column) -> Column:
-        # acc: the new row so far; prev has a leading zero
-        step = lambda acc, y: F.array_append(acc, F.when(y["v"] == x, F.get(prev, y["j"]) + 1).otherwise(F.greatest(F.element_at(acc, -1), F.get(prev, y["j"] + 1))))
-        return F.aggregate(F.transform(b, lambda v, j: F.struct(v.alias("v"), j.alias("j"))), F.array(F.lit(0)), step)
 
-    zeros = F.array_repeat(F.lit(0), F.size(b) + 1)
-    return F.element_at(F.aggregate(a, zeros, row), -1)
+def _lcs_lengths(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([None if x is None or y is None else _lcs(x, y) for x, y in zip(*_codes(a, b), strict=True)], pa.int32())
+
+
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two arrays of strings, whole texts included: exact, in Arrow batches."""
+    return F.arrow_udf(_lcs_lengths, "int")(a, b)
 
 
 def safe_divide(a: Column, b: Column) -> Column:

@@ -1,6 +1,7 @@
 """Operators without an oracle, and edge cases, on literal rows."""
 
 import collections
+import random
 import re
 
 import pytest
@@ -13,6 +14,7 @@ from corpusflow.operators import metrics as M
 from corpusflow.operators import qa as Q
 from corpusflow.operators import sampling as S
 from corpusflow.operators import textrank as K
+from corpusflow.plans import catalogue
 from corpusflow.sources import readers
 
 
@@ -133,6 +135,32 @@ def test_lcs_and_f1(spark):
     assert one(spark, T.token_f1(F.col("a"), F.col("b")), a="the", b="") == 1.0
 
 
+def lcs_by_hand(a, b):
+    prev = [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(prev[j] + 1 if x == y else max(row[j], prev[j + 1]))
+        prev = row
+    return prev[-1]
+
+
+def test_lcs_of_whole_texts(spark):
+    rng = random.Random(4)
+    rows = [(k, [rng.choice("abcdefgé") for _ in range(rng.randrange(0, n))], [rng.choice("abcdefgé") for _ in range(rng.randrange(0, n))]) for k, n in enumerate([1, 5, 40, 150, 400] * 4)]
+    df = spark.createDataFrame(rows + [(98, None, ["a"]), (99, [None, "a"], [None, "a"])], "k long, a array<string>, b array<string>")
+    got = {r["k"]: r["n"] for r in df.repartition(3).select("k", T.lcs_length(F.col("a"), F.col("b")).alias("n")).collect()}
+    assert got == {k: lcs_by_hand(a, b) for k, a, b in rows} | {98: None, 99: 1}
+
+
+def test_lcs_query_reads_whole_texts(spark, tmp_path):
+    parts = [[f"S{d}{k} " + " ".join(f"{d}w{j % (k + 3)}" for j in range(30)) + "." for k in range(12)] for d in range(3)]
+    text = [" ".join(p) for p in parts]
+    spark.createDataFrame([(d, t, "a") for d, t in enumerate(text)], "doc_id long, text string, source string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n"] for r in catalogue.queries()["f8_lcs_length"](spark, f"file://{tmp_path}").collect()}
+    assert got == {d: lcs_by_hand(text[d].split(), " ".join(p[::2][::-1]).split()) for d, p in enumerate(parts)}
+
+
 def test_outcomes(spark):
     texts = {"Motion granted.": "plaintiff", "Claim denied": "defendant", "Affirmed in part": "mixed", "It rained": "unknown", "affirmed dismissal": "plaintiff"}
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", M.outcome(F.col("t")).alias("o")).collect()
