@@ -218,7 +218,7 @@ def a14l(spark, sf_dir):
 
 @query("a15_extract_quality")
 def a15(spark, sf_dir):
-    rows = summaries(spark, sf_dir).select("test_id", F.col("generated").alias("summary"), F.col("reference").alias("document"))
+    rows = summaries(spark, sf_dir).select("test_id", F.col("generated").alias("summary"), F.col("source_text").alias("document"))
     return M.extract_quality(rows).drop("summary", "document")
 
 
@@ -241,7 +241,7 @@ def a20(spark, sf_dir):
 def a19(spark, sf_dir):
     rows = summaries(spark, sf_dir)
     side = lambda name, c: rows.select("test_id", F.lit(name).alias("side"), F.explode(F.array(*[F.struct(F.lit(k).alias("label"), v.alias("found")) for k, v in T.legal_terms(F.col(c)).items()])).alias("x")).select("test_id", "side", "x.label", F.explode("x.found").alias("text"))
-    return M.entity_coverage(side("source", "reference").union(side("generated", "generated")))
+    return M.entity_coverage(side("source", "source_text").union(side("generated", "generated")))
 
 
 @query("a21_vector_match", """WITH a AS (SELECT vec_id // 10 AS pair_id, vec_id AS i, embedding AS x FROM embeddings WHERE vec_id % 10 < 4), b AS (SELECT vec_id // 10 AS pair_id, vec_id AS j, embedding AS y FROM embeddings WHERE vec_id % 10 >= 4),

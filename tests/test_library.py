@@ -15,6 +15,7 @@ from corpusflow.operators import qa as Q
 from corpusflow.operators import sampling as S
 from corpusflow.operators import textrank as K
 from corpusflow.plans import catalogue
+from corpusflow.plans.eval_queries import summaries
 from corpusflow.sources import readers
 
 
@@ -161,6 +162,31 @@ def test_lcs_query_reads_whole_texts(spark, tmp_path):
     assert got == {d: lcs_by_hand(text[d].split(), " ".join(p[::2][::-1]).split()) for d, p in enumerate(parts)}
 
 
+@pytest.fixture(scope="module")
+def end_only(spark, tmp_path_factory):
+    """Texts whose summary is their end, far behind the first 300 characters."""
+    folder = f"file://{tmp_path_factory.mktemp('end')}"
+    rows = [(d, " ".join(f"word{k}" for k in range(200)) + f" Green River Company pays within {d} days " + " ".join(f"last{k}" for k in range(20)), "src0") for d in (4, 8, 24)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def test_extract_quality_reads_whole_documents(spark, end_only):
+    plain = lambda t: [w for w in (re.sub("[^a-z0-9]", "", x) for x in t.lower().split()) if w]
+    texts = {r["test_id"]: (plain(r["generated"]), plain(r["source_text"])) for r in summaries(spark, end_only).collect()}
+    got = {r["test_id"]: tuple(r)[1:] for r in catalogue.queries()["a15_extract_quality"](spark, end_only).select("test_id", "precision", "coverage", "rougeL_precision").collect()}
+    want = {k: (sum(w in d for w in s) / len(s), len({*s} & {*d}) / len({*d}), lcs_by_hand(s, d) / len(s)) for k, (s, d) in texts.items()}
+    assert got == {k: pytest.approx(v, abs=6e-5) for k, v in want.items()} and len(got) == 3 and min(v[0] for v in got.values()) > 0.8
+
+
+def test_entity_coverage_reads_whole_sources(spark, end_only):
+    rows = summaries(spark, end_only).collect()
+    found = lambda t: {*re.findall(r"\b\d+ days", t)}
+    want = [len(found(r["source_text"]) & found(r["generated"])) / len(found(r["source_text"])) for r in rows]
+    got = {r["label"]: r for r in catalogue.queries()["a19_entity_coverage"](spark, end_only).collect()}
+    assert got["time"]["n"] == 3 and got["time"]["coverage"] == pytest.approx(sum(want) / 3, abs=1e-6)
+
+
 def test_outcomes(spark):
     texts = {"Motion granted.": "plaintiff", "Claim denied": "defendant", "Affirmed in part": "mixed", "It rained": "unknown", "affirmed dismissal": "plaintiff"}
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", M.outcome(F.col("t")).alias("o")).collect()
