@@ -350,6 +350,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 4, per
     own component. Rows that share a doc_id are one node; a row without a doc_id takes its class's
     smallest id, or null. Repeated rows are returned as often as they come, other columns are ignored,
     an empty table gives an empty result.
+    Components are exact, links are not listed: a pair is verified no further once its ends are known to be in
+    one component, so what is found spans the components and gives neither all links nor a row's number of links.
     """
     work = Scratch(spark, "jaccard")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
