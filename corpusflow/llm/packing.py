@@ -5,18 +5,19 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch
-from .textstream import chunks
 
 WINDOW = 2048
-#: Words whose ids a Python worker holds; the table starts anew beyond that.
+#: Words whose ids a Python worker holds; beyond that, only those of the texts at hand stay.
 CACHED_WORDS = 250_000
 #: Anything but Latin letters whose lower case is one letter each in any context, digits and signs; special tokens.
 _ODD = re.compile("[^\n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]|<[|]")
@@ -124,11 +125,17 @@ class WordIds:
         ids = b"".join(map(self.runs.__getitem__, runs)).split(_MARK)
         self.words.update(zip(words, ids, strict=True))
 
-    def make_room(self) -> None:
+    def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one behind the other, number of ids of each word) of distinct words."""
         if len(self.words) > CACHED_WORDS:
-            self.words.clear()
+            # What the words at hand need stays: common words are among them.
+            self.words = {w: self.words[w] for w in words if w in self.words}
         if len(self.runs) > CACHED_WORDS:
             self.runs = {"\n": _MARK}
+        if new := [w for w in words if w not in self.words]:
+            self.learn(new)
+        ids = [self.words[w] for w in words]
+        return np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
 
 
 @lru_cache(maxsize=1)
@@ -137,34 +144,66 @@ def word_ids(path: str | None) -> WordIds:
     return WordIds(path)
 
 
-def _pieces(path: str | None, window: int, end_id: int, with_ids: bool):
+def _slices(text: pa.Array, limit: int) -> list[pa.Array]:
+    """Runs of whole texts of about ``limit`` bytes; a longer text is a run of its own."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False))
+    cuts, at = [0], 0
+    while at < len(text):
+        at = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, "right")))
+        cuts.append(at)
+    return [text.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers first[k] ... first[k] + count[k] - 1 for all k, one behind the other."""
+    return np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
+
+
+def _pieces(path: str | None, window: int, end_id: int, with_ids: bool, chunk: int = 1 << 21):
     def run(batches):
-        ids_of = word_ids(path)
-        end = np.uint32(end_id).astype("<u4").tobytes()
+        table = word_ids(path)
         for batch in batches:
-            docs = batch.column("doc_id").to_pylist()
-            for a, b, texts in chunks(batch.column("text").to_pylist(), 1 << 20):
-                rows: list[list] = [[], [], [], [], [], []]
-                words = [t.split() for t in texts]
-                ids_of.make_room()
-                known = ids_of.words
-                ids_of.learn(list(set().union(*words).difference(known)))
-                for doc, ws in zip(docs[a:b], words, strict=True):
-                    ids = b"".join(map(known.__getitem__, ws)) + end
-                    total = len(ids) // 4
-                    for start in range(0, total, window):
-                        part = ids[4 * start : 4 * (start + window)]
-                        for column, value in zip(rows, (doc, start, len(part) // 4, zlib.crc32(part), total, np.frombuffer(part, "<u4").astype(np.int32) if with_ids else None), strict=True):
-                            column.append(value)
-                yield _batch(rows, with_ids)
+            at = 0
+            for texts in _slices(batch.column("text"), chunk):
+                docs = batch.column("doc_id").slice(at, len(texts))
+                at += len(texts)
+                yield _cut(table, docs, texts, window, end_id, with_ids)
 
     return run
 
 
-def _batch(rows: list[list], with_ids: bool) -> pa.RecordBatch:
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
-    kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * with_ids
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=False)], names)
+def _cut(table: WordIds, docs: pa.Array, texts: pa.Array, window: int, end_id: int, with_ids: bool) -> pa.RecordBatch:
+    """The pieces of a run of texts; ``copy`` tells rows that are equal in this run apart."""
+    words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    coded = words.flatten().cast(pa.binary()).dictionary_encode()
+    ids, count = table.ids_of(coded.dictionary.to_pylist())
+    # One more word, the end id, follows each text.
+    ends = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
+    order = np.insert(coded.indices.to_numpy().astype(np.int64), ends, len(count))
+    ids, count = np.append(ids, np.uint32(end_id)), np.append(count, 1)
+    first = np.cumsum(count) - count
+    tokens = np.ascontiguousarray(ids[_ranges(first[order], count[order])], "<u4")
+    stop = np.cumsum(count[order])[ends + np.arange(len(ends))]
+    total = np.diff(stop, prepend=0)
+    pieces = -(-total // window)
+    doc = np.repeat(np.arange(len(total)), pieces)
+    start = window * _ranges(np.zeros_like(pieces), pieces)
+    length = np.minimum(window, total[doc] - start)
+    begin = (stop - total)[doc] + start
+    raw = memoryview(tokens).cast("B")
+    crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
+    own = docs.take(pa.array(doc))
+    seen: Counter = Counter()
+    copy = []
+    for key in zip(own.to_pylist(), start.tolist(), crc, strict=True):
+        copy.append(seen[key])
+        seen[key] += 1
+    columns = [own, pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(total[doc]), pa.array(copy, pa.int32())]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "copy"]
+    if with_ids:
+        columns.append(pa.ListArray.from_arrays(pa.array(np.append(begin, len(tokens)).astype(np.int32)), pa.array(tokens.astype(np.int32))))
+        names.append("ids")
+    return pa.RecordBatch.from_arrays(columns, names)
 
 
 def _packed(window: int):
@@ -198,17 +237,20 @@ def pack(spark: SparkSession, docs: DataFrame, window: int = WINDOW, end_id: int
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens (with ids: ids), sequence_id, offset.
 
     A document's ids and then ``end_id`` are cut into full windows and a remainder. Pieces are dealt by a
-    hash of (doc_id, start, ids_crc32) into parts of about ``part_tokens`` ids, whatever the input, and
-    each part is packed on its own, longest first, ties by doc_id and start; so one open window or a few
-    per part stay underfilled. Null and empty texts give a single piece, the end id. Rows with equal or
-    null ids give their own pieces; other columns are ignored.
+    hash into parts of about ``part_tokens`` ids, whatever the input, so that rows equal in all columns go to
+    different parts; a task packs several parts, each on its own, longest first, ties by doc_id and start, so
+    one open window or a few per part stay underfilled. Null and empty texts give a single piece, the end id.
+    Rows with equal or null ids give their own pieces; other columns are ignored.
     """
     work = Scratch(spark, "packing")
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+    ids = ", ids array<int>" * with_ids
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = work.save(texts.mapInArrow(_pieces(tokenizer_path, window, end_id, with_ids), schema), "pieces")
+    pieces = work.save(texts.mapInArrow(_pieces(tokenizer_path, window, end_id, with_ids), f"{schema}, copy int{ids}"), "pieces")
     total = pieces.agg(F.sum("length").alias("n")).first()["n"] or 0
     parts = max(1, -(-total // part_tokens))
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts)))
-    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", F.desc("length"), "doc_id", "start", "ids_crc32")
-    return dealt.mapInArrow(_packed(window), schema + ", sequence_id long, offset long")
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy"), F.lit(parts))).drop("copy")
+    # Partitions are the session's, however many parts there are; a number keeps AQE from merging them into one task.
+    tasks = min(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.repartition(tasks, "part").sortWithinPartitions("part", F.desc("length"), "doc_id", "start", "ids_crc32")
+    return dealt.mapInArrow(_packed(window), schema + ids + ", sequence_id long, offset long")
