@@ -4,16 +4,20 @@ Two texts link when 100 * |intersection| >= percent * |union| of their shingle s
 T = ceil(percent * (|x| + |y|) / (100 + percent)) common shingles.
 
 1. Texts with one set form a class; from here on a class is one node, named by its smallest doc_id.
-2. Shingles that many texts share are marked in a bit filter of fixed size. The filter only orders
-   shingles (rare first), so its false hits cost time, never links.
+2. Shingles that many texts share are marked in bit filters of fixed size, one for each step of
+   frequency. The filters only order shingles (rare first), so their false hits cost time, never links.
 3. A set's first |x| - ceil(percent |x| / 100) + 1 shingles are posted to inverted lists: linked
    sets meet in one list at least. Lists of up to ``short_list`` entries give candidate pairs after
    bounds on length, position and shared lists; a longer list gives only pairs with its first two.
-4. For each query set, lists over its candidates are searched: the longest lists are put aside, the
+4. Each set has a bitmap of about as many bits as half its shingles, which holds the parity of the
+   shingles that fall on a bit. Two bitmaps differ in no more bits than the sets do in shingles, so
+   pairs whose bitmaps differ too much go, without loss, before any text is shuffled.
+5. For each query set, lists over its candidates are searched: the longest lists are put aside, the
    short ones merged through a heap (by counting, where they are many), what occurs often enough
    there is looked up in the long ones by binary search, and entries that reach T are links.
-5. A long list whose entries are still in several components is searched in full: every entry outside
-   its main component against all entries, in pairs of blocks, so no list meets in one task.
+6. A long list whose entries are still in several components is searched in full: every entry outside
+   its main component against all entries of like size, in pairs of blocks, so no list meets in one
+   task. Blocks hold bitmaps; only entries whose bitmap is near another's there are searched by text.
 """
 
 from __future__ import annotations
@@ -32,7 +36,8 @@ from ..plans.scratch import Scratch
 from .textstream import chunks, mix, shingle_sets
 
 FILTER_BITS = 1 << 23
-COMMON_FROM = 8
+#: Numbers of texts from which a shingle is marked in the filter of that step.
+COMMON_FROM = (8, 64, 512, 4096)
 
 
 def needed(x: int, y: int, percent: int) -> int:
@@ -168,41 +173,67 @@ def _probe(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tokens & np.uint64(FILTER_BITS - 1), (tokens >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)
 
 
-def common_filter(docs: DataFrame, width: int) -> np.ndarray:
-    """Bits of the shingles that ``COMMON_FROM`` texts or more are seen to share; ``FILTER_BITS`` bits whatever the input."""
+def common_filters(docs: DataFrame, width: int) -> np.ndarray:
+    """Bits of the shingles that so many texts are seen to share, by step of ``COMMON_FROM``; ``FILTER_BITS`` bits each whatever the input."""
     seen = docs.select("text").mapInArrow(_repeated(width), "token long, n long")
-    common = seen.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_FROM)
+    common = seen.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_FROM[0])
     at = F.explode(F.array(F.col("token"), F.shiftrightunsigned("token", 32))).alias("at")
-    bit = common.select(at).select(F.col("at").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("at"))
-    return _bits_of(bit)
+    step = sum((F.col("n") >= n).cast("int") for n in COMMON_FROM) - 1
+    bit = common.select(F.explode(F.sequence(F.lit(0), step)).alias("step"), "token").select("step", at)
+    return _bits_of(bit.select("step", F.col("at").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("at")), len(COMMON_FROM))
 
 
-def _described(width: int, percent: int, bits: np.ndarray):
-    def common(tokens: np.ndarray) -> np.ndarray:
-        out = np.ones(len(tokens), bool)
-        for at in _probe(tokens):
-            out &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
-        return out
+def parity_map(tokens: np.ndarray) -> bytes:
+    """Parities of a set's shingles over a power of two of bits, from half as many as shingles up."""
+    bits = 64
+    while 2 * bits < len(tokens):
+        bits *= 2
+    return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def _folded(maps: np.ndarray, size: int) -> np.ndarray:
+    """Rows of bitmaps brought to ``size`` words by the exclusive or of their halves."""
+    while maps.shape[-1] > size:
+        half = maps.shape[-1] // 2
+        maps = maps[..., :half] ^ maps[..., half:]
+    return maps
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which bitmaps differ, of equal or of different sizes."""
+    size = min(x.shape[-1], y.shape[-1])
+    return np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum(axis=-1, dtype=np.int64)
+
+
+def _may_link(x: np.ndarray, y: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes x and y that differ in ``apart`` shingles or more can link."""
+    return apart <= x + y + 2 * (-percent * (x + y) // (100 + percent))
+
+
+def _described(width: int, percent: int, filters: np.ndarray):
+    def step(tokens: np.ndarray) -> np.ndarray:
+        places = _probe(tokens)
+        return sum(np.logical_and(*[(bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0 for at in places]).astype(np.int8) for bits in filters)
 
     def run(batches):
         for batch in batches:
             for a, b, sets in _sets(batch, width):
-                offsets, parts, sizes, names = [0], [], [], []
-                flags = common(np.concatenate(sets)) if sets else None
+                offsets, parts, sizes, names, maps = [0], [], [], [], []
+                steps = step(np.concatenate(sets)) if sets else None
                 at = 0
                 for s in sets:
                     n = len(s)
-                    hot = flags[at : at + n]
+                    first = s[np.argsort(steps[at : at + n], kind="stable")[: n - -(-percent * n // 100) + 1]] if n else s
                     at += n
-                    first = np.concatenate((s[~hot], s[hot]))[: n - -(-percent * n // 100) + 1] if n else s
                     parts.append(first)
                     offsets.append(offsets[-1] + len(first))
                     sizes.append(n)
                     names.append(np.array([s.sum(), np.bitwise_xor.reduce(mix(s)) + np.uint64(n)], np.uint64).tobytes() if n else None)
+                    maps.append(parity_map(s) if n else None)
                 values = pa.array(np.concatenate(parts).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)],
-                    ["doc_id", "n", "class", "first"],
+                    [batch.column("doc_id").slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(maps, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)],
+                    ["doc_id", "n", "class", "map", "first"],
                 )
 
     return run
@@ -328,19 +359,19 @@ def _among(bits: np.ndarray):
     return run
 
 
-def _bits_of(positions: DataFrame) -> np.ndarray:
-    """Rows (at) of bit positions -> a filter of ``FILTER_BITS`` bits, whatever the number of rows."""
-    words = positions.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask"))
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+def _bits_of(positions: DataFrame, steps: int = 1) -> np.ndarray:
+    """Rows (step, at) of bit positions -> a filter of ``FILTER_BITS`` bits for each step, whatever the number of rows."""
+    words = positions.groupBy("step", F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask"))
+    bits = np.zeros((steps, FILTER_BITS // 64), np.uint64)
     for r in words.collect():
-        bits[r["word"]] = np.uint64(r["mask"] & 0xFFFFFFFFFFFFFFFF)
+        bits[r["step"], r["word"]] = np.uint64(r["mask"] & 0xFFFFFFFFFFFFFFFF)
     return bits
 
 
 def _id_positions(batches):
     for batch in batches:
         at = np.unique(mix(batch.column("id").to_numpy().astype(np.uint64)) & np.uint64(FILTER_BITS - 1))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64))], ["at"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), np.int32)), pa.array(at.astype(np.int64))], ["step", "at"])
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 4, percent: int = 85, short_list: int = 24, block: int = 512) -> DataFrame:
@@ -355,23 +386,25 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 4, per
     """
     work = Scratch(spark, "jaccard")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bits = common_filter(texts, width)
-    each = work.save(texts.mapInArrow(_described(width, percent, bits), "doc_id long, n long, class binary, first array<long>"), "described")
-    classes = each.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"))
+    filters = common_filters(texts, width)
+    each = work.save(texts.mapInArrow(_described(width, percent, filters), "doc_id long, n long, class binary, map binary, first array<long>"), "described")
+    classes = each.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("map").alias("map"), F.first("first").alias("first"))
     classes = work.save(classes, "classes")
     posted = classes.where("rep is not null").select("rep", F.col("n").cast("int").alias("n"), F.posexplode("first").alias("pos", "token"))
     met = posted.repartition("token").sortWithinPartitions("token", "pos", "rep").mapInArrow(_candidates(percent, short_list), "kind int, a long, b long, room long")
     met = work.save(met.groupBy("kind", "a", "b").agg(F.count_if(F.col("room") >= 0).alias("shared"), F.max("room").alias("room")), "met")
     entries = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("id"))
-    pairs = work.save(_possible(met.where("kind = 0"), entries, classes, percent), "pairs")
+    # Written, so that joins on it shuffle anew and AQE may split an id with very many pairs.
+    sets = work.save(_sizes(classes, entries), "sets")
+    pairs = work.save(_possible(met.where("kind = 0"), sets, percent), "pairs")
     # Only texts that are candidates are shuffled from here on; the filter lets few others pass.
-    among = lambda rows, ids: rows.mapInArrow(_among(_bits_of(ids.mapInArrow(_id_positions, "at long"))), "doc_id long, text string")
-    near = work.save(among(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).union(entries.select("id"))), "near")
+    among = lambda rows, ids: rows.mapInArrow(_among(_bits_of(ids.mapInArrow(_id_positions, "step int, at long"))[0]), "doc_id long, text string")
+    near = among(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     links = work.save(_verified(near, _pair_jobs(pairs), width, percent), "links")
     labels = connected_components(spark, links)
-    more = work.save(_open_lists(entries, labels, block), "open")
+    more = work.save(_open_lists(entries, sets, labels, percent, block), "open")
     if not more.isEmpty():
-        links = links.union(work.save(_verified(among(near, more.select("id")), more, width, percent), "more"))
+        links = links.union(work.save(_verified(among(texts, more.select("id")), more, width, percent), "more"))
         labels = connected_components(spark, links)
     smallest = classes.join(labels, classes.rep == labels.id, "left").select("class", F.coalesce("label", "rep").alias("component"))
     # The second key stops the join from reusing the aggregate's layout, so AQE may split a class with very many rows.
@@ -381,25 +414,60 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 4, per
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _possible(met: DataFrame, entries: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose lists leave room for T common shingles.
+def _sizes(classes: DataFrame, entries: DataFrame) -> DataFrame:
+    """(id, n, long, map): size, number of long lists and bitmap of each node's set.
+
+    A node with several sets (a repeated doc_id) has the null bitmap, as no bound on one set holds for it.
+    """
+    long = entries.groupBy("id").agg(F.count(F.lit(1)).alias("long"))
+    sets = classes.where("rep is not null").groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"), F.max("map").alias("map"), F.count(F.lit(1)).alias("sets"))
+    return sets.join(long, "id", "left").select("id", "n", F.coalesce("long", F.lit(0)).alias("long"), F.when(F.col("sets") == 1, F.col("map")).alias("map"))
+
+
+def _maps(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all bitmaps, first byte, number of 8-byte words) of a column; nulls have none."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1]
+    words = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    size = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(ends), 0)
+    return words, ends[:-1].astype(np.int64), size.astype(np.int64) // 8
+
+
+def _near_maps(percent: int):
+    """Pairs whose bitmaps let them link; one without a bitmap stays."""
+
+    def run(batches):
+        for batch in batches:
+            (x, x0, xn), (y, y0, yn) = _maps(batch.column("map_a")), _maps(batch.column("map_b"))
+            n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            keep = (xn == 0) | (yn == 0)
+            for key in set(zip(xn[~keep].tolist(), yn[~keep].tolist(), strict=True)):
+                at = np.flatnonzero((xn == key[0]) & (yn == key[1]))
+                for k in range(0, len(at), 1024):
+                    own = at[k : k + 1024]
+                    of = lambda data, first, size: data[(first[own][:, None] + np.arange(8 * size))].view(np.uint64)  # noqa: B023, E731
+                    keep[own] = _may_link(n[own], m[own], _apart(of(x, x0, key[0]), of(y, y0, key[1])), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def _possible(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose lists and bitmaps leave room for T common shingles.
 
     From the first shingle that two linked sets share, T have to follow; and beyond the prefix that ends
     first lie at most ceil(percent * n / 100) - 1 of the larger set's shingles, so the prefixes share what
     T exceeds that by. Shared short lists are counted; of long ones each set's number is an upper bound.
     """
-    long = entries.groupBy("id").agg(F.count(F.lit(1)).alias("long"))
-    sets = classes.where("rep is not null").groupBy(F.col("rep").alias("id")).agg(F.min("n").alias("n_min"), F.max("n").alias("n"))
-    sets = sets.join(long, "id", "left").select("id", "n", "n_min", F.coalesce("long", F.lit(0)).alias("long"))
-    side = lambda k: sets.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "n_min", "long")])
+    side = lambda k: sets.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "long")], F.col("map").isNull().alias(f"several_{k}"))
     rows = met.join(side("a"), "a").join(side("b"), "b")
     goal = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
     beyond = F.ceil(percent * F.greatest("n_a", "n_b") / 100) - 1
     enough = F.col("shared") + F.least("long_a", "long_b") >= goal - beyond
     room = (F.col("room") >= goal) | (F.least("long_a", "long_b") > 0)
-    # An id that stands for several sets (a repeated doc_id) is not bounded by one size.
-    several = (F.col("n_a") != F.col("n_min_a")) | (F.col("n_b") != F.col("n_min_b"))
-    return rows.where("a <> b").where(several | (enough & room)).select("a", "b")
+    rows = rows.where("a <> b").where(F.col("several_a") | F.col("several_b") | (enough & room)).select("a", "b")
+    map_of = lambda k: sets.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("map").alias(f"map_{k}"))
+    return rows.join(map_of("a"), "a").join(map_of("b"), "b").mapInArrow(_near_maps(percent), "a long, b long")
 
 
 def _pair_jobs(pairs: DataFrame, per_job: int = 256) -> DataFrame:
@@ -412,18 +480,79 @@ def _pair_jobs(pairs: DataFrame, per_job: int = 256) -> DataFrame:
     return heads.union(jobs.select(name, F.lit(1).alias("role"), F.col("b").alias("id"), F.col("b").alias("label")))
 
 
-def _open_lists(entries: DataFrame, labels: DataFrame, block: int) -> DataFrame:
-    """Jobs that search long lists whose entries are not yet in one component, in pairs of blocks."""
+def _near_rows(percent: int):
+    """Rows (job, role, id, label, n, map) sorted by job, role -> (job, role, id, label) of those with a row of the other role in their job that may link and is of another component.
+
+    A job's rows are held, its pairs are not: what comes out is at most what went in.
+    """
+
+    def run(batches):
+        job, queries, entries = None, [], []
+
+        def flush():
+            out = []
+            groups: dict[int, list] = {}
+            for e in entries:
+                groups.setdefault(len(e[4] or b""), []).append(e)
+            marked: dict[int, np.ndarray] = {}
+            held = {}
+            for size, rows in groups.items():
+                maps = np.frombuffer(b"".join(e[4] for e in rows), np.uint64).reshape(len(rows), -1) if size else None
+                held[size] = (rows, np.array([e[3] for e in rows]), np.array([e[2] for e in rows]), maps)
+                marked[size] = np.zeros(len(rows), bool)
+            for q in queries:
+                own, hit = np.frombuffer(q[4], np.uint64) if q[4] else None, False
+                for size, (_, n, label, maps) in held.items():
+                    ok = label != q[2]
+                    if own is not None and size:
+                        ok &= 100 * np.minimum(n, q[3]) >= percent * np.maximum(n, q[3])
+                        at = np.flatnonzero(ok)
+                        ok[at] = _may_link(n[at], q[3], _apart(maps[at], own), percent)
+                    marked[size] |= ok
+                    hit |= bool(ok.any())
+                if hit:
+                    out.append((job, 0, q[1], q[2]))
+            for size, (rows, *_) in held.items():
+                out += [(job, 1, e[1], e[2]) for e, k in zip(rows, marked[size].tolist(), strict=True) if k]
+            queries.clear(), entries.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["job", "role", "id", "label"])
+
+        for batch in batches:
+            for row in zip(*[batch.column(c).to_pylist() for c in ("job", "role", "id", "label", "n", "map")], strict=True):
+                if row[0] != job:
+                    yield flush()
+                    job = row[0]
+                (entries if row[1] else queries).append((None, row[2], row[3], row[4], row[5]))
+        yield flush()
+
+    return run
+
+
+def _open_lists(entries: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, block: int) -> DataFrame:
+    """Jobs (job, role, id, label) that search long lists whose entries are not yet in one component, in pairs of blocks.
+
+    Linked sets are of like size, so a query meets entries of its own and of the neighbouring bands of size only.
+    """
     named = entries.join(labels, "id", "left").select("token", "id", F.coalesce("label", "id").alias("label"))
     parts = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
-    lists = parts.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main")).where("labels > 1")
-    lists = lists.select("token", "n", F.col("main.label").alias("main"), (F.col("n") - F.col("main.n")).alias("outside"))
-    cuts = lambda n: F.expr(f"cast(ceil({n} / {block}) as int)")
-    rows = named.join(lists, "token").select("token", "id", "label", "main", cuts("n").alias("entry_blocks"), cuts("outside").alias("query_blocks"))
-    queries = rows.where("label <> main").select("token", "id", "label", F.expr("pmod(xxhash64(id), query_blocks)").alias("q"), F.explode(F.expr("sequence(0, entry_blocks - 1)")).alias("e"))
-    targets = rows.select("token", "id", "label", F.expr("pmod(xxhash64(id, 1), entry_blocks)").alias("e"), F.explode(F.expr("sequence(0, query_blocks - 1)")).alias("q"))
-    name = F.concat_ws("/", "token", "q", "e").alias("job")
-    return queries.select(name, F.lit(0).alias("role"), "id", "label").union(targets.select(name, F.lit(1).alias("role"), "id", "label"))
+    lists = parts.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("main")).where("labels > 1").select("token", F.col("main.label").alias("main"))
+    # A node with several sets takes part in all bands.
+    band = F.floor(F.log(F.col("n")) / F.lit(1.0001 * float(np.log(100 / percent)))).cast("int")
+    sized = sets.select("id", "n", F.when(F.col("map").isNotNull(), band).alias("band"), "map")
+    rows = named.join(lists, "token").join(sized, "id")
+    bands = rows.where("band is not null").select("token", "band").distinct()
+    anywhere = rows.where("band is null").drop("band").join(bands, "token", "left").withColumn("band", F.coalesce("band", F.lit(0)))
+    rows = rows.where("band is not null").unionByName(anywhere.select(rows.columns))
+    targets = rows.select("token", "band", "id", "label", "n", "map")
+    queries = rows.where("label <> main").select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "id", "label", "n", "map")
+    count = lambda df, name: df.groupBy("token", "band").agg(F.expr(f"cast(ceil(count(1) / {block}) as int)").alias(name))
+    blocks = count(targets, "entry_blocks").join(count(queries, "query_blocks"), ["token", "band"])
+    own = ["token", "band", "id", "label", "n", "map"]
+    queries = queries.join(blocks, ["token", "band"]).select(*own, F.expr("pmod(xxhash64(id), query_blocks)").alias("q"), F.explode(F.expr("sequence(0, entry_blocks - 1)")).alias("e"))
+    targets = targets.join(blocks, ["token", "band"]).select(*own, F.expr("pmod(xxhash64(id, 1), entry_blocks)").alias("e"), F.explode(F.expr("sequence(0, query_blocks - 1)")).alias("q"))
+    job = lambda df, role: df.select(F.concat_ws("/", "token", "band", "q", "e").alias("job"), F.lit(role).alias("role"), "id", "label", "n", "map")
+    dealt = job(queries, 0).union(job(targets, 1)).repartition("job").sortWithinPartitions("job", "role", "id")
+    return dealt.mapInArrow(_near_rows(percent), "job string, role int, id long, label long")
 
 
 def _verified(texts: DataFrame, jobs: DataFrame, width: int, percent: int) -> DataFrame:
