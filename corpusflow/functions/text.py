@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -252,6 +253,24 @@ def lcs_length(a: Column, b: Column) -> Column:
     return F.arrow_udf(_lcs_lengths, "int")(a, b)
 
 
+def _running(a: pa.Array) -> pa.Array:
+    length = pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False)
+    total = np.cumsum(a.flatten().to_numpy(zero_copy_only=False), dtype=np.int64)
+    ends = np.cumsum(length)
+    before = np.concatenate(([0], total))[ends - length]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array((total - np.repeat(before, length)).astype(np.int32)))
+
+
+def running_sums(a: Column) -> Column:
+    """Sums of an array's numbers up to each place, itself included, in Arrow batches; an empty array for a null one."""
+    return F.arrow_udf(_running, "array<int>")(a)
+
+
+def seeded_number(seed: int, *keys: str) -> Column:
+    """A number under 16^8 from the md5 of seed and keys, the same in any engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *keys)), 1, 8), 16, 10).cast("long")
+
+
 def safe_divide(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b).otherwise(0.0)
 

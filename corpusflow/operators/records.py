@@ -92,4 +92,4 @@ def hashed_vectors(text: Column, size: int = 64) -> Column:
         n = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(w, lambda x: x == k)).cast("double"))
         return T.let(n, lambda v: T.let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), lambda norm: F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))))
 
-    return T.let(F.transform(T.content_words(text), lambda x: F.pmod(F.crc32(x.cast("binary")), F.lit(size))), of)
+    return T.let(F.transform(T.content_words(text), lambda x: F.pmod(F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"), F.lit(size))), of)

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..plans.ranks import with_group_ranks
+from ..plans.scratch import Scratch
 
 #: A numeric sign that keeps sums alike in any order.
 DIGITS = 6
+#: Distinct query terms up to which they are broadcast.
+FEW_TERMS = 200_000
 
 
 def term_counts(df: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
@@ -26,12 +30,18 @@ def bm25(passages: DataFrame, queries: DataFrame, passage: list[str], query: str
     """
     scope = scope or []
     keys = list(dict.fromkeys([*scope, *passage]))
-    tf = term_counts(passages, keys, T.content_words(F.col("text")))
-    every = passages.select(*keys).distinct()
-    lengths = every.join(tf.groupBy(*keys).agg(F.sum("tf").alias("len")), keys, "left").select(*keys, F.coalesce("len", F.lit(0)).alias("len"))
+    q = term_counts(queries, [*scope, query], T.content_words(F.col("text"))).withColumnRenamed("tf", "times")
+    tokens = passages.select(*keys, T.content_words(F.col("text")).alias("w"))
+    lengths = tokens.groupBy(*keys).agg(F.sum(F.size("w")).alias("len"))
+    # Only terms that a query has matter from here on; a small set of them filters the passages before their terms are shuffled.
+    asked = q.select(*scope, "term").distinct()
+    terms = tokens.select(*keys, F.explode("w").alias("term"))
+    if not scope:
+        asked = Scratch(passages.sparkSession, "bm25").save(asked, "asked")
+        terms = terms.join(F.broadcast(asked) if asked.count() <= FEW_TERMS else asked, "term", "left_semi")
+    tf = terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = lengths.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_passages"), F.avg("len").alias("mean_len"))
     df = tf.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
-    q = term_counts(queries, [*scope, query], T.content_words(F.col("text"))).withColumnRenamed("tf", "times")
     rows = q.join(df, [*scope, "term"]).join(tf, [*scope, "term"]).join(lengths, keys)
     rows = rows.join(stats, scope) if scope else rows.crossJoin(F.broadcast(stats))  # without a scope, stats is one row
     idf = F.log((F.col("n_passages") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
@@ -69,17 +79,23 @@ def cosine(passages: DataFrame, queries: DataFrame, passage: list[str], query: l
 
 
 def top_k(scores: DataFrame, by: list[str], k: int, ties: list[str]) -> DataFrame:
-    """The k best of each group with rank from 1; ties by the given columns."""
+    """The k best of each group with rank from 1; ties by the given columns. For a small k: Spark cuts each task's rows to k before it shuffles them."""
     w = Window.partitionBy(*by).orderBy(F.desc("score"), *ties)
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def rank_fusion(first: DataFrame, second: DataFrame, by: list[str], item: list[str], k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of two rankings (by, item, rank): the sum of 1 / (k + rank); ties in the order of the first ranking."""
+def ranking(scores: DataFrame, by: list[str], ties: list[str]) -> DataFrame:
+    """All rows of each group with rank from 1, numbered by range, so that a group of any size is no single task's work."""
+    rows = scores.withColumn("__down", -F.col("score"))
+    return with_group_ranks(rows, by, ["__down", *ties]).drop("__down")
+
+
+def rank_fusion(first: DataFrame, second: DataFrame, by: list[str], item: list[str], most: int, k: int = 60) -> DataFrame:
+    """Reciprocal rank fusion of two rankings (by, item, rank): the ``most`` largest sums of 1 / (k + rank); ties in the order of the first ranking."""
     part = lambda df, no: df.select(*by, *item, (1.0 / (k + F.col("rank"))).alias("part"), F.when(F.lit(no == 1), F.col("rank")).alias("first_rank"))
     fused = part(first, 1).unionByName(part(second, 2)).groupBy(*by, *item).agg(F.round(F.sum("part"), 9).alias("score"), F.min("first_rank").alias("first_rank"))
     w = Window.partitionBy(*by).orderBy(F.desc("score"), F.asc_nulls_last("first_rank"), *item)
-    return fused.withColumn("rank", F.row_number().over(w))
+    return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
 def gold_chunk(chunks: DataFrame, golds: DataFrame) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as T
+from ..plans.ranks import with_row_numbers
+from ..plans.scratch import Scratch
+
 
 def seeded(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), *keys))
@@ -66,15 +70,13 @@ def mixed_batches(df: DataFrame, counts: Mapping[str, int], source: str, key: st
     return rows.select(batch.alias("batch_id"), (F.pmod(F.col("slot"), F.col("count")) + of(starts)).alias("pos"), F.col(source).alias("source"), F.col(key).alias("key"))
 
 
-def other_document(df: DataFrame, doc: str, seed: int, partitions: int = 64) -> DataFrame:
-    """Each document with another: (doc, other_doc). Documents stand in a seeded ring by shard and take the next but a hash of themselves; alone, they have none."""
-    docs = df.select(doc).distinct().withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), doc), F.lit(partitions)))
-    sizes = docs.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # one row per shard
-    offsets = sizes.select("shard", F.coalesce(before, F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("total"))
-    at = F.row_number().over(Window.partitionBy("shard").orderBy(seeded(seed, doc))) - 1
-    ring = docs.withColumn("at", at).join(F.broadcast(offsets), "shard").select(doc, (F.col("at") + F.col("before")).alias("at"), "total")
-    step = 1 + F.pmod(F.xxhash64(F.lit(seed), F.lit("step"), doc), F.col("total") - 1)
+def other_document(df: DataFrame, doc: str, seed: int) -> DataFrame:
+    """Each document with another: (doc, other_doc). Documents stand in a seeded ring and take the one a seeded number of places on; alone, they have none."""
+    docs = df.select(doc).distinct().withColumn("__order", seeded(seed, doc))
+    ring = with_row_numbers(docs, ["__order", doc], "at").select(doc, F.col("at").cast("long").alias("at"))
+    ring = Scratch(df.sparkSession, "ring").save(ring, "ring")
+    ring = ring.crossJoin(F.broadcast(ring.agg(F.count(F.lit(1)).alias("total"))))  # a table of one row
+    step = 1 + F.pmod(T.seeded_number(seed, F.lit("step"), doc), F.col("total") - 1)
     picks = ring.where("total > 1").withColumn("to", F.pmod(F.col("at") + step, F.col("total")))
     return picks.select(doc, "to").join(ring.select(F.col("at").alias("to"), F.col(doc).alias("other_doc")), "to").drop("to")
 
@@ -90,7 +92,7 @@ def clause_negatives(pool: DataFrame, seed: int = 42, share: float = 45 / 55) ->
     places = pool.withColumn("at", F.row_number().over(by_doc.orderBy(seeded(seed, "doc_id", "clause", "context"))) - 1).withColumn("size", F.count(F.lit(1)).over(by_doc))
     contexts = places.select(F.col("doc_id").alias("other_doc"), F.col("at").alias("to"), F.col("context").alias("neg_context"))
     sizes = places.groupBy(F.col("doc_id").alias("other_doc")).agg(F.count(F.lit(1)).alias("n"))
-    cross = pool.join(other_document(pool, "doc_id", seed), "doc_id").join(sizes, "other_doc").withColumn("to", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "clause"), F.col("n")))
+    cross = pool.join(other_document(pool, "doc_id", seed), "doc_id").join(sizes, "other_doc").withColumn("to", F.pmod(T.seeded_number(seed, "doc_id", "clause"), F.col("n")))
     cross = cross.join(contexts.withColumn("to", F.col("to").cast("long")), ["other_doc", "to"]).withColumn("neg_kind", F.lit("cross_document"))
     clauses = pool.groupBy("doc_id", "clause").agg(F.min_by("context", seeded(seed, "doc_id", "clause", "context")).alias("neg_context"))
     clauses = clauses.withColumn("at", F.row_number().over(by_doc.orderBy(seeded(seed, "doc_id", "clause"), "clause")) - 1).withColumn("n", F.count(F.lit(1)).over(by_doc))
@@ -98,7 +100,8 @@ def clause_negatives(pool: DataFrame, seed: int = 42, share: float = 45 / 55) ->
     wrong = pool.join(ring, ["doc_id", "clause"]).join(clauses.select("doc_id", F.col("at").cast("long").alias("at"), "neg_context"), ["doc_id", "at"]).withColumn("neg_kind", F.lit("wrong_clause"))
     negatives = cross.select("doc_id", "clause", "question", "neg_context", "neg_kind").union(wrong.select("doc_id", "clause", "question", "neg_context", "neg_kind"))
     most = round(pool.count() * share)
-    negatives = negatives.orderBy(seeded(seed, "doc_id", "clause", "neg_kind")).limit(most)
+    negatives = negatives.withColumn("__order", seeded(seed, "doc_id", "clause", "neg_kind", "question"))
+    negatives = with_row_numbers(negatives, ["__order", "neg_context"], "__n").where(F.col("__n") < most).drop("__n", "__order")
     columns = ["doc_id", "clause", "question"]
     return pool.select(*columns, "context", F.lit(None).cast("string").alias("neg_kind"), F.lit(True).alias("is_answerable")).union(negatives.select(*columns, "neg_context", "neg_kind", F.lit(False)))
 

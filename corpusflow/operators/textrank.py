@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,7 +12,6 @@ from pyspark.sql.window import Window
 from ..functions import lexicon
 from ..functions import text as T
 from ..plans.scratch import Scratch
-from . import retrieval
 
 
 def choose_band(sentences: DataFrame, least: int = 12, most: int = 80, wanted: int = 8, widest: int = 999) -> DataFrame:
@@ -25,42 +26,119 @@ def choose_band(sentences: DataFrame, least: int = 12, most: int = 80, wanted: i
 
 
 def sentence_terms(sentences: DataFrame, max_share: float = 0.85) -> DataFrame:
-    """TF-IDF rows of each sentence within its document, words and word pairs; terms in over ``max_share`` of a document's sentences are left out."""
-    pairs = lambda w: F.concat(w, F.filter(F.transform(w, lambda x, i: F.when(i + 1 < F.size(w), F.concat_ws(" ", x, F.get(w, i + 1)))), lambda p: p.isNotNull()))
-    tokens = T.let(F.filter(T.content_words(F.col("sentence")), lambda w: F.length(w) > 1), pairs)
-    return retrieval.tfidf(sentences, ["doc_id", "sent_idx"], tokens, ["doc_id"], True, max_share)
+    """TF-IDF rows (doc_id, sent_idx, term, w) of each sentence within its document, words and word pairs, sublinear, of length one by sentence; terms in over ``max_share`` of a document's sentences are left out. One document is one group."""
+    tokens = F.filter(T.content_words(F.col("sentence")), lambda w: F.length(w) > 1)
+    return sentences.select("doc_id", "sent_idx", tokens.alias("tokens")).groupBy("doc_id").applyInArrow(_weighed(max_share), "doc_id long, sent_idx int, term string, w double")
+
+
+def _weighed(max_share: float):
+    def run(doc: pa.Table) -> pa.Table:
+        n, tokens = doc.num_rows, doc.column("tokens").combine_chunks()
+        coded = tokens.flatten().dictionary_encode()
+        code, words = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+        owner = np.repeat(np.arange(n), pc.list_value_length(tokens).to_numpy(zero_copy_only=False))
+        pair = np.flatnonzero(owner[1:] == owner[:-1])
+        # Words are numbered from 0, pairs of them behind the words.
+        terms, term = np.unique(np.concatenate((code, words + code[pair] * words + code[pair + 1])), return_inverse=True)
+        cell, times = np.unique(np.concatenate((owner, owner[pair])) * max(1, len(terms)) + term, return_counts=True)
+        row, col = cell // max(1, len(terms)), cell % max(1, len(terms))
+        seen = np.bincount(col, minlength=len(terms))
+        keep = seen[col] <= max_share * n
+        row, col, times = row[keep], col[keep], times[keep]
+        w = (1 + np.log(times)) * (np.log((1 + n) / (1 + seen[col])) + 1)
+        w = w / np.sqrt(np.bincount(row, w * w, n))[row]
+        first, second = np.where(terms < words, terms, (terms - words) // max(1, words)), np.where(terms < words, -1, (terms - words) % max(1, words))
+        text = [coded.dictionary.take(pa.array(first)), coded.dictionary.take(pa.array(second, mask=second < 0))]
+        text = pc.binary_join_element_wise(*text, " ", null_handling="skip")
+        place = pa.array(row)
+        return pa.table([doc.column("doc_id").take(place), doc.column("sent_idx").take(place), text.take(pa.array(col)), pa.array(w)], ["doc_id", "sent_idx", "term", "w"])
+
+    return run
+
+
+class _Cells:
+    """Term weights of one document's sentences, as cells by sentence and term. Similarity is their inner product."""
+
+    def __init__(self, sentences: np.ndarray, terms: pa.Table):
+        """``sentences``: ascending sentence numbers; ``terms``: (sent_idx, term, w)."""
+        self.n = len(sentences)
+        self.row = np.searchsorted(sentences, terms.column("sent_idx").to_numpy())
+        self.col = terms.column("term").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+        self.w = terms.column("w").to_numpy()
+        self.terms = int(self.col.max()) + 1 if len(self.col) else 0
+        own = np.bincount(self.col, minlength=self.terms) > 1
+        #: Sentences that share a term with another.
+        self.linked = np.bincount(self.row, own[self.col], self.n) > 0
+        self.own = np.bincount(self.row, self.w * self.w, self.n)
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        """The similarity matrix, its diagonal aside, times a vector: by the terms, without the matrix."""
+        by_term = np.bincount(self.col, self.w * v[self.row], self.terms)
+        return np.where(self.linked, np.bincount(self.row, self.w * by_term[self.col], self.n) - self.own * v, 0.0)
+
+    def like(self, k: int) -> np.ndarray:
+        """Similarity of every sentence to sentence k."""
+        at = self.row == k
+        weight = np.zeros(self.terms)
+        weight[self.col[at]] = self.w[at]
+        return np.bincount(self.row, self.w * weight[self.col], self.n)
+
+    def edges(self, block: int = 256):
+        """(from, to, similarity) of the sentences that share a term, in blocks of sentences."""
+        order = np.argsort(self.col, kind="stable")
+        count = np.bincount(self.col, minlength=self.terms)
+        start = np.cumsum(count) - count
+        by_row = np.argsort(self.row, kind="stable")
+        for low in range(0, self.n, block):
+            own = by_row[np.searchsorted(self.row[by_row], low) : np.searchsorted(self.row[by_row], low + block)]
+            total = np.zeros(block * self.n)
+            for k in range(0, len(own), 8192):
+                part = own[k : k + 8192]
+                n = count[self.col[part]]
+                other = order[np.arange(n.sum()) + np.repeat(start[self.col[part]] - np.cumsum(n) + n, n)]
+                np.add.at(total, np.repeat(self.row[part] - low, n) * self.n + self.row[other], np.repeat(self.w[part], n) * self.w[other])
+            at = np.flatnonzero(total)
+            src, dst = at // self.n + low, at % self.n
+            yield src[src != dst], dst[src != dst], total[at][src != dst]
+
+
+def _linked(doc: pa.Table) -> pa.Table:
+    sentences = np.unique(doc.column("sent_idx").to_numpy())
+    parts = list(_Cells(sentences, doc).edges())
+    src, dst, w = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    return pa.table([pa.repeat(doc.column("doc_id")[0], len(src)), pa.array(sentences[src], pa.int32()), pa.array(sentences[dst], pa.int32()), pa.array(w)], ["doc_id", "src", "dst", "w"])
 
 
 def similarity_edges(terms: DataFrame) -> DataFrame:
-    """Edges (doc_id, src, dst, w) of sentences of one document that share a term, both ways, no loops."""
-    a = terms.select("doc_id", "term", F.col("sent_idx").alias("src"), F.col("w").alias("x"))
-    b = terms.select("doc_id", "term", F.col("sent_idx").alias("dst"), F.col("w").alias("y"))
-    return a.join(b, ["doc_id", "term"]).where("src <> dst").groupBy("doc_id", "src", "dst").agg(F.sum(F.col("x") * F.col("y")).alias("w"))
+    """Edges (doc_id, src, dst, w) of sentences of one document that share a term, both ways, no loops. One document is one group."""
+    return terms.select("doc_id", "sent_idx", "term", "w").groupBy("doc_id").applyInArrow(_linked, "doc_id long, src int, dst int, w double")
+
+
+def _settled(damping: float, rounds: int, tolerance: float | None):
+    def run(sentences: pa.Table, terms: pa.Table) -> pa.Table:
+        names = np.unique(sentences.column("sent_idx").to_numpy())
+        cells, n = _Cells(names, terms), len(names)
+        out = cells.times(np.ones(n))
+        share = np.where(cells.linked, 1 / np.where(cells.linked, out, 1.0), 0.0)
+        score = np.full(n, 1 / n)
+        for _ in range(rounds):
+            new = (1 - damping) / n + damping * cells.times(score * share)
+            change, score = np.abs(new - score).sum(), new
+            if tolerance is not None and change < tolerance:
+                break
+        return pa.table([pa.repeat(sentences.column("doc_id")[0], n), pa.array(names, pa.int32()), pa.array(score)], ["doc_id", "sent_idx", "score"])
+
+    return run
 
 
-def pagerank(sentences: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6, save_every: int = 5) -> DataFrame:
-    """Rows (doc_id, sent_idx, score), all documents at once: rows normalised, no redistribution of what dangling sentences hold.
+def pagerank(sentences: DataFrame, terms: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
+    """Rows (doc_id, sent_idx, score): rows normalised, no redistribution of what dangling sentences hold.
 
-    Stops after ``rounds`` or, with a tolerance, once no document's scores changed by more in sum; scores
-    are written to the shared folder every few rounds, which keeps the plan short.
+    A document's rounds end after ``rounds`` or, with a tolerance, once its scores changed by less in sum. A
+    round multiplies by the sentences' terms (doc_id, sent_idx, term, w), so no graph is made. One document is one group.
     """
-    spark = sentences.sparkSession
-    work = Scratch(spark, "pagerank")
-    nodes = sentences.select("doc_id", "sent_idx", F.count(F.lit(1)).over(Window.partitionBy("doc_id")).alias("n"))
-    out = Window.partitionBy("doc_id", "src")
-    moves = work.save(edges.select("doc_id", "src", "dst", (F.col("w") / F.sum("w").over(out)).alias("p")), "moves")
-    scores = work.save(nodes.withColumn("score", 1.0 / F.col("n")), "scores0")
-    for k in range(1, rounds + 1):
-        given = moves.join(scores.select("doc_id", F.col("sent_idx").alias("src"), "score"), ["doc_id", "src"]).groupBy("doc_id", F.col("dst").alias("sent_idx")).agg(F.sum(F.col("p") * F.col("score")).alias("got"))
-        new = scores.join(given, ["doc_id", "sent_idx"], "left").select("doc_id", "sent_idx", "n", F.col("score").alias("old"), ((1 - damping) / F.col("n") + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
-        if k % save_every and k < rounds:
-            scores = new.drop("old")
-            continue
-        new = work.save(new, f"scores{k}")
-        scores = new.drop("old")
-        if tolerance is not None and new.groupBy("doc_id").agg(F.sum(F.abs(F.col("score") - F.col("old"))).alias("change")).where(F.col("change") >= tolerance).isEmpty():
-            break
-    return scores.select("doc_id", "sent_idx", "score")
+    left = sentences.select("doc_id", "sent_idx").groupBy("doc_id")
+    return left.cogroup(terms.select("doc_id", "sent_idx", "term", "w").groupBy("doc_id")).applyInArrow(_settled(damping, rounds, tolerance), "doc_id long, sent_idx int, score double")
 
 
 def position_bias(scores: DataFrame, weight: float = 0.05) -> DataFrame:
@@ -71,31 +149,30 @@ def position_bias(scores: DataFrame, weight: float = 0.05) -> DataFrame:
 
 
 def _choose(wanted: int, limit: float):
-    def run(key: tuple, scores: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        like: dict[int, dict[int, float]] = {}
-        for a, b, w in zip(edges["src"], edges["dst"], edges["w"], strict=True):
-            like.setdefault(a, {})[b] = w
+    def run(scores: pa.Table, terms: pa.Table) -> pa.Table:
         # equal scores: the later sentence first
-        order = scores.sort_values(["score", "sent_idx"], ascending=False)
-        taken: list[int] = []
-        fresh = lambda s: all(like.get(s, {}).get(t, 0.0) < limit for t in taken)
-        if "section" in scores and scores["section"].notna().any():
-            seen = set()
-            for s, sec in zip(order["sent_idx"], order["section"], strict=True):
-                if len(taken) < wanted and sec not in seen and fresh(s):
-                    taken.append(s)
-                    seen.add(sec)
-        for s in order["sent_idx"]:
-            if len(taken) < wanted and s not in taken and fresh(s):
-                taken.append(s)
-        return pd.DataFrame({"doc_id": [key[0]] * len(taken), "sent_idx": sorted(taken)})
+        rows = scores.sort_by([("score", "descending"), ("sent_idx", "descending")])
+        names = np.unique(rows.column("sent_idx").to_numpy())
+        terms = terms.filter(pc.is_in(terms.column("sent_idx"), pa.array(names)))
+        cells, order = _Cells(names, terms), np.searchsorted(names, rows.column("sent_idx").to_numpy()).tolist()
+        nearest, taken, seen = np.zeros(len(names)), [], set()
+        sections = rows.column("section").to_pylist() if "section" in rows.column_names else [None] * len(order)
+        # One of each section first, then any.
+        for first in (True, False) if any(s is not None for s in sections) else (False,):
+            for k, section in zip(order, sections, strict=True):
+                if len(taken) < wanted and k not in taken and nearest[k] < limit and not (first and section in seen):
+                    taken.append(k)
+                    seen.add(section)
+                    nearest = np.maximum(nearest, cells.like(k))
+        chosen = names[np.sort(np.array(taken, np.int64))]
+        return pa.table([pa.repeat(scores.column("doc_id")[0], len(chosen)), pa.array(chosen, pa.int32())], ["doc_id", "sent_idx"])
 
     return run
 
 
-def choose_sentences(scores: DataFrame, edges: DataFrame, wanted: int = 8, limit: float = 0.35) -> DataFrame:
+def choose_sentences(scores: DataFrame, terms: DataFrame, wanted: int = 8, limit: float = 0.35) -> DataFrame:
     """Greedy choice by document in order of score: one of each section first (if a column ``section`` is given), then any, none as similar as ``limit`` to one taken. One document is one group."""
-    return scores.groupBy("doc_id").cogroup(edges.groupBy("doc_id")).applyInPandas(_choose(wanted, limit), "doc_id long, sent_idx int")
+    return scores.groupBy("doc_id").cogroup(terms.select("doc_id", "sent_idx", "term", "w").groupBy("doc_id")).applyInArrow(_choose(wanted, limit), "doc_id long, sent_idx int")
 
 
 def sentence_sections(sentences: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
@@ -112,9 +189,9 @@ def summarise(df: DataFrame, wanted: int = 8, found: DataFrame | None = None, ab
 
     work = Scratch(df.sparkSession, "summaries")
     sentences = work.save(choose_band(sentence_rows(df, abbreviations, 0), wanted=wanted), "sentences")
-    edges = work.save(similarity_edges(sentence_terms(sentences)), "edges")
-    scores = position_bias(pagerank(sentences, edges, rounds=rounds))
+    terms = work.save(sentence_terms(sentences), "terms")
+    scores = position_bias(pagerank(sentences, terms, rounds=rounds))
     if found is not None:
         scores = scores.join(sentence_sections(sentences, df.select("doc_id", "text"), found).select("doc_id", "sent_idx", "section"), ["doc_id", "sent_idx"])
-    chosen = choose_sentences(scores, edges, wanted).join(sentences, ["doc_id", "sent_idx"])
+    chosen = choose_sentences(scores, terms, wanted).join(sentences, ["doc_id", "sent_idx"])
     return chosen.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "sentence"))), lambda x: x["sentence"]), " ").alias("summary"))

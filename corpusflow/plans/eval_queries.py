@@ -11,7 +11,7 @@ from ..operators import align as A
 from ..operators import metrics as M
 from ..operators import qa as Q
 from .registry import query, table, view
-from .text_queries import _NORM, _PLAIN, _WORDS, LEGAL
+from .text_queries import _CONTENT, _NORM, _PLAIN, _SYL, _WORDS, LEGAL, _sentences_sql
 
 #: Predictions whose spans are exact, shifted, empty, elsewhere or shortened; read alike by both engines.
 PREDICTIONS = f"""
@@ -87,11 +87,15 @@ def a6(spark, sf_dir):
 _HEAD = r"regexp_matches(head, '(?i)^\s*(\([a-zA-Z0-9]+\)|\d+[\.\)]|Article\s+\w+|Section\s+\w+|§)')"
 
 
+_BOUNDS = (
+    _PRED + f""", f AS (SELECT source, document AS t, extracted_span AS x, instr(document, extracted_span) - 1 AS loc FROM p WHERE is_answerable AND extracted_span <> ''), h AS (SELECT *, list_last(string_split(substring(t, 1, loc), chr(10))) || substring(t, loc + 1, 1) AS head, substring(t, loc, 1) AS before, substring(t, loc + length(x), 1) AS last, substring(t, loc + length(x) + 1, 1) AS after FROM f WHERE loc >= 0),
+b AS (SELECT source, loc <= 0 OR before IN ('.', ';', ':', chr(10)) OR {_HEAD} AS s, loc + length(x) >= length(t) OR last IN ('.', ';', ':', chr(10)) OR after IN ('.', ';', ':', chr(10)) AS e FROM h)"""
+)
+
+
 @query(
     "a9_clause_boundaries",
-    _PRED + f""", f AS (SELECT source, document AS t, extracted_span AS x, instr(document, extracted_span) - 1 AS loc FROM p WHERE is_answerable AND extracted_span <> ''), h AS (SELECT *, list_last(string_split(substring(t, 1, loc), chr(10))) || substring(t, loc + 1, 1) AS head, substring(t, loc, 1) AS before, substring(t, loc + length(x), 1) AS last, substring(t, loc + length(x) + 1, 1) AS after FROM f WHERE loc >= 0),
-b AS (SELECT source, loc <= 0 OR before IN ('.', ';', ':', chr(10)) OR {_HEAD} AS s, loc + length(x) >= length(t) OR last IN ('.', ';', ':', chr(10)) OR after IN ('.', ';', ':', chr(10)) AS e FROM h)
-SELECT grp, count(*) AS n, round(avg(CASE WHEN s AND e THEN 1.0 ELSE 0.0 END), 6) AS "full", round(avg(CASE WHEN s OR e THEN 1.0 ELSE 0.0 END), 6) AS partial, count_if(NOT s) AS start_errors, count_if(NOT e) AS end_errors FROM (SELECT unnest(['all', 'source ' || source]) AS grp, s, e FROM b) GROUP BY grp""",
+    _BOUNDS + """ SELECT grp, count(*) AS n, round(avg(CASE WHEN s AND e THEN 1.0 ELSE 0.0 END), 6) AS "full", round(avg(CASE WHEN s OR e THEN 1.0 ELSE 0.0 END), 6) AS partial, count_if(NOT s) AS start_errors, count_if(NOT e) AS end_errors FROM (SELECT unnest(['all', 'source ' || source]) AS grp, s, e FROM b) GROUP BY grp""",
 )
 def a9(spark, sf_dir):
     return M.boundary_report(predictions(spark, sf_dir))
@@ -106,12 +110,14 @@ _TERM = {
 _KEPT = ", ".join(f"CASE WHEN len({t.format('gold')}) > 0 THEN len(list_intersect({t.format('gold')}, {t.format('extracted_span')})) / len({t.format('gold')}) END AS {'c_' + k}" for k, t in _TERM.items())
 
 
-@query(
-    "a10_term_preservation",
+TERMS_SQL = (
     _PRED + f""", k AS (SELECT {_KEPT} FROM p WHERE is_answerable AND extracted_span <> ''), o AS (SELECT *, list_avg(list_filter([c_defined, c_monetary, c_time, c_party], lambda x: x IS NOT NULL)) AS o FROM k)
 SELECT count(o) AS n, round(coalesce(avg(o), 0), 6) AS overall, round(coalesce(avg(c_defined), 0), 6) AS defined, round(coalesce(avg(c_monetary), 0), 6) AS monetary, round(coalesce(avg(c_time), 0), 6) AS "time", round(coalesce(avg(c_party), 0), 6) AS party,
-count(c_defined) AS n_defined, count(c_monetary) AS n_monetary, count(c_time) AS n_time, count(c_party) AS n_party FROM o""",
+count(c_defined) AS n_defined, count(c_monetary) AS n_monetary, count(c_time) AS n_time, count(c_party) AS n_party FROM o"""
 )
+
+
+@query("a10_term_preservation", TERMS_SQL)
 def a10(spark, sf_dir):
     return M.term_preservation(predictions(spark, sf_dir))
 
@@ -124,7 +130,26 @@ def f6(spark, sf_dir):
     return predictions(spark, sf_dir).select("example_id", F.round(T.word_overlap(F.col("extracted_span"), F.col("predicted_answer")), 6).alias("overlap"))
 
 
-@query("a11_generation_quality")
+def _ease_parts(text: str, name: str) -> str:
+    """Words, their syllables and sentences of a text, as three columns."""
+    w = f"list_transform(list_filter(regexp_extract_all({text}, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda x: regexp_matches(x, '^[a-zA-Z]+$')), lambda x: lower(x))"
+    return f"len({w}) AS {name}_k, coalesce(list_sum(list_transform({w}, lambda w: {_SYL})), 0) AS {name}_y, len(list_filter(string_split_regex({text}, '[.!?]+'), lambda x: trim(x, ' ' || chr(10) || chr(9) || chr(13)) <> '')) AS {name}_n"
+
+
+def _ease(name: str) -> str:
+    return f"CASE WHEN {name}_k = 0 OR {name}_n = 0 THEN 0 ELSE 206.835 - 1.015 * ({name}_k / {name}_n) - 84.6 * ({name}_y / {name}_k) END AS {name}_ease"
+
+
+_FACTS = r"list_distinct(list_concat(list_concat(regexp_extract_all({0}, '\b\d[\d,]*(?:\.\d+)?\b'), regexp_extract_all({0}, '\b\d{{4}}\b|\b\d{{1,2}}/\d{{1,2}}/\d{{2,4}}\b')), regexp_extract_all({0}, '\b(?:Licensor|Licensee|Buyer|Seller|Lessor|Lessee|Company|Customer|Supplier|Party|Parties)\b')))"
+_GENERATION = (
+    _PRED
+    + f""", g AS (SELECT {_ease_parts('extracted_span', 's')}, {_ease_parts('predicted_answer', 'p')}, {_BOW.format('predicted_answer')} AS bp, {_BOW.format('extracted_span')} AS bs, {_FACTS.format('predicted_answer')} AS fp, {_FACTS.format('extracted_span')} AS fs FROM p WHERE extracted_span <> '' AND predicted_answer <> ''),
+h AS (SELECT {_ease('s')}, {_ease('p')}, CASE WHEN len(bp) = 0 THEN 1 ELSE len(list_intersect(bp, bs)) / len(bp) END AS faith, CASE WHEN len(fs) = 0 THEN 1 ELSE len(list_intersect(fs, fp)) / len(fs) END AS facts FROM g)
+SELECT count(*) AS n, round(avg(faith), 6) AS faithfulness, round(avg(p_ease - s_ease), 6) AS simplification, round(avg(greatest(1.0, 20.0 - p_ease / 5.0)), 6) AS plain_grade, round(avg(greatest(1.0, 20.0 - s_ease / 5.0)), 6) AS span_grade, round(avg(facts), 6) AS information_preservation FROM h"""
+)
+
+
+@query("a11_generation_quality", _GENERATION)
 def a11(spark, sf_dir):
     return M.generation_report(predictions(spark, sf_dir))
 
@@ -181,8 +206,11 @@ def a16(spark, sf_dir):
 _INV = "((s = 'plaintiff' AND g = 'defendant') OR (s = 'defendant' AND g = 'plaintiff'))"
 
 
-@query("a17_outcome_report", _SUM + f""", o AS (SELECT {_outcome('generated')} AS g, {_outcome(_LAST)} AS s FROM u WHERE generated <> '' AND source_text <> ''), n AS (SELECT count(*) AS n_total, count_if(s <> 'unknown' AND g <> 'unknown') AS n_known, count_if(s <> 'unknown' AND s = g) AS n_correct, count_if{_INV} AS n_inverted FROM o)
-SELECT *, round(n_correct / greatest(n_known, 1), 6) AS preservation, round(n_inverted / greatest(n_known, 1), 6) AS inversion FROM n""")
+OUTCOMES_SQL = _SUM + f""", o AS (SELECT {_outcome('generated')} AS g, {_outcome(_LAST)} AS s FROM u WHERE generated <> '' AND source_text <> ''), n AS (SELECT count(*) AS n_total, count_if(s <> 'unknown' AND g <> 'unknown') AS n_known, count_if(s <> 'unknown' AND s = g) AS n_correct, count_if{_INV} AS n_inverted FROM o)
+SELECT *, round(n_correct / greatest(n_known, 1), 6) AS preservation, round(n_inverted / greatest(n_known, 1), 6) AS inversion FROM n"""
+
+
+@query("a17_outcome_report", OUTCOMES_SQL)
 def a17(spark, sf_dir):
     return M.outcome_report(summaries(spark, sf_dir))
 
@@ -203,10 +231,13 @@ def v8(spark, sf_dir):
     return M.flagged(summaries(spark, sf_dir))
 
 
-@query("a14_rouge", _SUM + f""", t AS (SELECT {_PLAIN.format('generated')} AS g, {_PLAIN.format('reference')} AS r FROM u), b AS (SELECT list_transform(range(1, len(g)), lambda i: g[i] || ' ' || g[i + 1]) AS g2, list_transform(range(1, len(r)), lambda i: r[i] || ' ' || r[i + 1]) AS r2, g, r FROM t),
+_ROUGE = _SUM + f""", t AS (SELECT {_PLAIN.format('generated')} AS g, {_PLAIN.format('reference')} AS r FROM u), b AS (SELECT list_transform(range(1, len(g)), lambda i: g[i] || ' ' || g[i + 1]) AS g2, list_transform(range(1, len(r)), lambda i: r[i] || ' ' || r[i + 1]) AS r2, g, r FROM t),
 h AS (SELECT {_BAG.format('g', 'r')} AS m1, len(g) AS a1, len(r) AS b1, {_BAG.format('g2', 'r2')} AS m2, len(g2) AS a2, len(r2) AS b2 FROM b),
 q AS (SELECT CASE WHEN a1 = 0 THEN 0 ELSE m1 / a1 END AS p1, CASE WHEN b1 = 0 THEN 0 ELSE m1 / b1 END AS q1, CASE WHEN a2 = 0 THEN 0 ELSE m2 / a2 END AS p2, CASE WHEN b2 = 0 THEN 0 ELSE m2 / b2 END AS q2 FROM h)
-SELECT round(avg(p1), 6) AS rouge1_precision, round(avg(q1), 6) AS rouge1_recall, round(avg(CASE WHEN p1 + q1 = 0 THEN 0 ELSE 2 * p1 * q1 / (p1 + q1) END), 6) AS rouge1_f1, round(avg(p2), 6) AS rouge2_precision, round(avg(q2), 6) AS rouge2_recall, round(avg(CASE WHEN p2 + q2 = 0 THEN 0 ELSE 2 * p2 * q2 / (p2 + q2) END), 6) AS rouge2_f1 FROM q""")
+SELECT round(avg(p1), 6) AS rouge1_precision, round(avg(q1), 6) AS rouge1_recall, round(avg(CASE WHEN p1 + q1 = 0 THEN 0 ELSE 2 * p1 * q1 / (p1 + q1) END), 6) AS rouge1_f1, round(avg(p2), 6) AS rouge2_precision, round(avg(q2), 6) AS rouge2_recall, round(avg(CASE WHEN p2 + q2 = 0 THEN 0 ELSE 2 * p2 * q2 / (p2 + q2) END), 6) AS rouge2_f1 FROM q"""
+
+
+@query("a14_rouge", _ROUGE)
 def a14(spark, sf_dir):
     return M.rouge(summaries(spark, sf_dir), lcs=False)
 
@@ -222,7 +253,12 @@ def a15(spark, sf_dir):
     return M.extract_quality(rows).drop("summary", "document")
 
 
-@query("v7_target_check")
+@query(
+    "v7_target_check",
+    f"""WITH m AS (SELECT unnest(['rouge1_f1', 'rouge2_f1']) AS metric, unnest([rouge1_f1, rouge2_f1]) AS value FROM ({_ROUGE}) UNION ALL SELECT unnest(['outcome_preservation_rate', 'outcome_inversion_rate']), unnest([preservation, inversion]) FROM ({OUTCOMES_SQL})),
+t (metric, least, most, kind) AS (VALUES {', '.join(f"('{m}', {lo}, {hi}, '{k}')" for m, lo, hi, k in M.TARGETS)})
+SELECT m.metric, value, CASE WHEN (kind = '>' AND value >= least) OR (kind = '<' AND value <= most) OR (kind = 'range' AND value BETWEEN least AND most) THEN 'PASS' ELSE 'FAIL' END AS status FROM m JOIN t ON t.metric = m.metric""",
+)
 def v7(spark, sf_dir):
     rows = summaries(spark, sf_dir)
     r = M.rouge(rows, lcs=False).select("rouge1_f1", "rouge2_f1")
@@ -230,14 +266,31 @@ def v7(spark, sf_dir):
     return M.target_check(M.long_report(r).union(M.long_report(o)))
 
 
-@query("a20_sentence_faithfulness")
+@query(
+    "a20_sentence_faithfulness",
+    _SUM
+    + f""", s AS (SELECT test_id, source_text, unnest({_sentences_sql(lexicon.LEGAL_ABBREVIATIONS, 0)}) AS s FROM (SELECT test_id, source_text, generated AS text FROM u)), o AS (SELECT test_id, CASE WHEN len({_BOW.format('s')}) = 0 THEN 1 ELSE len(list_intersect({_BOW.format('s')}, {_BOW.format('source_text')})) / len({_BOW.format('s')}) END AS e FROM s),
+b AS (SELECT test_id, avg(CASE WHEN e >= 0.5 THEN 1.0 ELSE 0.0 END) AS faith, max(CASE WHEN 1 - e >= CAST(0.7 AS DOUBLE) THEN 1 ELSE 0 END) AS bad, count_if(1 - e >= CAST(0.7 AS DOUBLE)) AS n_bad, count(*) AS n FROM o GROUP BY 1)
+SELECT round(avg(faith), 6) AS mean_faithfulness, round(quantile_cont(faith, 0.5), 6) AS median_faithfulness, round(avg(bad), 6) AS hallucination_rate, round(sum(n_bad) / sum(n), 6) AS contradicted, CAST(sum(n) AS BIGINT) AS n_sentences FROM b""",
+)
 def a20(spark, sf_dir):
     rows = summaries(spark, sf_dir).select("test_id", "source_text", F.explode(T.sentences(F.col("generated"), lexicon.LEGAL_ABBREVIATIONS, 0)).alias("s"))
     overlap = T.word_overlap(F.col("source_text"), F.col("s"))
     return M.sentence_faithfulness(rows.select("test_id", overlap.alias("entail"), (1 - overlap).alias("contradict")))
 
 
-@query("a19_entity_coverage")
+_ASCII_WORDS = r"regexp_replace({0}, '[a-zA-Z0-9_]*[^\x00-\x7F][^\s.,;:!?()]*', '~', 'g')"  # a word end beside a letter with an accent is none
+_SIDES = " UNION ALL ".join(
+    f"SELECT test_id, '{side}' AS side, '{label}' AS label, unnest({sql.format(_ASCII_WORDS.format(column) if label == 'defined' else column)}) AS v FROM u" for side, column in (("source", "source_text"), ("generated", "generated")) for label, sql in _TERM.items()
+)
+
+
+@query(
+    "a19_entity_coverage",
+    _SUM
+    + f""", e AS (SELECT DISTINCT test_id, side, label, lower(v) AS v FROM ({_SIDES})), f AS (SELECT a.test_id, unnest([a.label, 'overall']) AS label, CASE WHEN b.v IS NULL THEN 0 ELSE 1 END AS hit FROM (SELECT * FROM e WHERE side = 'source') a LEFT JOIN (SELECT * FROM e WHERE side = 'generated') b ON b.test_id = a.test_id AND b.label = a.label AND b.v = a.v),
+h AS (SELECT test_id, label, avg(hit) AS c FROM f GROUP BY 1, 2) SELECT label, round(avg(c), 6) AS coverage, count(*) AS n FROM h GROUP BY 1""",
+)
 def a19(spark, sf_dir):
     rows = summaries(spark, sf_dir)
     side = lambda name, c: rows.select("test_id", F.lit(name).alias("side"), F.explode(F.array(*[F.struct(F.lit(k).alias("label"), v.alias("found")) for k, v in T.legal_terms(F.col(c)).items()])).alias("x")).select("test_id", "side", "x.label", F.explode("x.found").alias("text"))
@@ -300,10 +353,20 @@ def w8(spark, sf_dir):
     return Q.extend_spans(spans, Q.entity_spans(rows))
 
 
-@query("j15_locate_answer")
+_SMALL = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _located(answer: str) -> str:
+    w = _CONTENT.format(answer)
+    phrases = f"list_concat(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i + 2], ' ')), list_transform(range(1, greatest(len(w), 1)), lambda i: array_to_string(w[i:i + 1], ' ')))"
+    first = "list_filter(ph, lambda x, i: list_position(ph, x) = i)[1:6]"
+    return f"SELECT doc_id, CASE WHEN instr(lower(text), lower(a)) > 0 THEN instr(lower(text), lower(a)) ELSE coalesce(list_filter(list_transform({first}, lambda x: instr(lower(text), x)), lambda x: x > 0)[1], 0) END AS at FROM (SELECT *, {phrases} AS ph FROM (SELECT doc_id, text, {answer} AS a, {w} AS w FROM documents))"
+
+
+@query("j15_locate_answer", f"""SELECT a.doc_id, a.at, b.at AS near FROM ({_located(f"substring(translate(text, '{_SMALL}', '{_SMALL.upper()}'), 30, 40)")}) a JOIN ({_located("substring(text, 60, 60) || ' zzz'")}) b ON a.doc_id = b.doc_id""")
 def j15(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", Q.locate_answer(F.col("text"), F.substring(F.upper("text"), 30, 40)).alias("at"), Q.locate_answer(F.col("text"), F.concat(F.substring("text", 60, 60), F.lit(" zzz"))).alias("near"))
+    return docs.select("doc_id", Q.locate_answer(F.col("text"), F.substring(F.translate("text", _SMALL, _SMALL.upper()), 30, 40)).alias("at"), Q.locate_answer(F.col("text"), F.concat(F.substring("text", 60, 60), F.lit(" zzz"))).alias("near"))
 
 
 @query("v4_split_leak", "WITH t AS (SELECT doc_id, doc_id % 10 < 8 AS train, doc_id % 10 >= 7 AS val FROM documents) SELECT count_if(train) AS n_train, count_if(val) AS n_validation, count_if(train AND val) AS n_both, count_if(train AND val) = 0 AS disjoint FROM t")

@@ -16,10 +16,11 @@ from ..operators import records as R
 from ..operators import sampling as S
 from ..operators import textrank as K
 from ..sources import readers
-from .eval_queries import _PRED, _SCORED, _TERM, predictions, summaries
+from .eval_queries import _BOUNDS, _GENERATION, _PRED, _SCORED, _SUM, _TERM, OUTCOMES_SQL, TERMS_SQL, predictions, summaries
 from .registry import query, table
 from .scratch import Scratch
-from .text_queries import _WORDS, documents, legal
+from .set_queries import OTHER_SQL, QA_SQL, qa_rows
+from .text_queries import _CONTENT, _OFFSETS, _WORDS, _chunk_sql, _sentences_sql, documents, legal
 
 
 @query("p18_evidence_records", """WITH e AS (SELECT doc_id, substring(text, 1, 40) AS question, CASE WHEN doc_id % 3 = 0 THEN source ELSE substring(text, 61, 20) END AS answer_text, CASE WHEN doc_id % 2 = 0 THEN text ELSE substring(text, 1, 100) END AS context FROM documents)
@@ -57,7 +58,12 @@ def p24(spark, sf_dir):
     return R.label_names(rows, spark.sql("SELECT 1 AS label, 'good' AS name")).select("doc_id", "label_name")
 
 
-@query("m10_chunked_records")
+@query(
+    "m10_chunked_records",
+    _OFFSETS
+    + """, a AS (SELECT *, doc_id % 4 <> 0 AND 40 >= char_start AND 40 + length(substring(text, 41, 30)) <= char_end AS inside FROM c)
+SELECT doc_id, CAST(chunk_idx AS INTEGER) AS chunk_idx, CAST(1 + greatest(0, CAST(ceil((n - 400) / 350.0) AS INTEGER)) AS INTEGER) AS n_chunks, CAST(CASE WHEN inside THEN 40 - char_start ELSE -1 END AS INTEGER) AS answer_start, inside AS is_answerable, md5(substring(text, char_start + 1, char_end - char_start)) AS context_md5 FROM a""",
+)
 def m10c(spark, sf_dir):
     return R.with_chunks(p19(spark, sf_dir), "doc_id").select("doc_id", "chunk_idx", "n_chunks", "answer_start", "is_answerable", F.md5("context").alias("context_md5"))
 
@@ -81,11 +87,9 @@ def j13(spark, sf_dir):
     return sample.join(earlier, "doc_id", "left")
 
 
-@query("j8_other_document", "SELECT count(*) AS n, true AS all_differ, true AS all_known FROM (SELECT DISTINCT doc_id FROM documents)")
+@query("j8_other_document", f"WITH {OTHER_SQL} SELECT doc_id, other_doc FROM o")
 def j8(spark, sf_dir):
-    docs = documents(spark, sf_dir).select("doc_id")
-    picks = S.other_document(docs, "doc_id", 42).join(docs.select(F.col("doc_id").alias("other_doc"), F.lit(1).alias("known")).distinct(), "other_doc", "left")
-    return picks.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("doc_id") != F.col("other_doc")).alias("all_differ"), F.bool_and(F.col("known").isNotNull()).alias("all_known"))
+    return S.other_document(documents(spark, sf_dir), "doc_id", 42)
 
 
 @query("w11_final_scores", _PRED + " SELECT example_id, round(CASE WHEN example_id % 11 = 0 THEN 0 ELSE has_answer_prob / (1 + exp(-(CAST(example_id % 13 AS DOUBLE) - 6) / 10)) END, 6) AS final FROM p")
@@ -107,10 +111,11 @@ def m5(spark, sf_dir):
     return held.select("source", F.round(F.col("share") / F.sum("share").over(Window.partitionBy(F.lit(1))), 6).alias("share"))
 
 
-@query("u1_union_all", "SELECT origin, count(*) AS n FROM (SELECT 'documents' AS origin FROM documents UNION ALL SELECT 'benchmark' FROM benchmark) GROUP BY 1")
+@query("u1_union_all", "SELECT 'documents' AS origin, doc_id AS id, source, md5(text) AS text_md5 FROM documents UNION ALL SELECT 'benchmark', item_id, NULL, md5(text) FROM benchmark")
 def u1(spark, sf_dir):
-    a, b = documents(spark, sf_dir).select(F.lit("documents").alias("origin"), "source"), table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("origin"))
-    return a.unionByName(b, allowMissingColumns=True).groupBy("origin").agg(F.count(F.lit(1)).alias("n"))
+    a = documents(spark, sf_dir).select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "source", F.md5("text").alias("text_md5"))
+    b = table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("origin"), F.col("item_id").alias("id"), F.md5("text").alias("text_md5"))
+    return a.unionByName(b, allowMissingColumns=True)
 
 
 @query("u2_shared_ids", "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
@@ -151,12 +156,12 @@ def t7(spark, sf_dir):
     return K.sentence_sections(C.sentence_rows(texts, lexicon.LEGAL_ABBREVIATIONS, 0), texts, C.sections(texts)).select("doc_id", "sent_idx", "section")
 
 
-@query("t24_batch_rows", "SELECT count(*) AS n, sum(length(d.text)) AS chars FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS r, count(*) OVER (PARTITION BY source) AS size FROM documents WHERE source IN ('src0', 'src1')) b JOIN documents d ON d.doc_id = b.doc_id WHERE r <= size // 4 * 4 AND r <= (SELECT min(c) FROM (SELECT count(*) // 4 AS c FROM documents WHERE source IN ('src0', 'src1') GROUP BY source)) * 4")
+@query("t24_batch_rows", "SELECT d.doc_id, count(*) AS times, md5(any_value(d.text)) AS text_md5 FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS r, count(*) OVER (PARTITION BY source) AS size FROM documents WHERE source IN ('src0', 'src1')) b JOIN documents d ON d.doc_id = b.doc_id WHERE r <= size // 4 * 4 AND r <= (SELECT min(c) FROM (SELECT count(*) // 4 AS c FROM documents WHERE source IN ('src0', 'src1') GROUP BY source)) * 4 GROUP BY 1")
 def t24(spark, sf_dir):
     docs = documents(spark, sf_dir)
     plan = S.mixed_batches(docs, {"src0": 4, "src1": 4}, "source", "doc_id", 42)
     rows = plan.join(docs.select(F.col("doc_id").alias("key"), "text"), "key")
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    return rows.groupBy(F.col("key").alias("doc_id")).agg(F.count(F.lit(1)).alias("times"), F.md5(F.first("text")).alias("text_md5"))
 
 
 @query("t25_decoded_spans", f"""WITH t AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), v AS (SELECT x AS token, count(*) AS n FROM (SELECT unnest(w) AS x FROM t) GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, token LIMIT 5000)
@@ -177,11 +182,11 @@ def p22(spark, sf_dir):
     return rows.select("doc_id", F.size("i").cast("long").alias("n_ids"), (F.get("i", F.lit(0)) == X.DOMAIN).alias("marked"))
 
 
-@query("t21_inference_features")
+@query("t21_inference_features", QA_SQL + " SELECT doc_id, input_ids, segment_ids, attention_mask FROM f")
 def t21(spark, sf_dir):
-    from .set_queries import t20
-
-    return t20(spark, sf_dir).select("doc_id", "input_ids", "segment_ids", "attention_mask")
+    """The features of questions whose answers are not known."""
+    rows = qa_rows(spark, sf_dir).withColumn("answer_start", F.lit(-1))
+    return X.qa_features(rows).select("doc_id", *[F.array_join(c, " ").alias(c) for c in ("input_ids", "segment_ids", "attention_mask")])
 
 
 @query("a3_legal_validation", _SCORED + """ SELECT count(*) AS n, round(avg(em), 6) AS em, round(avg(f1), 6) AS f1, count_if(l) AS n_legal, round(CASE WHEN count_if(l AND NOT is_answerable) = 0 THEN 0 ELSE count_if(l AND NOT is_answerable AND has_answer_prob > 0.5) / count_if(l AND NOT is_answerable) END, 6) AS legal_fpr,
@@ -194,10 +199,27 @@ def a3(spark, sf_dir):
     return M.scored(predictions(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"), r(F.avg("em"), "em"), r(F.avg("f1"), "f1"), F.count_if(legal_row).alias("n_legal"), r(T.safe_divide(F.count_if(none & said), F.count_if(none)), "legal_fpr"), r(F.avg(F.when(legal_row, n)), "mean_length_legal"), r(F.avg(F.when(~legal_row, n)), "mean_length_general"))
 
 
-@query("r8_vector_alignment")
+def _extracts(spark, sf_dir):
+    """Documents with a summary that Spark derives: every third sentence of the whole text."""
+    every = T.sentences(F.col("text"), lexicon.GENERAL_ABBREVIATIONS, 5)
+    return documents(spark, sf_dir).select("doc_id", "text", F.array_join(F.filter(every, lambda s, k: k % 3 == 0), " ").alias("summary"))
+
+
+_PAIRS = rf"""d AS (SELECT doc_id, text AS body, array_to_string(list_filter(s, lambda x, i: (i - 1) % 3 = 0), ' ') AS text FROM (SELECT doc_id, text, {_sentences_sql(lexicon.GENERAL_ABBREVIATIONS, 5)} AS s FROM documents)),
+fit AS (SELECT * FROM d WHERE len(regexp_extract_all(body, '\S+')) >= 50 AND len(regexp_extract_all(text, '\S+')) >= 10),
+k AS (SELECT doc_id, chunk_idx AS chunk_i, chunk FROM ({_chunk_sql(8).replace('FROM documents', 'FROM (SELECT doc_id, body AS text FROM fit)')})),
+s AS (SELECT doc_id, i - 1 AS sent_idx, s[i] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {_sentences_sql(lexicon.GENERAL_ABBREVIATIONS, 5)} AS s FROM fit)))"""
+_BEST = ", rk AS (SELECT sims.*, sentence, row_number() OVER (PARTITION BY sims.doc_id, chunk_i ORDER BY sim DESC, sims.sent_idx) AS n FROM sims JOIN s ON s.doc_id = sims.doc_id AND s.sent_idx = sims.sent_idx), al AS (SELECT doc_id, chunk_i, string_agg(sentence, ' ' ORDER BY sent_idx) AS target, round(max(sim), 4) AS score FROM rk WHERE n <= 3 GROUP BY 1, 2 HAVING max(sim) >= 0.25)"
+_HASHED = "(SELECT {0}, b, c / sqrt(sum(c * c) OVER (PARTITION BY {0})) AS x FROM (SELECT {0}, b, CAST(count(*) AS DOUBLE) AS c FROM (SELECT {0}, CAST('0x' || substring(md5(unnest({1})), 1, 8) AS BIGINT) % 64 AS b FROM {2}) GROUP BY ALL))"
+
+
+@query(
+    "r8_vector_alignment",
+    f"WITH {_PAIRS}, va AS {_HASHED.format('doc_id, chunk_i', _CONTENT.format('chunk'), 'k')}, vb AS {_HASHED.format('doc_id, sent_idx', _CONTENT.format('sentence'), 's')}, sims AS (SELECT va.doc_id, chunk_i, sent_idx, round(sum(va.x * vb.x), 6) AS sim FROM va JOIN vb ON va.doc_id = vb.doc_id AND va.b = vb.b GROUP BY 1, 2, 3){_BEST} SELECT * FROM al",
+)
 def r8(spark, sf_dir):
     """Chunks and sentences aligned by plug-in vectors."""
-    pairs = documents(spark, sf_dir).select("doc_id", "text", F.substring("text", 1, 600).alias("summary"))
+    pairs = _extracts(spark, sf_dir)
 
     def similarity(parts, sents):
         a = parts.select("doc_id", "chunk_i", R.hashed_vectors(F.col("text")).alias("x"))
@@ -207,9 +229,14 @@ def r8(spark, sf_dir):
     return R.summarisation_set(pairs, lambda df: C.sentence_rows(df, lexicon.GENERAL_ABBREVIATIONS, 5), similarity)[0]
 
 
-@query("m11_summarisation_stats")
+@query(
+    "m11_summarisation_stats",
+    f"""WITH {_PAIRS}, ca AS (SELECT doc_id, chunk_i, list_distinct({_CONTENT.format('chunk')}) AS x FROM k), cb AS (SELECT doc_id, sent_idx, list_distinct({_CONTENT.format('sentence')}) AS y FROM s),
+sims AS (SELECT ca.doc_id, chunk_i, sent_idx, CASE WHEN len(y) > 0 THEN len(list_intersect(x, y)) / len(y) ELSE 0.0 END AS sim FROM ca JOIN cb ON ca.doc_id = cb.doc_id){_BEST}
+SELECT (SELECT count(DISTINCT doc_id) FROM k) AS papers, (SELECT count(*) FROM k) AS chunks, count(*) AS aligned, (SELECT count(*) FROM k) - count(*) AS filtered, round(100.0 * count(*) / greatest((SELECT count(*) FROM k), 1), 1) AS coverage, (SELECT count(*) FROM (SELECT doc_id FROM al GROUP BY 1 HAVING count(*) >= 2)) AS second_pass FROM al""",
+)
 def m11(spark, sf_dir):
-    pairs = documents(spark, sf_dir).select("doc_id", "text", F.substring("text", 1, 600).alias("summary"))
+    pairs = _extracts(spark, sf_dir)
 
     def similarity(parts, sents):
         a = parts.select("doc_id", "chunk_i", F.array_distinct(T.content_words(F.col("text"))).alias("x"))
@@ -224,7 +251,23 @@ def g1(spark, sf_dir):
     return R.rewritten(predictions(spark, sf_dir), lambda q, s: F.concat(F.lit("In short: "), s)).select("example_id", "predicted_answer")
 
 
-@query("g4_metric_registry")
+_LONG = "SELECT '{0}' AS report, unnest([{1}]) AS metric, CAST(unnest([{2}]) AS DOUBLE) AS value FROM ({3})"
+
+
+def _long(report: str, metrics: str, sql: str) -> str:
+    names = metrics.split()
+    return _LONG.format(report, ", ".join(f"'{m}'" for m in names), ", ".join(f'"{m}"' for m in names), sql)
+
+
+_ALL_ANSWERS = _long("answers", "em f1", _SCORED + " SELECT round(avg(em), 6) AS em, round(avg(f1), 6) AS f1 FROM s")
+
+
+@query(
+    "g4_metric_registry",
+    "SELECT report, metric, value, NULL AS error FROM ("
+    + " UNION ALL ".join([_ALL_ANSWERS, _long("terms", "overall defined monetary time party", TERMS_SQL), _long("outcomes", "preservation inversion", OUTCOMES_SQL), _long("generation", "faithfulness simplification plain_grade span_grade information_preservation", _GENERATION)])
+    + ") UNION ALL SELECT 'broken', NULL, NULL, 'AnalysisException'",
+)
 def g4(spark, sf_dir):
     """Reports of a metric registry as one long table; a metric that fails leaves its message."""
     pred, made = predictions(spark, sf_dir), summaries(spark, sf_dir)
@@ -240,7 +283,7 @@ def g4(spark, sf_dir):
     return out.unionByName(faults, allowMissingColumns=True)
 
 
-@query("k4_report_files")
+@query("k4_report_files", _ALL_ANSWERS + " UNION ALL " + _long("boundaries", "full partial start_errors end_errors", _BOUNDS + """ SELECT avg(CASE WHEN s AND e THEN 1.0 ELSE 0.0 END) AS "full", avg(CASE WHEN s OR e THEN 1.0 ELSE 0.0 END) AS partial, count_if(NOT s) AS start_errors, count_if(NOT e) AS end_errors FROM b"""))
 def k4(spark, sf_dir):
     from ..sources.writers import merged_summary, write_report
 

@@ -66,9 +66,8 @@ def r2(spark, sf_dir):
 @query("w3_rank_fusion", _BM25 + _TFIDF + """, f AS (SELECT item_id, doc_id, chunk_idx, round(sum(p), 9) AS score, min(fr) AS first_rank FROM (SELECT item_id, doc_id, chunk_idx, 1.0 / (60 + CAST(rank AS DOUBLE)) AS p, rank AS fr FROM tk UNION ALL SELECT item_id, doc_id, chunk_idx, 1.0 / (60 + CAST(rank AS DOUBLE)), NULL FROM bk) GROUP BY 1, 2, 3)
 SELECT item_id, doc_id, chunk_idx, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, first_rank NULLS LAST, doc_id, chunk_idx) AS rank FROM f QUALIFY rank <= 5""")
 def w3(spark, sf_dir):
-    full = 1 << 30
-    fused = R.rank_fusion(R.top_k(_tfidf(spark, sf_dir), ["item_id"], full, _TIES), R.top_k(_bm25(spark, sf_dir), ["item_id"], full, _TIES), ["item_id"], ["doc_id", "chunk_idx"])
-    return fused.where("rank <= 5").select("item_id", "doc_id", "chunk_idx", "score", "rank")
+    fused = R.rank_fusion(R.ranking(_tfidf(spark, sf_dir), ["item_id"], _TIES), R.ranking(_bm25(spark, sf_dir), ["item_id"], _TIES), ["item_id"], ["doc_id", "chunk_idx"], 5)
+    return fused.select("item_id", "doc_id", "chunk_idx", "score", "rank")
 
 
 @query("r4_bm25_in_document", _BM25.replace("df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)", "df AS (SELECT doc_id, term, count(*) AS df FROM tf GROUP BY 1, 2)").replace(f"q AS (SELECT item_id, w AS term, count(*) AS times FROM (SELECT item_id, unnest({_CONTENT.format('text')}) AS w FROM benchmark) GROUP BY 1, 2)", f"q AS (SELECT doc_id, w AS term, count(*) AS times FROM (SELECT doc_id, unnest({_CONTENT.format('substring(text, 1, 80)')}) AS w FROM documents) GROUP BY 1, 2)").split("st AS")[0] + """st AS (SELECT doc_id, count(*) AS n, avg(len) AS m FROM l GROUP BY 1)
@@ -112,43 +111,49 @@ def r5(spark, sf_dir):
     return e.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.sum("w"), 5).alias("weight"), F.round(F.max("w"), 5).alias("largest"))
 
 
-_STEP = "p{1} AS (SELECT o.doc_id, o.sent_idx, o.n, 0.15 / o.n + 0.85 * coalesce(g.g, 0) AS score FROM p{0} o LEFT JOIN (SELECT m.doc_id, dst, sum(p * score) AS g FROM m JOIN p{0} c ON c.doc_id = m.doc_id AND c.sent_idx = m.src GROUP BY 1, 2) g ON g.doc_id = o.doc_id AND g.dst = o.sent_idx)"
-_RANKS = _EDGES + ", m AS (SELECT doc_id, src, dst, w / sum(w) OVER (PARTITION BY doc_id, src) AS p FROM e), p0 AS (SELECT doc_id, sent_idx, n, 1.0 / n AS score FROM (SELECT doc_id, sent_idx, CAST(count(*) OVER (PARTITION BY doc_id) AS DOUBLE) AS n FROM s)), " + ", ".join(_STEP.format(k, k + 1) for k in range(6))
+#: Rounds until a document's scores change by less than 1e-6 in sum, 100 at most; the last round of each document counts.
+_RANKS = (
+    "WITH RECURSIVE " + _EDGES + """, m AS MATERIALIZED (SELECT doc_id, src, dst, w / sum(w) OVER (PARTITION BY doc_id, src) AS p FROM e),
+pr (doc_id, sent_idx, n, score, change, k) AS (SELECT doc_id, sent_idx, n, 1.0 / n, CAST(1 AS DOUBLE), 0 FROM (SELECT doc_id, sent_idx, CAST(count(*) OVER (PARTITION BY doc_id) AS DOUBLE) AS n FROM s)
+  UNION ALL SELECT doc_id, sent_idx, n, score, sum(abs(score - old)) OVER (PARTITION BY doc_id), k FROM (SELECT o.doc_id, o.sent_idx, o.n, o.score AS old, 0.15 / o.n + 0.85 * coalesce(g.g, 0) AS score, o.k + 1 AS k FROM pr o
+    LEFT JOIN (SELECT m.doc_id, dst, sum(p * score) AS g FROM m JOIN pr c ON c.doc_id = m.doc_id AND c.sent_idx = m.src GROUP BY 1, 2) g ON g.doc_id = o.doc_id AND g.dst = o.sent_idx WHERE o.change >= 1e-6 AND o.k < 100)),
+pf AS (SELECT doc_id, sent_idx, n, score FROM pr QUALIFY k = max(k) OVER (PARTITION BY doc_id))"""
+)
 
 
-@query("r6_pagerank", "WITH " + _RANKS + " SELECT doc_id, sent_idx, round(score, 6) AS score FROM p6")
+@query("r6_pagerank", _RANKS + " SELECT doc_id, sent_idx, round(score, 6) AS score FROM pf")
 def r6(spark, sf_dir):
     s = _sentences(spark, sf_dir)
-    return K.pagerank(s, K.similarity_edges(K.sentence_terms(s)), rounds=6, tolerance=None).withColumn("score", F.round("score", 6))
+    return K.pagerank(s, K.sentence_terms(s)).withColumn("score", F.round("score", 6))
 
 
-@query("w7_position_bias", "WITH " + _RANKS + " SELECT doc_id, sent_idx, round(0.95 * score + 0.05 * (n - i) / n + 1e-9, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx) - 1 AS i FROM p6)")
+@query("w7_position_bias", _RANKS + " SELECT doc_id, sent_idx, round(0.95 * score + 0.05 * (n - i) / n + 1e-9, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx) - 1 AS i FROM pf)")
 def w7(spark, sf_dir):
     s = _sentences(spark, sf_dir)
-    return K.position_bias(K.pagerank(s, K.similarity_edges(K.sentence_terms(s)), rounds=6, tolerance=None)).withColumn("score", F.round(F.col("score") + 1e-9, 6))
+    return K.position_bias(K.pagerank(s, K.sentence_terms(s))).withColumn("score", F.round(F.col("score") + 1e-9, 6))
 
 
 @query("r7_extractive_summary")
 def r7(spark, sf_dir):
-    return K.summarise(documents(spark, sf_dir), wanted=5, rounds=20)
+    return K.summarise(documents(spark, sf_dir), wanted=5)
 
 
 @query("w5_section_summary")
 def w5(spark, sf_dir):
     texts = legal(spark, sf_dir).select("doc_id", "text")
-    return K.summarise(texts, wanted=5, found=C.sections(texts), rounds=10)
+    return K.summarise(texts, wanted=5, found=C.sections(texts))
 
 
 @query("r9_hierarchical_summary")
 def r9(spark, sf_dir):
-    chunks = C.word_chunks(documents(spark, sf_dir), max_chunks=6)
-    first = K.summarise(chunks.select((F.col("doc_id") * 10 + F.col("chunk_idx")).alias("doc_id"), F.col("chunk").alias("text")), wanted=4, rounds=10)
-    joined = first.select(F.floor(F.col("doc_id") / 10).alias("doc_id"), (F.col("doc_id") % 10).alias("chunk_i"), F.col("summary").alias("target"))
-    return K.summarise(A.second_pass(joined, least=1).withColumnRenamed("input", "text"), wanted=5, rounds=10)
+    chunks, most = C.word_chunks(documents(spark, sf_dir)), 1 << 20
+    first = K.summarise(chunks.select((F.col("doc_id") * most + F.col("chunk_idx")).alias("doc_id"), F.col("chunk").alias("text")), wanted=4)
+    joined = first.select(F.floor(F.col("doc_id") / most).alias("doc_id"), (F.col("doc_id") % most).alias("chunk_i"), F.col("summary").alias("target"))
+    return K.summarise(A.second_pass(joined, least=1).withColumnRenamed("input", "text"), wanted=5)
 
 
-# Alignment: chunks of a document and its first sentences, by the cosine of word counts.
-_ALIGN = f"""k AS (SELECT doc_id, chunk_idx AS chunk_i, chunk FROM ({_chunk_sql(8)})), s AS (SELECT doc_id, i - 1 AS sent_idx, s[i] AS sentence FROM (SELECT doc_id, s, unnest(range(1, least(len(s), 6) + 1)) AS i FROM (SELECT doc_id, {_sentences_sql(lexicon.GENERAL_ABBREVIATIONS, 5)} AS s FROM documents))),
+# Alignment: chunks of a document and its sentences, by the cosine of word counts.
+_ALIGN = f"""k AS (SELECT doc_id, chunk_idx AS chunk_i, chunk FROM ({_chunk_sql(8)})), s AS (SELECT doc_id, i - 1 AS sent_idx, s[i] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {_sentences_sql(lexicon.GENERAL_ABBREVIATIONS, 5)} AS s FROM documents))),
 ct AS (SELECT doc_id, chunk_i, term, count(*) AS c FROM (SELECT doc_id, chunk_i, unnest({_CONTENT.format('chunk')}) AS term FROM k) GROUP BY 1, 2, 3), cw AS (SELECT doc_id, chunk_i, term, c / sqrt(sum(c * c) OVER (PARTITION BY doc_id, chunk_i)) AS w FROM ct),
 st AS (SELECT doc_id, sent_idx, term, count(*) AS c FROM (SELECT doc_id, sent_idx, unnest({_CONTENT.format('sentence')}) AS term FROM s) GROUP BY 1, 2, 3), sw AS (SELECT doc_id, sent_idx, term, c / sqrt(sum(c * c) OVER (PARTITION BY doc_id, sent_idx)) AS v FROM st),
 sims AS (SELECT cw.doc_id, chunk_i, sent_idx, round(sum(w * v), 6) AS sim FROM cw JOIN sw ON sw.doc_id = cw.doc_id AND sw.term = cw.term GROUP BY 1, 2, 3), rk AS (SELECT sims.*, sentence, row_number() OVER (PARTITION BY sims.doc_id, chunk_i ORDER BY sim DESC, sims.sent_idx) AS n FROM sims JOIN s ON s.doc_id = sims.doc_id AND s.sent_idx = sims.sent_idx),
@@ -158,7 +163,7 @@ al AS (SELECT doc_id, chunk_i, string_agg(sentence, ' ' ORDER BY sent_idx) AS ta
 def _aligned(spark, sf_dir):
     docs = documents(spark, sf_dir)
     chunks = C.word_chunks(docs, max_chunks=8).select("doc_id", F.col("chunk_idx").alias("chunk_i"), F.col("chunk").alias("text"))
-    s = C.sentence_rows(docs, lexicon.GENERAL_ABBREVIATIONS, 5).where("sent_idx < 6")
+    s = C.sentence_rows(docs, lexicon.GENERAL_ABBREVIATIONS, 5)
     from pyspark.sql.window import Window
 
     unit = lambda df, keys: df.select(*keys, "term", (F.col("tf") / F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(*keys)))).alias("w"))
@@ -263,10 +268,25 @@ def s13(spark, sf_dir):
     return S.first_n(documents(spark, sf_dir).select("doc_id", "source"), 5, 42, "doc_id", ["source"])
 
 
-@query("m7_clause_negatives")
+#: A seeded ring of all documents, each taking another some seeded number of places on.
+OTHER_SQL = """ring AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS at, count(*) OVER () AS total FROM (SELECT DISTINCT doc_id FROM documents)),
+o AS (SELECT r.doc_id, x.doc_id AS other_doc FROM ring r JOIN ring x ON x.at = (r.at + 1 + CAST('0x' || substring(md5('42:step:' || r.doc_id), 1, 8) AS BIGINT) % (r.total - 1)) % r.total WHERE r.total > 1)"""
+_CLAUSES = _chunk_sql(1_000_000).replace("350", "60").replace("300", "60")
+
+
+@query(
+    "m7_clause_negatives",
+    f"""WITH {OTHER_SQL}, pool AS (SELECT doc_id, 'clause ' || chunk_idx % 5 || '/' || chunk_idx AS clause, 'What of chunk ' || chunk_idx AS question, chunk AS context FROM ({_CLAUSES})),
+pl AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5('42:' || doc_id || ':' || clause || ':' || context)) - 1 AS at, count(*) OVER (PARTITION BY doc_id) AS n FROM pool),
+cr AS (SELECT pool.doc_id, pool.clause, pool.question, p.context, 'cross_document' AS neg_kind FROM pool JOIN o ON o.doc_id = pool.doc_id JOIN pl p ON p.doc_id = o.other_doc AND p.at = CAST('0x' || substring(md5('42:' || pool.doc_id || ':' || pool.clause), 1, 8) AS BIGINT) % p.n),
+cl AS (SELECT doc_id, clause, context, row_number() OVER (PARTITION BY doc_id ORDER BY md5('42:' || doc_id || ':' || clause), clause) - 1 AS at, count(*) OVER (PARTITION BY doc_id) AS n FROM pool),
+wr AS (SELECT pool.doc_id, pool.clause, pool.question, y.context, 'wrong_clause' AS neg_kind FROM pool JOIN cl x ON x.doc_id = pool.doc_id AND x.clause = pool.clause JOIN cl y ON y.doc_id = x.doc_id AND y.at = (x.at + 1) % x.n WHERE x.n > 1),
+ng AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || doc_id || ':' || clause || ':' || neg_kind || ':' || question), context) AS i FROM (SELECT * FROM cr UNION ALL SELECT * FROM wr))
+SELECT doc_id, clause, question, md5(context) AS context_md5, NULL AS neg_kind, true AS is_answerable FROM pool UNION ALL SELECT doc_id, clause, question, md5(context), neg_kind, false FROM ng WHERE i <= (SELECT CAST(round(count(*) * CAST({45 / 55!r} AS DOUBLE)) AS BIGINT) FROM pool)""",
+)
 def m7(spark, sf_dir):
     pool = C.word_chunks(documents(spark, sf_dir), 60, 0).select("doc_id", F.concat(F.lit("clause "), (F.col("chunk_idx") % 5).cast("string"), F.lit("/"), F.col("chunk_idx").cast("string")).alias("clause"), F.concat(F.lit("What of chunk "), F.col("chunk_idx").cast("string")).alias("question"), F.col("chunk").alias("context"))
-    return S.clause_negatives(pool)
+    return S.clause_negatives(pool).select("doc_id", "clause", "question", F.md5("context").alias("context_md5"), "neg_kind", "is_answerable")
 
 
 @query("j11_chunk_negatives", f"WITH k AS (SELECT doc_id, chunk_idx FROM ({_CHUNKS})), p AS (SELECT doc_id AS question_id, doc_id, 0 AS positive FROM documents), r AS (SELECT question_id, p.doc_id, chunk_idx, chunk_idx = positive AS is_positive FROM p JOIN k ON k.doc_id = p.doc_id) SELECT * FROM r QUALIFY is_positive OR row_number() OVER (PARTITION BY question_id, is_positive ORDER BY md5('42:' || question_id || ':' || chunk_idx), chunk_idx) <= 4")
@@ -280,27 +300,58 @@ def t23(spark, sf_dir):
     return X.shuffled_sentences(C.sentence_rows(documents(spark, sf_dir), lexicon.LEGAL_ABBREVIATIONS, 0)).select("doc_id", "sent_idx", "new_idx")
 
 
-@query("t19_encoded_pairs")
-def t19(spark, sf_dir):
+_ENCODED = f"""WITH t AS (SELECT doc_id, source, {_CONTENT.format('text')} AS w FROM documents), v AS (SELECT x AS token, 4 + row_number() OVER (ORDER BY n DESC, x) AS id FROM (SELECT x, count(*) AS n FROM (SELECT unnest(w) AS x FROM t) GROUP BY x HAVING count(*) >= 2) QUALIFY id < 5005),
+i AS (SELECT doc_id, any_value(source) AS source, list(coalesce(v.id, 3) ORDER BY pos) AS ids FROM (SELECT doc_id, source, unnest(w) AS token, unnest(range(1, len(w) + 1)) AS pos FROM t) s LEFT JOIN v ON v.token = s.token GROUP BY doc_id),
+e AS (SELECT doc_id, source, CASE WHEN source IN ('src0', 'src1') THEN list_prepend(4, ids[1:399]) ELSE ids[1:399] END AS src, list_append(list_prepend(1, ids[1:126]), 2) AS tgt, least(len(ids), 400) AS source_length FROM i)"""
+
+
+def _encoded(spark, sf_dir):
     docs = documents(spark, sf_dir)
     tokens = docs.select("doc_id", F.posexplode(T.content_words(F.col("text"))).alias("pos", "token"))
     vocab = X.vocabulary(tokens.select("token"), 5000)
     ids = X.encode(tokens, vocab, ["doc_id"])
-    return ids.select("doc_id", *X.encode_pair(F.col("ids"), F.slice("ids", 1, 60))).join(docs.select("doc_id", "source"), "doc_id").withColumn("source_ids", X.with_domain_marker(F.col("source_ids"), F.col("source"), ["src0", "src1"]))
+    return ids.select("doc_id", *X.encode_pair(F.col("ids"), F.col("ids"))).join(docs.select("doc_id", "source"), "doc_id").withColumn("source_ids", X.with_domain_marker(F.col("source_ids"), F.col("source"), ["src0", "src1"]))
+
+
+@query("t19_encoded_pairs", _ENCODED + " SELECT doc_id, source, array_to_string(src, ' ') AS source_ids, array_to_string(tgt, ' ') AS target_ids, CAST(source_length AS INTEGER) AS source_length, CAST(len(tgt) AS INTEGER) AS target_length FROM e")
+def t19(spark, sf_dir):
+    return _encoded(spark, sf_dir).withColumn("source_ids", F.array_join("source_ids", " ")).withColumn("target_ids", F.array_join("target_ids", " "))
 
 
-@query("t22_padded_batches")
+_PAD = "list_concat({0}, list_transform(range(0, {1} - len({0})), lambda x: 0))"
+
+
+@query(
+    "t22_padded_batches",
+    _ENCODED + f""", b AS (SELECT *, doc_id // 8 AS batch_id, max(len(src)) OVER (PARTITION BY doc_id // 8) AS ls, max(len(tgt)) OVER (PARTITION BY doc_id // 8) AS lt FROM e), p AS (SELECT batch_id, doc_id, lt, {_PAD.format('src', 'ls')} AS s, {_PAD.format('tgt', 'lt')} AS t FROM b)
+SELECT batch_id, doc_id, array_to_string(s, ' ') AS source_ids, array_to_string(t[1:lt - 1], ' ') AS target_in, array_to_string(t[2:lt], ' ') AS target_out FROM p""",
+)
 def t22(spark, sf_dir):
-    pairs = t19(spark, sf_dir).select((F.floor(F.col("doc_id") / 8)).alias("batch_id"), "doc_id", "source_ids", "target_ids")
-    return X.pad_batches(pairs)
+    pairs = _encoded(spark, sf_dir).select((F.floor(F.col("doc_id") / 8)).alias("batch_id"), "doc_id", "source_ids", "target_ids")
+    rows = X.pad_batches(pairs)
+    return rows.select("batch_id", "doc_id", *[F.array_join(c, " ").alias(c) for c in ("source_ids", "target_in", "target_out")])
 
 
-@query("t20_qa_features")
-def t20(spark, sf_dir):
+def qa_rows(spark, sf_dir):
+    """Questions about whole documents: ids of words by a stand-in hash, places of words in characters."""
     rows = documents(spark, sf_dir).select("doc_id", "text", F.substring("text", 41, 30).alias("answer"), F.when(F.col("doc_id") % 4 == 0, -1).otherwise(40).alias("answer_start"))
-    gap, word = F.regexp_extract_all("text", F.lit(r"(\s*)(\S+)"), F.lit(1)), F.regexp_extract_all("text", F.lit(r"(\s*)(\S+)"), F.lit(2))
-    rows = rows.select("*", F.slice(gap, 1, 450).alias("g"), F.slice(word, 1, 450).alias("w")).where(F.size("w") > 0)
-    sums = F.aggregate(F.arrays_zip("g", "w"), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("s"), F.array().cast("array<int>").alias("e")), lambda a, x: F.struct((a["at"] + F.length(x["g"]) + F.length(x["w"])).alias("at"), F.array_append(a["s"], a["at"] + F.length(x["g"])).alias("s"), F.array_append(a["e"], a["at"] + F.length(x["g"]) + F.length(x["w"])).alias("e")))
-    ids = lambda c: F.transform(c, lambda x: (F.pmod(F.crc32(x.cast("binary")), F.lit(30000)) + 200).cast("int"))
-    rows = rows.withColumn("o", sums).select("doc_id", "answer", "answer_start", F.col("o.s").alias("starts"), F.col("o.e").alias("ends"), ids(F.col("w")).alias("context_ids"), ids(F.slice("w", 1, 8)).alias("question_ids"))
-    return X.qa_features(rows).select("doc_id", "input_ids", "segment_ids", "attention_mask", "answer_start_tok", "answer_end_tok", "kept")
+    part = lambda k: F.regexp_extract_all("text", F.lit(r"(\s*)(\S+)"), F.lit(k))
+    rows = rows.select("doc_id", "answer", "answer_start", part(1).alias("g"), part(2).alias("w")).where(F.size("w") > 0)
+    rows = rows.withColumn("ends", T.running_sums(F.zip_with("g", "w", lambda g, w: F.length(g) + F.length(w))))
+    ids = lambda c: F.transform(c, lambda x: (F.pmod(F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"), F.lit(30000)) + 200).cast("int"))
+    starts = F.zip_with("ends", "w", lambda e, w: e - F.length(w))
+    return rows.select("doc_id", "answer", "answer_start", starts.alias("starts"), "ends", ids(F.col("w")).alias("context_ids"), ids(F.slice("w", 1, 8)).alias("question_ids"))
+
+
+#: The answer ends before character 70, so that no word behind the 70th touches it.
+QA_SQL = r"""WITH w AS (SELECT doc_id, length(substring(text, 41, 30)) AS al, doc_id % 4 <> 0 AS has, list_transform(regexp_extract_all(text, '(\s*)(\S+)', 1), lambda x: length(x)) AS g, regexp_extract_all(text, '(\s*)(\S+)', 2) AS w FROM documents),
+h AS (SELECT *, list_transform(w, lambda x: CAST('0x' || substring(md5(x), 1, 8) AS BIGINT) % 30000 + 200) AS ids, list_transform(range(1, least(len(w), 70) + 1), lambda i: CAST(list_sum(g[1:i]) + list_sum(list_transform(w[1:i], lambda x: length(x))) AS BIGINT)) AS ends FROM w WHERE len(w) > 0),
+t AS (SELECT *, least(len(w), 8) + 2 AS head, CASE WHEN has THEN list_filter(range(0, len(ends)), lambda i: ends[i + 1] - length(w[i + 1]) < 40 + al AND ends[i + 1] > 40) ELSE [] END AS touched, list_concat(list_concat([101], ids[1:8]), list_concat([102], ids[1:400])) AS body FROM h),
+f AS (SELECT doc_id, array_to_string(list_concat(body, list_transform(range(0, 462 - len(body)), lambda x: 0)), ' ') AS input_ids, array_to_string(list_transform(range(0, 462), lambda x: CASE WHEN x < head THEN 0 ELSE 1 END), ' ') AS segment_ids, array_to_string(list_transform(range(0, 462), lambda x: CASE WHEN x < len(body) THEN 1 ELSE 0 END), ' ') AS attention_mask,
+CAST(CASE WHEN NOT has THEN 0 WHEN len(touched) > 0 THEN touched[1] + head END AS INTEGER) AS answer_start_tok, CAST(CASE WHEN NOT has THEN 0 WHEN len(touched) > 0 THEN touched[-1] + head END AS INTEGER) AS answer_end_tok, NOT has OR len(touched) > 0 AS kept FROM t)"""
+
+
+@query("t20_qa_features", QA_SQL + " SELECT * FROM f")
+def t20(spark, sf_dir):
+    rows = X.qa_features(qa_rows(spark, sf_dir))
+    return rows.select("doc_id", *[F.array_join(c, " ").alias(c) for c in ("input_ids", "segment_ids", "attention_mask")], "answer_start_tok", "answer_end_tok", "kept")

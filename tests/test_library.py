@@ -126,8 +126,8 @@ def test_negatives(spark):
 
 def test_greedy_choice_skips_alike(spark):
     scores = spark.createDataFrame([(1, k, 1.0 - k / 10) for k in range(4)], "doc_id long, sent_idx int, score double")
-    edges = spark.createDataFrame([(1, 0, 1, 0.9), (1, 1, 0, 0.9)], "doc_id long, src int, dst int, w double")
-    assert sorted(r["sent_idx"] for r in K.choose_sentences(scores, edges, 3).collect()) == [0, 2, 3]
+    terms = spark.createDataFrame([(1, 0, "a", 1.0), (1, 1, "a", 0.9), (1, 2, "b", 1.0), (1, 3, "c", 1.0)], "doc_id long, sent_idx int, term string, w double")
+    assert sorted(r["sent_idx"] for r in K.choose_sentences(scores, terms, 3).collect()) == [0, 2, 3]
 
 
 def test_lcs_and_f1(spark):
