@@ -16,6 +16,18 @@ def with_group_ranks(df: DataFrame, by: list[str], order: list[str], name: str =
     return rows.join(first, by).withColumn(name, (F.col("__no") - F.col("__first") + 1).cast("int")).drop("__no", "__first")
 
 
+def with_sums_before(df: DataFrame, by: list[str], order: list[str], value: str, name: str = "before") -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows before it in its group: rows are dealt by range, summed within a partition, and shifted by the group's sums in the partitions before."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = Scratch(spark, "ranks").save(df.repartitionByRange(n, *by, *order).withColumn("__p", F.spark_partition_id()), "summed")
+    so_far = lambda w: F.coalesce(F.sum("__v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # At most one row per group and partition.
+    shifts = parts.groupBy(*by, "__p").agg(F.sum(value).alias("__v")).withColumn("__shift", so_far(Window.partitionBy(*by).orderBy("__p"))).drop("__v")
+    own = parts.withColumn("__v", F.col(value)).withColumn(name, so_far(Window.partitionBy(*by, "__p").orderBy(*order)))
+    return own.join(shifts, [*by, "__p"]).withColumn(name, F.col(name) + F.col("__shift")).drop("__p", "__v", "__shift")
+
+
 def with_row_numbers(df: DataFrame, order: list[str], name: str = "no") -> DataFrame:
     """``df`` with numbers from 0 in the given order: rows are dealt by range, numbered within a partition, and shifted by the sizes of the partitions before."""
     spark = df.sparkSession
