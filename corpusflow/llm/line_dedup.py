@@ -31,8 +31,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     A window is three consecutive non-blank lines of one text. Of equal windows the first by
     (doc_id, text hash, position) stays; lines that any later one covers go, so each removed line has
-    an equal line that stays. A text that loses lines is rebuilt from its other non-blank lines; all
-    other texts stay as they are, null ones and those under three lines too. Null ids sort first.
+    an equal line that stays. All other lines of a text stay as they are, blank ones and indents too, as do
+    texts that lose none, null ones and those under three lines. Null ids sort first.
     Rows equal in doc_id and text count as one occurrence and come back alike.
     """
     keyed = docs.select(
@@ -40,9 +40,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
         F.col("text"),
         F.xxhash64(F.lit("id"), F.col("doc_id")).alias("__k"),
         F.xxhash64(F.col("text")).alias("__t"),
-        text_lines(F.col("text")).alias("__lines"),
+        F.coalesce(F.size(text_lines(F.col("text"))), F.lit(0)).cast("long").alias("__n"),
     )
-    windows = keyed.select("doc_id", "__k", "__t", F.posexplode(_windows(F.col("__lines"))).alias("pos", "w"))
+    windows = keyed.select("doc_id", "__k", "__t", F.posexplode(_windows(text_lines(F.col("text")))).alias("pos", "w"))
     windows = windows.select("doc_id", "__k", "__t", "pos", "w.w1", "w.w2")
     place = F.struct("doc_id", "__t", "pos")
     repeated = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -52,18 +52,35 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     covered = later.groupBy("__k", "__t").agg(F.collect_set("pos").alias("__at"))
     covered = covered.select("__k", "__t", F.expr("array_distinct(flatten(transform(__at, p -> array(p, p + 1, p + 2))))").alias("__gone"))
     joined = keyed.join(covered, ["__k", "__t"], "left")
-    kept = F.expr("array_join(transform(array_except(sequence(0, size(__lines) - 1), __gone), i -> __lines[i]), '\n')")
     return joined.select(
-        *[F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"),
+        *[F.when(F.col("__gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("__gone"))).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        F.col("__n").alias("n_lines"),
         F.coalesce(F.when(F.col("__gone").isNotNull(), F.size("__gone")), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
+def _without(text: Column, gone: Column) -> Column:
+    """A text without the non-blank lines of these numbers."""
+
+    def kept(lines: Column) -> Column:
+        places = F.filter(F.transform(lines, lambda x, i: F.when(F.btrim(x, F.lit(" \t\r")) != "", i)), lambda i: i.isNotNull())
+        # Numbers of non-blank lines to places of lines, then what is left of all places; variables of outer steps again.
+        removed = lambda at: F.transform(gone, lambda k: F.get(at, k))
+        left = _let(places, lambda at: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed(at)))
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    return _let(F.split(text, "\n"), kept)
+
+
+def _let(value: Column, body) -> Column:
+    return F.transform(F.array(value), body)[0]
+
+
 SQL = """
 WITH l AS (
-  SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13))), lambda x: x <> '') AS lines
-  FROM documents
+  SELECT *, list_transform(at, lambda i: trim(raw[i], chr(32) || chr(9) || chr(13))) AS lines
+  FROM (SELECT *, list_filter(range(1, len(raw) + 1), lambda i: trim(raw[i], chr(32) || chr(9) || chr(13)) <> '') AS at
+    FROM (SELECT doc_id, text, string_split(text, chr(10)) AS raw FROM documents))
 ), w AS (
   SELECT doc_id, p, lines[p] || chr(10) || lines[p + 1] || chr(10) || lines[p + 2] AS w
   FROM (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS p FROM l WHERE len(lines) >= 3)
@@ -75,6 +92,6 @@ WITH l AS (
   SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id
 )
 SELECT l.doc_id, coalesce(len(lines), 0) AS n_lines, coalesce(len(gone), 0) AS n_removed,
-  CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda i: NOT list_contains(gone, i)), lambda i: lines[i]), chr(10)) END AS text
+  CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(raw) + 1), lambda i: NOT list_contains(list_transform(gone, lambda k: at[k]), i)), lambda i: raw[i]), chr(10)) END AS text
 FROM l LEFT JOIN g ON l.doc_id = g.doc_id
 """
