@@ -5,15 +5,20 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
+from ..plans.ranks import with_group_ranks, with_sums_before
 from ..plans.scratch import Scratch
 from .quality_rules import n_words
 
 MAX_SOURCES = 100_000
+#: Words of a shard of the mix, about, and shards of a small one.
+SHARD_WORDS, LEAST_SHARDS = 1 << 24, 64
+#: Groups of shards that the driver splits quotas into, at most.
+GROUPS = 256
 
 
 def target_sizes(sizes: list[int], weights: tuple[float, ...], most: float) -> list[float]:
@@ -56,6 +61,32 @@ def split_quotas(blocks: list[int], shards: int, seed: int) -> list[list[int]]:
     return out
 
 
+def _split_groups(per_group: int, seed: int):
+    """Rows (grp, first, quota: arrays by source) -> (no, shard, first, n): how many of a source's copies each shard of the group gets, from which place on."""
+
+    def run(batches):
+        for batch in batches:
+            for grp, first, quota in zip(*[batch.column(c).to_pylist() for c in ("grp", "first", "quota")], strict=True):
+                parts = np.array(split_quotas(quota, per_group, seed + 1 + grp), np.int64).reshape(per_group, len(quota))
+                start = np.array(first, np.int64) + np.cumsum(parts, axis=0) - parts
+                shard, no = np.nonzero(parts)
+                columns = [no.astype(np.int32), (grp * per_group + shard).astype(np.int32), start[shard, no], parts[shard, no]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["no", "shard", "first", "n"])
+
+    return run
+
+
+def _places(spark: SparkSession, copies: list[int], shards: int, seed: int) -> DataFrame:
+    """(no, at, shard): the shard of each copy of a block, by its place among its source's copies. The upper half of the tree is split here, up to ``GROUPS`` groups of shards, and the rest in tasks."""
+    groups = min(GROUPS, shards)
+    per_group = -(-shards // groups)
+    quotas = np.array(split_quotas(copies, groups, seed), np.int64).reshape(groups, len(copies))
+    first = np.cumsum(quotas, axis=0) - quotas
+    rows = spark.createDataFrame([(g, first[g].tolist(), quotas[g].tolist()) for g in range(groups)], "grp long, first array<long>, quota array<long>")
+    parts = rows.repartition(min(groups, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(_split_groups(per_group, seed), "no int, shard int, first long, n long")
+    return parts.select("no", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("at"))
+
+
 def _filled(work: Scratch, units: DataFrame, rests: list[tuple[int, float]], seed: int) -> DataFrame:
     """What fills the rests of sources: no, block, extra (2: the whole block, 1: only ``got``), got (array of text_key); other blocks are absent.
 
@@ -65,7 +96,6 @@ def _filled(work: Scratch, units: DataFrame, rests: list[tuple[int, float]], see
     spark, rounds = work.spark, []
     units = work.save(units, "units")
     order = F.xxhash64(F.lit(seed), F.lit("block"), "no", "block")
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("no").orderBy("order", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     fold = F.expr("aggregate(docs, struct(room as room, cast(array() as array<bigint>) as got), (a, d) -> if(d.size <= a.room, struct(a.room - d.size as room, array_append(a.got, d.text_key) as got), a))")
     state = [(no, rest, -(1 << 63), -1) for no, rest in rests]
     while state or not rounds:
@@ -74,7 +104,8 @@ def _filled(work: Scratch, units: DataFrame, rests: list[tuple[int, float]], see
         fits = F.col("size") <= F.col("room")
         by = left.groupBy("no", "block", "order", "room").agg(F.sum(F.when(fits, F.col("size"))).alias("words"), F.count_if(fits).alias("n"), F.count(F.lit(1)).alias("n_all"))
         # Blocks of documents without words only come along in the first round, and whole.
-        by = by.where(F.col("words") > 0 if rounds else "words > 0 or n = n_all").withColumn("before", before)
+        by = by.where(F.col("words") > 0 if rounds else "words > 0 or n = n_all").withColumn("words", F.coalesce("words", F.lit(0)))
+        by = with_sums_before(by, ["no"], ["order", "block"], "words")
         by = by.where("before < room or before + words <= room").withColumn("edge", F.col("before") + F.col("words") > F.col("room"))
         by = work.save(by.select("no", "block", "order", (F.col("room") - F.col("before")).alias("free"), "edge", (~F.col("edge") & (F.col("n") == F.col("n_all"))).alias("all")), f"round_{len(rounds)}")
         # ``docs``: what may be taken of a block that is not taken whole, in permuted order.
@@ -86,7 +117,7 @@ def _filled(work: Scratch, units: DataFrame, rests: list[tuple[int, float]], see
     return functools.reduce(DataFrame.union, rounds)
 
 
-def plan_mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, shards: int = 64, block_docs: int = 256, seed: int = 7) -> DataFrame:
+def plan_mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, shards: int | None = None, block_docs: int = 256, seed: int = 7) -> DataFrame:
     """One row per document: doc_id, source, text_key, size, source_size, target, draws (array of epoch, shard), taken.
 
     Sources in code-point order, null last, have the repeating weights. A source with target t and
@@ -94,7 +125,7 @@ def plan_mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] =
     documents longer than the room left are set aside, blocks whose others fit are taken, the next one is filled
     document by document, and the room that it leaves goes on to the blocks after it in the same way, until no
     document with words behind it fits. Block copies go to shards by exact quotas
-    from ``split_quotas``. Documents without words take part with size 0. Documents are told apart by
+    from ``split_quotas``; unless given, there is a shard for each ``SHARD_WORDS`` words, and ``LEAST_SHARDS`` at least. Documents without words take part with size 0. Documents are told apart by
     doc_id and text: rows equal in both share one fate. Only per-source rows reach the driver,
     ``MAX_SOURCES`` at most (more raise an error).
     """
@@ -122,12 +153,13 @@ def plan_mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] =
     blocks = work.save(blocks.withColumn("extra", F.coalesce("extra", F.lit(0))), "blocks")
 
     drawn = {r["no"]: r["n"] for r in blocks.groupBy("no").agg(F.sum(F.col("whole") + F.when(F.col("extra") > 0, 1).otherwise(0)).alias("n")).collect()}
-    quotas = np.array(split_quotas([int(drawn.get(no, 0)) for no in range(len(plan))], shards, seed)).reshape(shards, len(plan))
-    ends = F.broadcast(spark.createDataFrame([(no, np.cumsum(quotas[:, no]).tolist()) for no in range(len(plan))], "no int, ends array<long>"))
+    if shards is None:
+        shards = max(LEAST_SHARDS, int(sum(t for *_, t, _, _, _ in plan) // SHARD_WORDS) + 1)
+    places = _places(spark, [int(drawn.get(no, 0)) for no in range(len(plan))], shards, seed)
     copies = blocks.select("no", "block", F.explode(F.expr("sequence(0, whole)")).alias("epoch"), "whole", "extra").where("epoch < whole or extra > 0")
-    place = Window.partitionBy("no").orderBy("epoch", F.xxhash64(F.lit(seed), "no", "epoch", "block"), "block")
-    copies = copies.withColumn("at", F.row_number().over(place) - 1).join(ends, "no")
-    copies = copies.select("no", "block", F.struct("epoch", F.size(F.filter("ends", lambda e: e <= F.col("at"))).alias("shard")).alias("draw"))
+    copies = copies.select("no", "block", "epoch", F.xxhash64(F.lit(seed), "no", "epoch", "block").alias("order"))
+    copies = with_group_ranks(copies, ["no"], ["epoch", "order", "block"], "at").withColumn("at", (F.col("at") - 1).cast("long"))
+    copies = copies.join(places, ["no", "at"]).select("no", "block", F.struct("epoch", "shard").alias("draw"))
     draws = copies.groupBy("no", "block").agg(F.sort_array(F.collect_list("draw")).alias("draws"))
 
     out = rows.join(blocks.select("no", "block", "extra", "got").join(draws, ["no", "block"], "left"), ["no", "block"])
@@ -142,9 +174,10 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFram
     Documents that are never drawn are absent. Rows with equal doc_id and text are drawn alike.
     """
     seed = options.get("seed", 7)
-    plan = plan_mix(spark, docs, **options).where("size(draws) > 0").select(F.col("text_key").alias("__key"), F.col("draws").alias("__draws")).dropDuplicates(["__key"])
-    keyed = docs.withColumn("__key", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")))
-    rows = keyed.join(plan, "__key").withColumn("__draw", F.explode("__draws"))
+    own = F.xxhash64(F.lit("id"), F.col("doc_id")).alias("__id")
+    plan = plan_mix(spark, docs, **options).where("size(draws) > 0").select(F.col("text_key").alias("__key"), own, F.col("draws").alias("__draws")).dropDuplicates(["__key", "__id"])
+    keyed = docs.select("*", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("__key"), own)
+    rows = keyed.join(plan, ["__key", "__id"]).withColumn("__draw", F.explode("__draws"))
     shard, order = F.col("__draw.shard").alias("shard"), F.xxhash64(F.lit(seed), F.lit("row"), "__draw.epoch", "__key")
     rows = rows.select(*[F.col(f"`{c}`") for c in docs.columns if c != "shard"], shard, order.alias("__order"))
     return rows.repartition("shard").sortWithinPartitions("shard", "__order").drop("__order")
