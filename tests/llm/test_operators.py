@@ -2,14 +2,20 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from corpusflow.llm import html_extract, language_id, line_dedup, mixing, packing, quality_rules, secret_scan, toxicity
 from corpusflow.llm.jaccard_join import Block, divide_skip, jaccard_components, needed
+from corpusflow.llm import nearest as nearest_module
 from corpusflow.llm.nearest import nearest
 
 SF = "/root/testdata/sf0.001"
@@ -51,7 +57,8 @@ def collected(df):
 
 
 def lines_of(text):
-    return [x for x in (p.strip(" \t\r") for p in (text or "").split("\n")) if x]
+    """(place among all lines, trimmed line) of the lines that are not blank."""
+    return [(k, x) for k, x in enumerate(p.strip(" \t\r") for p in (text or "").split("\n")) if x]
 
 
 def dedup_by_hand(rows):
@@ -60,15 +67,16 @@ def dedup_by_hand(rows):
         ls = lines_of(text)
         gone = set()
         for k in range(len(ls) - 2):
-            w = tuple(ls[k : k + 3])
+            w = tuple(x for _, x in ls[k : k + 3])
             if seen.setdefault(w, (doc, k)) != (doc, k):
                 gone |= {k, k + 1, k + 2}
-        out[doc] = (len(ls), len(gone), "\n".join(x for k, x in enumerate(ls) if k not in gone) if gone else text)
+        places = {ls[k][0] for k in gone}
+        out[doc] = (len(ls), len(gone), "\n".join(x for k, x in enumerate(text.split("\n")) if k not in places) if gone else text)
     return out
 
 
 def test_line_dedup(spark, docs):
-    rows = [(1, "a\nb\nc\nd"), (2, "x\n a \nb\r\nc\nq"), (3, "a\nb"), (4, "p\np\np\np\np"), (5, None), (6, "")]
+    rows = [(1, "a\nb\nc\nd"), (2, "x\n\n a \nb\r\nc\n\n  q"), (3, "a\nb"), (4, "p\np\np\np\np"), (5, None), (6, "")]
     for df in (docs.select("doc_id", "text"), spark.createDataFrame(rows, "doc_id long, text string")):
         want = dedup_by_hand([tuple(r) for r in df.collect()])
         got = collected(line_dedup.line_dedup(df))
@@ -255,7 +263,7 @@ def test_split_quotas_are_exact():
 def test_mixing(spark, docs, odd, none):
     for df in (docs, clash(odd)):
         rows = mixing.plan_mix(spark, df, block_docs=8, shards=4).collect()
-        assert rows == rows and len(rows) == df.count()
+        assert len(rows) == df.count()
         texts = collections.defaultdict(list)
         for r in df.select("doc_id", "text").collect():
             texts[r["doc_id"]].append(len(WORD.findall(r["text"] or "")))
@@ -273,6 +281,73 @@ def test_mixing(spark, docs, odd, none):
     assert mixing.mixed_documents(spark, docs, shards=4).count() == sum(len(r["draws"]) for r in mixing.plan_mix(spark, docs, shards=4).collect())
 
 
+def filled_by_hand(blocks, room):
+    """Keys that fill the room: whole blocks in their order, the next one document by document, then on with what is left. blocks: lists of (key, size)."""
+    got, at, first = set(), 0, True
+    while at < len(blocks):
+        fits, before, edge = room, 0, None
+        for k in range(at, len(blocks)):
+            may = [(key, n) for key, n in blocks[k] if n <= fits]
+            words = sum(n for _, n in may)
+            if not words and not (first and len(may) == len(blocks[k])):
+                continue
+            if before + words > room:
+                edge = k if before < room else None
+                break
+            got |= {key for key, _ in may}
+            before += words
+        if edge is None:
+            break
+        left = room - before
+        for key, n in sorted(x for x in blocks[edge] if x[1] <= fits):
+            if n <= left:
+                got.add(key)
+                left -= n
+        room, at, first = left, edge + 1, False
+        if room <= 0:
+            break
+    return got
+
+
+def test_mixing_by_hand(spark, docs, odd):
+    seed, twice = 7, docs.union(docs.where("doc_id % 9 = 0"))
+    for df in (twice.select("doc_id", "text", "source"), odd):
+        rows = mixing.plan_mix(spark, df, block_docs=8, shards=5, seed=seed).collect()
+        sizes, counts = collections.Counter(), collections.Counter()
+        for r in rows:
+            sizes[r["source"]] += r["size"]
+            counts[r["source"]] += 1
+        sources = sorted(sizes, key=lambda x: (x is None, x or ""))
+        targets = mixing.target_sizes([sizes[x] for x in sources], (5, 2, 1), 3)
+        keys = spark.createDataFrame([(sources.index(r["source"]), r["text_key"], -(-counts[r["source"]] // 8)) for r in rows], "no int, text_key long, n_blocks long").distinct()
+        keys = keys.withColumn("block", F.expr("pmod(xxhash64(text_key), n_blocks)")).withColumn("order", F.xxhash64(F.lit(seed), F.lit("block"), "no", "block"))
+        place = {(r["no"], r["text_key"]): (r["order"], r["block"]) for r in keys.collect()}
+        for no, (source, target) in enumerate(zip(sources, targets, strict=True)):
+            units, blocks = collections.Counter(), collections.defaultdict(list)
+            for r in rows:
+                if r["source"] == source:
+                    units[r["text_key"]] += r["size"]
+            for key, n in units.items():
+                blocks[place[no, key]].append((key, n))
+            whole = min(3, int(target // sizes[source])) if sizes[source] else 0
+            got = filled_by_hand([blocks[b] for b in sorted(blocks)], target - whole * sizes[source])
+            assert all(len(r["draws"]) == whole + (r["text_key"] in got) for r in rows if r["source"] == source)
+        assert {d["shard"] for r in rows for d in r["draws"]} <= set(range(5))
+
+
+def test_places_of_copies_are_the_splitting_trees(spark, monkeypatch):
+    copies = [700, 33, 0, 5]
+    one = mixing._places(spark, copies, 9, 3).collect()
+    want = np.array(mixing.split_quotas(copies, 9, 3))
+    monkeypatch.setattr(mixing, "GROUPS", 4)
+    for got, shards in ((one, 9), (mixing._places(spark, copies, 9, 3).collect(), 12)):
+        assert sorted((r["no"], r["at"]) for r in got) == [(no, k) for no, n in enumerate(copies) for k in range(n)]
+        n = np.zeros((shards, 4), int)
+        for r in got:
+            n[r["shard"], r["no"]] += 1
+        assert np.ptp(n.sum(axis=1)) <= 4 and (shards == 12 or (n == want).all())
+
+
 @pytest.mark.parametrize(("n", "long", "seed"), [(1000, 3001, 1), (1000, 3001, 2), (2000, 2500, 1)])
 def test_mixing_goes_on_behind_a_document_that_does_not_fit(spark, n, long, seed):
     """Half of source a is wanted: what a long document cannot use goes to those of three words behind it."""
@@ -336,6 +411,80 @@ def test_forward_sums_all_segmentations():
 
     words = ["ab", "aba", "bbab", "zab"]
     assert np.allclose(np.exp(model.forward(words)), [[total("▁" + w, c) for c in (0, 1)] for w in words])
+    long = ["ab" * 20, "abbaz" * 300, "b" * 33, "a"]
+    want = [[log_total(w, c, pieces, p, unknown) for c in (0, 1)] for w in long]
+    assert np.allclose(model.forward(long), want) and np.allclose(model.forward(long, strip=7), want)
+    score, n = model.score(" ".join([*long, "ab", "ab"]))
+    assert n == sum(map(len, long)) + 4 and np.allclose(score, np.sum([*want, *2 * [[log_total("ab", c, pieces, p, unknown) for c in (0, 1)]]], axis=0))
+
+
+def log_total(word, c, pieces, p, unknown):
+    """The forward sum of one word and language by exact fractions, so that no length is too long."""
+    row, s = {q: Fraction(float(p[k, c])) for k, q in enumerate(pieces)}, "▁" + word
+    f = [Fraction(1)]
+    for j in range(1, len(s) + 1):
+        now = f[j - 1] * Fraction(float(unknown[c])) + sum(f[i] * row[s[i:j]] for i in range(max(0, j - 12), j) if s[i:j] in row)
+        f.append(Fraction(now.numerator >> (k := max(0, now.denominator.bit_length() - 4000)), now.denominator >> k))
+    return math.log(f[-1].numerator) - math.log(f[-1].denominator)
+
+
+def test_expected_counts_over_all_segmentations():
+    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "ba"]
+    p = np.array([[0.1], [0.2], [0.1], [0.2], [0.1], [0.2], [0.1]])
+    model = language_id.PieceModel(["x"], pieces, p, np.array([0.01]))
+
+    def ways(s):
+        if not s:
+            yield 1.0, collections.Counter()
+            return
+        for value, used in ways(s[1:]):
+            yield 0.01 * value, used
+        for k, q in enumerate(pieces):
+            if s.startswith(q):
+                for value, used in ways(s[len(q) :]):
+                    yield p[k, 0] * value, used + collections.Counter([k])
+
+    words, times = ["ab", "abab", "zba", "a"], np.array([3.0, 1.0, 2.0, 5.0])
+    want = np.zeros(len(pieces))
+    for w, n in zip(words, times, strict=True):
+        every = list(ways("▁" + w))
+        for value, used in every:
+            for k, m in used.items():
+                want[k] += n * m * value / sum(v for v, _ in every)
+    assert np.allclose(language_id.expected_counts(model, 0, words, times), want)
+
+
+def test_language_id_by_hand(spark, docs):
+    """Training and prediction, run word by word in plain Python on a few documents."""
+    few = docs.where("length(text) < 400").orderBy("doc_id").limit(40).select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in few.collect()]
+    model = language_id.fit(few, rounds=1)
+    pieces = language_id.vocabulary(None)
+    counts = {}
+    for _, text, lang in rows:
+        counts.setdefault(lang, collections.Counter()).update(language_id.letter_runs(text))
+    first = language_id.PieceModel(model.languages, pieces, np.full((len(pieces), len(model.languages)), 1 / len(pieces)), model.unknown)
+    want = np.full(model.p.shape, 0.05)
+    for c, lang in enumerate(model.languages):
+        for w, n in counts[lang].items():
+            want[:, c] += language_id.expected_counts(first, c, [w], np.array([float(n)]))
+    assert np.allclose(model.p, want / want.sum(axis=0))
+    for r in language_id.predict(few, model).collect():
+        runs = language_id.letter_runs(r["text"] if "text" in r else dict((d, t) for d, t, _ in rows)[r["doc_id"]])
+        total = np.sum([model.forward([w])[0] for w in runs], axis=0)
+        assert r["lang_pred"] == model.languages[int(np.argmax(total))]
+
+
+def test_language_id_ties_and_long_runs(spark):
+    same = spark.createDataFrame([(k, "alpha beta gamma", lang) for k, lang in enumerate(["b", "a", "c", "c"])], "doc_id long, text string, lang string")
+    model = language_id.fit(same.where("doc_id < 3"))
+    assert model.languages == ["a", "b", "c"]
+    texts = spark.createDataFrame([(1, "gamma beta"), (2, "beta" * 5000), (3, "日本語" * 700)], "doc_id long, text string")
+    out = collected(language_id.predict(texts, model))
+    assert {r["lang_pred"] for r in out.values()} == {"a"} and all(r["score"] == pytest.approx(1 / 3) for r in out.values())
+    many = spark.createDataFrame([(k, "word", f"l{k}") for k in range(language_id.MAX_LANGUAGES + 1)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        language_id.fit(many)
 
 
 def test_language_id(spark, docs, odd, none):
@@ -374,6 +523,128 @@ def test_html_extract(spark):
     assert html_extract.extract(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_suffix_array(seed):
+    rng = np.random.default_rng(seed)
+    tokens = rng.integers(1, 2 + seed, 200).astype(np.uint64)
+    order, common = html_extract.suffix_array(tokens, 16)
+    t = tokens.tolist()
+    heads = [t[i : i + 16] for i in order]
+    assert sorted(order.tolist()) == list(range(200)) and heads == sorted(heads)
+    for k in range(1, 200):
+        a, b = t[order[k - 1] :], t[order[k] :]
+        n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert common[k] == min(n, 16)
+
+
+def covered_by_hand(pages, least):
+    """Tokens by (page, block) that lie in a substring of ``least`` tokens, marks included, or are a whole short block, that another page of the host has."""
+    seen, own = collections.defaultdict(set), collections.defaultdict(list)
+    for no, (_, host, blocks) in enumerate(pages):
+        stream, broken = [], True
+        for b, (s, text) in enumerate(blocks):
+            if s == 1:
+                broken = True
+                continue
+            stream += [(("break", no, b), None), ("|", None)] if broken else []
+            broken, words = False, text.split()
+            stream += [(w, (b, k)) for k, w in enumerate(words)] + [("|", None)]
+            if len(words) < least:
+                seen[host, "block", *words].add(no)
+                own[no].append(((host, "block", *words), [(b, k) for k in range(len(words))]))
+        for i in range(len(stream) - least + 1):
+            part = stream[i : i + least]
+            key = (host, *(w for w, _ in part))
+            if not any(isinstance(w, tuple) for w, _ in part):
+                seen[key].add(no)
+                own[no].append((key, [p for _, p in part if p]))
+    hit = {(no, *p) for no, keys in own.items() for key, at in keys if len(seen[key]) > 1 for p in at}
+    out = set()
+    for no, (_, _, blocks) in enumerate(pages):
+        for b, (_, text) in enumerate(blocks):
+            n, run = len(text.split()), []
+            for k in range(n + 1):
+                if (no, b, k) in hit:
+                    run.append((no, b, k))
+                else:
+                    out |= set(run) if len(run) >= min(least, n) else set()
+                    run = []
+    return out
+
+
+@pytest.mark.parametrize(("seed", "chunk"), [(1, 10**6), (2, 40), (3, 1)])
+def test_repeated_substrings_by_hand(spark, monkeypatch, seed, chunk):
+    rng = np.random.default_rng(seed)
+    shared = [" ".join(rng.choice(list("abcdefgh"), 9)) for _ in range(4)]
+    pages = []
+    for k in range(30):
+        blocks = [(int(rng.choice([0, 0, 1, -1])), shared[rng.integers(4)] if rng.random() < 0.4 else " ".join(rng.choice(list("abcdefgh"), rng.integers(1, 30)))) for _ in range(rng.integers(1, 6))]
+        pages.append((1000 + k, f"h{k % 2}", blocks))
+    want = covered_by_hand(pages, 8)
+    monkeypatch.setattr(html_extract, "CHUNK_TOKENS", chunk)
+    runs = collections.defaultdict(set)
+    for part in [pages] if chunk == 10**6 else [pages[:7], pages[7:8], pages[8:]]:
+        for seed_, low, high in zip(*html_extract.Streams(part).runs(8), strict=True):
+            runs[seed_] |= {low, high}
+    got = set()
+    for no, page in enumerate(pages):
+        s = html_extract.Streams([page])
+        whole, hashed = s.windows(8)
+        short, own = s.blocks(8)
+        hit = [(a, 8) for a, h in zip(whole.tolist(), hashed.view(np.int64), strict=True) if len(runs[h]) > 1] + [(s.starts[b], s.sizes[b]) for b, h in zip(short.tolist(), own.view(np.int64), strict=True) if len(runs[h]) > 1]
+        got |= {(no, b, k) for b, (_, _, gone) in enumerate(html_extract._cover(page, hit, 8)) for k in np.flatnonzero(gone)}
+    assert got == want and want
+
+
+def extracted_by_hand(rows, least=html_extract.LEAST):
+    """The texts of (page_id, url, html) rows."""
+    pages = {(page, html_extract.host_of(url)): (page, html_extract.host_of(url), html_extract.blocks_of(page or "")) for _, url, page in rows}
+    held = list(pages.values())
+    gone = covered_by_hand(held, least)
+    out = {}
+    for no, (page, host, blocks) in enumerate(held):
+        kept = []
+        for b, (s, text) in enumerate(blocks):
+            if s in (0, 2):
+                text = " ".join(w for k, w in enumerate(text.split()) if (no, b, k) not in gone)
+            if s >= 0 and text:
+                kept.append(text)
+        out[page, host] = "\n".join(kept)
+    return [(i, out[page, html_extract.host_of(url)]) for i, url, page in rows]
+
+
+def test_html_extract_by_hand(spark):
+    """All given pages, and the same pages without the containers that settle their structure."""
+    given = [tuple(r) for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()]
+    bare = [(i + 1000, url, re.sub("</?article>|</?main>", "", page)) for i, url, page in given]
+    doubtful = [(5000 + k, "http://d.example/", f'<article><p>Own words of {k} here</p><div class="legal"><p>All rights of this text are with us and nobody else at all, always</p><p>only {k} says it</p></div><div id="related-work"><p>Earlier work by {k}</p></div></article>') for k in range(4)]
+    cards = [(6000 + k, "http://c.example/", f"<p>Lead text of {k} that no other page has</p><article><p>Card one {k}</p></article><article><p>Card two {k}</p></article><p>Same end</p>") for k in range(3)]
+    rows = given + bare + doubtful + cards
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = [(r["page_id"], r["text"]) for r in html_extract.extract(spark, df).collect()]
+    assert sorted(got) == sorted(extracted_by_hand(rows))
+    text = dict(got)
+    assert text[5001] == "Own words of 1 here\nonly 1 says it\nEarlier work by 1"
+    assert text[6002] == "Lead text of 2 that no other page has\nCard one 2\nCard two 2"
+
+
+def test_the_substring_step_reads_the_given_pages(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = html_extract.decisions(spark, pages).collect()
+    assert sum(r["n_blocks"] for r in rows if r["standing"] == -1) > 3 * pages.count()
+    found = pages.selectExpr("page_id", "url", "xxhash64(html) AS h", "html").mapInArrow(html_extract._found(html_extract.LEAST, False), html_extract._FOUND)
+    assert found.where("kind = 0").count() > pages.count()
+
+
+def test_html_of_odd_pages(spark):
+    """Very long texts, unclosed tags and quotes, tags without an end."""
+    long = "word " * 400_000
+    rows = [(1, "http://o.example/", f"<article><p>{long}</p></article>"), (2, "http://o.example/", "<article><p>one <b title='x>two <p>three"), (3, "http://o.example/", "<div" * 2000 + " class='x"), (4, "http://o.example/", "<article><p>a<!-- open comment"), (5, "http://o.example/", "<p>" * 5000 + "deep"), (6, "http://o.example/", "<script>never closed <p>x")]
+    out = {r["page_id"]: r for r in html_extract.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[1]["text"] == long.strip() and out[1]["n_chars"] == len(long) - 1
+    assert out[4]["text"] == "a" and out[5]["text"] == "deep" and out[6]["text"] == "" and len(out) == 6
+
+
 # nearest
 
 
@@ -395,19 +666,53 @@ def test_nearest_recall_and_order(spark):
     assert np.mean(recall) >= 0.9
 
 
-def test_nearest_recall_beyond_leaf_bound(spark, monkeypatch):
-    # With leaves bounded to 16 vectors, 5,000 stand for a table five times LEAF_MOST / LEAF_SHARE: leaves are compared in blocks, not opened in a smaller share.
-    monkeypatch.setattr("corpusflow.llm.nearest.LEAF_MOST", 16)
-    monkeypatch.setattr("corpusflow.llm.nearest.QUERIES_MOST", 9, raising=False)
-    x = np.random.default_rng(3).standard_normal((5000, 64))
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+def recall_of(spark, x, folder, every, **options):
+    """Mean share of the true 20 neighbours found, over all queries."""
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.array(x.tolist(), pa.list_(pa.float64()))}), f"{folder}/x.parquet")
     found = collections.defaultdict(list)
-    for r in nearest(spark, df, every=50).orderBy("query_id", "rank").collect():
+    for r in nearest(spark, spark.read.parquet(f"file://{folder}/x.parquet"), every=every, **options).orderBy("query_id", "rank").collect():
         found[r["query_id"]].append(r["vec_id"])
-    assert sorted(found) == list(range(0, 5000, 50)) and all(len(set(f)) == 20 for f in found.values())
-    best = {q: [i for i in np.argsort(-(x @ x[q])) if i != q][:20] for q in found}
-    assert np.mean([len({*best[q]} & {*found[q]}) / 20 for q in found]) >= 0.9
+    assert sorted(found) == list(range(0, len(x), every)) and all(len(set(f)) == 20 for f in found.values())
+    best = {q: [i for i in np.argsort(-(x @ x[q]), kind="stable") if i != q][:20] for q in found}
+    return np.mean([len({*best[q]} & {*found[q]}) / 20 for q in found])
+
+
+def vectors_of(n, centres, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, 64)) + (4 * rng.standard_normal((centres, 64)))[rng.integers(0, centres, n)] if centres else rng.standard_normal((n, 64))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+@pytest.mark.parametrize(("n", "centres"), [(5000, 0), (50000, 300)])
+def test_nearest_recall(spark, tmp_path, monkeypatch, n, centres):
+    # Small bounds, so that leaves are split and queries shared out as in a large table.
+    monkeypatch.setattr(nearest_module, "LEAF_MOST", 100)
+    monkeypatch.setattr(nearest_module, "QUERIES_MOST", 9)
+    assert recall_of(spark, vectors_of(n, centres, 3), tmp_path, n // 80) >= 0.9
+
+
+def test_nearest_exact(spark, tmp_path):
+    assert recall_of(spark, vectors_of(3000, 0, 4), tmp_path, 50, exact=True) == 1
+
+
+def test_calibration_opens_few_leaves_of_clustered_vectors(spark, tmp_path):
+    shares = []
+    for centres in (0, 100):
+        x = vectors_of(8000, centres, 5)
+        index = spark.createDataFrame([([k], v) for k, v in enumerate(x.tolist())], "ids array<long>, embedding array<double>")
+        forest = nearest_module.Forest.fit(nearest_module._lifted(x, 1.0, False), 4, 6)
+        probes, opened = nearest_module.calibrated(index, forest, 64, 1.0, 20, 0.95)
+        assert opened.sum() == pytest.approx(probes)
+        shares.append(probes / opened.size)
+    assert shares[1] < 0.5 * shares[0]
+
+
+def test_probe_opens_leaves_by_cost():
+    x = vectors_of(500, 0, 6)
+    forest = nearest_module.Forest.fit(x, 3, 4)
+    for q in x[:20]:
+        cost = forest.costs(q)
+        assert [round(float(cost[t, f]), 9) for t, f in forest.probe(q, 48)] == pytest.approx(np.sort(cost, axis=None).tolist(), abs=1e-8)
 
 
 def test_nearest_odd(spark):
