@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,14 +13,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.scratch import Scratch
+
 #: Training documents of one language, at most (the smallest by hash of their id).
 DOCS_PER_LANGUAGE = 400
+#: Languages that a model can hold (more raise an error): its table has a row a piece and a column a language.
 MAX_LANGUAGES = 500
 #: Longest piece in characters that the forward pass looks up.
 LONGEST = 12
-#: Characters of a word scored as one unit; longer words are scored in runs of this length.
-WORD_RUN = 32
-CACHED_WORDS = 400_000
+#: Letters of the words whose scores a Python worker keeps, and their number.
+CACHED_LETTERS, CACHED_WORDS = 32, 400_000
+#: Letters after which the forward pass brings its values back to 1.
+RESCALE = 24
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -40,46 +46,60 @@ class PieceModel:
         self.cache: dict[str, int] = {}
         self.scores = np.zeros((1024, len(languages)))
 
-    def forward(self, words: list[str]) -> np.ndarray:
-        """log of the sum over all ways to cut "▁word" into pieces, for many words and all languages at once."""
-        length = np.array([len(w) + 1 for w in words])
-        row, ends = self.starts.get, [([], [], []) for _ in range(int(length.max()) + 1)]
+    def _ends(self, words: list[str], first: int, past: int, ends: dict[int, tuple]) -> None:
+        """Add the pieces that start at places first ... past - 1 of "▁word" to ``ends``: (words, starts, pieces) by end."""
+        row = self.starts.get
         for k, w in enumerate(words):
             s = "▁" + w
             n = len(s)
-            for i in range(n):
+            for i in range(first, min(past, n)):
                 for j in range(i + 1, min(n, i + LONGEST) + 1):
                     piece = row(s[i:j])
                     if piece is None:
                         break
                     if piece >= 0:
+                        if j not in ends:
+                            ends[j] = ([], [], [])
                         at = ends[j]
                         at[0].append(k)
                         at[1].append(i)
                         at[2].append(piece)
-        a = np.zeros((len(ends), len(words), len(self.languages)))
+
+    def forward(self, words: list[str], strip: int = 4096) -> np.ndarray:
+        """log of the sum over all ways to cut "▁word" into pieces, for many words and all languages at once, whatever their length.
+
+        Only the last ``LONGEST`` places are held; values are brought back to 1 now and then and their logarithms kept.
+        """
+        length = np.array([len(w) + 1 for w in words])
+        ring, ends, wide = LONGEST + 1, {}, int(length.max())
+        a = np.zeros((ring, len(words), len(self.languages)))
         a[0] = 1.0
-        for j in range(1, len(ends)):
-            a[j] = a[j - 1] * self.unknown
-            if ends[j][0]:
-                w, i, piece = (np.array(x) for x in ends[j])
+        scale, out = np.zeros(a.shape[1:]), np.zeros(a.shape[1:])
+        done = np.bincount(length, minlength=wide + 1)
+        for j in range(1, wide + 1):
+            if (j - 1) % strip == 0:
+                self._ends(words, j - 1, j - 1 + strip, ends)
+            now = a[j % ring]
+            np.multiply(a[(j - 1) % ring], self.unknown, out=now)
+            if j in ends:
+                w, i, piece = (np.array(x) for x in ends.pop(j))
+                order = np.argsort(w, kind="stable")
+                w, i, piece = w[order], i[order], piece[order]
                 first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
-                a[j, w[first]] += np.add.reduceat(a[i, w] * self.p[piece], first, axis=0)
-        return np.log(a[length, np.arange(len(words))])
-
-    def learn(self, words: list[str], at_once: int = 4096) -> None:
-        """Score words that the table lacks; a word over ``WORD_RUN`` letters is the sum of its runs."""
-        runs = [w for w in words if len(w) <= WORD_RUN]
-        for w in words:
-            if len(w) > WORD_RUN:
-                runs += [r for r in (w[i : i + WORD_RUN] for i in range(0, len(w), WORD_RUN)) if r not in self.cache]
-        runs = [r for r in dict.fromkeys(runs) if r not in self.cache]
-        for k in range(0, len(runs), at_once):
-            self._add(runs[k : k + at_once], self.forward(runs[k : k + at_once]))
-        for w in words:
-            if len(w) > WORD_RUN:
-                rows = [self.cache[w[i : i + WORD_RUN]] for i in range(0, len(w), WORD_RUN)]
-                self._add([w], self.scores[rows].sum(axis=0, keepdims=True))
+                now[w[first]] += np.add.reduceat(a[i % ring, w] * self.p[piece], first, axis=0)
+            if done[j]:
+                at = np.flatnonzero(length == j)
+                out[at] = np.log(now[at]) + scale[at]
+            if j % RESCALE == 0:
+                by = np.where(now > 0, now, 1.0)
+                scale += np.log(by)
+                a /= by
+        return out
+
+    def learn(self, words: list[str]) -> None:
+        """Score words that the table lacks."""
+        for part in by_length(words):
+            self._add(part, self.forward(part))
 
     def _add(self, words: list[str], scores: np.ndarray) -> None:
         first = len(self.cache)
@@ -89,14 +109,34 @@ class PieceModel:
         self.cache.update(zip(words, range(first, first + len(words)), strict=True))
 
     def score(self, text: str) -> tuple[np.ndarray, int]:
-        """(log likelihood by language, letters) of all letter runs of the text."""
+        """(log likelihood by language, letters) of all letter runs of the text, each as a whole."""
         words = letter_runs(text)
+        letters = sum(map(len, words))
+        long = [w for w in words if len(w) > CACHED_LETTERS]
+        if long:
+            words = [w for w in words if len(w) <= CACHED_LETTERS]
         if len(self.cache) > CACHED_WORDS:
             self.cache.clear()
         if new := {w for w in words if w not in self.cache}:
             self.learn(sorted(new))
         rows = np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
-        return self.scores[rows].sum(axis=0), sum(map(len, words))
+        total = self.scores[rows].sum(axis=0)
+        for part in by_length(long):
+            total = total + self.forward(part).sum(axis=0)
+        return total, letters
+
+
+def by_length(words: list[str], most: int = 4096, letters: int = 1 << 17) -> Iterator[list[str]]:
+    """Words in runs of like length, each of so many words and letters at most (a longer word is a run of its own)."""
+    held, size = [], 0
+    for w in sorted(words, key=len):
+        if held and (len(held) >= most or size + len(w) > letters):
+            yield held
+            held, size = [], 0
+        held.append(w)
+        size += len(w)
+    if held:
+        yield held
 
 
 def vocabulary(path: str | None) -> list[str]:
@@ -116,66 +156,94 @@ def fit(docs: DataFrame, vocabulary_path: str | None = None, rounds: int = 2, do
     """Piece probabilities by language from ``docs`` (doc_id, text, lang), by expectation-maximisation over all segmentations.
 
     The sample: of each language the ``docs_per_language`` documents with the smallest hashes of
-    (doc_id, text), whole; at most ``MAX_LANGUAGES`` languages. Every piece starts equal in all languages.
+    (doc_id, text), all words of their whole texts. Every piece starts equal in all languages. Expected counts
+    are summed in tasks; the driver holds the table of pieces by language only. More than ``MAX_LANGUAGES``
+    languages raise an error. Languages are in order of their documents' number, then of their name.
     """
-    langs = [r["lang"] for r in docs.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
-    counts: dict[str, dict[str, int]] = {}
+    spark = docs.sparkSession
+    work = Scratch(spark, "language")
+    langs = [r["lang"] for r in docs.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()]
+    if len(langs) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     ranked = docs.where("lang is not null and text is not null").select("lang", "doc_id", F.xxhash64("doc_id", "text").alias("h"))
-    # Per-task first rows before the window: no task gathers a whole language.
-    few = ranked.withColumn("part", F.pmod("h", F.lit(64))).withColumn("n", F.row_number().over(Window.partitionBy("lang", "part").orderBy("h", "doc_id"))).where(F.col("n") <= docs_per_language)
+    # First rows of parts of a language before those of the language: no task gathers a whole language.
+    few = ranked.withColumn("part", F.pmod("h", F.lit(8))).withColumn("n", F.row_number().over(Window.partitionBy("lang", "part").orderBy("h", "doc_id"))).where(F.col("n") <= docs_per_language)
     few = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= docs_per_language)
     chosen = F.broadcast(few.select("doc_id", "h").distinct().limit(docs_per_language * max(1, len(langs))))
     sample = docs.withColumn("h", F.xxhash64("doc_id", "text")).join(chosen, ["doc_id", "h"], "left_semi").where("lang is not null")
-    for batch_lang, word, n in sample.select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n")).toLocalIterator():
-        counts.setdefault(batch_lang, {})[word] = n
-    return _em(langs, counts, vocabulary(vocabulary_path), rounds)
+    words = sample.select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = work.save(words, "words")
+    pieces = vocabulary(vocabulary_path)
+    model = PieceModel(langs, pieces, np.full((len(pieces), len(langs)), 1.0 / max(1, len(pieces))), np.full(len(langs), 0.1 / max(1, len(pieces))))
+    for _ in range(rounds if langs else 0):
+        counts = np.full((len(pieces), len(langs)), 0.05)
+        for r in words.mapInArrow(_expected(langs, pieces, model.p, model.unknown), "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toLocalIterator():
+            counts[r["piece"], r["lang"]] += r["n"]
+        model.p = counts / counts.sum(axis=0)
+    return model
 
 
 def _word_counts(batches):
-    from collections import Counter
-
     for batch in batches:
         found: Counter = Counter()
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-            found.update((lang, w[:WORD_RUN]) for w in letter_runs(text.as_py() or ""))
+            found.update((lang, w) for w in letter_runs(text.as_py() or ""))
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(found.values(), pa.int64())], ["lang", "word", "n"])
 
 
-def _em(langs: list[str], counts: dict[str, dict[str, int]], pieces: list[str], rounds: int, commonest: int = 4000) -> PieceModel:
-    """Each language's expected piece counts over its commonest words; smoothed by one count spread over all pieces."""
-    row = {p: k for k, p in enumerate(pieces)}
-    prob = np.full((len(pieces), len(langs)), 1.0 / max(1, len(pieces)))
-    unknown = np.full(len(langs), 0.1 / max(1, len(pieces)))
-    for _ in range(rounds):
-        new = np.full((len(pieces), len(langs)), 0.05)
-        for c, lang in enumerate(langs):
-            words = sorted(counts.get(lang, {}).items(), key=lambda x: (-x[1], x[0]))[:commonest]
-            p = prob[:, c]
-            for word, times in words:
-                s = "▁" + word
-                n = len(s)
-                spans = [(i, j, row[s[i:j]]) for j in range(1, n + 1) for i in range(max(0, j - LONGEST), j) if s[i:j] in row]
-                forward, backward = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-                skip = unknown[c]
-                ends = [[] for _ in range(n + 1)]
-                for i, j, k in spans:
-                    ends[j].append((i, k))
-                for j in range(1, n + 1):
-                    forward[j] = forward[j - 1] * skip + sum(forward[i] * p[k] for i, k in ends[j])
-                for j in range(n, 0, -1):
-                    backward[j - 1] += backward[j] * skip
-                    for i, k in ends[j]:
-                        backward[i] += backward[j] * p[k]
-                if forward[n] > 0:
-                    for i, j, k in spans:
-                        new[k, c] += times * forward[i] * p[k] * backward[j] / forward[n]
-        prob = new / new.sum(axis=0)
-    return PieceModel(langs, pieces, prob, unknown)
-
-
-def _predicted(languages, pieces, p, unknown):
+def expected_counts(model: PieceModel, lang: int, words: list[str], times: np.ndarray) -> np.ndarray:
+    """How often each piece is used in words of a language, over all segmentations by their probability: a forward and a backward pass in logarithms."""
+    length = np.array([len(w) + 1 for w in words])
+    wide, every = int(length.max()), np.arange(len(words))
+    ends: dict[int, tuple] = {}
+    model._ends(words, 0, wide, ends)
+    p, skip = model.p[:, lang], model.unknown[lang]
+    spans = {j: tuple(np.array(x) for x in v) for j, v in ends.items()}
+    forward, backward = np.zeros((wide + 1, len(words))), np.full((wide + 1, len(words)), -np.inf)
+    for j in range(1, wide + 1):
+        before = forward[j - 1]
+        got = np.full(len(words), skip)
+        if j in spans:
+            w, i, piece = spans[j]
+            np.add.at(got, w, p[piece] * np.exp(forward[i, w] - before[w]))
+        forward[j] = before + np.log(got)
+    backward[length, every] = 0.0
+    out = np.zeros(len(p))
+    total = forward[length, every]
+    for j in range(wide, 0, -1):
+        # Nothing else reaches place j from behind once its own pieces are settled, as pieces are given in order of their ends.
+        backward[j - 1] = np.logaddexp(backward[j - 1], backward[j] + np.log(skip))
+        if j in spans:
+            w, i, piece = spans[j]
+            gain = np.log(p[piece]) + backward[j, w]
+            np.logaddexp.at(backward, (i, w), gain)
+            np.add.at(out, piece, times[w] * np.exp(forward[i, w] + gain - total[w]))
+    return out
+
+
+def _expected(languages: list[str], pieces: list[str], p: np.ndarray, unknown: np.ndarray):
+    def run(batches):
+        model, place, found = PieceModel(languages, pieces, p, unknown), {x: k for k, x in enumerate(languages)}, {}
+        for batch in batches:
+            held: dict[str, dict[str, int]] = {}
+            for lang, word, n in zip(*[batch.column(c).to_pylist() for c in ("lang", "word", "n")], strict=True):
+                held.setdefault(lang, {})[word] = n
+            for lang, words in held.items():
+                if lang not in found:
+                    found[lang] = np.zeros(len(pieces))
+                for part in by_length(list(words)):
+                    found[lang] += expected_counts(model, place[lang], part, np.array([words[w] for w in part], float))
+        for lang, n in found.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), place[lang], np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "piece", "n"])
+
+    return run
+
+
+def _predicted(held):
     def run(batches):
-        model = PieceModel(languages, pieces, p, unknown)
+        languages = held.value[0]
+        model = PieceModel(*held.value)
         for batch in batches:
             found, scores = [], []
             for text in batch.column("text"):
@@ -203,4 +271,4 @@ def predict(docs: DataFrame, model: PieceModel) -> DataFrame:
     pieces = sorted(model.row, key=model.row.get)
     keep = [f for f in docs.schema.fields if f.name not in ("text", "lang_pred", "score")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", lang_pred string, score double"
-    return docs.select(*[F.col(f"`{f.name}`") for f in keep], "text").mapInArrow(_predicted(model.languages, pieces, model.p, model.unknown), schema)
+    return docs.select(*[F.col(f"`{f.name}`") for f in keep], "text").mapInArrow(_predicted(docs.sparkSession.sparkContext.broadcast((model.languages, pieces, model.p, model.unknown))), schema)
