@@ -13,15 +13,15 @@ from pyspark.sql.window import Window
 
 from ..plans.scratch import Scratch
 
-#: Vectors that trees are fitted on, at most (the smallest by hash).
-SAMPLE = 20_000
-TREES = 8
-#: A tree's leaves: as many as give this share of all vectors in one, or fewer, of LEAF_LEAST vectors. The depth that this gives does not grow further, as PROBES leaves would then be a smaller share.
-LEAF_SHARE, LEAF_LEAST = 1 / 64, 32
+#: Vectors that trees are fitted on, at least and for each leaf (the smallest by hash, all if there are fewer).
+SAMPLE, SAMPLE_LEAF = 20_000, 16
+TREES = 4
+#: A tree's leaves have this share of all vectors, or fewer, of LEAF_LEAST to LEAF_WANTED vectors; a tree has 2 ** DEPTH_MOST leaves at most.
+LEAF_SHARE, LEAF_LEAST, LEAF_WANTED, DEPTH_MOST = 1 / 64, 32, 4096, 12
 #: A leaf's vectors and the queries that open it are compared in blocks of about so many.
 LEAF_MOST, QUERIES_MOST = 4096, 16384
-#: Leaves that a query opens, over all trees.
-PROBES = 72
+#: Vectors whose true neighbours are found by an exact scan, and the share of those that the opened leaves have to hold.
+CALIBRATION, RECALL = 200, 0.96
 
 
 class Forest:
@@ -64,6 +64,15 @@ class Forest:
             out[:, t] = node - ((1 << self.depth) - 1)
         return out
 
+    def costs(self, q: np.ndarray) -> np.ndarray:
+        """Violated margin of the way to each leaf, trees x leaves: ``probe`` opens leaves in this order."""
+        margins = self.planes @ q - self.cuts
+        out = np.zeros((len(self.cuts), 1))
+        for d in range(self.depth):
+            m = margins[:, (1 << d) - 1 : (2 << d) - 1]
+            out = np.stack((out + np.where(m >= 0, m * m, 0), out + np.where(m < 0, m * m, 0)), axis=2).reshape(len(self.cuts), -1)
+        return out
+
     def probe(self, q: np.ndarray, probes: int) -> list[tuple[int, int]]:
         """(tree, leaf) of the leaves whose way there violates the least margin, over all trees at once."""
         margins = self.planes @ q - self.cuts
@@ -90,8 +99,68 @@ def _lifted(x: np.ndarray, most: float, query: bool) -> np.ndarray:
     return np.concatenate((x, last[:, None]), axis=1)
 
 
-def _routed(forest: Forest, dim: int, most: float, probes: int, cuts: int, shares: int, every: int):
-    """Rows (role, ids, embedding) -> rows by (tree, leaf, cut of vectors, share of queries).
+def _exact(queries: np.ndarray, dim: int, k: int):
+    """Rows (embedding) -> the task's k vectors of largest inner product for each query: (query, score, vector)."""
+
+    def run(batches):
+        score, near = np.full((len(queries), 0), 0.0), np.zeros((len(queries), 0, dim))
+        for batch in batches:
+            x = _matrix(batch.column("embedding"), dim)
+            for c in range(0, len(x), 4096):
+                own = x[c : c + 4096]
+                s = queries @ own.T
+                at = np.argpartition(-s, k - 1, axis=1)[:, :k] if s.shape[1] > k else np.tile(np.arange(s.shape[1]), (len(queries), 1))
+                score, near = np.concatenate((score, np.take_along_axis(s, at, 1)), axis=1), np.concatenate((near, own[at]), axis=1)
+                at = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                score, near = np.take_along_axis(score, at, 1), np.take_along_axis(near, at[:, :, None], 1)
+        n = score.size
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32)), pa.array(near.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(queries), dtype=np.int32), score.shape[1])), pa.array(score.reshape(-1)), flat], ["query", "score", "vector"])
+
+    return run
+
+
+def calibrated(index: DataFrame, forest: Forest, dim: int, most: float, k: int, recall: float) -> tuple[int, np.ndarray]:
+    """(leaves to open, share of queries that open each leaf: trees x leaves).
+
+    ``CALIBRATION`` vectors of the index (the smallest by hash) are queries whose true neighbours one exact scan
+    of all vectors finds; the leaves to open are the fewest that hold ``recall`` of these neighbours.
+    """
+    held = index.orderBy(F.xxhash64(F.lit(7), "embedding"), "ids").limit(CALIBRATION).select("embedding").toPandas()["embedding"]
+    queries = np.stack(held.to_list()).astype(np.float64)
+    rows = index.select("embedding").mapInArrow(_exact(queries, dim, k + 1), "query int, score double, vector array<double>")
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vector"))
+    rows = rows.withColumn("n", best).where(F.col("n").between(2, k + 1)).toPandas()  # the first is the query itself
+    lifted, costs, needed = _lifted(queries, most, True), [], [1]
+    for q, own in rows.groupby("query"):
+        cost = forest.costs(lifted[q])
+        leaves = forest.leaves(_lifted(np.stack(own["vector"].to_list()), most, False))
+        costs.append(cost)
+        reached = cost[np.arange(leaves.shape[1]), leaves].min(axis=1)
+        needed += np.searchsorted(np.sort(cost, axis=None), reached, "right").tolist()
+    probes = int(np.sort(needed)[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)])
+    opened = np.zeros(forest.planes.shape[:1] + (1 << forest.depth,))
+    for cost in costs:
+        opened.flat[np.argsort(cost, axis=None, kind="stable")[:probes]] += 1 / len(costs)
+    return probes, opened
+
+
+def _leaf_of(forest: Forest, dim: int, most: float):
+    """Rows (embedding) -> (leaf, n): vectors of each leaf, leaves being numbered through all trees."""
+
+    def run(batches):
+        n = np.zeros(len(forest.cuts) << forest.depth, np.int64)
+        for batch in batches:
+            leaves = forest.leaves(_lifted(_matrix(batch.column("embedding"), dim), most, False))
+            n += np.bincount((leaves + (np.arange(leaves.shape[1]) << forest.depth)).ravel(), minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["leaf", "n"])
+
+    return run
+
+
+def _routed(forest: Forest, dim: int, most: float, probes: int, cuts: np.ndarray, shares: np.ndarray, every: int):
+    """Rows (role, ids, embedding) -> rows by place: leaf, cut of its vectors and share of its queries, by the leaf's own numbers.
 
     A vector goes to its cut of its leaf in each tree, once for each share; a query to its share of the leaves that it opens, once for each cut.
     """
@@ -108,18 +177,18 @@ def _routed(forest: Forest, dim: int, most: float, probes: int, cuts: int, share
                 first = part.column("ids").flatten().to_numpy()[part.column("ids").offsets.to_numpy()[:-1] - part.column("ids").offsets[0].as_py()]
                 if role == 0:
                     leaf = forest.leaves(lifted)
-                    row, tree, leaf = np.repeat(np.arange(len(x)), leaf.shape[1]), np.tile(np.arange(leaf.shape[1]), len(x)), leaf.ravel()
-                    block, others, step = (first % cuts)[row], shares, cuts
+                    row, leaf = np.repeat(np.arange(len(x)), leaf.shape[1]), (leaf + (np.arange(leaf.shape[1]) << forest.depth)).ravel()
+                    own, step, times = first[row] % cuts[leaf], cuts[leaf], shares[leaf]
                 else:
-                    found = [(k, t, f) for k, q in enumerate(lifted) for t, f in forest.probe(q, probes)]
-                    row, tree, leaf = (np.array(c, np.int64) for c in zip(*found, strict=True))
-                    block, others, step = (first // every % shares)[row] * cuts, cuts, 1
-                for k in range(0, len(row), 4096):
-                    s = slice(k, k + 4096)
-                    own = part.take(pa.array(row[s]))
-                    for other in range(others):
-                        place = (tree[s] << 48) + (leaf[s] << 40) + block[s] + other * step
-                        yield pa.RecordBatch.from_arrays([pa.array(place), own.column("role"), own.column("ids"), own.column("embedding")], ["place", "role", "ids", "embedding"])
+                    found = [(k, (t << forest.depth) + f) for k, q in enumerate(lifted) for t, f in forest.probe(q, probes)]
+                    row, leaf = (np.array(c, np.int64) for c in zip(*found, strict=True))
+                    own, step, times = first[row] // every % shares[leaf] * cuts[leaf], np.ones(len(row), np.int64), cuts[leaf]
+                for k in range(int(times.max())):
+                    at = np.flatnonzero(times > k)
+                    for c in range(0, len(at), 4096):
+                        some = at[c : c + 4096]
+                        place, rows = (leaf[some] << 32) + own[some] + k * step[some], part.take(pa.array(row[some]))
+                        yield pa.RecordBatch.from_arrays([pa.array(place), rows.column("role"), rows.column("ids"), rows.column("embedding")], ["place", "role", "ids", "embedding"])
 
     return run
 
@@ -167,15 +236,15 @@ def _reranked(dim: int, k: int):
     return run
 
 
-def nearest(spark: SparkSession, vectors: DataFrame, every: int = 20, k: int = 20, trees: int = TREES, probes: int = PROBES, sample: int = SAMPLE) -> DataFrame:
+def nearest(spark: SparkSession, vectors: DataFrame, every: int = 20, k: int = 20, trees: int = TREES, recall: float = RECALL, exact: bool = False) -> DataFrame:
     """For each vector whose id is divisible by ``every``: its k nearest others found: query_id, rank, vec_id, score.
 
     Nearness is the inner product in double precision; ties go to the smaller vec_id. Equal vectors are
     indexed once, with the k + 1 smallest of their ids: no answer needs more, so this loses nothing.
     Vectors that are null, zero, of another length than most, or hold null or non-finite components take no
     part, nor do null ids; a vec_id that repeats with one vector counts once. Fewer candidates give fewer rows.
-    A query opens the same share of leaves at every size, and so examines about the same share of the vectors:
-    recall does not fall with size, and the work grows with queries times vectors.
+    How many leaves a query opens is measured on the table itself (``calibrated``), so that recall holds at any
+    size; how much this examines depends on how clustered the vectors are. ``exact`` compares all instead.
     """
     work = Scratch(spark, "nearest")
     fit = "embedding is not null and vec_id is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
@@ -191,15 +260,20 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 20, k: int = 2
     same = first(first(good.dropDuplicates(["vec_id", "embedding"]), "salt"))
     index = work.save(same.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "index")
     n = index.count()
+    wanted = max(LEAF_LEAST, min(LEAF_WANTED, n * LEAF_SHARE))
+    depth = 0 if exact else max(0, min(DEPTH_MOST, round(math.log2(max(1, n / wanted))), int(math.log2(max(1, n / 4)))))
+    sample = max(SAMPLE, SAMPLE_LEAF << depth)
     drawn = index.orderBy(F.xxhash64("embedding"), "ids").limit(sample).select("embedding").toPandas()["embedding"]
-    leaf = max(LEAF_LEAST, n * LEAF_SHARE)
-    depth = max(0, min(round(math.log2(max(1, n / leaf))), int(math.log2(max(1, min(n, sample) / 4)))))
-    forest = Forest.fit(_lifted(np.stack(drawn.to_list()).astype(np.float64), most, False), trees, depth)
-    cuts = max(1, math.ceil(n / (1 << depth) / LEAF_MOST))
+    forest = Forest.fit(_lifted(np.stack(drawn.to_list()).astype(np.float64), most, False), 1 if exact else trees, depth)
+    probes, opened = (1, np.ones((1, 1))) if exact else calibrated(index, forest, dim, most, k, recall)
+    sizes = np.zeros(len(forest.cuts) << depth, np.int64)
+    for r in index.select("embedding").mapInArrow(_leaf_of(forest, dim, most), "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
+        sizes[r["leaf"]] = r["n"]
+    cuts = np.maximum(1, -(-sizes // LEAF_MOST))
     queries = good.where(F.col("vec_id") % every == 0).select(F.lit(1).alias("role"), F.array("vec_id").alias("ids"), "embedding")
-    # Shares are numbered by what queries have in a leaf if they open all alike.
-    opened = min(1.0, probes / (trees << depth))
-    shares = max(1, math.ceil(queries.count() * opened / QUERIES_MOST))
+    # Shares are numbered by what opens a leaf among the calibration's queries, or by what does on average.
+    likely = np.maximum(opened.ravel(), probes / len(sizes))
+    shares = np.maximum(1, np.ceil(queries.count() * likely / QUERIES_MOST)).astype(np.int64)
     rows = queries.union(index.select(F.lit(0).alias("role"), "ids", "embedding"))
     element = good.schema["embedding"].dataType.simpleString()
     routed = rows.mapInArrow(_routed(forest, dim, most, probes, cuts, shares, every), f"place long, role int, ids array<long>, embedding {element}")
