@@ -24,7 +24,11 @@ def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int
         hooked = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("hook"))
         up = labels.select(F.col("id").alias("hook"), F.col("label").alias("jump"))
         now = work.save(hooked.join(up, "hook").select("id", "old", F.least("hook", "jump").alias("label")), f"labels{k}")
+        # The labels two rounds ago are read no more.
+        if k > 1:
+            work.drop(f"labels{k - 2}")
         if now.where("old <> label").isEmpty():
+            work.drop("edges")
             return now.select("id", "label")
         labels = now.select("id", "label")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

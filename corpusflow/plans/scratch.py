@@ -11,10 +11,12 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` as the cluster names it; a temporary folder only where it is unset (local runs)."""
+    """``spark.checkpoint.dir`` as the cluster names it; where it is unset, a temporary folder in local runs and an error on a cluster, whose executors share none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="corpusflow-")
