@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.stem import stems
 
 # Outcome words, in the order in which kinds are tried.
 MIXED = ["partially granted", "partially denied", "remanded", "affirmed in part", "reversed in part", "vacated in part", "settled", "consent decree"]
@@ -169,9 +170,10 @@ def length_report(df: DataFrame, sentences: Callable[[Column], Column]) -> DataF
     return rows.agg(F.count(F.lit(1)).alias("n"), r(F.avg("w"), "mean_words"), r(F.stddev_pop("w"), "std_words"), r(F.percentile("w", F.lit(0.5)), "median_words"), F.min("w").alias("min_words"), F.max("w").alias("max_words"), r(F.avg("s"), "mean_sentences"), r(ratio, "compression"))
 
 
-def rouge(df: DataFrame, longest: int = 2, lcs: bool = True) -> DataFrame:
-    """One row of mean precision, recall and F1 of n-grams up to ``longest`` and of the longest common subsequence, over (generated, reference)."""
-    rows = df.select(T.plain_tokens(F.col("generated")).alias("g"), T.plain_tokens(F.col("reference")).alias("r"))
+def rouge(df: DataFrame, longest: int = 2, lcs: bool = True, stemmed: bool = True) -> DataFrame:
+    """One row of mean precision, recall and F1 of n-grams up to ``longest`` and of the longest common subsequence of stems (or words), over (generated, reference)."""
+    tokens = lambda c: stems(T.plain_tokens(F.col(c))) if stemmed else T.plain_tokens(F.col(c))
+    rows = df.select(tokens("generated").alias("g"), tokens("reference").alias("r"))
     grams = lambda w, n: F.transform(F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
     hits = {str(n): (T.bag_overlap(grams(F.col("g"), n), grams(F.col("r"), n)), F.greatest(F.size("g") - (n - 1), F.lit(0)), F.greatest(F.size("r") - (n - 1), F.lit(0))) for n in range(1, longest + 1)}
     if lcs:

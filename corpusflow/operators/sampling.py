@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..plans.ranks import with_row_numbers
+from ..plans.ranks import with_group_ranks, with_row_numbers
 from ..plans.scratch import Scratch
 
 
@@ -26,8 +26,9 @@ def first_n(df: DataFrame, n: int, seed: int, key: str, by: list[str] | None = N
 
 
 def quota_rows(df: DataFrame, quotas: Mapping[str, int], group: str, key: str) -> DataFrame:
-    """The first rows by key of each group, as many as its quota; groups without one are left out."""
-    w = Window.partitionBy(group).orderBy(key)
+    """The first rows by key of each group, as many as its quota; groups without one are left out. Parts of a group are cut to the largest quota first, before and after their shuffle, so that no task holds a group."""
+    w, part = Window.partitionBy(group).orderBy(key), Window.partitionBy(group, "__part").orderBy(key)
+    df = df.withColumn("__part", F.pmod(F.xxhash64(key), F.lit(64))).withColumn("__n", F.row_number().over(part)).where(F.col("__n") <= max(quotas.values(), default=0)).drop("__part")
     limit = F.create_map(*[x for g, n in quotas.items() for x in (F.lit(g), F.lit(n))])
     return df.where(F.col(group).isin(list(quotas))).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit[F.col(group)]).drop("__n")
 
@@ -52,7 +53,7 @@ def mixed_batches(df: DataFrame, counts: Mapping[str, int], source: str, key: st
 
     The number of batches, if not given: with ``min`` the least over sources of size // count, one at
     least; with ``majority`` the largest source's size // the largest count. A source that runs out starts
-    again. An empty source is an error. Places in a pool are numbered per source, then copies are made only
+    again. An empty source is an error. Places in a pool are numbered per source by range, then copies are made only
     for batches that are asked for.
     """
     sizes = {r[source]: r["n"] for r in df.where(F.col(source).isin(list(counts))).groupBy(source).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -61,8 +62,8 @@ def mixed_batches(df: DataFrame, counts: Mapping[str, int], source: str, key: st
     if n_batches is None:
         n_batches = max(1, min(sizes[k] // max(1, n) for k, n in counts.items())) if length == "min" else max(sizes.values()) // max(counts.values())
     of = lambda d: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v))])[F.col(source)]
-    w = Window.partitionBy(source).orderBy(seeded(seed, key), key)
-    rows = df.where(F.col(source).isin(list(counts))).select(F.col(source), F.col(key)).withColumn("at", F.row_number().over(w) - 1).withColumn("size", of(sizes)).withColumn("count", of(counts))
+    rows = df.where(F.col(source).isin(list(counts))).select(F.col(source), F.col(key), seeded(seed, key).alias("__order"))
+    rows = with_group_ranks(rows, [source], ["__order", key], "at").withColumn("at", F.col("at") - 1).withColumn("size", of(sizes)).withColumn("count", of(counts))
     wanted = F.col("count") * n_batches
     rows = rows.where(F.col("at") < wanted).withColumn("slot", F.explode(F.sequence(F.col("at"), wanted - 1, F.col("size"))))
     starts = dict(zip(counts, [sum(list(counts.values())[:i]) for i in range(len(counts))], strict=True))

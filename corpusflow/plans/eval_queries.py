@@ -239,12 +239,17 @@ SELECT round(avg(p1), 6) AS rouge1_precision, round(avg(q1), 6) AS rouge1_recall
 
 @query("a14_rouge", _ROUGE)
 def a14(spark, sf_dir):
-    return M.rouge(summaries(spark, sf_dir), lcs=False)
+    return M.rouge(summaries(spark, sf_dir), lcs=False, stemmed=False)
+
+
+@query("a14_rouge_stemmed")
+def a14s(spark, sf_dir):
+    return M.rouge(summaries(spark, sf_dir))
 
 
 @query("a14_rouge_lcs")
 def a14l(spark, sf_dir):
-    return M.rouge(summaries(spark, sf_dir), longest=1).select("rougeL_precision", "rougeL_recall", "rougeL_f1")
+    return M.rouge(summaries(spark, sf_dir), longest=1, stemmed=False).select("rougeL_precision", "rougeL_recall", "rougeL_f1")
 
 
 @query("a15_extract_quality")
@@ -261,7 +266,7 @@ SELECT m.metric, value, CASE WHEN (kind = '>' AND value >= least) OR (kind = '<'
 )
 def v7(spark, sf_dir):
     rows = summaries(spark, sf_dir)
-    r = M.rouge(rows, lcs=False).select("rouge1_f1", "rouge2_f1")
+    r = M.rouge(rows, lcs=False, stemmed=False).select("rouge1_f1", "rouge2_f1")
     o = M.outcome_report(rows).select(F.col("preservation").alias("outcome_preservation_rate"), F.col("inversion").alias("outcome_inversion_rate"))
     return M.target_check(M.long_report(r).union(M.long_report(o)))
 

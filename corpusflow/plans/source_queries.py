@@ -46,13 +46,21 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s4(spark, sf_dir):
     folder = _folder(spark, "s4")
     rows = _records(spark, sf_dir).select("doc_id", "question")
-    for rest, name in ((0, "alpha"), (1, "beta")):
-        part = f"{folder}-{name}"
-        rows.where(F.col("doc_id") % 2 == rest).withColumn("source", F.lit(None).cast("string")).write.json(part)
-    schema = "doc_id long, question string, source string"
-    read = lambda name: spark.read.schema(schema).json(f"{folder}-{name}").withColumn("source", F.coalesce("source", F.when(F.contains(F.input_file_name(), F.lit(f"-{name}/")), F.lit(name))))
-    out = read("alpha").unionByName(read("beta"))
-    return out.select("doc_id", "question", "source", F.lit(0).alias("chunk_idx"), F.lit(1).alias("n_chunks"))
+    for name, wanted in (("train_alpha", "doc_id % 2 = 0"), ("train_beta", "doc_id % 2 = 1"), ("val_alpha", "true")):
+        rows.where(wanted).withColumn("source", F.lit(None).cast("string")).write.json(f"{folder}/{name}.json")
+    out = R.split_files(spark, folder, "train", "doc_id long, question string, source string", ["alpha", "beta"])
+    return out.select("doc_id", "question", "source", "chunk_idx", "n_chunks")
+
+
+@query("s12_optional_tests", f"WITH r AS ({_RECORD}) SELECT CAST(doc_id AS VARCHAR) AS example_id, 'local' AS source, question, md5(context) AS document_md5, CASE WHEN is_answerable THEN answer_text ELSE '' END AS first_gold, is_answerable FROM r")
+def s12(spark, sf_dir):
+    """A local file of QA tests that is there, and one that is not."""
+    folder = _folder(spark, "s12")
+    golds = F.when(F.col("is_answerable"), F.array("answer_text")).otherwise(F.array().cast("array<string>"))
+    rows = _records(spark, sf_dir).select(F.col("doc_id").cast("string").alias("example_id"), F.lit("local").alias("source"), "question", F.col("context").alias("document"), golds.alias("gold_answers"), "is_answerable")
+    rows.write.json(f"{folder}/tests.json")
+    found = R.optional_tests(spark, f"{folder}/tests.json").unionByName(R.optional_tests(spark, f"{folder}/absent.json"))
+    return found.select("example_id", "source", "question", F.md5("document").alias("document_md5"), F.coalesce(F.get("gold_answers", F.lit(0)), F.lit("")).alias("first_gold"), "is_answerable")
 
 
 @query("s5_union_with_anchor", f"WITH r AS ({_RECORD}) SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'anchor' ELSE source END AS source, is_answerable FROM r")
@@ -107,11 +115,11 @@ def s11(spark, sf_dir):
     return R.label_tests(rows, R.label_questions(spark)).select("example_id", "question", F.md5(F.get("gold_answers", F.lit(0))).alias("gold_md5"))
 
 
-@query("s14_corpus_texts", "SELECT count(*) AS n, sum(length(t)) AS chars FROM (SELECT text AS t FROM documents UNION ALL SELECT substring(text, 1, 200) FROM documents UNION ALL SELECT text FROM benchmark) WHERE length(t) > 50")
+@query("s14_corpus_texts", "SELECT md5(t) AS text_md5, length(t) AS n_chars FROM (SELECT text AS t FROM documents UNION ALL SELECT substring(text, 1, 200) FROM documents UNION ALL SELECT text FROM benchmark) WHERE length(t) > 50")
 def s14(spark, sf_dir):
     docs = documents(spark, sf_dir).withColumn("summary", F.substring("text", 1, 200))
     rows = R.corpus_texts((docs, ["text", "summary"]), (table(spark, sf_dir, "benchmark"), ["text"]))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    return rows.select(F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
 
 
 @query("s16_evaluation_set", _SUM + " SELECT CAST(test_id AS VARCHAR) AS test_id, generated, CASE WHEN test_id % 3 = 0 THEN '' ELSE reference END AS reference, md5(source_text) AS source_md5 FROM u")
@@ -221,6 +229,19 @@ def x1(spark, sf_dir):
     return spark.read.parquet(f"{folder}-out")
 
 
+@query("x2_streamed_documents", "SELECT doc_id, source, md5(text) AS text_md5 FROM documents WHERE doc_id IN (SELECT conv_id FROM conversations)")
+def x2(spark, sf_dir):
+    """Documents that conversations name, picked out of a stream of files of all documents."""
+    folder = _folder(spark, "x2")
+    docs = documents(spark, sf_dir)
+    for k in range(3):
+        docs.where(F.pmod("doc_id", F.lit(3)) == k).write.mode("append").parquet(f"{folder}-in/part{k}")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", True).parquet(f"{folder}-in")
+    needed = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"))
+    memory.needed_documents(stream, needed).writeStream.format("parquet").option("path", f"{folder}-out").option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}-out").select("doc_id", "source", F.md5("text").alias("text_md5"))
+
+
 @query("a23_dialogue_metrics", f"""WITH u AS ({_TURNS}), r AS (SELECT conv_id, turn, len(coalesce(history, [])) AS lookback, CAST(conv_id * 31 + turn * 17 AS BIGINT) % 10 / 10.0 AS f1_with, CAST(conv_id * 13 + turn * 7 AS BIGINT) % 10 / 10.0 AS f1_without FROM u)
 SELECT count(DISTINCT conv_id) AS n_dialogues, count(*) AS n_turns, round(count_if(f1_with > 0.4 AND lookback >= 1) / greatest(count_if(lookback >= 1), 1), 6) AS resolution, round(count_if(f1_with + 1e-6 < f1_without) / count(*), 6) AS drift, round(count_if(f1_with > 0.4 AND lookback >= 2) / greatest(count_if(lookback >= 2), 1), 6) AS depth_accuracy FROM r""")
 def a23(spark, sf_dir):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,11 +41,11 @@ def json_array(spark: SparkSession, path: str, schema: str, required: list[str])
 
 
 def split_files(spark: SparkSession, folder: str, split: str, schema: str, sources: list[str]) -> DataFrame:
-    """Files ``<split>*.json`` of a folder, with file_name; source from the record, else the first known name that the file name contains; defaults for ids. Nothing found is an error."""
+    """Files ``<split>*.json`` of a folder (or such folders of part files), with file_name; source from the record, else the first known name that the file name contains; defaults for ids. Nothing found is an error."""
     pattern = f"{folder}/{split}*.json"
     if not exists(spark, pattern):
         raise FileNotFoundError(pattern)
-    rows = spark.read.schema(schema).json(pattern).withColumn("file_name", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
+    rows = spark.read.schema(schema).json(pattern).withColumn("file_name", F.regexp_extract(F.input_file_name(), rf"/({re.escape(split)}[^/]*\.json)(?:/[^/]+)?$", 1))
     named = F.coalesce(*[F.when(F.contains("file_name", F.lit(s)), F.lit(s)) for s in sources], F.lit("unknown"))
     defaults = {"source": named, "doc_id": F.lit(""), "question_id": F.lit(""), "chunk_idx": F.lit(0), "n_chunks": F.lit(1)}
     have = set(T.StructType.fromDDL(schema).names)

@@ -8,6 +8,7 @@ import re
 import pytest
 
 from corpusflow.functions import lexicon
+from corpusflow.functions.stem import stem
 from corpusflow.operators import metrics as M
 from corpusflow.operators import qa as Q
 from corpusflow.plans import catalogue
@@ -236,6 +237,29 @@ def test_rouge_lcs(spark):
     assert tuple(got) == pytest.approx([sum(x) / len(rows) for x in (p, q, f)], abs=1e-6)
 
 
+def test_stems():
+    """Examples of the algorithm's paper."""
+    words = "caresses ponies ties caress cats feed agreed plastered bled motoring sing conflated troubled sized hopping tanned falling hissing fizzed failing filing happy sky relational conditional rational valenci digitizer operator feudalism decisiveness hopefulness callousness formaliti sensitiviti sensibiliti triplicate formative formalize electriciti electrical hopeful goodness revival allowance inference airliner adjustable defensible irritant replacement adjustment dependent adoption communism activate homologous effective bowdlerize probate rate cease controll roll"
+    stems = "caress poni ti caress cat feed agre plaster bled motor sing conflat troubl size hop tan fall hiss fizz fail file happi sky relat condit ration valenc digit oper feudal decis hope callous formal sensit sensibl triplic form formal electr electr hope good reviv allow infer airlin adjust defens irrit replac adjust depend adopt commun activ homolog effect bowdler probat rate ceas control roll"
+    assert [stem(w) for w in words.split()] == stems.split()
+
+
+def test_rouge_stemmed(spark):
+    pairs = [tuple([stem(w) if len(w) > 3 else w for w in plain(r[c])] for c in ("generated", "reference")) for r in summaries(spark, SF).collect()]
+    grams = lambda w, n: collections.Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+    want = []
+    for kind in (1, 2, "L"):
+        p, q, f = [], [], []
+        for g, r in pairs:
+            a, b = (len(g), len(r)) if kind == "L" else (sum(grams(g, kind).values()), sum(grams(r, kind).values()))
+            n = lcs(g, r) if kind == "L" else sum((grams(g, kind) & grams(r, kind)).values())
+            p.append(n / a if a else 0.0)
+            q.append(n / b if b else 0.0)
+            f.append(2 * p[-1] * q[-1] / (p[-1] + q[-1]) if n else 0.0)
+        want += [sum(x) / len(pairs) for x in (p, q, f)]
+    assert tuple(run(spark, "a14_rouge_stemmed")[0]) == pytest.approx(want, abs=1e-6)
+
+
 def test_extract_quality(spark):
     rows = {r["test_id"]: (plain(r["generated"]), plain(r["source_text"])) for r in summaries(spark, SF).collect()}
     got = {r["test_id"]: (r["precision"], r["coverage"], r["rougeL_precision"]) for r in run(spark, "a15_extract_quality")}
