@@ -11,7 +11,7 @@ from .scratch import Scratch
 
 def with_group_ranks(df: DataFrame, by: list[str], order: list[str], name: str = "rank") -> DataFrame:
     """``df`` with ranks from 1 within each group of ``by``, in the given order: numbers over the whole table less the group's first, so that no task holds a group."""
-    rows = Scratch(df.sparkSession, "ranks").save(with_row_numbers(df, [*by, *order], "__no"), "numbered")
+    rows = with_row_numbers(df, [*by, *order], "__no")
     first = rows.groupBy(*by).agg(F.min("__no").alias("__first"))
     return rows.join(first, by).withColumn(name, (F.col("__no") - F.col("__first") + 1).cast("int")).drop("__no", "__first")
 

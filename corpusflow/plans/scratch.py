@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_SCOPES: list[list[Scratch]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,12 +26,27 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+@contextmanager
+def released() -> Iterator[None]:
+    """Delete, at the end, the tables that operators write within: for code that has written its own result by then."""
+    scope: list[Scratch] = []
+    _SCOPES.append(scope)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(scope)
+        for work in scope:
+            work.drop("")
+
+
 class Scratch:
     """Intermediate Parquet tables of one operator call; a lost executor costs no recomputation of what was saved."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        for scope in _SCOPES:
+            scope.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -36,6 +54,6 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        """Delete a table that no plan still to run reads."""
+        """Delete a table that no plan still to run reads; all of them for an empty name."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
