@@ -16,6 +16,8 @@ from corpusflow.operators import sampling as S
 from corpusflow.operators import textrank as K
 from corpusflow.plans import catalogue
 from corpusflow.plans.eval_queries import summaries
+from corpusflow.plans.ranks import with_group_ranks, with_sums_before
+from corpusflow.plans.scratch import Scratch, released
 from corpusflow.sources import readers
 
 
@@ -193,6 +195,35 @@ def test_outcomes(spark):
     assert {r["t"]: r["o"] for r in rows} == texts
 
 
+def test_released_tables_are_deleted(spark):
+    with released():
+        inner = Scratch(spark, "inner")
+        assert inner.save(spark.range(3), "t").count() == 3
+    assert not readers.exists(spark, f"{inner.root}/t")
+    outer = Scratch(spark, "outer")
+    outer.save(spark.range(3), "a")
+    outer.save(spark.range(3), "b")
+    outer.drop("a")
+    assert not readers.exists(spark, f"{outer.root}/a") and readers.exists(spark, f"{outer.root}/b")
+
+
+def test_numbers_over_ranges(spark):
+    rows = [(k % 3, (k * 37) % 50, k % 5) for k in range(200)]
+    df = spark.createDataFrame(rows, "g int, o int, v int").withColumn("id", F.monotonically_increasing_id())
+    ranked = collections.defaultdict(list)
+    for r in with_group_ranks(df, ["g"], ["o", "id"]).collect():
+        ranked[r["g"]].append((r["o"], r["id"], r["rank"]))
+    assert all([x[2] for x in sorted(own)] == list(range(1, len(own) + 1)) for own in ranked.values())
+    sums = collections.defaultdict(list)
+    for r in with_sums_before(df, ["g"], ["o", "id"], "v").collect():
+        sums[r["g"]].append((r["o"], r["id"], r["v"], r["before"]))
+    for own in sums.values():
+        total = 0
+        for _, _, v, before in sorted(own):
+            assert before == total
+            total += v
+
+
 def test_absent_files(spark, tmp_path):
     assert readers.json_lines(spark, f"file://{tmp_path}/none.json", "a long").count() == 0
     assert readers.optional_tests(spark, f"file://{tmp_path}/none.json").count() == 0
