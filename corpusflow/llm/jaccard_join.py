@@ -402,7 +402,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 4, per
     near = among(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     links = work.save(_verified(near, _pair_jobs(pairs), width, percent), "links")
     labels = connected_components(spark, links)
-    more = work.save(_open_lists(entries, sets, labels, percent, block), "open")
+    more = work.save(_open_lists(work, entries, sets, labels, percent, block), "open")
     if not more.isEmpty():
         links = links.union(work.save(_verified(among(texts, more.select("id")), more, width, percent), "more"))
         labels = connected_components(spark, links)
@@ -528,7 +528,7 @@ def _near_rows(percent: int):
     return run
 
 
-def _open_lists(entries: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, block: int) -> DataFrame:
+def _open_lists(work: Scratch, entries: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, block: int) -> DataFrame:
     """Jobs (job, role, id, label) that search long lists whose entries are not yet in one component, in pairs of blocks.
 
     Linked sets are of like size, so a query meets entries of its own and of the neighbouring bands of size only.
@@ -542,11 +542,12 @@ def _open_lists(entries: DataFrame, sets: DataFrame, labels: DataFrame, percent:
     rows = named.join(lists, "token").join(sized, "id")
     bands = rows.where("band is not null").select("token", "band").distinct()
     anywhere = rows.where("band is null").drop("band").join(bands, "token", "left").withColumn("band", F.coalesce("band", F.lit(0)))
-    rows = rows.where("band is not null").unionByName(anywhere.select(rows.columns))
+    rows = work.save(rows.where("band is not null").unionByName(anywhere.select(rows.columns)), "rows")
     targets = rows.select("token", "band", "id", "label", "n", "map")
     queries = rows.where("label <> main").select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "id", "label", "n", "map")
     count = lambda df, name: df.groupBy("token", "band").agg(F.expr(f"cast(ceil(count(1) / {block}) as int)").alias(name))
-    blocks = count(targets, "entry_blocks").join(count(queries, "query_blocks"), ["token", "band"])
+    # Written, a row a list and band, so that the joins on it shuffle anew and AQE may split a list with very many entries.
+    blocks = work.save(count(targets, "entry_blocks").join(count(queries, "query_blocks"), ["token", "band"]), "blocks")
     own = ["token", "band", "id", "label", "n", "map"]
     queries = queries.join(blocks, ["token", "band"]).select(*own, F.expr("pmod(xxhash64(id), query_blocks)").alias("q"), F.explode(F.expr("sequence(0, entry_blocks - 1)")).alias("e"))
     targets = targets.join(blocks, ["token", "band"]).select(*own, F.expr("pmod(xxhash64(id, 1), entry_blocks)").alias("e"), F.explode(F.expr("sequence(0, query_blocks - 1)")).alias("q"))
