@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.scratch import Scratch
+from .textstream import mix
 
 #: Training documents of one language, at most (the smallest by hash of their id).
 DOCS_PER_LANGUAGE = 400
@@ -33,6 +34,15 @@ def letter_runs(text: str) -> list[str]:
     return _LETTERS.findall(unicodedata.normalize("NFC", text).lower())
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _next_hash(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Hash of a string from that of all but its last character and the code of that."""
+    return mix(h * np.uint64(0x9E3779B97F4A7C15) + code + np.uint64(1))
+
+
 class PieceModel:
     """log P(word | language) over a fixed vocabulary of pieces, by a forward pass over all segmentations."""
 
@@ -40,30 +50,50 @@ class PieceModel:
         """``probability``: pieces x languages; ``unknown``: that of a character that no piece covers, by language."""
         self.languages, self.unknown = languages, unknown
         self.row = {p: k for k, p in enumerate(pieces)}
-        #: Row of each piece, and -1 for each start of a piece that is none itself.
-        self.starts = dict.fromkeys((p[:k] for p in pieces for k in range(1, len(p))), -1) | self.row
+        # Hashes of pieces and of their starts, ascending, with the piece's row, or -1 for a start that is none itself.
+        starts = dict.fromkeys((p[:k] for p in pieces for k in range(1, len(p))), -1) | self.row
+        hashes = np.zeros(len(starts), np.uint64)
+        by_size: dict[int, list[int]] = {}
+        for k, x in enumerate(starts):
+            by_size.setdefault(len(x), []).append(k)
+        names = list(starts)
+        for size, own in by_size.items():
+            codes = _codes("".join(names[k] for k in own)).reshape(-1, size)
+            for c in range(size):
+                hashes[own] = _next_hash(hashes[own], codes[:, c])
+        order = np.argsort(hashes)
+        self.hashes, self.rows = np.append(hashes[order], ~np.uint64(0)), np.append(np.fromiter(starts.values(), np.int64, len(starts))[order], -1)
         self.p = probability
         self.cache: dict[str, int] = {}
         self.scores = np.zeros((1024, len(languages)))
 
-    def _ends(self, words: list[str], first: int, past: int, ends: dict[int, tuple]) -> None:
-        """Add the pieces that start at places first ... past - 1 of "▁word" to ``ends``: (words, starts, pieces) by end."""
-        row = self.starts.get
-        for k, w in enumerate(words):
-            s = "▁" + w
-            n = len(s)
-            for i in range(first, min(past, n)):
-                for j in range(i + 1, min(n, i + LONGEST) + 1):
-                    piece = row(s[i:j])
-                    if piece is None:
-                        break
-                    if piece >= 0:
-                        if j not in ends:
-                            ends[j] = ([], [], [])
-                        at = ends[j]
-                        at[0].append(k)
-                        at[1].append(i)
-                        at[2].append(piece)
+    def by_end(self, words: list[str], strip: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(words, starts, pieces) of all pieces of "▁word" that end at place 1, 2, ... of the longest word; found strip by strip."""
+        size = np.array([len(w) + 1 for w in words])
+        codes, offset = _codes("▁" + "▁".join(words)), np.cumsum(size) - size
+        held = tuple(np.zeros(0, np.int64) for _ in range(4))
+        for first in range(0, int(size.max()), strip):
+            n = np.clip(size - first, 0, strip)
+            word = np.repeat(np.arange(len(words)), n)
+            start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first
+            parts, h = [held], np.zeros(len(word), np.uint64)
+            for k in range(1, LONGEST + 1):
+                go = start + k <= size[word]
+                word, start, h = word[go], start[go], h[go]
+                h = _next_hash(h, codes[offset[word] + start + k - 1])
+                at = np.searchsorted(self.hashes, h)
+                go = self.hashes[at] == h
+                word, start, h, piece = word[go], start[go], h[go], self.rows[at[go]]
+                whole = piece >= 0
+                parts.append((start[whole] + k, word[whole], start[whole], piece[whole]))
+            end, word, start, piece = (np.concatenate([x[c] for x in parts]) for c in range(4))
+            order = np.lexsort((word, end))
+            held = tuple(x[order] for x in (end, word, start, piece))
+            last = min(first + strip, int(size.max()))
+            cuts = np.searchsorted(held[0], np.arange(first + 1, last + 2))
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield tuple(x[a:b] for x in held[1:])
+            held = tuple(x[cuts[-1] :] for x in held)
 
     def forward(self, words: list[str], strip: int = 4096) -> np.ndarray:
         """log of the sum over all ways to cut "▁word" into pieces, for many words and all languages at once, whatever their length.
@@ -71,21 +101,16 @@ class PieceModel:
         Only the last ``LONGEST`` places are held; values are brought back to 1 now and then and their logarithms kept.
         """
         length = np.array([len(w) + 1 for w in words])
-        ring, ends, wide = LONGEST + 1, {}, int(length.max())
+        ring, wide = LONGEST + 1, int(length.max())
         a = np.zeros((ring, len(words), len(self.languages)))
         a[0] = 1.0
         scale, out = np.zeros(a.shape[1:]), np.zeros(a.shape[1:])
         done = np.bincount(length, minlength=wide + 1)
-        for j in range(1, wide + 1):
-            if (j - 1) % strip == 0:
-                self._ends(words, j - 1, j - 1 + strip, ends)
+        for j, (w, i, piece) in enumerate(self.by_end(words, strip), 1):
             now = a[j % ring]
             np.multiply(a[(j - 1) % ring], self.unknown, out=now)
-            if j in ends:
-                w, i, piece = (np.array(x) for x in ends.pop(j))
-                order = np.argsort(w, kind="stable")
-                w, i, piece = w[order], i[order], piece[order]
-                first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+            if len(w):
+                first = np.flatnonzero(np.diff(w, prepend=-1))
                 now[w[first]] += np.add.reduceat(a[i % ring, w] * self.p[piece], first, axis=0)
             if done[j]:
                 at = np.flatnonzero(length == j)
@@ -110,20 +135,23 @@ class PieceModel:
 
     def score(self, text: str) -> tuple[np.ndarray, int]:
         """(log likelihood by language, letters) of all letter runs of the text, each as a whole."""
-        words = letter_runs(text)
-        letters = sum(map(len, words))
-        long = [w for w in words if len(w) > CACHED_LETTERS]
-        if long:
-            words = [w for w in words if len(w) <= CACHED_LETTERS]
+        return next(self.scored([text]))
+
+    def scored(self, texts: list[str]) -> Iterator[tuple[np.ndarray, int]]:
+        """``score`` of each text; words that are new are scored together."""
+        runs = [letter_runs(t) for t in texts]
         if len(self.cache) > CACHED_WORDS:
             self.cache.clear()
-        if new := {w for w in words if w not in self.cache}:
-            self.learn(sorted(new))
-        rows = np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
-        total = self.scores[rows].sum(axis=0)
-        for part in by_length(long):
-            total = total + self.forward(part).sum(axis=0)
-        return total, letters
+        new = set().union(*runs).difference(self.cache)
+        self.learn(sorted(w for w in new if len(w) <= CACHED_LETTERS))
+        for words in runs:
+            letters, total = sum(map(len, words)), np.zeros(len(self.languages))
+            if letters > CACHED_LETTERS and (long := [w for w in words if len(w) > CACHED_LETTERS]):
+                words = [w for w in words if len(w) <= CACHED_LETTERS]
+                for part in by_length(long):
+                    total += self.forward(part).sum(axis=0)
+            rows = np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
+            yield total + self.scores[rows].sum(axis=0), letters
 
 
 def by_length(words: list[str], most: int = 4096, letters: int = 1 << 17) -> Iterator[list[str]]:
@@ -195,10 +223,8 @@ def expected_counts(model: PieceModel, lang: int, words: list[str], times: np.nd
     """How often each piece is used in words of a language, over all segmentations by their probability: a forward and a backward pass in logarithms."""
     length = np.array([len(w) + 1 for w in words])
     wide, every = int(length.max()), np.arange(len(words))
-    ends: dict[int, tuple] = {}
-    model._ends(words, 0, wide, ends)
     p, skip = model.p[:, lang], model.unknown[lang]
-    spans = {j: tuple(np.array(x) for x in v) for j, v in ends.items()}
+    spans = {j: x for j, x in enumerate(model.by_end(words), 1) if len(x[0])}
     forward, backward = np.zeros((wide + 1, len(words))), np.full((wide + 1, len(words)), -np.inf)
     for j in range(1, wide + 1):
         before = forward[j - 1]
@@ -240,14 +266,24 @@ def _expected(languages: list[str], pieces: list[str], p: np.ndarray, unknown: n
     return run
 
 
+def _in_groups(model: PieceModel, texts: list[str], letters: int = 1 << 20) -> Iterator[tuple[np.ndarray, int]]:
+    group, size = [], 0
+    for t in texts:
+        group.append(t)
+        size += len(t)
+        if size > letters:
+            yield from model.scored(group)
+            group, size = [], 0
+    yield from model.scored(group)
+
+
 def _predicted(held):
     def run(batches):
         languages = held.value[0]
         model = PieceModel(*held.value)
         for batch in batches:
             found, scores = [], []
-            for text in batch.column("text"):
-                likelihood, n = model.score(text.as_py() or "")
+            for likelihood, n in _in_groups(model, [t or "" for t in batch.column("text").to_pylist()]):
                 if not n or not languages:
                     found.append("und")
                     scores.append(0.0)
