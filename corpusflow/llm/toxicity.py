@@ -1,10 +1,12 @@
 """Toxicity: a support vector machine over a gap-weighted subsequence kernel with Nyström landmarks.
 
-The kernel compares two words by their common subsequences of ``ORDER`` letters, each weighted by
+The kernel compares strings by their common subsequences of ``ORDER`` letters, each weighted by
 ``DECAY`` to the power of the letters it spans and with at most ``GAP`` letters skipped at each step,
-normalised by length; so an insult with inserted characters keeps most of its value. A landmark
+normalised by length; so an insult with inserted characters keeps most of its value. The machine learns from
+labelled sentences as bags of such strings (multiple-instance learning): every string of a clean sentence is
+clean, a toxic text has one string at least that makes it so, and the machine itself says which. A landmark
 expansion sum(b_j k(x, l_j)) is linear in the subsequences of x, so a trained machine folds into one
-table of subsequence weights, which scores a word without visiting the landmarks.
+table of subsequence weights, which scores a string without visiting the landmarks.
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ ORDER, GAP, DECAY = 3, 2, 0.6
 LETTERS = 32
 #: Letters of a unit; longer runs are read in overlapping units.
 UNIT = 24
-#: Labelled documents that training reads by class, at most (the smallest by hash).
-TRAIN_DOCS = {1: 1500, 0: 4500}
-LANDMARKS = 160
+#: Labelled documents that training reads by class, and letters of all of them, at most (the smallest by hash; whole texts).
+TRAIN_DOCS, TRAIN_LETTERS = {1: 1500, 0: 4500}, 1 << 26
+LANDMARKS = 240
+#: Strings of toxic and of clean sentences that the machine is trained on at first, and clean ones that each turn adds, at most.
+TOXIC_STRINGS, CLEAN_STRINGS, MORE_STRINGS, TURNS = 6000, 5000, 1500, 4
 CACHED_WORDS = 200_000
 #: Digits and signs that stand for letters.
 LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
@@ -114,9 +118,9 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(self.slope * best + self.offset, -50, 50))))
 
 
-def _machine(x: np.ndarray, y: np.ndarray, cost: float = 200.0) -> np.ndarray:
+def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 100.0) -> np.ndarray:
     """Weights of a linear machine with squared hinge loss, classes weighing the same, by Newton steps; the last column of x is constant."""
-    c = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * cost
+    c = cost * weight / np.where(y > 0, weight[y > 0].sum(), weight[y < 0].sum())
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 0.1)
     ridge[-1] = 1e-6
     for _ in range(30):
@@ -129,20 +133,52 @@ def _machine(x: np.ndarray, y: np.ndarray, cost: float = 200.0) -> np.ndarray:
     return w
 
 
-def _evidence(k: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
-    """n times the divergence of the share k / n from p, 0 where it is not above p."""
-    q = np.clip(k / n, 1e-9, 1 - 1e-9)
-    return np.where(q > p, n * (q * np.log(q / p) + (1 - q) * np.log((1 - q) / (1 - p))), 0.0)
+class Landmarks:
+    """Nyström features of strings: kernel values with the landmarks, times the inverse root of the landmarks' own."""
+
+    def __init__(self, strings: list[str]):
+        index, weight = subsequences(strings)
+        self.kept = np.unique(index[weight > 0])
+        self.place = np.full(LETTERS**ORDER, len(self.kept), np.int32)
+        self.place[self.kept] = np.arange(len(self.kept))
+        own = np.zeros((len(strings), len(self.kept) + 1))
+        np.add.at(own, (np.arange(len(strings))[:, None], self.place[index]), weight)
+        self.own = own[:, :-1]
+        self.padded = np.concatenate((self.own.T, np.zeros((1, len(strings)))))
+        values, vectors = np.linalg.eigh(self.own @ self.own.T)
+        good = values > 1e-6
+        self.root = vectors[:, good] / np.sqrt(values[good])
+
+    def kernel(self, strings: list[str]) -> np.ndarray:
+        out = np.zeros((len(strings), len(self.own)))
+        for i in range(0, len(strings), 128):
+            index, weight = subsequences(strings[i : i + 128])
+            out[i : i + 128] = np.matmul(weight[:, None, :], self.padded[self.place[index]])[:, 0]
+        return out
+
+    def features(self, strings: list[str]) -> np.ndarray:
+        return np.concatenate((self.kernel(strings) @ self.root, np.ones((len(strings), 1))), axis=1)
+
+    def folded(self, w: np.ndarray) -> np.ndarray:
+        """The weight of each subsequence in the machine with weights w."""
+        table = np.zeros(LETTERS**ORDER, np.float32)
+        table[self.kept] = self.own.T @ (self.root @ w[:-1])
+        return table
+
+
+def _spread(strings: list[str], n: int) -> list[str]:
+    """About n strings: the first half as they come, the others evenly over what follows."""
+    return strings[: n // 2] + strings[n // 2 :: max(1, (len(strings) - n // 2) // max(1, n - n // 2))]
 
 
 def train(texts: list[tuple[str, int]]) -> ToxicityModel:
     """Fit on labelled texts, every third of them for the logistic map only.
 
-    A text is a bag of sentences with its label, a sentence a bag of words; equal sentences count once. All
-    words of clean sentences are clean; a toxic text has a witness somewhere. Witnesses at first are words
-    that, or letter runs of which, stand in toxic sentences beyond chance (over all that were tried); the machine separates them from clean
-    words, then twice takes in the best word of each toxic text that has no witness yet, and the clean
-    words that score best. Without witnesses every text scores low.
+    A text is a bag of sentences with its label, a sentence a bag of strings; equal sentences count once, as clean if
+    any is. At first all strings of toxic sentences stand for toxicity, each as often as it occurs, and strings
+    of clean ones against it; then, in turns, only the best string of each toxic text does (and others that the
+    machine is as sure of and that recur), and the clean strings that score best are added. Without toxic or
+    clean sentences every text scores low.
     """
     fit, rest = [t for k, t in enumerate(texts) if k % 3], texts[::3]
     toxic, clean, bags, seen = Counter(), Counter(), [], set()
@@ -155,76 +191,39 @@ def train(texts: list[tuple[str, int]]) -> ToxicityModel:
                 seen.add(sentence)
                 (toxic if y else clean).update(units)
         if y:
-            bags.append(sorted(bag))
-    n_toxic, n_clean = sum(toxic.values()), sum(clean.values())
-    if not n_toxic or not n_clean:
+            bags.append(bag)
+    if not toxic or not clean:
         return ToxicityModel(np.zeros(LETTERS**ORDER), -1.0, 1.0, -3.0)
-    # A word's evidence is its own or that of a run of four or five letters in it, so variants of one stem count together.
-    seen_in: dict[str, list[float]] = {}
-    for n, counts in enumerate((toxic, clean)):
-        for u, times in counts.items():
-            for g in {u, *(u[i : i + w] for w in (4, 5) for i in range(len(u) - w + 1))}:
-                seen_in.setdefault(g, [0.0, 0.0])[n] += times
-    names = sorted(g for g, (t, c) in seen_in.items() if t > 2 and c * 20 <= t and len(g) > 3)
-    t, c = (np.array([seen_in[g][n] for g in names]) for n in (0, 1))
-    gain = _evidence(t, t + c, n_toxic / (n_toxic + n_clean)) if names else np.zeros(0)
-    telling = {g: x for g, x in zip(names, gain.tolist(), strict=True) if x > np.log(len(seen_in)) + 3}
-    value = {u: max([telling.get(u, 0.0), *(telling.get(u[i : i + w], 0.0) for w in (4, 5) for i in range(len(u) - w + 1))]) for u in toxic if clean[u] * 20 <= toxic[u]}
-    strong = sorted((u for u, x in value.items() if x > 0), key=lambda u: (-toxic[u], u))
-    if not strong:
+    usual = sorted(clean, key=lambda u: (-clean[u], u))
+    negatives = _spread(usual, CLEAN_STRINGS)
+    # Those that clean sentences have least come first; two letters have no subsequence of three.
+    strings = sorted((u for u in toxic if len(u) >= ORDER), key=lambda u: (-toxic[u] / (1 + 20 * clean[u]), u))[:TOXIC_STRINGS]
+    if not strings:
         return ToxicityModel(np.zeros(LETTERS**ORDER), -1.0, 1.0, -3.0)
-    ordered = sorted(clean, key=lambda u: (-clean[u], u))
-    common = ordered[:1000] + ordered[1000 :: max(1, len(ordered) // 3000)]
-    landmarks = list(dict.fromkeys([*strong[:20], *strong[:: max(1, len(strong) * 2 // LANDMARKS)], *common[:: max(1, len(common) * 2 // LANDMARKS)]]))[:LANDMARKS]
-    index, weight = subsequences(landmarks)
-    kept = np.unique(index[weight > 0])
-    where = np.full(LETTERS**ORDER, len(kept), np.int32)
-    where[kept] = np.arange(len(kept))
-    land = np.zeros((len(landmarks), len(kept) + 1))
-    np.add.at(land, (np.arange(len(landmarks))[:, None], where[index]), weight)
-    land = land[:, :-1]
-    padded = np.concatenate((land.T, np.zeros((1, len(landmarks)))))
-
-    def kernel(units: list[str]) -> np.ndarray:
-        out = np.zeros((len(units), len(landmarks)))
-        for i in range(0, len(units), 128):
-            index, weight = subsequences(units[i : i + 128])
-            out[i : i + 128] = np.matmul(weight[:, None, :], padded[where[index]])[:, 0]
-        return out
-
-    values, vectors = np.linalg.eigh(land @ land.T)
-    good = values > 1e-6
-    root = vectors[:, good] / np.sqrt(values[good])
-    features = lambda units: np.concatenate((kernel(units) @ root, np.ones((len(units), 1))), axis=1)
-    # Strong words with a letter doubled or put in teach the machine what such insults look like.
-    letters = "aeioxtn"
-    bent = [w[:i] + (w[i - 1] if k % 3 == 0 else letters[(k + i) % 7]) + w[i:] for k, w in enumerate(strong[:40]) for i in range(2, len(w) - 1, 2) if len(w) < UNIT]
-    witnesses, negatives = list(dict.fromkeys([*strong[:2000], *(w for w in bent if not clean[w])])), list(common)
-    x, y = features(witnesses + negatives), np.array([1.0] * len(witnesses) + [-1.0] * len(negatives))
-    every = [u for u in clean if len(u) > 2]
-    for turn in range(3):
-        w = _machine(x, y)
-        table = np.zeros(LETTERS**ORDER, np.float32)
-        table[kept] = land.T @ (root @ w[:-1])
-        machine = ToxicityModel(table, float(w[-1]), 1.0, 0.0)
-        if turn < 2:
-            known, more = set(witnesses), []
-            missed = [b for b in bags if b and not known.intersection(b)]
-            own = sorted({u for b in missed for u in b})
-            value = dict(zip(own, machine.decide(own).tolist(), strict=True))
-            for b in missed:
-                u = max(b, key=lambda u: (value[u], u))
-                if value[u] > 0.7 and not clean[u]:
-                    more.append(u)
-            more, used = list(dict.fromkeys(more)), set(negatives)
-            worst = [every[i] for i in np.argsort(-machine.decide(every), kind="stable")[:1500]]
-            worst = [u for u in worst if u not in used and u not in known]
-            witnesses, negatives = witnesses + more, negatives + worst
-            x = np.concatenate((x, features(more + worst)))
-            y = np.concatenate((y, np.ones(len(more)), -np.ones(len(worst))))
+    marks = Landmarks(list(dict.fromkeys([*strings[: LANDMARKS // 2], *_spread(usual, LANDMARKS // 2)]))[:LANDMARKS])
+    times = np.array([float(toxic[u]) for u in strings])
+    place = {u: k for k, u in enumerate(strings)}
+    held = [[place[u] for u in bag if u in place] for bag in bags]
+    x, other, used = marks.features(strings), marks.features(negatives), set(negatives)
+    every = [u for u in clean if len(u) >= ORDER]
+    on = np.ones(len(strings), bool)
+    for turn in range(TURNS):
+        y = np.concatenate((np.ones(on.sum()), -np.ones(len(negatives))))
+        w = _machine(np.concatenate((x[on], other)), y, np.concatenate((times[on], np.ones(len(negatives)))))
+        machine = ToxicityModel(marks.folded(w), float(w[-1]), 1.0, 0.0)
+        if turn + 1 < TURNS:
+            value = x @ w
+            on = (value > 0.5) & (times > 1)
+            on[[max(own, key=lambda k: (value[k], -k)) for own in held if own and max(value[k] for k in own) > 0]] = True
+            if not on.any():
+                break
+            worst = [every[i] for i in np.argsort(-machine.decide(every), kind="stable")[:MORE_STRINGS]]
+            worst = [u for u in worst if u not in used]
+            negatives, other = negatives + worst, np.concatenate((other, marks.features(worst))) if worst else other
+            used.update(worst)
     best = np.array([machine.best(t) for t, _ in rest])
     slope, offset = _logistic(best, np.array([y for _, y in rest], float))
-    return ToxicityModel(table, machine.bias, slope, offset)
+    return ToxicityModel(machine.table, machine.bias, slope, offset)
 
 
 def _logistic(v: np.ndarray, y: np.ndarray, at: float = 0.7) -> tuple[float, float]:
@@ -245,17 +244,24 @@ def _logistic(v: np.ndarray, y: np.ndarray, at: float = 0.7) -> tuple[float, flo
     return slope, float(np.log(at / (1 - at)) - slope * cut)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: dict[int, int] = TRAIN_DOCS, max_letters: int = 4000) -> ToxicityModel:
-    """Train on documents joined with ``labels`` (doc_id, toxic 0 or 1): ``train_docs`` of each class at most, the smallest by hash.
+def fit(docs: DataFrame, labels: DataFrame, train_docs: dict[int, int] = TRAIN_DOCS, train_letters: int = TRAIN_LETTERS) -> ToxicityModel:
+    """Train on documents joined with ``labels`` (doc_id, toxic 0 or 1): ``train_docs`` of each class at most, the smallest by hash, of any length.
 
-    Documents over ``max_letters`` code points are not used for training (their label says little about a word), so the sample's size is bounded.
+    A document labelled more than once counts as toxic if one label says so; labels without a document count for
+    nothing. The sample ends before a text that would bring it over ``train_letters`` letters.
     """
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    wide = [known.where(F.col("toxic") == k).orderBy(*order).limit(2 * n) for k, n in train_docs.items()]
-    rows = docs.where(F.length("text") <= max_letters).select("doc_id", "text").join(F.broadcast(wide[0].union(wide[1])), "doc_id")
-    parts = [rows.where(F.col("toxic") == k).orderBy(*order, "text").limit(n) for k, n in train_docs.items()]
-    return train([(r["text"], int(r["toxic"])) for r in parts[0].union(parts[1]).collect()])
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
+    sized = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n")).join(known, "doc_id")
+    chosen, left = [], train_letters
+    for k, n in train_docs.items():
+        for r in sized.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(n).collect():
+            if r["n"] <= left:
+                chosen.append((r["doc_id"], r["h"], r["toxic"]))
+                left -= r["n"]
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, h long, toxic int").distinct())
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(wanted, ["doc_id", "h"]).orderBy(*order).limit(sum(train_docs.values()))
+    return train([(r["text"], int(r["toxic"])) for r in rows.collect()])
 
 
 def _scored(table: np.ndarray, bias: float, slope: float, offset: float):

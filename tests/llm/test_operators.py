@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import re
 import zlib
 from fractions import Fraction
@@ -114,6 +115,43 @@ def test_toxicity_learns_words_and_bent_words():
     assert model.probability(model.best("")) < 0.5
 
 
+def test_folded_table_is_the_sum_over_landmarks():
+    marks = toxicity.Landmarks(["blockhead", "numskull", "balander", "timinrel"])
+    w = np.random.default_rng(1).standard_normal(marks.root.shape[1] + 1)
+    strings = ["blockhead", "blobckhead", "dimwit", "ab", "kull" * 6]
+    machine = toxicity.ToxicityModel(marks.folded(w), float(w[-1]), 1.0, 0.0)
+    assert machine.decide(strings) == pytest.approx(marks.features(strings) @ w, abs=1e-5)
+    assert marks.features(marks_of := ["blockhead", "numskull", "balander", "timinrel"])[:, :-1] @ marks.features(marks_of)[:, :-1].T == pytest.approx(marks.own @ marks.own.T, abs=1e-6)
+
+
+def test_toxicity_of_texts_by_hand():
+    """A text scores as the best string of it, found one by one."""
+    model = toxicity.train(toxic_texts(300, 1))
+    for text, _ in [*toxic_texts(30, 5), ("b l o c k h e a d " + "balan " * 3000 + "blockhead", 1), ("x" * 200, 0), ("", 0)]:
+        values = [float(model.decide([u])[0]) for u in toxicity.units_of(text)]
+        assert model.best(text) == pytest.approx(max(values, default=-3.0), abs=1e-5)
+
+
+def test_toxicity_held_out(spark, docs):
+    """Recall and precision on labelled rows that training never saw, at the larger scale if it is there."""
+    folder = "/root/testdata/sf0.1" if os.path.isdir("/root/testdata/sf0.1") else SF
+    table = lambda n: spark.read.parquet(f"{folder}/{n}.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = toxicity.fit(table("documents").where(~held), table("labels").where(~held))
+    rows = toxicity.score(table("documents").where(held).join(table("labels"), "doc_id").select("doc_id", "text", "toxic"), model).collect()
+    hit = sum(r["toxic"] for r in rows if r["score"] >= 0.7)
+    assert hit >= 0.6 * sum(r["toxic"] for r in rows) and hit >= 0.65 * sum(r["score"] >= 0.7 for r in rows)
+
+
+def test_toxicity_labels_and_bounds(spark):
+    texts = toxic_texts(200, 3)
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)] + [(900, None), (901, ""), (None, "balan")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y, "x") for k, (_, y) in enumerate(texts)] * 2 + [(5000 + k, 1, "y") for k in range(3000)] + [(None, 1, "z"), (900, 1, "z"), (901, 0, "z")], "doc_id long, toxic int, text string")
+    model = toxicity.fit(docs, labels, {1: 50, 0: 120})
+    assert sum(model.probability(model.best(t)) >= 0.7 for t, y in texts if y) > 40
+    assert toxicity.fit(docs, labels, train_letters=0).bias == -1.0
+
+
 def test_toxicity_odd(spark, odd, none):
     model = toxicity.train(toxic_texts(300, 1))
     out = toxicity.score(clash(odd), model).collect()
@@ -173,6 +211,13 @@ def test_packing_round_trip(spark, docs, odd, none):
     assert packing.pack(spark, none).count() == 0
 
 
+def test_packing_deals_equal_rows_to_many_parts(spark):
+    rows = [(1, "a b c d e f g h i j")] * 3000 + [(None, None)] * 500
+    out = packing.pack(spark, spark.createDataFrame(rows, "doc_id long, text string"), part_tokens=1 << 12).collect()
+    parts = collections.Counter(r["sequence_id"] >> 32 for r in out)
+    assert len(out) == len(rows) and len(parts) > 5 and max(parts.values()) < 3 * len(rows) / len(parts)
+
+
 def test_best_fit_decreasing_is_the_tightest():
     rng = np.random.default_rng(3)
     lengths = sorted(rng.integers(1, 65, 400).tolist(), reverse=True)

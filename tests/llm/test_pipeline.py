@@ -74,3 +74,22 @@ def test_packing(stages):
 
 def test_run(spark, stages):
     assert P.run(spark, SF).count() == stages["packing"][1].count()
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null and empty texts, null ids, repeated rows and an empty table go through every stage."""
+    from pyspark.sql import functions as F
+
+    long = " ".join(f"w{k % 97}x{k % 89}" for k in range(60))
+    near = long.replace("w5x5", "zz")
+    rows = [(1, long), (1, long), (2, near), (3, None), (4, ""), (None, long), (None, near), (None, " ".join(f"own{k}" for k in range(40))), (None, " ".join(f"own{k}" for k in range(40))), (5, " ".join(f"other{k}" for k in range(40)))]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    kept = sorted((repr(r["doc_id"]), (r["text"] or "")[:4]) for r in P.near_duplicates(spark, docs, "").collect())
+    assert kept == [("1", "w0x0"), ("3", ""), ("4", ""), ("5", "othe"), ("None", "own0")]
+    for df in (docs, docs.where(F.lit(False))):
+        for name, stage in P.STAGES:
+            out = stage(spark, df, f"file://{tmp_path}")
+            n = out.count()
+            assert n <= 3 * df.count() and (name == "packing" or out.columns == P.COLUMNS)
+            assert name != "line_dedup" or n == df.count()
