@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusflow.llm.jaccard_join import jaccard_components
 from corpusflow.llm.line_dedup import line_dedup
 from corpusflow.llm.mixing import mixed_documents
 from corpusflow.llm.packing import pack
 from corpusflow.llm.quality_rules import fit_ratio, quality_rules
-from corpusflow.plans.scratch import Scratch
+from corpusflow.plans.ranks import with_row_numbers
+from corpusflow.plans.scratch import Scratch, released
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,10 +34,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that 4-word shingle sets link: the one with the smallest doc_id."""
-    groups = jaccard_components(spark, docs)
-    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return _documents(docs.join(others, "doc_id", "left_anti"))
+    """One document of each group that 4-word shingle sets link: the one with the smallest doc_id.
+
+    Rows that share a doc_id are one document, the row with the smallest text hash stands for it. Rows without a
+    doc_id are documents of their own that come after all others.
+    """
+    docs = docs.select(*COLUMNS)
+    nameless = with_row_numbers(docs.where("doc_id is null").withColumn("__h", F.xxhash64("text")), ["__h"], "__no")
+    named = docs.where("doc_id is not null").withColumn("__id", F.col("doc_id").cast("long"))
+    rows = named.unionByName(nameless.withColumn("__id", F.lit(1 << 62) + F.col("__no")).select(*COLUMNS, "__id"))
+    groups = jaccard_components(spark, rows.select(F.col("__id").alias("doc_id"), "text"))
+    others = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    first = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64("text")))
+    return _documents(rows.join(others, "__id", "left_anti").withColumn("__n", first).where("__n = 1"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +65,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again."""
+    """All stages over ``documents``; each result is written and read again, and what its stage wrote on the way is deleted."""
     work = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = work.save(stage(spark, docs, sf_dir), name)
+        with released():
+            docs = work.save(stage(spark, docs, sf_dir), name)
     return docs
