@@ -78,8 +78,8 @@ def _let(value: Column, body) -> Column:
 
 SQL = """
 WITH l AS (
-  SELECT *, list_transform(at, lambda i: trim(raw[i], chr(32) || chr(9) || chr(13))) AS lines
-  FROM (SELECT *, list_filter(range(1, len(raw) + 1), lambda i: trim(raw[i], chr(32) || chr(9) || chr(13)) <> '') AS at
+  SELECT *, list_transform(held, lambda i: trim(raw[i], chr(32) || chr(9) || chr(13))) AS lines
+  FROM (SELECT *, list_filter(range(1, len(raw) + 1), lambda i: trim(raw[i], chr(32) || chr(9) || chr(13)) <> '') AS held
     FROM (SELECT doc_id, text, string_split(text, chr(10)) AS raw FROM documents))
 ), w AS (
   SELECT doc_id, p, lines[p] || chr(10) || lines[p + 1] || chr(10) || lines[p + 2] AS w
@@ -92,6 +92,6 @@ WITH l AS (
   SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id
 )
 SELECT l.doc_id, coalesce(len(lines), 0) AS n_lines, coalesce(len(gone), 0) AS n_removed,
-  CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(raw) + 1), lambda i: NOT list_contains(list_transform(gone, lambda k: at[k]), i)), lambda i: raw[i]), chr(10)) END AS text
+  CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(raw) + 1), lambda i: NOT list_contains(list_transform(gone, lambda k: held[k]), i)), lambda i: raw[i]), chr(10)) END AS text
 FROM l LEFT JOIN g ON l.doc_id = g.doc_id
 """
