@@ -11,23 +11,23 @@ STOP_WORDS = (
 
 # Signature starts, in the order in which they are tried.
 SIGNATURES = [r"IN WITNESS WHEREOF", r"SIGNATURE PAGE FOLLOWS", r"\[Signature Page Follows\]", r"EXECUTED as of the date"]
-# Fixed values: (pattern, flags) removed as redactions and stamps, in order.
+# Patterns removed as redactions and stamps, in order.
 STAMPS = [
-    ("(?is)CERTAIN INFORMATION.*?REDACTED\\.", ""),
-    ("\\[\\*+\\]", ""),
-    ("(?i)\\[REDACTED\\]", ""),
-    ("(?i)OR\\s+INDICATES\\s+THAT\\s+INFORMATION\\s+HAS\\s+BEEN\\s+REDACTED\\.?", ""),
-    ("(?i)\\bEXECUTION\\s+COPY\\b", ""),
-    ("\\bCONFIDENTIAL\\b", ""),
-    ("\\bDRAFT\\b", ""),
-    ("\\bPROPRIETARY\\b", ""),
+    r"(?is)CERTAIN INFORMATION.*?REDACTED\.",
+    r"\[\*+\]",
+    r"(?i)\[REDACTED\]",
+    r"(?i)OR\s+INDICATES\s+THAT\s+INFORMATION\s+HAS\s+BEEN\s+REDACTED\.?",
+    r"(?i)\bEXECUTION\s+COPY\b",
+    r"\bCONFIDENTIAL\b",
+    r"\bDRAFT\b",
+    r"\bPROPRIETARY\b",
 ]
-# Fixed values: (pattern, replacement) removed as footers and exhibit references, in order.
+# Patterns removed as footers and exhibit references, in order.
 FOOTERS = [
-    ("(?i)Source:\\s+.*?\\d{4}", ""),
-    ("(?i)\\bExhibit\\s+[\\w.-]+\\b", ""),
-    ("(?i)\\bExh\\.\\s+[A-Z]-\\d+\\b", ""),
-    ("EXHIBIT\\s+[A-Z]\\s+[A-Z\\s&/]+", ""),
+    r"(?i)Source:\s+.*?\d{4}",
+    r"(?i)\bExhibit\s+[\w.-]+\b",
+    r"(?i)\bExh\.\s+[A-Z]-\d+\b",
+    r"EXHIBIT\s+[A-Z]\s+[A-Z\s&/]+",
 ]
 # Section headers, all multi-line.
 SECTION_PATTERNS = [

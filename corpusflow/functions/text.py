@@ -42,9 +42,9 @@ def cut_signature(text: Column) -> Column:
     return out
 
 
-def strip_patterns(text: Column, patterns: list[tuple[str, str]]) -> Column:
-    for pattern, new in patterns:
-        text = F.regexp_replace(text, pattern, new)
+def strip_patterns(text: Column, patterns: list[str]) -> Column:
+    for pattern in patterns:
+        text = F.regexp_replace(text, pattern, "")
     return text
 
 

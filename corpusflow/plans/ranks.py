@@ -10,22 +10,34 @@ from .scratch import Scratch
 
 
 def with_group_ranks(df: DataFrame, by: list[str], order: list[str], name: str = "rank") -> DataFrame:
-    """``df`` with ranks from 1 within each group of ``by``, in the given order: numbers over the whole table less the group's first, so that no task holds a group."""
+    """``df`` with ranks from 1 within each group of ``by`` (null is a group of its own), in the given order: numbers over the whole table less the group's first, so that no task holds a group."""
     rows = with_row_numbers(df, [*by, *order], "__no")
-    first = rows.groupBy(*by).agg(F.min("__no").alias("__first"))
-    return rows.join(first, by).withColumn(name, (F.col("__no") - F.col("__first") + 1).cast("int")).drop("__no", "__first")
+    first = rows.groupBy(*[F.col(c).alias(f"__{i}") for i, c in enumerate(by)]).agg(F.min("__no").alias("__first"))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__{i}"))
+    return rows.join(first, same).withColumn(name, (F.col("__no") - F.col("__first") + 1).cast("int")).drop("__no", "__first", *[f"__{i}" for i in range(len(by))])
 
 
-def with_sums_before(df: DataFrame, by: list[str], order: list[str], value: str, name: str = "before") -> DataFrame:
-    """``df`` with the sum of ``value`` over the rows before it in its group: rows are dealt by range, summed within a partition, and shifted by the group's sums in the partitions before."""
+def with_sums_before(df: DataFrame, by: list[str], order: list[str], value: str | list[str], name: str | list[str] = "before") -> DataFrame:
+    """``df`` with the sums of ``value`` (a column or several) over the rows before it in its group: rows are dealt by range, summed within a partition, and shifted by the group's sums in the partitions before. Null is a group of its own."""
+    values, names = ([value], [name]) if isinstance(value, str) else (value, name)
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = Scratch(spark, "ranks").save(df.repartitionByRange(n, *by, *order).withColumn("__p", F.spark_partition_id()), "summed")
-    so_far = lambda w: F.coalesce(F.sum("__v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    so_far = lambda v, w: F.coalesce(F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    keys = [f"__by{i}" for i in range(len(by))]
     # At most one row per group and partition.
-    shifts = parts.groupBy(*by, "__p").agg(F.sum(value).alias("__v")).withColumn("__shift", so_far(Window.partitionBy(*by).orderBy("__p"))).drop("__v")
-    own = parts.withColumn("__v", F.col(value)).withColumn(name, so_far(Window.partitionBy(*by, "__p").orderBy(*order)))
-    return own.join(shifts, [*by, "__p"]).withColumn(name, F.col(name) + F.col("__shift")).drop("__p", "__v", "__shift")
+    sums = parts.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col("__p").alias("__q")).agg(*[F.sum(v).alias(f"__v{i}") for i, v in enumerate(values)])
+    before = Window.partitionBy(*keys).orderBy("__q")
+    shifts = sums.select(*keys, "__q", *[so_far(f"__v{i}", before).alias(f"__s{i}") for i in range(len(values))])
+    within = Window.partitionBy(*by, "__p").orderBy(*order)
+    own = parts.withColumns({f"__o{i}": so_far(v, within) for i, v in enumerate(values)})
+    same = F.col("__p") == F.col("__q")
+    for c, k in zip(by, keys):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    found = own.join(shifts, same).withColumns({n: F.col(f"__o{i}") + F.col(f"__s{i}") for i, n in enumerate(names)})
+    return found.drop("__p", "__q", *keys, *[f"__o{i}" for i in range(len(values))], *[f"__s{i}" for i in range(len(values))])
 
 
 def with_row_numbers(df: DataFrame, order: list[str], name: str = "no") -> DataFrame:

@@ -215,7 +215,7 @@ _HASHED = "(SELECT {0}, b, c / sqrt(sum(c * c) OVER (PARTITION BY {0})) AS x FRO
 
 @query(
     "r8_vector_alignment",
-    f"WITH {_PAIRS}, va AS {_HASHED.format('doc_id, chunk_i', _CONTENT.format('chunk'), 'k')}, vb AS {_HASHED.format('doc_id, sent_idx', _CONTENT.format('sentence'), 's')}, sims AS (SELECT va.doc_id, chunk_i, sent_idx, round(sum(va.x * vb.x), 6) AS sim FROM va JOIN vb ON va.doc_id = vb.doc_id AND va.b = vb.b GROUP BY 1, 2, 3){_BEST} SELECT * FROM al",
+    f"WITH {_PAIRS}, va AS {_HASHED.format('doc_id, chunk_i', _CONTENT.format('chunk'), 'k')}, vb AS {_HASHED.format('doc_id, sent_idx', _CONTENT.format('sentence'), 's')}, sims AS (SELECT va.doc_id, chunk_i, sent_idx, round(sum(va.x * vb.x), 12) AS sim FROM va JOIN vb ON va.doc_id = vb.doc_id AND va.b = vb.b GROUP BY 1, 2, 3){_BEST} SELECT * FROM al",
 )
 def r8(spark, sf_dir):
     """Chunks and sentences aligned by plug-in vectors."""
@@ -224,7 +224,7 @@ def r8(spark, sf_dir):
     def similarity(parts, sents):
         a = parts.select("doc_id", "chunk_i", R.hashed_vectors(F.col("text")).alias("x"))
         b = sents.select("doc_id", "sent_idx", R.hashed_vectors(F.col("sentence")).alias("y"))
-        return a.join(b, "doc_id").select("doc_id", "chunk_i", "sent_idx", F.round(A.dot(F.col("x"), F.col("y")), 6).alias("sim"))
+        return a.join(b, "doc_id").select("doc_id", "chunk_i", "sent_idx", F.round(A.dot(F.col("x"), F.col("y")), 12).alias("sim"))
 
     return R.summarisation_set(pairs, lambda df: C.sentence_rows(df, lexicon.GENERAL_ABBREVIATIONS, 5), similarity)[0]
 

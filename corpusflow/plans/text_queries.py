@@ -44,10 +44,10 @@ def p2(spark, sf_dir):
 
 
 _STAMPS = "text"
-for _p, _n in lexicon.STAMPS:
+for _p in lexicon.STAMPS:
     _STAMPS = f"regexp_replace({_STAMPS}, '{_p}', '', 'g')"
 _FOOTERS = "text"
-for _p, _n in lexicon.FOOTERS:
+for _p in lexicon.FOOTERS:
     _FOOTERS = f"regexp_replace({_FOOTERS}, '{_p}', '', 'g')"
 _LINES = r"""array_to_string(list_filter(list_transform(string_split({0}, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))), lambda x: length(x) >= 3
   AND NOT regexp_matches(x, '^-?\s*\d+\s*-?$') AND NOT regexp_matches(x, '^[Pp]age\s+\d+(\s+of\s+\d+)?$') AND NOT regexp_matches(x, '(?i)^(Schedule|Annex|Appendix)\s+[\w.]+\s*$')
