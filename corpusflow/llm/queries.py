@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, toxicity
+from . import language_id, line_dedup, periodic_runs, toxicity
 from .html_extract import extract
 from .jaccard_join import jaccard_components
 from .mixing import plan_mix
@@ -72,7 +72,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, _table(spark, sf_dir, "documents"))
 
 
-_QUERIES = [op1_line_dedup, op2_toxicity, op3_packing, op4_quality_rules, op5_mixing, op6_secret_scan, op7_language_id, op8_html_extract, op9_nearest, op10_jaccard_join]
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"), planted=True)
+
+
+_QUERIES = [op1_line_dedup, op2_toxicity, op3_packing, op4_quality_rules, op5_mixing, op6_secret_scan, op7_language_id, op8_html_extract, op9_nearest, op10_jaccard_join, op11_periodic_runs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -80,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op11_periodic_runs": periodic_runs.SQL}

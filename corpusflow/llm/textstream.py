@@ -13,8 +13,8 @@ import numpy as np
 CHUNK_BYTES = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -57,7 +57,7 @@ def chunks(texts: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[
 def word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word in order, number of words of each text)."""
     buffer = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    inside = ~_SPACE[buffer]
+    inside = ~SPACE[buffer]
     edge = np.flatnonzero(np.diff(np.concatenate(([False], inside)).view(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
     sums = np.zeros(len(buffer) + 1, np.uint64)
