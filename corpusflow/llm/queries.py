@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, periodic_runs, toxicity
+from . import language_id, line_dedup, periodic_runs, simhash, toxicity
 from .html_extract import extract
 from .jaccard_join import jaccard_components
 from .mixing import plan_mix
@@ -76,7 +76,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.periodic_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"), planted=True)
 
 
-_QUERIES = [op1_line_dedup, op2_toxicity, op3_packing, op4_quality_rules, op5_mixing, op6_secret_scan, op7_language_id, op8_html_extract, op9_nearest, op10_jaccard_join, op11_periodic_runs]
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.compared(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_QUERIES = [op1_line_dedup, op2_toxicity, op3_packing, op4_quality_rules, op5_mixing, op6_secret_scan, op7_language_id, op8_html_extract, op9_nearest, op10_jaccard_join, op11_periodic_runs, op12_simhash]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
