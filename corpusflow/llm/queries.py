@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, periodic_runs, simhash, toxicity
+from . import language_id, line_dedup, periodic_runs, prefix_trie, simhash, toxicity
 from .html_extract import extract
 from .jaccard_join import jaccard_components
 from .mixing import plan_mix
@@ -80,7 +80,11 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.compared(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-_QUERIES = [op1_line_dedup, op2_toxicity, op3_packing, op4_quality_rules, op5_mixing, op6_secret_scan, op7_language_id, op8_html_extract, op9_nearest, op10_jaccard_join, op11_periodic_runs, op12_simhash]
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark, _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+_QUERIES = [op1_line_dedup, op2_toxicity, op3_packing, op4_quality_rules, op5_mixing, op6_secret_scan, op7_language_id, op8_html_extract, op9_nearest, op10_jaccard_join, op11_periodic_runs, op12_simhash, op13_prefix_trie]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -88,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op11_periodic_runs": periodic_runs.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op11_periodic_runs": periodic_runs.SQL, "op13_prefix_trie": prefix_trie.SQL}
