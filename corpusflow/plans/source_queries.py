@@ -217,16 +217,38 @@ def w9(spark, sf_dir):
     return memory.with_history(_turns(spark, sf_dir)).select("conv_id", "turn", "question", F.btrim("query").alias("query"))
 
 
-@query("x1_streamed_memory", f"SELECT conv_id, turn, question, array_to_string(list_concat([question], coalesce(history, [])), ' ') AS query FROM ({_TURNS})")
+#: Minutes between turns of a conversation: after some, it has been idle for over an hour. A turn's passage is the text before it; every fifth finds none, every seventh no span.
+_GAP = "turn * 7 + CASE WHEN turn >= 4 AND conv_id % 3 = 0 THEN 90 ELSE 0 END"
+_PASSAGE = "CASE WHEN (conv_id + turn) % 5 = 0 THEN NULL ELSE substring(text, 20, 200) END"
+_SPAN = "CASE WHEN (conv_id + turn) % 7 = 0 THEN '' ELSE substring(text, 30, 25) END"
+_ASKED = "CASE WHEN turn % 4 = 2 THEN concat('When: ', substring(text, 1, 60)) ELSE substring(text, 1, 60) END"
+_OUTCOMES = f"""t AS (SELECT conv_id, turn, {_GAP} AS mi, {_ASKED} AS question, {_PASSAGE} AS passage, {_SPAN} AS span FROM conversations WHERE role = 'user'),
+o AS (SELECT *, coalesce(passage, '') <> '' AND coalesce(span, '') <> '' AS remembered FROM t),
+a AS (SELECT *, CASE WHEN NOT remembered OR (CASE WHEN regexp_matches(lower(question), 'price|cost|amount') THEN NOT regexp_matches(lower(passage), '\\$|usd|rs|rupees|price|amount') WHEN contains(lower(question), 'when') THEN NOT regexp_matches(lower(passage), 'year|month|day|202|203') ELSE false END) THEN 'not found' ELSE span END AS answer FROM o),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY mi, turn) AS sitting FROM (SELECT *, CASE WHEN mi - lag(mi) OVER (PARTITION BY conv_id ORDER BY mi, turn) > 60 THEN 1 ELSE 0 END AS fresh FROM a))"""
+
+
+@query(
+    "x1_streamed_memory",
+    f"""WITH {_OUTCOMES}, m AS (SELECT x.conv_id, x.turn, list(y.question ORDER BY y.mi DESC, y.turn DESC) AS q, list(y.answer ORDER BY y.mi DESC, y.turn DESC) AS r FROM g x JOIN g y ON x.conv_id = y.conv_id AND x.sitting = y.sitting AND y.remembered AND (y.mi, y.turn) < (x.mi, x.turn) GROUP BY 1, 2)
+SELECT g.conv_id, g.turn, g.question, g.answer, array_to_string(list_concat([g.question], list_reverse(coalesce(q[1:2], []))), ' ') AS query, array_to_string(list_reverse(coalesce(q[1:3], [])), '|') AS asked, array_to_string(list_reverse(coalesce(r[1:3], [])), '|') AS answered FROM g LEFT JOIN m ON g.conv_id = m.conv_id AND g.turn = m.turn""",
+)
 def x1(spark, sf_dir):
-    """The stream's rows once it has read all turns, written by three micro-batches or more."""
+    """Each turn's memory as the stream writes it: turns are dealt over three micro-batches out of order, and a tick lets the last ones out."""
     folder = _folder(spark, "x1")
-    turns = _turns(spark, sf_dir)
+    ts = F.timestamp_seconds(F.expr(_GAP) * 60 + 1_000_000)
+    users = table(spark, sf_dir, "conversations").where("role = 'user'")
+    turns = memory.with_outcomes(users.select("conv_id", "turn", ts.alias("ts"), F.expr(_ASKED).alias("question"), F.expr(_PASSAGE).alias("passage"), F.expr(_SPAN).alias("span")))
+    turns = turns.withColumn("part", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3)))
+    tick = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.timestamp_seconds(F.lit(4e9)).alias("ts"), F.lit("").alias("question"), F.lit("").alias("answer"), F.lit(False).alias("remembered"))
     for k in range(3):
-        turns.where(F.floor(F.col("turn") / 3) == k if k < 2 else F.col("turn") >= 6).coalesce(2).write.mode("append").parquet(f"{folder}-in/part{k}")
-    stream = spark.readStream.schema("conv_id long, turn long, question string").option("maxFilesPerTrigger", 2).option("recursiveFileLookup", True).parquet(f"{folder}-in")
-    memory.stream_with_history(stream).writeStream.format("parquet").option("path", f"{folder}-out").option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}-out")
+        turns.where(F.col("part") == k).drop("part").coalesce(1).write.parquet(f"{folder}-in/part{k}")
+    tick.coalesce(1).write.parquet(f"{folder}-in/tick")
+    stream = spark.readStream.schema(turns.drop("part").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{folder}-in")
+    with memory.state_store(spark):
+        memory.stream_with_memory(stream, "1 day", 3_600_000).writeStream.format("parquet").option("path", f"{folder}-out").option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start().awaitTermination()
+    joined = lambda f: F.array_join(F.transform("memory", lambda m: m[f]), "|")
+    return spark.read.schema(memory.REMEMBERED).parquet(f"{folder}-out").where("conv_id >= 0").select("conv_id", "turn", "question", "answer", "query", joined("question").alias("asked"), joined("answer").alias("answered"))
 
 
 @query("x2_streamed_documents", "SELECT doc_id, source, md5(text) AS text_md5 FROM documents WHERE doc_id IN (SELECT conv_id FROM conversations)")
