@@ -1,4 +1,4 @@
-"""Spans: best start and end, entity extension, chunk decisions, answer checks."""
+"""Chunk decisions, answer checks and QA records."""
 
 from __future__ import annotations
 
@@ -8,50 +8,11 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 
-# Spans that must not be cut.
-ENTITIES = [r"\b(?:[A-Z][a-z]+)(?:\s+[A-Z][a-z]+)+\b", r"\$[0-9][\d,]*(?:\.\d+)?", r"(?i)\b\d[\d,]*\s*(?:dollars?|USD|cents?)\b", r"(?i)\b\d+\s*(?:days?|weeks?|months?|years?|hours?|minutes?)\b"]
 # Phrases that mean no answer.
 NO_ANSWER = ["not found", "no answer", "does not contain", "not present"]
 NOT_FOUND = "Answer not found in document."
 
 
-def best_span(df: DataFrame, key: str, longest: int = 30, penalty: float = 0.0) -> DataFrame:
-    """(key, start_tok, end_tok, span_score): the pair i <= j < i + longest with the largest start[i] + end[j] + penalty * (j - i); the first pair of equals. df: (key, starts, ends arrays)."""
-    s = df.select(key, F.posexplode("starts").alias("i", "s"))
-    e = df.select(key, F.posexplode("ends").alias("j", "e"))
-    pairs = s.join(e, (s[key] == e[key]) & (e.j >= s.i) & (e.j <= s.i + longest - 1)).select(s[key], "i", "j", (F.col("s").cast("double") + F.col("e").cast("double") + penalty * (F.col("j") - F.col("i"))).alias("score"))
-    # the best of all pairs is found by a combined aggregate: no sort of all pairs
-    best = pairs.groupBy(key).agg(F.max(F.struct(F.col("score"), (-F.col("i")).alias("i"), (-F.col("j")).alias("j"))).alias("b"))
-    return best.select(key, (-F.col("b.i")).alias("start_tok"), (-F.col("b.j")).alias("end_tok"), F.col("b.score").alias("span_score"))
-
-
-def entity_spans(df: DataFrame, patterns: list[str] = ENTITIES) -> DataFrame:
-    """(doc_id, s, e) of all pattern matches in characters, overlapping and touching ones merged."""
-    rows = None
-    for p in patterns:
-        gap, hit = F.split("text", p, -1), F.regexp_extract_all("text", F.lit(p), F.lit(0))
-        part = df.where(F.col("text").rlike(p)).select("doc_id", F.posexplode(F.arrays_zip(gap.alias("g"), hit.alias("h"))).alias("pos", "x"))
-        part = part.select("doc_id", "pos", F.length("x.g").alias("g"), F.coalesce(F.length("x.h"), F.lit(0)).alias("h"))
-        w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-        part = part.withColumn("e", F.sum(F.col("g") + F.col("h")).over(w)).where("h > 0").select("doc_id", (F.col("e") - F.col("h")).alias("s"), "e")
-        rows = part if rows is None else rows.union(part)
-    return merge_spans(rows)
-
-
-def merge_spans(spans: DataFrame) -> DataFrame:
-    """Spans (doc_id, s, e) with overlapping and touching ones merged: a new island starts where none before reaches."""
-    w = Window.partitionBy("doc_id").orderBy("s", "e")
-    reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = spans.withColumn("new", F.when(F.col("s") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("doc_id", "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
-
-
-def extend_spans(spans: DataFrame, entities: DataFrame) -> DataFrame:
-    """Spans (doc_id, span_start, span_end) widened over every entity that they overlap."""
-    hit = spans.join(entities, (spans.doc_id == entities.doc_id) & (F.col("s") < F.col("span_end")) & (F.col("e") > F.col("span_start")), "left")
-    return hit.groupBy(spans.doc_id, "span_start", "span_end").agg(F.least("span_start", F.min("s")).alias("new_start"), F.greatest("span_end", F.max("e")).alias("new_end"))
-
-
 def final_score(prob: Column, span_score: Column, start: Column, end: Column) -> Column:
     """Probability times the squashed span score; 0 for the empty span at position 0."""
     return F.when((start == 0) & (end == 0), 0.0).otherwise(prob * T.sigmoid(span_score / 10.0))

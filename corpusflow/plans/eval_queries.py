@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import align as A
 from ..operators import metrics as M
 from ..operators import qa as Q
+from ..operators import spans as S
 from .registry import query, table, view
 from .text_queries import _CONTENT, _NORM, _PLAIN, _SYL, _WORDS, LEGAL, _sentences_sql
 
@@ -348,14 +349,30 @@ def w12(spark, sf_dir):
 SELECT vec_id, CAST(i - 1 AS INTEGER) AS start_tok, CAST(j - 1 AS INTEGER) AS end_tok, score AS span_score FROM c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, i, j) = 1""")
 def j14(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("starts"), F.reverse("embedding").alias("ends"))
-    return Q.best_span(rows, "vec_id", 30, 0.01)
+    return S.best_span(rows, "vec_id", 30, 0.01)
 
 
-@query("w8_j12_extended_spans")
+def _places(pattern: str) -> str:
+    """(doc_id, s, e) of a pattern's matches: texts between matches and matches, in turn, as running sums of lengths."""
+    cut = f"SELECT doc_id, unnest(range(1, len(g) + 1)) AS i, g, h FROM (SELECT doc_id, regexp_split_to_array(text, '{pattern}') AS g, regexp_extract_all(text, '{pattern}') AS h FROM legal)"
+    sums = f"SELECT doc_id, length(h[i]) AS n, sum(length(g[i]) + coalesce(length(h[i]), 0)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM ({cut})"
+    return f"SELECT doc_id, e - n AS s, e FROM ({sums}) WHERE n > 0"
+
+
+_ENTITIES = " UNION ALL ".join(_places(p) for p in S.ENTITIES)
+
+
+@query(
+    "w8_j12_extended_spans",
+    f"""WITH legal AS ({LEGAL.format(documents='documents')}), x AS ({_ENTITIES}),
+i AS (SELECT *, sum(CASE WHEN s <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x)),
+m AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM i GROUP BY doc_id, g), p AS (SELECT doc_id, length(text) - 320 AS a, length(text) - 290 AS b FROM legal)
+SELECT p.doc_id, CAST(a AS INTEGER) AS span_start, CAST(b AS INTEGER) AS span_end, CAST(least(a, min(s)) AS INTEGER) AS new_start, CAST(greatest(b, max(e)) AS INTEGER) AS new_end FROM p LEFT JOIN m ON m.doc_id = p.doc_id AND s < b AND e > a GROUP BY p.doc_id, a, b""",
+)
 def w8(spark, sf_dir):
     rows = view(spark, sf_dir, LEGAL, "documents").select("doc_id", "text")
     spans = rows.select("doc_id", (F.length("text") - 320).alias("span_start"), (F.length("text") - 290).alias("span_end"))
-    return Q.extend_spans(spans, Q.entity_spans(rows))
+    return S.extend_spans(spans, S.entity_spans(rows))
 
 
 _SMALL = "abcdefghijklmnopqrstuvwxyz"

@@ -10,7 +10,7 @@ import pytest
 from corpusflow.functions import lexicon
 from corpusflow.functions.stem import stem
 from corpusflow.operators import metrics as M
-from corpusflow.operators import qa as Q
+from corpusflow.operators import spans as N
 from corpusflow.plans import catalogue
 from corpusflow.plans.eval_queries import summaries
 from corpusflow.plans.text_queries import legal
@@ -193,7 +193,7 @@ def test_extended_spans(spark, legal_texts):
     for d, t in legal_texts.items():
         a, b = len(t) - 320, len(t) - 290
         merged = []
-        for s, e in sorted(m.span() for p in Q.ENTITIES for m in re.finditer(re.sub(r"^\(\?i\)", "", p), t, re.A | (re.I if p.startswith("(?i)") else 0))):
+        for s, e in sorted(m.span() for p in N.ENTITIES for m in re.finditer(re.sub(r"^\(\?i\)", "", p), t, re.A | (re.I if p.startswith("(?i)") else 0))):
             if merged and s <= merged[-1][1]:
                 merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
             else:

@@ -11,7 +11,7 @@ from corpusflow.functions import lexicon
 from corpusflow.functions import text as T
 from corpusflow.operators import chunks as C
 from corpusflow.operators import metrics as M
-from corpusflow.operators import qa as Q
+from corpusflow.operators import spans as N
 from corpusflow.operators import sampling as S
 from corpusflow.operators import textrank as K
 from corpusflow.plans import catalogue
@@ -63,15 +63,15 @@ def test_section_chunks_move_on(spark):
 
 def test_best_span_ties(spark):
     rows = [(1, [1.0, 1.0, 0.0], [0.0, 1.0, 1.0]), (2, [0.0, 5.0], [9.0, 0.0])]
-    got = {r["k"]: tuple(r)[1:] for r in Q.best_span(spark.createDataFrame(rows, "k long, starts array<double>, ends array<double>"), "k", 2).collect()}
+    got = {r["k"]: tuple(r)[1:] for r in N.best_span(spark.createDataFrame(rows, "k long, starts array<double>, ends array<double>"), "k", 2).collect()}
     assert got == {1: (0, 1, 2.0), 2: (0, 0, 9.0)}
 
 
 def test_entities_merge_and_extend(spark):
     text = "Pay $1,000 to Green River Company within 30 days now"
-    e = Q.entity_spans(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    e = N.entity_spans(spark.createDataFrame([(1, text)], "doc_id long, text string"))
     assert [text[r["s"] : r["e"]] for r in e.orderBy("s").collect()] == ["$1,000", "Green River Company", "30 days"]
-    out = Q.extend_spans(spark.createDataFrame([(1, 6, 20), (1, 0, 2)], "doc_id long, span_start int, span_end int"), e).orderBy("span_start").collect()
+    out = N.extend_spans(spark.createDataFrame([(1, 6, 20), (1, 0, 2)], "doc_id long, span_start int, span_end int"), e).orderBy("span_start").collect()
     assert [(r["new_start"], r["new_end"]) for r in out] == [(0, 2), (4, text.index("Company") + 7)]
 
 
@@ -236,3 +236,29 @@ def test_absent_files(spark, tmp_path):
 def test_metrics_keep_running(spark):
     done, failed = M.run_metrics({"good": lambda: spark.range(1), "bad": lambda: spark.range(1).select("nope")})
     assert list(done) == ["good"] and "bad" in failed
+
+
+def test_sweep_and_window_against_all_pairs(spark):
+    rng = random.Random(3)
+    spans = [(d, a, a + rng.randrange(0, 9)) for d in (1, 2, None) for a in (rng.randrange(60) for _ in range(40))]
+    entities = [(d, s, s + rng.randrange(1, 7)) for d in (1, 2, None) for s in (rng.randrange(60) for _ in range(25))]
+    hit = lambda d, a, b: [(s, e) for x, s, e in entities if d is not None and x == d and s < b and e > a]
+    want = {(d, a, b, min([a, *(s for s, _ in hit(d, a, b))]), max([b, *(e for _, e in hit(d, a, b))])) for d, a, b in spans}
+    got = N.extend_spans(spark.createDataFrame(spans, "doc_id long, span_start int, span_end int"), spark.createDataFrame(entities, "doc_id long, s int, e int"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    many = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), (F.col("id") * 10).cast("int").alias("span_start"), (F.col("id") * 10 + 4).cast("int").alias("span_end"))
+    wide = N.extend_spans(many, spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), (F.col("id") * 10 + 3).cast("int").alias("s"), (F.col("id") * 10 + 9).cast("int").alias("e")))
+    assert wide.where("new_end = span_start + 9 and new_start = span_start").count() == 100_000
+
+    rows = [(k, [rng.choice([0.5, 1.25, rng.random()]) for _ in range(n)], [rng.choice([0.5, rng.random()]) for _ in range(n)]) for k, n in enumerate([0, 1, 5, 30, 31, 64, 200, 200, 200])]
+    rows += [(90, [None, 1.0], [float("nan"), 2.0]), (91, None, [1.0]), (92, [1.0, 9.0, 1.0], [3.0])]
+    for longest, penalty in ((1, 0.0), (7, 0.0), (30, 0.01), (30, -0.3)):
+        want = {}
+        for k, s, e in rows[:9]:
+            pairs = [(s[i] + e[j] + penalty * (j - i), -i, -j) for i in range(len(s)) for j in range(i, min(i + longest, len(e)))]
+            if pairs:
+                score, i, j = max(pairs)
+                want[k] = (-i, -j, score)
+        got = {r[0]: tuple(r)[1:] for r in N.best_span(spark.createDataFrame(rows, "k long, starts array<double>, ends array<double>"), "k", longest, penalty).collect()}
+        assert {k: v for k, v in got.items() if k < 90} == want
+        assert got[90] == (1, 1, 3.0) and 91 not in got and got[92] == (0, 0, 4.0)
