@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,65 +15,52 @@ BITS = 128
 RADIUS, BLOCKS, EQUAL = 6, 8, 2
 #: Pairs of words with so many characters and more count twice.
 LONG_PAIR = 10
-#: Terms whose votes fit into counters of a byte, so that none reaches 128: 63 terms of weight 2.
-BLOCK_TERMS = 63
-_ONES = 0x0101010101010101
+#: A term's lowest three bits: which text of a row it is of, and its weight, 0 for the mark that every text has.
+_SIDE, _WEIGHT = 4, 3
+_HALF = 0xFFFFFFFF
 _SPACES = r"[\x20\x09-\x0D]+"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once: Spark would put a projected column's expression wherever a lambda names it."""
-    return F.transform(F.array(value), body)[0]
-
-
-def terms(text: Column) -> Column:
-    """Distinct hashes of each word with the one after it (the last stands alone); the lowest bit is set in those that count twice."""
+def terms(text: Column, side: int = 0) -> Column:
+    """Distinct hashes of each word with the one after it (the last stands alone), and a mark of weight 0; see ``_SIDE`` for their lowest bits."""
 
     def hashed(a: Column, b: Column) -> Column:
-        heavy = F.length(a) + F.coalesce(F.length(b), F.lit(0)) >= LONG_PAIR
-        return F.shiftleft(F.shiftright(F.xxhash64(a, b), 1), 1).bitwiseOR(F.when(heavy, F.lit(1)).otherwise(F.lit(0)).cast("long"))
+        weight = F.when(F.length(a) + F.coalesce(F.length(b), F.lit(0)) >= LONG_PAIR, 2 + _SIDE * side).otherwise(1 + _SIDE * side)
+        return F.shiftleft(F.shiftright(F.xxhash64(a, b), 3), 3).bitwiseOR(weight.cast("long"))
 
     words = F.array_remove(F.split(F.coalesce(text, F.lit("")), _SPACES), "")
-    return F.array_distinct(_let(words, lambda w: F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), hashed)))
-
-
-def _block_votes(votes: Column) -> Column:
-    """Votes of up to 63 terms: 16 longs of eight counters each, counter k of long j for bit 8 k + j of a hash, and all weights."""
-    fields = [f"s{j}" for j in range(16)]
-
-    def step(a: Column, v: Column) -> Column:
-        bits = [F.shiftrightunsigned(v["x" if j < 8 else "y"], j % 8).bitwiseAND(F.lit(_ONES)) * v["w"] for j in range(16)]
-        return F.struct(*[(a[f] + b).alias(f) for f, b in zip(fields, bits)], (a["w"] + v["w"]).alias("w"))
-
-    start = F.struct(*[F.lit(0).cast("long").alias(f) for f in fields], F.lit(0).cast("long").alias("w"))
-    return F.aggregate(votes, start, step, lambda a: F.struct(F.array(*[a[f] for f in fields]).alias("s"), a["w"].alias("w")))
+    # A variable of one outer step holds the words, else each inner step would cut the text again.
+    pairs = F.transform(F.array(words), lambda w: F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), hashed))[0]
+    return F.concat(F.array(F.lit(_SIDE * side).cast("long")), F.array_distinct(pairs))
 
 
-def fingerprint(text: Column) -> Column:
-    """Struct of two longs (hi, lo): a bit is set if the terms whose hash has it weigh more than the others. Texts without words have no bit set; equal texts have equal fingerprints.
+def voted(rows: DataFrame, key: str, carried: list[str]) -> DataFrame:
+    """(key, side, *carried, hi, lo): the fingerprints of ``rows`` (key, carried longs, t: terms of one or two texts).
 
-    Votes are counted in bytes of longs, a block of terms at a time, and the blocks' counters are added up, so texts may be of any length.
+    A bit is set if the terms whose hash has it weigh more than the others; without words none is. Votes for two bits are counted in
+    one long, 64 longs in all, by sums that Spark combines before it shuffles them, so texts may have any number of terms.
     """
-    votes = F.transform(terms(text), lambda h: F.struct(F.xxhash64(h, F.lit(1)).alias("x"), F.xxhash64(h, F.lit(2)).alias("y"), (h.bitwiseAND(F.lit(1)) + 1).alias("w")))
+    each = rows.select(key, *carried, F.explode("t").alias("h"))
+    term = F.col("h").bitwiseAND(F.lit(~7))
+    each = each.select(key, *carried, F.shiftright("h", 2).bitwiseAND(F.lit(1)).alias("side"), F.xxhash64(term, F.lit(1)).alias("x"), F.xxhash64(term, F.lit(2)).alias("y"), F.col("h").bitwiseAND(F.lit(_WEIGHT)).alias("w"))
+    two = F.lit(1 << 32 | 1)
+    votes = [F.sum(F.shiftrightunsigned(c, j).bitwiseAND(two) * F.col("w")).alias(f"{c}{j}") for c in "xy" for j in range(32)]
+    counted = each.groupBy(key, "side").agg(*[F.max(c).alias(c) for c in carried], F.sum("w").alias("all"), *votes)
 
-    def counted(all_votes: Column) -> Column:
-        # Bit b of the 128 is bit b % 64 of the first or second hash: counter (b % 64) / 8 of long 8 (b / 64) + b % 8.
-        def added(a: Column, i: Column) -> Column:
-            block = _block_votes(F.slice(all_votes, i * BLOCK_TERMS + 1, F.lit(BLOCK_TERMS)))
-            at = lambda v, b: F.call_function("shiftrightunsigned", F.get(v["s"], (F.floor(b / 64) * 8 + b % 8).cast("int")), (F.floor(b % 64 / 8) * 8).cast("int")).bitwiseAND(F.lit(255))
-            return _let(block, lambda v: F.struct(F.transform(a["c"], lambda c, b: c + at(v, b)).alias("c"), (a["w"] + v["w"]).alias("w")))
+    def packed(c: str) -> Column:
+        bits = None
+        for j in range(32):
+            for k, count in ((j, F.col(f"{c}{j}").bitwiseAND(F.lit(_HALF))), (j + 32, F.shiftrightunsigned(f"{c}{j}", 32))):
+                bit = F.when(2 * count > F.col("all"), F.lit(1 << k if k < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long"))
+                bits = bit if bits is None else bits.bitwiseOR(bit)
+        return bits
 
-        start = F.struct(F.array_repeat(F.lit(0).cast("long"), BITS).alias("c"), F.lit(0).cast("long").alias("w"))
-        blocks = F.sequence(F.lit(0), F.ceil(F.size(all_votes) / BLOCK_TERMS).cast("int") - 1)
-        return F.when(F.size(all_votes) > 0, F.aggregate(blocks, start, added)).otherwise(start)
+    return counted.select(key, "side", *carried, packed("y").alias("hi"), packed("x").alias("lo"))
 
-    def packed(v: Column) -> Column:
-        half = lambda first: F.aggregate(
-            F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda a, b: F.when(2 * F.get(v["c"], b + first) > v["w"], a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))).otherwise(a)
-        )
-        return F.struct(half(64).alias("hi"), half(0).alias("lo"))
 
-    return _let(_let(votes, counted), packed)
+def fingerprints(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, hi, lo): the fingerprint of each text of ``docs``, whose keys (longs) are distinct. Null is an empty text; equal texts have equal fingerprints."""
+    return voted(docs.select(key, terms(F.col(text)).alias("t")), key, []).drop("side")
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -170,8 +156,14 @@ def compared(spark: SparkSession, docs: DataFrame, radius: int = RADIUS) -> Data
     edits = F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))"), F.substr("next", F.lit(1), edits))
     rows = followed(spark, docs.select("doc_id", "text")).select("no", "total", "doc_id", "text", edited.alias("edited"))
-    rows = rows.select("no", "total", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("p"), fingerprint(F.col("edited")).alias("e"))
-    rows = work.save(rows, "prints")
+    digest = [F.conv(F.substr(F.sha2("edited", 256), F.lit(16 * k + 1), F.lit(16)), 16, -10).cast("long").alias(f"d{k}") for k in range(4)]
+    carried = ["total", "doc_id", "n_chars", "d0", "d1", "d2", "d3"]
+    rows = rows.select("no", "total", "doc_id", F.length("text").cast("long").alias("n_chars"), *digest, F.concat(terms(F.col("text")), terms(F.col("edited"), 1)).alias("t"))
+    rows = work.save(voted(rows, "no", carried), "sides")
+    side = lambda k: F.max(F.when(F.col("side") == k, F.struct("hi", "lo")))
+    rows = rows.groupBy("no", *carried).agg(side(0).alias("p"), side(1).alias("e"))
+    sha = F.lower(F.concat(*[F.lpad(F.hex(f"d{k}"), 16, "0") for k in range(4)]))
+    rows = work.save(rows.select("no", "total", "doc_id", "n_chars", sha.alias("edited_sha256"), "p", "e"), "prints")
     after = rows.select(((F.col("no") - 1 + F.col("total")) % F.col("total")).alias("no"), F.col("p").alias("after"))
     found = rows.join(after, "no").withColumn("near_edited", likeness(F.col("p"), F.col("e"))).withColumn("near_next", likeness(F.col("p"), F.col("after")))
     near = work.save(within_radius(spark, rows.select("doc_id", "p.hi", "p.lo"), work, radius), "near")
