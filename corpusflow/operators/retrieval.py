@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..plans.ranks import with_group_ranks
 from ..plans.scratch import Scratch
 
 #: A numeric sign that keeps sums alike in any order.
@@ -84,12 +83,6 @@ def top_k(scores: DataFrame, by: list[str], k: int, ties: list[str]) -> DataFram
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def ranking(scores: DataFrame, by: list[str], ties: list[str]) -> DataFrame:
-    """All rows of each group with rank from 1, numbered by range, so that a group of any size is no single task's work."""
-    rows = scores.withColumn("__down", -F.col("score"))
-    return with_group_ranks(rows, by, ["__down", *ties]).drop("__down")
-
-
 def rank_fusion(first: DataFrame, second: DataFrame, by: list[str], item: list[str], most: int, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of two rankings (by, item, rank): the ``most`` largest sums of 1 / (k + rank); ties in the order of the first ranking."""
     part = lambda df, no: df.select(*by, *item, (1.0 / (k + F.col("rank"))).alias("part"), F.when(F.lit(no == 1), F.col("rank")).alias("first_rank"))

@@ -12,6 +12,7 @@ from ..operators import chunks as C
 from ..operators import features as X
 from ..operators import retrieval as R
 from ..operators import sampling as S
+from ..operators import search as N
 from ..operators import textrank as K
 from .registry import query, table
 from .text_queries import _CONTENT, _chunk_sql, _sentences_sql, documents, legal
@@ -38,36 +39,25 @@ tc AS (SELECT item_id, doc_id, chunk_idx, round(sum(w * v), 6) AS score FROM qw
 _TIES = ["doc_id", "chunk_idx"]
 
 
-def _bm25(spark, sf_dir):
-    return R.bm25(_chunks(spark, sf_dir), _items(spark, sf_dir), ["doc_id", "chunk_idx"], "item_id")
-
-
-def _tfidf(spark, sf_dir):
-    chunks, items = _chunks(spark, sf_dir), _items(spark, sf_dir)
-    terms = R.tfidf(chunks, ["doc_id", "chunk_idx"], T.content_words(F.col("text")), sublinear=False)
-    model = R.tfidf_model(chunks.withColumn("k", F.struct("doc_id", "chunk_idx")), "k", T.content_words(F.col("text")))
-    q = R.term_counts(items, ["item_id"], T.content_words(F.col("text"))).join(model, "term").withColumn("x", F.col("tf") * F.col("idf"))
-    from pyspark.sql.window import Window
-
-    q = q.select("item_id", "term", (F.col("x") / F.sqrt(F.sum(F.col("x") ** 2).over(Window.partitionBy("item_id")))).alias("w"))
-    return R.cosine(terms, q, ["doc_id", "chunk_idx"], ["item_id"])
+def _index(spark, sf_dir):
+    return N.Index.of(_chunks(spark, sf_dir), _TIES)
 
 
 @query("r3_bm25_top3", _BM25 + " SELECT item_id, doc_id, chunk_idx, score, rank FROM bk WHERE rank <= 3")
 def r3(spark, sf_dir):
-    return R.top_k(_bm25(spark, sf_dir), ["item_id"], 3, _TIES)
+    return N.best_passages(N.bm25_parts(_index(spark, sf_dir), _items(spark, sf_dir), "item_id"), _TIES, "item_id", 3)
 
 
 @query("r2_tfidf_top3", "WITH " + _TF + _TFIDF + " SELECT item_id, doc_id, chunk_idx, score, rank FROM tk WHERE rank <= 3")
 def r2(spark, sf_dir):
-    return R.top_k(_tfidf(spark, sf_dir), ["item_id"], 3, _TIES)
+    return N.best_passages(N.tfidf_parts(_index(spark, sf_dir), _items(spark, sf_dir), "item_id"), _TIES, "item_id", 3)
 
 
 @query("w3_rank_fusion", _BM25 + _TFIDF + """, f AS (SELECT item_id, doc_id, chunk_idx, round(sum(p), 9) AS score, min(fr) AS first_rank FROM (SELECT item_id, doc_id, chunk_idx, 1.0 / (60 + CAST(rank AS DOUBLE)) AS p, rank AS fr FROM tk UNION ALL SELECT item_id, doc_id, chunk_idx, 1.0 / (60 + CAST(rank AS DOUBLE)), NULL FROM bk) GROUP BY 1, 2, 3)
 SELECT item_id, doc_id, chunk_idx, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, first_rank NULLS LAST, doc_id, chunk_idx) AS rank FROM f QUALIFY rank <= 5""")
 def w3(spark, sf_dir):
-    fused = R.rank_fusion(R.ranking(_tfidf(spark, sf_dir), ["item_id"], _TIES), R.ranking(_bm25(spark, sf_dir), ["item_id"], _TIES), ["item_id"], ["doc_id", "chunk_idx"], 5)
-    return fused.select("item_id", "doc_id", "chunk_idx", "score", "rank")
+    index, items = _index(spark, sf_dir), _items(spark, sf_dir)
+    return N.fused(N.tfidf_parts(index, items, "item_id"), N.bm25_parts(index, items, "item_id"), _TIES, "item_id", 5)
 
 
 @query("r4_bm25_in_document", _BM25.replace("df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)", "df AS (SELECT doc_id, term, count(*) AS df FROM tf GROUP BY 1, 2)").replace(f"q AS (SELECT item_id, w AS term, count(*) AS times FROM (SELECT item_id, unnest({_CONTENT.format('text')}) AS w FROM benchmark) GROUP BY 1, 2)", f"q AS (SELECT doc_id, w AS term, count(*) AS times FROM (SELECT doc_id, unnest({_CONTENT.format('substring(text, 1, 80)')}) AS w FROM documents) GROUP BY 1, 2)").split("st AS")[0] + """st AS (SELECT doc_id, count(*) AS n, avg(len) AS m FROM l GROUP BY 1)
