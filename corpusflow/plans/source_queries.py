@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import qa as Q
+from ..sources import json_map as J
 from ..sources import readers as R
 from ..sources import writers as K
 from ..streaming import memory
@@ -19,6 +20,11 @@ def _folder(spark: SparkSession, name: str) -> str:
     return Scratch(spark, name).root
 
 
+def _json(text: Column) -> Column:
+    """A text as a JSON string."""
+    return F.regexp_extract(F.to_json(F.struct(text.alias("t"))), r"(?s)^\{\"t\":(.*)\}$", 1)
+
+
 @query("s1_json_lines", "SELECT doc_id, source, md5(text) AS text_md5 FROM documents")
 def s1(spark, sf_dir):
     path = _folder(spark, "s1")
@@ -73,11 +79,10 @@ def s5(spark, sf_dir):
 def s6(spark, sf_dir):
     folder = _folder(spark, "s6")
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    first = docs.where(F.col("doc_id").cast("long") % 2 == 0).select(F.to_json(F.create_map("doc_id", "text")).alias("value"))
+    first = docs.where(F.col("doc_id").cast("long") % 2 == 0).select(F.col("doc_id").alias("key"), _json(F.col("text")).alias("json"))
     both = F.when(F.col("doc_id").cast("long") % 3 == 0, F.struct(F.lit("").alias("doc_text"), F.col("text").alias("text"))).otherwise(F.struct(F.col("text").alias("doc_text"), F.lit("unused").alias("text")))
-    first.write.text(f"{folder}-1")
-    docs.select(F.to_json(F.create_map("doc_id", both)).alias("value")).write.text(f"{folder}-2")
-    return R.source_map(spark, [f"{folder}-1", f"{folder}-2"]).select("doc_id", F.md5("text").alias("text_md5"))
+    releases = [J.write_maps(first, f"{folder}-1"), J.write_maps(docs.select(F.col("doc_id").alias("key"), F.to_json(both).alias("json")), f"{folder}-2")]
+    return R.source_map(spark, releases).select("doc_id", F.md5("text").alias("text_md5"))
 
 
 @query("s7_case_splits", """WITH p AS (SELECT doc_id % 700 AS case_id, doc_id, doc_id // 700 % 4 AS part FROM documents), f AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY part, doc_id) AS n FROM p) SELECT case_id, doc_id, CASE WHEN part IN (0, 2) THEN 'train' ELSE 'validation' END AS split FROM f WHERE n = 1""")
@@ -253,15 +258,24 @@ def x1(spark, sf_dir):
 
 @query("x2_streamed_documents", "SELECT doc_id, source, md5(text) AS text_md5 FROM documents WHERE doc_id IN (SELECT conv_id FROM conversations)")
 def x2(spark, sf_dir):
-    """Documents that conversations name, picked out of a stream of files of all documents."""
+    """Documents that conversations name, picked out of large maps that a stream reads: it stops halfway and goes on from its offset."""
     folder = _folder(spark, "x2")
-    docs = documents(spark, sf_dir)
-    for k in range(3):
-        docs.where(F.pmod("doc_id", F.lit(3)) == k).write.mode("append").parquet(f"{folder}-in/part{k}")
-    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", True).parquet(f"{folder}-in")
-    needed = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"))
-    memory.needed_documents(stream, needed).writeStream.format("parquet").option("path", f"{folder}-out").option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}-out").select("doc_id", "source", F.md5("text").alias("text_md5"))
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("key"), F.to_json(F.struct("source", "text")).alias("json"))
+    files = J.write_maps(docs, f"{folder}-in")
+    needed = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("key"))
+    ranges = J.index_maps(spark, files, f"{folder}-all", 1 << 20).count()
+    for first, last in ((0, ranges // 2), (ranges // 2, ranges)):
+        if first == last:
+            continue
+        J.index_maps(spark, files, f"{folder}-index", 1 << 20, first, last)
+        wanted = memory.needed_documents(J.large_maps(spark, f"{folder}-index", stream=True), needed, "key")
+        query = wanted.writeStream.format("parquet").option("path", f"{folder}-out").option("checkpointLocation", f"{folder}-state").start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    found = spark.read.schema(J.SCHEMA).parquet(f"{folder}-out").select("key", F.from_json("value", "source string, text string").alias("v"))
+    return found.select(F.col("key").cast("long").alias("doc_id"), "v.source", F.md5("v.text").alias("text_md5"))
 
 
 @query("a23_dialogue_metrics", f"""WITH u AS ({_TURNS}), r AS (SELECT conv_id, turn, len(coalesce(history, [])) AS lookback, CAST(conv_id * 31 + turn * 17 AS BIGINT) % 10 / 10.0 AS f1_with, CAST(conv_id * 13 + turn * 7 AS BIGINT) % 10 / 10.0 AS f1_without FROM u)

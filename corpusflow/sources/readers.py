@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 from ..functions.lexicon import LABEL_QUESTIONS
 from ..plans.ranks import with_row_numbers
+from ..plans.scratch import Scratch
+from .json_map import index_maps, large_maps
 
 QA_FIELDS = ["question", "context", "answer_text", "answer_start", "is_answerable", "domain"]
 QA_TEST = "example_id string, source string, question string, document string, gold_answers array<string>, is_answerable boolean, extras map<string,string>"
@@ -73,17 +75,23 @@ def evaluation_set(generated: DataFrame, references: DataFrame, sources: DataFra
     return rows.select("test_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("generated", "reference", "source_text")])
 
 
-def source_map(spark: SparkSession, releases: list[str]) -> DataFrame:
-    """Keyed JSON maps of several releases, values a string or {doc_text, text}: rows (doc_id, text), the first non-empty text in order of release."""
-    rows = None
-    for no, path in enumerate(releases):
-        part = spark.read.text(path).select(F.explode(F.from_json("value", "map<string,string>")).alias("doc_id", "v"), F.lit(no).alias("release"))
+def map_texts(rows: DataFrame) -> DataFrame:
+    """(key, value) of a keyed map, values a string or {doc_text, text}, as (doc_id, text): the first of the two that is not empty; entries without a text are left out."""
+    inner = F.from_json("value", "struct<doc_text:string,text:string>")
+    text = F.when(F.col("value").startswith("{"), F.coalesce(F.nullif("s.doc_text", F.lit("")), F.col("s.text"))).otherwise(F.col("value"))
+    return rows.withColumn("s", inner).withColumn("text", text).where("text is not null and trim(text) <> ''").select(F.col("key").alias("doc_id"), "text", *[c for c in rows.columns if c not in ("key", "value")])
+
+
+def source_map(spark: SparkSession, releases: list[list[str]]) -> DataFrame:
+    """Keyed JSON maps of several releases, each a list of files of any size: rows (doc_id, text), the first non-empty text in order of release and place."""
+    work, rows = Scratch(spark, "maps"), None
+    for no, files in enumerate(releases):
+        index = f"{work.root}/index{no}"
+        index_maps(spark, files, index)
+        part = map_texts(large_maps(spark, index)).withColumn("release", F.lit(no))
         rows = part if rows is None else rows.union(part)
-    inner = F.from_json("v", "struct<doc_text:string,text:string>")
-    rows = rows.withColumn("s", inner).withColumn("text", F.when(F.col("v").startswith("{"), F.coalesce(F.nullif("s.doc_text", F.lit("")), F.col("s.text"))).otherwise(F.col("v")))
-    rows = rows.where("text is not null and trim(text) <> ''")
-    w = Window.partitionBy("doc_id").orderBy("release")
-    return rows.withColumn("n", F.row_number().over(w)).where("n = 1").select("doc_id", "text")
+    # A combined aggregate, so an id that many releases have is no single task's work.
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.struct("release", "at", "text")).alias("text"))
 
 
 def cases(parts: list[tuple[str, DataFrame]]) -> tuple[DataFrame, DataFrame]:
