@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,70 +61,92 @@ def sentence_rows(df: DataFrame, abbreviations: list[str], least_words: int = 5)
     return df.select("doc_id", F.posexplode(T.sentences(F.col("text"), abbreviations, least_words)).alias("sent_idx", "sentence"))
 
 
-def sections(df: DataFrame, min_gap: int = 10) -> DataFrame:
-    """Rows (doc_id, sections: array of start, end, name): header matches by position, each more than ``min_gap`` after the last one kept (which at first is -1, so a header at the very start is dropped)."""
-    found = None
-    for p in lexicon.SECTION_PATTERNS:
-        pattern = f"(?m){p}"
-        parts = F.arrays_zip(F.split("text", pattern, -1).alias("gap"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("hit"))
-        none = F.array().cast("array<struct<start:int,end:int,name:string>>")
+def _spaced(min_gap: int):
+    def run(starts: pa.Array) -> pa.Array:
+        values, offsets = starts.values.to_pylist(), starts.offsets.to_pylist()
+        out = []
+        for a, b in zip(offsets, offsets[1:]):
+            last, kept = -1, []
+            for i in range(a, b):
+                if values[i] > last + min_gap:
+                    last = values[i]
+                    kept.append(i - a)
+            out.append(kept)
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return run
 
-        def step(a: Column, x: Column) -> Column:
-            begin = a["at"] + F.length(x["gap"])
-            end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
-            one = F.struct(begin.alias("start"), end.alias("end"), F.btrim(F.regexp_replace(x["hit"], r"\s+", " ")).alias("name"))
-            return F.struct(end.alias("at"), F.when(x["hit"].isNull(), a["out"]).otherwise(F.array_append(a["out"], one)).alias("out"))
 
-        hits = F.when(F.col("text").rlike(pattern), F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])).otherwise(none)
-        found = hits if found is None else F.concat(found, hits)
+def pattern_places(df: DataFrame, patterns: list[str]) -> DataFrame:
+    """(doc_id, all): the matches of all patterns in a text as structs (start, end, name), in characters and in order; the name is the match with single spaces.
 
-    def keep(a: Column, x: Column) -> Column:
-        return F.when(x["start"] > a["last"] + min_gap, F.struct(x["start"].alias("last"), F.array_append(a["out"], x).alias("out"))).otherwise(a)
+    Positions are running sums of the pieces between matches and the matches, in Arrow batches; a null text has none.
+    """
+    parts = {}
+    for i, p in enumerate(patterns):
+        cut = F.arrays_zip(F.split("text", p, -1).alias("gap"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("hit"))
+        parts[f"p{i}"] = F.when(F.col("text").rlike(p), cut).otherwise(F.array().cast("array<struct<gap:string,hit:string>>"))
+    rows = df.select("doc_id", *[c.alias(n) for n, c in parts.items()])
+    rows = rows.withColumns({f"e{i}": T.running_sums(F.transform(p, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0)))) for i, p in enumerate(parts)})
+    found = []
+    for i, p in enumerate(parts):
+        both = F.filter(F.arrays_zip(F.col(p).alias("p"), F.col(f"e{i}").alias("end")), lambda x: x["p"]["hit"].isNotNull())
+        found.append(F.transform(both, lambda x: F.struct((x["end"] - F.length(x["p"]["hit"])).alias("start"), x["end"].alias("end"), F.btrim(F.regexp_replace(x["p"]["hit"], r"\s+", " ")).alias("name"))))
+    return rows.select("doc_id", F.sort_array(F.concat(*found)).alias("all"))
+
+
+def sections(df: DataFrame, min_gap: int = 10) -> DataFrame:
+    """Rows (doc_id, sections: array of start, end, name): header matches by position, each more than ``min_gap`` after the last one kept (which at first is -1, so a header at the very start is dropped).
 
-    none = F.array().cast("array<struct<start:int,end:int,name:string>>")
-    return df.select("doc_id", F.aggregate(F.sort_array(found), F.struct(F.lit(-1).alias("last"), none.alias("out")), keep, lambda a: a["out"]).alias("sections"))
+    Work is in proportion to the text and its headers. A null text has no sections.
+    """
+    rows = pattern_places(df, [f"(?m){p}" for p in lexicon.SECTION_PATTERNS])
+    kept = F.arrow_udf(_spaced(min_gap), "array<int>")(F.transform("all", lambda x: x["start"]))
+    return rows.withColumn("kept", kept).select("doc_id", F.transform("kept", lambda i: F.get("all", i)).alias("sections"))
 
 
 def _pack(size: int, overlap: int):
-    def run(doc: pd.DataFrame) -> pd.DataFrame:
-        doc = doc.sort_values("sent_idx")
-        texts, counts, heads = doc["sentence"].tolist(), doc["n_words"].tolist(), doc["starts_section"].tolist()
-        out, held, fresh, at = [], [], 0, 0  # held: sentence numbers; fresh: those not yet in a chunk
-        total = lambda: sum(counts[k] for k in held)
+    def run(doc: pa.Table) -> pa.Table:
+        doc = doc.sort_by("sent_idx")
+        texts, counts, heads = (doc[c].to_pylist() for c in ("sentence", "n_words", "starts_section"))
+        out, held, fresh, at, total = [], [], 0, 0, 0  # held: sentence numbers; fresh: those not yet in a chunk; total: words held
 
         def emit() -> None:
-            out.append((doc["doc_id"].iloc[0], len(out), " ".join(texts[k] for k in held), total(), len(held)))
+            out.append((len(out), " ".join(texts[k] for k in held), total, len(held)))
 
         while at < len(texts):
-            if not held or total() + counts[at] <= size:
+            if not held or total + counts[at] <= size:
                 held.append(at)
+                total += counts[at]
                 fresh, at = fresh + 1, at + 1
                 continue
             if not fresh:  # only what the last chunk ended with: it gives way, so that each turn moves on
-                held = []
+                held, total = [], 0
                 continue
             ahead = next((d for d in (1, 2, 3) if at + d < len(texts) and heads[at + d]), 0)
             held += range(at, at + ahead)
+            total += sum(counts[at : at + ahead])
             at += ahead
             emit()
             kept, room = [], overlap
             for k in reversed(held):
                 if counts[k] > room:
                     break
-                kept.insert(0, k)
+                kept.append(k)
                 room -= counts[k]
-            held, fresh = kept, 0
+            held, fresh, total = kept[::-1], 0, overlap - room
         if held:
             emit()
-        return pd.DataFrame(out, columns=["doc_id", "chunk_index", "text", "token_count", "sentence_count"])
+        columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.string(), pa.int32(), pa.int32()))]
+        return pa.table([pa.repeat(doc["doc_id"][0], len(out)), *columns], ["doc_id", "chunk_index", "text", "token_count", "sentence_count"])
 
     return run
 
 
 def section_chunks(sentences: DataFrame, size: int = 800, overlap: int = 50) -> DataFrame:
     """Sentences (doc_id, sent_idx, sentence, starts_section) packed up to ``size`` words; a chunk that is full first takes in up to three sentences before a section start; up to ``overlap`` words of trailing sentences open the next chunk. One document is one group; an overlap that leaves no room for the next sentence is given up."""
-    rows = sentences.withColumn("n_words", T.word_count(F.col("sentence"))).select("doc_id", "sent_idx", "sentence", "n_words", F.coalesce("starts_section", F.lit(False)).alias("starts_section"))
-    return rows.groupBy("doc_id").applyInPandas(_pack(size, overlap), "doc_id long, chunk_index int, text string, token_count int, sentence_count int")
+    rows = sentences.withColumn("n_words", T.word_count(F.col("sentence"))).select(F.col("doc_id").cast("long").alias("doc_id"), "sent_idx", "sentence", "n_words", F.coalesce("starts_section", F.lit(False)).alias("starts_section"))
+    return rows.groupBy("doc_id").applyInArrow(_pack(size, overlap), "doc_id long, chunk_index int, text string, token_count int, sentence_count int")
 
 
 def section_starts(sentences: DataFrame, texts: DataFrame, found: DataFrame, reach: int = 200) -> DataFrame:

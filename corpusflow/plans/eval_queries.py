@@ -9,10 +9,11 @@ from ..functions import lexicon
 from ..functions import text as T
 from ..operators import align as A
 from ..operators import metrics as M
+from ..operators import phrases as H
 from ..operators import qa as Q
 from ..operators import spans as S
 from .registry import query, table, view
-from .text_queries import _CONTENT, _NORM, _PLAIN, _SYL, _WORDS, LEGAL, _sentences_sql
+from .text_queries import _CONTENT, _NORM, _PLAIN, _SYL, _WORDS, LEGAL, _sentences_sql, pattern_places_sql
 
 #: Predictions whose spans are exact, shifted, empty, elsewhere or shortened; read alike by both engines.
 PREDICTIONS = f"""
@@ -352,14 +353,7 @@ def j14(spark, sf_dir):
     return S.best_span(rows, "vec_id", 30, 0.01)
 
 
-def _places(pattern: str) -> str:
-    """(doc_id, s, e) of a pattern's matches: texts between matches and matches, in turn, as running sums of lengths."""
-    cut = f"SELECT doc_id, unnest(range(1, len(g) + 1)) AS i, g, h FROM (SELECT doc_id, regexp_split_to_array(text, '{pattern}') AS g, regexp_extract_all(text, '{pattern}') AS h FROM legal)"
-    sums = f"SELECT doc_id, length(h[i]) AS n, sum(length(g[i]) + coalesce(length(h[i]), 0)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM ({cut})"
-    return f"SELECT doc_id, e - n AS s, e FROM ({sums}) WHERE n > 0"
-
-
-_ENTITIES = " UNION ALL ".join(_places(p) for p in S.ENTITIES)
+_ENTITIES = " UNION ALL ".join(pattern_places_sql(p, "legal") for p in S.ENTITIES)
 
 
 @query(
@@ -402,3 +396,20 @@ b AS (SELECT question_id, min(CASE WHEN pos THEN rk END) AS best, count(*) AS n
 def a8(spark, sf_dir):
     rows = predictions(spark, sf_dir).select(F.concat(F.lit("q"), F.floor(F.col("example_id") / 4).cast("string")).alias("question_id"), F.lit("one").alias("source"), (F.col("example_id") % 4).cast("int").alias("chunk_idx"), F.col("has_answer_prob").alias("score"), F.col("is_answerable").alias("is_positive"))
     return M.ranking_accuracy(rows)
+
+
+#: Every eight consecutive words of a benchmark text.
+_PHRASES = "SELECT DISTINCT item_id, array_to_string({0}(w, i, i + 7), ' ') AS phrase FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT item_id, regexp_extract_all(text, '\\S+') AS w FROM benchmark))"
+
+
+@query(
+    "f4_phrases_in_documents",
+    f"""WITH p AS ({_PHRASES.format('list_slice')}) SELECT doc_id, item_id, count(*) AS n_phrases, min(instr(text, phrase) - 1) AS first FROM documents JOIN p ON contains(text, phrase) GROUP BY doc_id, item_id""",
+)
+def f4_phrases(spark, sf_dir):
+    """Documents that hold runs of eight words of a benchmark text: how many distinct ones, and where the first begins."""
+    w = table(spark, sf_dir, "benchmark").select("item_id", T.words(F.col("text")).alias("w")).where("size(w) >= 8")
+    phrases = w.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, F.lit(8)), " "))).alias("phrase")).distinct()
+    found = H.phrase_places(table(spark, sf_dir, "documents").select("doc_id", "text"), phrases, ["doc_id"])
+    each = found.groupBy("doc_id", "item_id", "phrase").agg(F.min("start").alias("start"))
+    return each.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_phrases"), F.min("start").alias("first"))

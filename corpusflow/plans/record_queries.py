@@ -20,7 +20,7 @@ from .eval_queries import _BOUNDS, _GENERATION, _PRED, _SCORED, _SUM, _TERM, OUT
 from .registry import query, table
 from .scratch import Scratch
 from .set_queries import OTHER_SQL, QA_SQL, qa_rows
-from .text_queries import _CONTENT, _OFFSETS, _WORDS, _chunk_sql, _sentences_sql, documents, legal
+from .text_queries import _CONTENT, _LEGAL_SENTENCES, _OFFSETS, _SECTIONS, _STARTS, _WORDS, _chunk_sql, _sentences_sql, documents, legal
 
 
 @query("p18_evidence_records", """WITH e AS (SELECT doc_id, substring(text, 1, 40) AS question, CASE WHEN doc_id % 3 = 0 THEN source ELSE substring(text, 61, 20) END AS answer_text, CASE WHEN doc_id % 2 = 0 THEN text ELSE substring(text, 1, 100) END AS context FROM documents)
@@ -143,14 +143,18 @@ def f9(spark, sf_dir):
     return documents(spark, sf_dir).groupBy("source").agg(F.round(T.safe_divide(F.count_if(F.col("doc_id") % 40 == 1), F.count_if(F.col("doc_id") % 20 == 1)), 6).alias("rate"))
 
 
-@query("t13_section_sentences")
+@query("t13_section_sentences", f"WITH {_SECTIONS}, {_STARTS} SELECT DISTINCT doc_id, sent_idx FROM st")
 def t13(spark, sf_dir):
     texts = legal(spark, sf_dir).select("doc_id", "text")
     rows = C.section_starts(C.sentence_rows(texts, lexicon.LEGAL_ABBREVIATIONS, 0), texts, C.sections(texts))
     return rows.where("starts_section").select("doc_id", "sent_idx")
 
 
-@query("t7_sentence_sections")
+@query(
+    "t7_sentence_sections",
+    f"""WITH {_SECTIONS}, {_LEGAL_SENTENCES}, p AS (SELECT doc_id, sent_idx, greatest(instr(text, substring(sentence, 1, 60)), instr(text, substring(sentence, 1, 40)), 1) - 1 AS place FROM snt)
+SELECT p.doc_id, p.sent_idx, CAST(count(s) - 1 AS INTEGER) AS section FROM p LEFT JOIN sec ON sec.doc_id = p.doc_id AND s <= place GROUP BY p.doc_id, p.sent_idx""",
+)
 def t7(spark, sf_dir):
     texts = legal(spark, sf_dir).select("doc_id", "text")
     return K.sentence_sections(C.sentence_rows(texts, lexicon.LEGAL_ABBREVIATIONS, 0), texts, C.sections(texts)).select("doc_id", "sent_idx", "section")

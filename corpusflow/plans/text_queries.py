@@ -189,12 +189,41 @@ def t11(spark, sf_dir):
     return C.answer_offsets(C.offset_chunks(docs), answers).select("doc_id", "chunk_idx", "answer", "local_start")
 
 
-@query("t6_sections")
+def pattern_places_sql(pattern: str, table: str, name: bool = False) -> str:
+    """(doc_id, s, e) of a pattern's matches: texts between matches and matches, in turn, as running sums of lengths; ``name``: also the match with single spaces."""
+    cut = f"SELECT doc_id, unnest(range(1, len(g) + 1)) AS i, g, h FROM (SELECT doc_id, regexp_split_to_array(text, '{pattern}') AS g, regexp_extract_all(text, '{pattern}') AS h FROM {table})"
+    sums = f"SELECT doc_id, h[i] AS hit, length(h[i]) AS n, sum(length(g[i]) + coalesce(length(h[i]), 0)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM ({cut})"
+    return f"SELECT doc_id, CAST(e - n AS INTEGER) AS s, CAST(e AS INTEGER) AS e{', trim(regexp_replace(hit, $p$\\s+$p$, $p$ $p$, $p$g$p$)) AS name' if name else ''} FROM ({sums}) WHERE n > 0"
+
+
+#: No look-behind there: before a word character it is a word's edge.
+_HEADERS = " UNION ALL ".join(pattern_places_sql("(?m)" + p.replace(r"(?<!\w)", r"\b"), "legal", True) for p in lexicon.SECTION_PATTERNS)
+_SECTIONS = f"""RECURSIVE legal AS ({LEGAL.format(documents='documents')}), f AS ({_HEADERS}),
+r AS (SELECT DISTINCT doc_id, -1 AS last FROM f UNION ALL SELECT r.doc_id, min(f.s) FROM r JOIN f ON f.doc_id = r.doc_id AND f.s > r.last + 10 GROUP BY r.doc_id),
+sec AS (SELECT doc_id, s, e, name FROM f SEMI JOIN r ON r.doc_id = f.doc_id AND r.last = f.s QUALIFY row_number() OVER (PARTITION BY doc_id, s ORDER BY e, name) = 1)"""
+_LEGAL_SENTENCES = f"snt AS (SELECT doc_id, text, CAST(i - 1 AS INTEGER) AS sent_idx, s[i] AS sentence FROM (SELECT doc_id, text, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, text, {_sentences_sql(lexicon.LEGAL_ABBREVIATIONS, 0)} AS s FROM legal)))"
+_STARTS = f"{_LEGAL_SENTENCES}, st AS (SELECT snt.doc_id, s, min(sent_idx) AS sent_idx FROM snt JOIN sec ON sec.doc_id = snt.doc_id AND contains(substring(text, s + 1, 200), sentence) GROUP BY 1, 2)"
+
+
+@query("t6_sections", f"WITH {_SECTIONS} SELECT legal.doc_id, CAST(count(s) AS INTEGER) AS n_sections, coalesce(string_agg(s || ':' || e || ':' || name, '|' ORDER BY s), '') AS found FROM legal LEFT JOIN sec ON sec.doc_id = legal.doc_id GROUP BY legal.doc_id")
 def t6(spark, sf_dir):
     return C.sections(legal(spark, sf_dir)).select("doc_id", F.size("sections").alias("n_sections"), F.array_join(F.transform("sections", lambda s: F.concat_ws(":", s["start"], s["end"], s["name"])), "|").alias("found"))
 
 
-@query("t12_section_chunks")
+#: A document's sentences, their words summed up from 0, and which of them start a section, as lists. A chunk is the sentences from a to before z; the next one may take up the last of them again, from b.
+_PACKED = rf"""{_SECTIONS}, {_STARTS}, n AS (SELECT doc_id, sent_idx, sentence, len(regexp_extract_all(sentence, '\S+')) AS n, (doc_id, sent_idx) IN (SELECT (doc_id, sent_idx) FROM st) AS head FROM snt),
+d AS (SELECT doc_id, list(sentence ORDER BY sent_idx) AS t, list_prepend(0, list(upto ORDER BY sent_idx)) AS p, list(head ORDER BY sent_idx) AS h, count(*) AS n FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY sent_idx) AS BIGINT) AS upto FROM n) GROUP BY doc_id),
+c AS (
+  SELECT doc_id, CAST(-1 AS BIGINT) AS k, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS z, CAST(0 AS BIGINT) AS b FROM d
+  UNION ALL
+  SELECT doc_id, k, a, z, greatest(a, len(list_filter(p, lambda x: p[z + 1] - x > 50))) FROM (
+    SELECT *, CASE WHEN y >= n THEN n ELSE y + CASE WHEN y + 1 < n AND h[y + 2] THEN 1 WHEN y + 2 < n AND h[y + 3] THEN 2 WHEN y + 3 < n AND h[y + 4] THEN 3 ELSE 0 END END AS z FROM (
+      SELECT *, least(n, greatest(len(list_filter(p, lambda x: x - p[a + 1] <= 200)) - 1, a + 1)) AS y FROM (
+        SELECT c.doc_id, c.k + 1 AS k, d.p, d.h, d.n, CASE WHEN c.b < c.z AND d.p[c.z + 2] - d.p[c.b + 1] > 200 THEN c.z ELSE c.b END AS a FROM c JOIN d ON d.doc_id = c.doc_id AND c.z < d.n)))
+)"""
+
+
+@query("t12_section_chunks", f"WITH {_PACKED} SELECT c.doc_id, CAST(k AS INTEGER) AS chunk_index, array_to_string(t[a + 1:z], ' ') AS text, CAST(p[z + 1] - p[a + 1] AS INTEGER) AS token_count, CAST(z - a AS INTEGER) AS sentence_count FROM c JOIN d ON d.doc_id = c.doc_id WHERE k >= 0")
 def t12(spark, sf_dir):
     texts = legal(spark, sf_dir).select("doc_id", "text")
     rows = C.sentence_rows(texts, lexicon.LEGAL_ABBREVIATIONS, 0)
