@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from heapq import nlargest
 from itertools import product
 
 import numpy as np
@@ -27,22 +28,42 @@ LETTERS = 32
 UNIT = 24
 #: Labelled documents that training reads by class, and letters of all of them, at most (the smallest by hash; whole texts).
 TRAIN_DOCS, TRAIN_LETTERS = {1: 1500, 0: 4500}, 1 << 26
-LANDMARKS = 240
-#: Strings of toxic and of clean sentences that the machine is trained on at first, and clean ones that each turn adds, at most.
-TOXIC_STRINGS, CLEAN_STRINGS, MORE_STRINGS, TURNS = 6000, 5000, 1500, 4
+#: Landmarks at first, and those that each turn adds.
+LANDMARKS, MORE_LANDMARKS, TURNS = 200, 100, 6
+#: How much more a clean string weighs after each turn that takes it for toxic.
+HARDER = 3.0
+COST = 100.0
+#: How often a string counts against itself as a sign of toxicity for each clean sentence that has it.
+CLEAN_COUNTS = 20.0
+#: Distinct strings that the machine is trained on, at most: those of most sentences, whatever their labels.
+STRINGS = 60_000
+#: Best values of a text's words that its score rests on, and the value of words that are not there.
+TOP, ABSENT = 3, -3.0
+#: Words beyond which a text's length counts against its best values, since long texts meet some by chance.
+FEW_WORDS = 50
 CACHED_WORDS = 200_000
 #: Digits and signs that stand for letters.
 LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 
+#: Accented letters by what they are read as, one of the five signs after z.
+ACCENTED = str.maketrans({**dict.fromkeys("é", "{"), **dict.fromkeys("èêë", "|"), **dict.fromkeys("ñçß", "}"), **dict.fromkeys("äöü", "~"), **dict.fromkeys("áàâãåíìîïóòôõøúùûý", "\x7f")})
 
-def letters_of(word: str) -> str:
-    """Lower-case letters a-z of a word, accents dropped, lookalike signs between letters read as letters."""
+
+def letters_of(word: str, plain: bool = True) -> str:
+    """Lower-case letters a-z of a word, lookalike signs between letters read as letters; accents are dropped, or (not ``plain``) kept apart by the five signs after z."""
     w = word.lower().strip(".,;:!?\"'()[]{}|*#%&$")
     if not w.isalpha():
-        w = w.translate(LOOKALIKE)
+        w = "".join(c for c in w.translate(LOOKALIKE) if c.isalpha())
     if not w.isascii():
-        w = unicodedata.normalize("NFKD", w)
-    return w if w.isascii() and w.isalpha() else "".join(c for c in w if "a" <= c <= "z")
+        w = unicodedata.normalize("NFKD", w) if plain else w.translate(ACCENTED)
+        w = "".join(c for c in w if "a" <= c <= "\x7f")
+    return w
+
+
+def forms_of(word: str) -> list[str]:
+    """The letters of a word, and those without accents where they differ."""
+    plain = letters_of(word)
+    return [plain] if word.isascii() or (kept := letters_of(word, False)) == plain else [kept, plain]
 
 
 def pieces_of(letters: str) -> list[str]:
@@ -66,7 +87,7 @@ def spelled(words: list[str]) -> list[str]:
 def units_of(text: str) -> list[str]:
     """Units of a whole text: its words and the words that it spells letter by letter."""
     words = text.split()
-    return [u for w in [*map(letters_of, words), *spelled(words)] if len(w) > 1 for u in pieces_of(w)]
+    return [u for w in [*(f for x in words for f in forms_of(x)), *spelled(words)] if len(w) > 1 for u in pieces_of(w)]
 
 
 def subsequences(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,10 +108,10 @@ def subsequences(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ToxicityModel:
-    """Folded machine: a weight per subsequence, a bias, and the logistic map from a text's best unit to its score."""
+    """Folded machine: a weight per subsequence, a bias, and the logistic map from what a text shows to its score."""
 
-    def __init__(self, table: np.ndarray, bias: float, slope: float, offset: float):
-        self.table, self.bias, self.slope, self.offset = table, bias, slope, offset
+    def __init__(self, table: np.ndarray, bias: float, slopes: np.ndarray, offset: float):
+        self.table, self.bias, self.slopes, self.offset = table, bias, slopes, offset
         self.cache: dict[str, float] = {}
 
     def decide(self, units: list[str]) -> np.ndarray:
@@ -100,35 +121,40 @@ class ToxicityModel:
             out[k : k + 2048] = (self.table[index] * weight).sum(axis=1) + self.bias
         return out
 
-    def best(self, text: str) -> float:
-        """Largest decision value over all units of the text; -3 for a text without any."""
+    def shown(self, text: str) -> np.ndarray:
+        """What a text shows: the best values over all its words, repeats included, in falling order and 0 at least, and how much longer it is than a few sentences, as a logarithm."""
         words = text.split()
-        own = set(words)
+        times = Counter(words)
         if len(self.cache) > CACHED_WORDS:
             self.cache.clear()
-        new = [w for w in own if w not in self.cache]
+        new = [w for w in times if w not in self.cache]
         if new:
-            units = [pieces_of(x) if len(x) > 1 else [] for x in map(letters_of, new)]
+            units = [[u for x in forms_of(w) if len(x) > 1 for u in pieces_of(x)] for w in new]
             values = iter(self.decide([u for us in units for u in us]).tolist())
-            self.cache.update((w, max([next(values) for _ in us], default=-3.0)) for w, us in zip(new, units, strict=True))
-        runs = [u for w in spelled(words) for u in pieces_of(w)] if sum(len(w) < 3 for w in own) > 2 else []
-        return max(max(map(self.cache.__getitem__, own), default=-3.0), max(self.decide(runs).tolist(), default=-3.0))
+            self.cache.update((w, max([next(values) for _ in us], default=ABSENT)) for w, us in zip(new, units, strict=True))
+        best = nlargest(TOP, ((self.cache[w], n) for w, n in times.items()))
+        runs = [u for w in spelled(words) for u in pieces_of(w)] if sum(len(w) < 3 for w in times) > 2 else []
+        values = sorted([v for v, n in best for _ in range(min(n, TOP))] + self.decide(runs).tolist() + [ABSENT] * TOP, reverse=True)[:TOP]
+        return np.array([*np.maximum(values, 0), max(0.0, np.log(max(1, len(words)) / FEW_WORDS))])
 
-    def probability(self, best: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * best + self.offset, -50, 50))))
+    def probability(self, shown: np.ndarray) -> float:
+        return float(1 / (1 + np.exp(-np.clip(shown @ self.slopes + self.offset, -50, 50))))
 
 
-def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 100.0) -> np.ndarray:
-    """Weights of a linear machine with squared hinge loss, classes weighing the same, by Newton steps; the last column of x is constant."""
-    c = cost * weight / np.where(y > 0, weight[y > 0].sum(), weight[y < 0].sum())
+def _machine(x: np.ndarray, pro: np.ndarray, con: np.ndarray, cost: float = COST) -> np.ndarray:
+    """Weights of a linear machine with squared hinge loss by Newton steps, each row counting ``pro`` times as toxic and ``con`` times as clean, classes weighing the same; the last column of x is constant."""
+    pro, con = (cost * pro / max(1.0, pro.sum())).astype(np.float32), (cost * con / max(1.0, con.sum())).astype(np.float32)
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 0.1)
     ridge[-1] = 1e-6
     for _ in range(30):
-        slack = np.maximum(0, 1 - y * (x @ w))
-        on = slack > 0
-        step = np.linalg.solve(2 * (x[on].T * c[on]) @ x[on] + np.diag(ridge), ridge * w - 2 * x.T @ (c * y * slack))
+        value = x @ w.astype(np.float32)
+        low, high = np.maximum(0, 1 - value), np.maximum(0, 1 + value)
+        curve = pro * (low > 0) + con * (high > 0)
+        on = curve > 0
+        own = x[on]
+        step = np.linalg.solve(2 * ((own.T * curve[on]) @ own).astype(float) + np.diag(ridge), ridge * w - 2 * (own.T @ (pro * low - con * high)[on]).astype(float))
         w = w - step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
@@ -137,33 +163,34 @@ class Landmarks:
     """Nyström features of strings: kernel values with the landmarks, times the inverse root of the landmarks' own."""
 
     def __init__(self, strings: list[str]):
+        self.own = np.zeros((0, LETTERS**ORDER), np.float32)
+        self.add(strings)
+
+    def add(self, strings: list[str]) -> None:
         index, weight = subsequences(strings)
-        self.kept = np.unique(index[weight > 0])
-        self.place = np.full(LETTERS**ORDER, len(self.kept), np.int32)
-        self.place[self.kept] = np.arange(len(self.kept))
-        own = np.zeros((len(strings), len(self.kept) + 1))
-        np.add.at(own, (np.arange(len(strings))[:, None], self.place[index]), weight)
-        self.own = own[:, :-1]
-        self.padded = np.concatenate((self.own.T, np.zeros((1, len(strings)))))
-        values, vectors = np.linalg.eigh(self.own @ self.own.T)
+        more = np.zeros((len(strings), LETTERS**ORDER), np.float32)
+        np.add.at(more, (np.arange(len(strings))[:, None], index), weight)
+        self.own = np.concatenate((self.own, more))
+        values, vectors = np.linalg.eigh((self.own @ self.own.T).astype(float))
         good = values > 1e-6
         self.root = vectors[:, good] / np.sqrt(values[good])
 
-    def kernel(self, strings: list[str]) -> np.ndarray:
-        out = np.zeros((len(strings), len(self.own)))
-        for i in range(0, len(strings), 128):
-            index, weight = subsequences(strings[i : i + 128])
-            out[i : i + 128] = np.matmul(weight[:, None, :], self.padded[self.place[index]])[:, 0]
+    def kernel(self, strings: list[str], first: int = 0) -> np.ndarray:
+        """Kernel values of strings with the landmarks from the ``first`` on; only subsequences that a string has are visited."""
+        columns = np.ascontiguousarray(self.own[first:].T)
+        out = np.zeros((len(strings), columns.shape[1]), np.float32)
+        for i in range(0, len(strings), 512):
+            index, weight = subsequences(strings[i : i + 512])
+            row, place = np.nonzero(weight)
+            if len(row):
+                values = columns[index[row, place]] * weight[row, place, None]
+                starts = np.flatnonzero(np.diff(row, prepend=-1))
+                out[i + row[starts]] = np.add.reduceat(values, starts, axis=0)
         return out
 
-    def features(self, strings: list[str]) -> np.ndarray:
-        return np.concatenate((self.kernel(strings) @ self.root, np.ones((len(strings), 1))), axis=1)
-
     def folded(self, w: np.ndarray) -> np.ndarray:
         """The weight of each subsequence in the machine with weights w."""
-        table = np.zeros(LETTERS**ORDER, np.float32)
-        table[self.kept] = self.own.T @ (self.root @ w[:-1])
-        return table
+        return (self.own.T @ (self.root @ w[:-1])).astype(np.float32)
 
 
 def _spread(strings: list[str], n: int) -> list[str]:
@@ -171,21 +198,24 @@ def _spread(strings: list[str], n: int) -> list[str]:
     return strings[: n // 2] + strings[n // 2 :: max(1, (len(strings) - n // 2) // max(1, n - n // 2))]
 
 
+NOTHING = (np.zeros(LETTERS**ORDER, np.float32), -1.0, np.array([1.0] + [0.0] * TOP), -3.0)
+
+
 def train(texts: list[tuple[str, int]]) -> ToxicityModel:
     """Fit on labelled texts, every third of them for the logistic map only.
 
     A text is a bag of sentences with its label, a sentence a bag of strings; equal sentences count once, as clean if
-    any is. At first all strings of toxic sentences stand for toxicity, each as often as it occurs, and strings
-    of clean ones against it; then, in turns, only the best string of each toxic text does (and others that the
-    machine is as sure of and that recur), and the clean strings that score best are added. Without toxic or
-    clean sentences every text scores low.
+    any is. Every string stands for toxicity as often as toxic sentences have it and against it as often as clean ones
+    do; landmarks are spread over all strings by frequency, and each turn adds those on which the machine errs most.
+    In later turns a toxic text's strings stand for toxicity only where the machine finds them so, its best one at
+    least. Labels choose no strings before the machine. Without toxic or clean sentences every text scores low.
     """
     fit, rest = [t for k, t in enumerate(texts) if k % 3], texts[::3]
     toxic, clean, bags, seen = Counter(), Counter(), [], set()
     for text, y in sorted(fit, key=lambda t: t[1]):
         bag = set()
         for sentence in re.split(r"(?<=[.!?])\s+|\n", text):
-            units = set(units_of(sentence))
+            units = {u for u in units_of(sentence) if len(u) >= ORDER}  # two letters have no subsequence of three
             bag |= units
             if sentence not in seen:
                 seen.add(sentence)
@@ -193,68 +223,73 @@ def train(texts: list[tuple[str, int]]) -> ToxicityModel:
         if y:
             bags.append(bag)
     if not toxic or not clean:
-        return ToxicityModel(np.zeros(LETTERS**ORDER), -1.0, 1.0, -3.0)
-    usual = sorted(clean, key=lambda u: (-clean[u], u))
-    negatives = _spread(usual, CLEAN_STRINGS)
-    # Those that clean sentences have least come first; two letters have no subsequence of three.
-    strings = sorted((u for u in toxic if len(u) >= ORDER), key=lambda u: (-toxic[u] / (1 + 20 * clean[u]), u))[:TOXIC_STRINGS]
-    if not strings:
-        return ToxicityModel(np.zeros(LETTERS**ORDER), -1.0, 1.0, -3.0)
-    marks = Landmarks(list(dict.fromkeys([*strings[: LANDMARKS // 2], *_spread(usual, LANDMARKS // 2)]))[:LANDMARKS])
-    times = np.array([float(toxic[u]) for u in strings])
+        return ToxicityModel(*NOTHING)
+    strings = sorted(toxic.keys() | clean.keys(), key=lambda u: (-toxic[u] - clean[u], u))[:STRINGS]
     place = {u: k for k, u in enumerate(strings)}
-    held = [[place[u] for u in bag if u in place] for bag in bags]
-    x, other, used = marks.features(strings), marks.features(negatives), set(negatives)
-    every = [u for u in clean if len(u) >= ORDER]
-    on = np.ones(len(strings), bool)
+    held = [np.array([place[u] for u in bag if u in place], int) for bag in bags]
+    times, usual = (np.array([float(c[u]) for u in strings]) for c in (toxic, clean))
+    weight = times / (1 + CLEAN_COUNTS * usual)
+    pro, con = weight, (usual > 0) * 1.0
+    marks = Landmarks(list(dict.fromkeys(_spread(strings, LANDMARKS)))[:LANDMARKS])
+    kernel, used = marks.kernel(strings), set()
     for turn in range(TURNS):
-        y = np.concatenate((np.ones(on.sum()), -np.ones(len(negatives))))
-        w = _machine(np.concatenate((x[on], other)), y, np.concatenate((times[on], np.ones(len(negatives)))))
-        machine = ToxicityModel(marks.folded(w), float(w[-1]), 1.0, 0.0)
-        if turn + 1 < TURNS:
-            value = x @ w
-            on = (value > 0.5) & (times > 1)
-            on[[max(own, key=lambda k: (value[k], -k)) for own in held if own and max(value[k] for k in own) > 0]] = True
-            if not on.any():
-                break
-            worst = [every[i] for i in np.argsort(-machine.decide(every), kind="stable")[:MORE_STRINGS]]
-            worst = [u for u in worst if u not in used]
-            negatives, other = negatives + worst, np.concatenate((other, marks.features(worst))) if worst else other
-            used.update(worst)
-    best = np.array([machine.best(t) for t, _ in rest])
-    slope, offset = _logistic(best, np.array([y for _, y in rest], float))
-    return ToxicityModel(machine.table, machine.bias, slope, offset)
-
-
-def _logistic(v: np.ndarray, y: np.ndarray, at: float = 0.7) -> tuple[float, float]:
-    """Slope and offset of a logistic curve that is ``at`` where toxic and clean texts part best.
-
-    That is the middle of the widest stretch of values with the least sum of missed toxic and five times the
-    caught clean shares; the slope is steeper the further the classes' medians are apart from it.
+        x = np.concatenate((kernel @ marks.root.astype(np.float32), np.ones((len(strings), 1), np.float32)), axis=1)
+        w = _machine(x, pro, con)
+        value = x @ w
+        machine = ToxicityModel(marks.folded(w), float(w[-1]), np.zeros(TOP + 1), 0.0)
+        if turn + 1 == TURNS:
+            break
+        sure = (value > 0) & (times > 1)
+        sure[[own[np.argmax(value[own])] for own in held if len(own) and value[own].max() > 0]] = True
+        if turn:
+            pro, con = weight * sure, con * np.where(value > 0, HARDER, 1.0)
+        pull = np.abs(pro / max(1.0, pro.sum()) * np.maximum(0, 1 - value) - con / con.sum() * np.maximum(0, 1 + value))
+        # Where the pull of a string on the machine is largest, the landmarks serve it worst.
+        more = [strings[k] for k in np.argsort(-pull, kind="stable")[: MORE_LANDMARKS + len(used)] if strings[k] not in used][:MORE_LANDMARKS]
+        used.update(more)
+        marks.add(more)
+        kernel = np.concatenate((kernel, marks.kernel(strings, kernel.shape[1])), axis=1)
+    shown = np.array([machine.shown(t) for t, _ in rest])
+    slopes, offset = _logistic(shown, np.array([y for _, y in rest], float))
+    return ToxicityModel(machine.table, machine.bias, slopes, offset)
+
+
+def _logistic(shown: np.ndarray, y: np.ndarray, at: float = 0.7) -> tuple[np.ndarray, float]:
+    """Slopes and offset of a logistic regression on what texts show, moved so that it is ``at`` where toxic and clean texts part best.
+
+    That is a quarter into the widest stretch of values, from its clean side, with the least sum of missed toxic and four times the caught clean shares.
     """
     if not y.any() or y.all():
-        return 4.0, -2.0
+        return np.array([4.0] + [0.0] * TOP), -2.0
+    mean, spread = shown.mean(axis=0), shown.std(axis=0) + 1e-6
+    x = np.concatenate(((shown - mean) / spread, np.ones((len(shown), 1))), axis=1)
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        ridge = np.full(len(w), 1.0)
+        ridge[-1] = 1e-6
+        w = w + np.linalg.solve((x.T * (p * (1 - p) + 1e-9)) @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
+    v = x @ w
     cuts = np.unique(np.concatenate((v, [v.min() - 1, v.max() + 1])))
-    middle, width = (cuts[1:] + cuts[:-1]) / 2, np.diff(cuts)
-    cost = np.array([(v[y > 0] < m).mean() + 5 * (v[y == 0] >= m).mean() for m in middle])
+    middle, width = cuts[:-1] + np.diff(cuts) / 4, np.diff(cuts)
+    cost = np.array([(v[y > 0] < m).mean() + 4 * (v[y == 0] >= m).mean() for m in middle])
     best = cost <= cost.min() + 1e-12
     cut = float(middle[best][np.argmax(width[best])])
-    spread = max(0.25, min(cut - np.median(v[y == 0]), np.median(v[y > 0]) - cut))
-    slope = float(np.clip(2.5 / spread, 1.0, 8.0))
-    return slope, float(np.log(at / (1 - at)) - slope * cut)
+    return w[:-1] / spread, float(w[-1] - (w[:-1] * mean / spread).sum() - cut + np.log(at / (1 - at)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: dict[int, int] = TRAIN_DOCS, train_letters: int = TRAIN_LETTERS) -> ToxicityModel:
     """Train on documents joined with ``labels`` (doc_id, toxic 0 or 1): ``train_docs`` of each class at most, the smallest by hash, of any length.
 
     A document labelled more than once counts as toxic if one label says so; labels without a document count for
-    nothing. The sample ends before a text that would bring it over ``train_letters`` letters.
+    nothing. Each class has its share of ``train_letters`` letters; a text that its class has no room for is left out.
     """
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
     sized = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n")).join(known, "doc_id")
-    chosen, left = [], train_letters
+    chosen = []
     for k, n in train_docs.items():
+        left = train_letters // len(train_docs)
         for r in sized.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(n).collect():
             if r["n"] <= left:
                 chosen.append((r["doc_id"], r["h"], r["toxic"]))
@@ -264,11 +299,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: dict[int, int] = TRAIN_D
     return train([(r["text"], int(r["toxic"])) for r in rows.collect()])
 
 
-def _scored(table: np.ndarray, bias: float, slope: float, offset: float):
+def _scored(table: np.ndarray, bias: float, slopes: np.ndarray, offset: float):
     def run(batches):
-        model = ToxicityModel(table, bias, slope, offset)
+        model = ToxicityModel(table, bias, slopes, offset)
         for batch in batches:
-            scores = [model.probability(model.best(t.as_py() or "")) for t in batch.column("text")]
+            scores = [model.probability(model.shown(t.as_py() or "")) for t in batch.column("text")]
             names = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scores, pa.float64())], [*names, "score"])
 
@@ -279,4 +314,4 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """All columns of ``docs`` but text, and score (0 to 1) of every row's whole text; null and empty texts score as texts without words."""
     keep = [f for f in docs.schema.fields if f.name not in ("text", "score")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", score double"
-    return docs.select(*[F.col(f"`{f.name}`") for f in keep], "text").mapInArrow(_scored(model.table, model.bias, model.slope, model.offset), schema)
+    return docs.select(*[F.col(f"`{f.name}`") for f in keep], "text").mapInArrow(_scored(model.table, model.bias, model.slopes, model.offset), schema)

@@ -109,27 +109,55 @@ def toxic_texts(n, seed):
 def test_toxicity_learns_words_and_bent_words():
     model = toxicity.train(toxic_texts(900, 1))
     for text, y in toxic_texts(100, 2):
-        assert (model.probability(model.best(text)) >= 0.7) == bool(y)
+        assert (model.probability(model.shown(text)) >= 0.7) == bool(y)
     for w in ("blockhead", "block-head", "b l o c k h e a d", "blocckhead", "numsskull"):
-        assert model.probability(model.best(f"balan {w} timin")) >= 0.7, w
-    assert model.probability(model.best("")) < 0.5
+        assert model.probability(model.shown(f"balan {w} timin")) >= 0.7, w
+    assert model.probability(model.shown("")) < 0.5
 
 
 def test_folded_table_is_the_sum_over_landmarks():
     marks = toxicity.Landmarks(["blockhead", "numskull", "balander", "timinrel"])
     w = np.random.default_rng(1).standard_normal(marks.root.shape[1] + 1)
     strings = ["blockhead", "blobckhead", "dimwit", "ab", "kull" * 6]
-    machine = toxicity.ToxicityModel(marks.folded(w), float(w[-1]), 1.0, 0.0)
-    assert machine.decide(strings) == pytest.approx(marks.features(strings) @ w, abs=1e-5)
-    assert marks.features(marks_of := ["blockhead", "numskull", "balander", "timinrel"])[:, :-1] @ marks.features(marks_of)[:, :-1].T == pytest.approx(marks.own @ marks.own.T, abs=1e-6)
+    machine = toxicity.ToxicityModel(marks.folded(w), float(w[-1]), np.zeros(toxicity.TOP + 1), 0.0)
+    assert machine.decide(strings) == pytest.approx(marks.kernel(strings) @ marks.root @ w[:-1] + w[-1], abs=1e-5)
+    own = marks.kernel(["blockhead", "numskull", "balander", "timinrel"]) @ marks.root
+    assert own @ own.T == pytest.approx(marks.own @ marks.own.T, abs=1e-5)
+    before = marks.kernel(strings)
+    marks.add(["dimwit"])
+    assert np.concatenate((before, marks.kernel(strings, 4)), axis=1) == pytest.approx(marks.kernel(strings), abs=1e-6)
 
 
 def test_toxicity_of_texts_by_hand():
-    """A text scores as the best string of it, found one by one."""
+    """A text scores by the best strings of it, found one by one: words by their best form, repeats counting."""
     model = toxicity.train(toxic_texts(300, 1))
     for text, _ in [*toxic_texts(30, 5), ("b l o c k h e a d " + "balan " * 3000 + "blockhead", 1), ("x" * 200, 0), ("", 0)]:
-        values = [float(model.decide([u])[0]) for u in toxicity.units_of(text)]
-        assert model.best(text) == pytest.approx(max(values, default=-3.0), abs=1e-5)
+        words = text.split()
+        of = lambda word: max((float(model.decide([u])[0]) for f in toxicity.forms_of(word) if len(f) > 1 for u in toxicity.pieces_of(f)), default=-3.0)
+        known = {w: of(w) for w in set(words)}
+        values = [known[w] for w in words] + [float(model.decide([u])[0]) for w in toxicity.spelled(words) for u in toxicity.pieces_of(w)]
+        top = [max(0.0, v) for v in sorted(values, reverse=True)[:3]]
+        assert model.shown(text).tolist() == pytest.approx([*top, *[0.0] * (3 - len(top)), max(0.0, np.log(max(1, len(words)) / 50))], abs=1e-5)
+
+
+def test_the_machine_against_plain_gradient_steps():
+    """Newton steps end where the plainly written loss has no slope, on a toy set."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate((rng.standard_normal((40, 5)), np.ones((40, 1))), axis=1).astype(np.float32)
+    pro, con = rng.integers(0, 4, 40).astype(float), rng.integers(0, 3, 40).astype(float)
+
+    def loss(w):
+        ridge = np.array([0.1] * 5 + [1e-6])
+        each = sum(p / pro.sum() * max(0, 1 - v) ** 2 + c / con.sum() * max(0, 1 + v) ** 2 for v, p, c in zip(x.astype(float) @ w, pro, con))
+        return 0.5 * (ridge * w * w).sum() + toxicity.COST * each
+
+    w = toxicity._machine(x, pro, con)
+    slope = [(loss(w + 1e-4 * e) - loss(w - 1e-4 * e)) / 2e-4 for e in np.eye(6)]
+    assert np.abs(slope).max() < 0.05 and all(loss(w) <= loss(w + 0.1 * rng.standard_normal(6)) for _ in range(50))
+
+
+def test_accents_are_read_both_ways():
+    assert toxicity.forms_of("Réeux,") == ["r{eux", "reeux"] and toxicity.forms_of("{a}") == ["a"] and toxicity.forms_of("1d10t") == ["idiot"]
 
 
 def test_toxicity_held_out(spark, docs):
@@ -140,7 +168,7 @@ def test_toxicity_held_out(spark, docs):
     model = toxicity.fit(table("documents").where(~held), table("labels").where(~held))
     rows = toxicity.score(table("documents").where(held).join(table("labels"), "doc_id").select("doc_id", "text", "toxic"), model).collect()
     hit = sum(r["toxic"] for r in rows if r["score"] >= 0.7)
-    assert hit >= 0.6 * sum(r["toxic"] for r in rows) and hit >= 0.65 * sum(r["score"] >= 0.7 for r in rows)
+    assert hit >= 0.8 * sum(r["toxic"] for r in rows) and hit >= 0.85 * sum(r["score"] >= 0.7 for r in rows)
 
 
 def test_toxicity_labels_and_bounds(spark):
@@ -148,7 +176,7 @@ def test_toxicity_labels_and_bounds(spark):
     docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)] + [(900, None), (901, ""), (None, "balan")], "doc_id long, text string")
     labels = spark.createDataFrame([(k, y, "x") for k, (_, y) in enumerate(texts)] * 2 + [(5000 + k, 1, "y") for k in range(3000)] + [(None, 1, "z"), (900, 1, "z"), (901, 0, "z")], "doc_id long, toxic int, text string")
     model = toxicity.fit(docs, labels, {1: 50, 0: 120})
-    assert sum(model.probability(model.best(t)) >= 0.7 for t, y in texts if y) > 40
+    assert sum(model.probability(model.shown(t)) >= 0.7 for t, y in texts if y) > 40
     assert toxicity.fit(docs, labels, train_letters=0).bias == -1.0
 
 
