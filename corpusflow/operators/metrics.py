@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.scratch import Scratch
+from .quantiles import medians
 from ..functions.stem import stems
 
 # Outcome words, in the order in which kinds are tried.
@@ -167,7 +169,9 @@ def length_report(df: DataFrame, sentences: Callable[[Column], Column]) -> DataF
     rows = df.where("generated <> ''").select(words.alias("w"), F.size(sentences(F.col("generated"))).alias("s"), T.word_count(F.col("source_text")).alias("sw"))
     r = lambda c, name: F.round(c, DIGITS).alias(name)
     ratio = F.avg(F.when(F.col("sw") > 0, F.col("w") / F.col("sw")))
-    return rows.agg(F.count(F.lit(1)).alias("n"), r(F.avg("w"), "mean_words"), r(F.stddev_pop("w"), "std_words"), r(F.percentile("w", F.lit(0.5)), "median_words"), F.min("w").alias("min_words"), F.max("w").alias("max_words"), r(F.avg("s"), "mean_sentences"), r(ratio, "compression"))
+    rows = Scratch(df.sparkSession, "lengths").save(rows, "rows")
+    one = rows.agg(F.count(F.lit(1)).alias("n"), r(F.avg("w"), "mean_words"), r(F.stddev_pop("w"), "std_words"), F.min("w").alias("min_words"), F.max("w").alias("max_words"), r(F.avg("s"), "mean_sentences"), r(ratio, "compression"))
+    return one.join(_median(rows, "w", "median_words"), F.lit(True), "left")  # a row each
 
 
 def rouge(df: DataFrame, longest: int = 2, lcs: bool = True, stemmed: bool = True) -> DataFrame:
@@ -200,7 +204,13 @@ def extract_quality(df: DataFrame) -> DataFrame:
 def sentence_faithfulness(df: DataFrame) -> DataFrame:
     """One row from sentences (test_id, entail, contradict): mean and median share of entailed sentences by text, contradiction rates by text and sentence."""
     by = df.groupBy("test_id").agg(F.avg((F.col("entail") >= 0.5).cast("double")).alias("faith"), F.max((F.col("contradict") >= 0.7).cast("int")).alias("bad"), F.count_if(F.col("contradict") >= 0.7).alias("n_bad"), F.count(F.lit(1)).alias("n"))
-    return by.agg(F.round(F.avg("faith"), DIGITS).alias("mean_faithfulness"), F.round(F.percentile("faith", F.lit(0.5)), DIGITS).alias("median_faithfulness"), F.round(F.avg("bad"), DIGITS).alias("hallucination_rate"), F.round(F.sum("n_bad") / F.sum("n"), DIGITS).alias("contradicted"), F.sum("n").alias("n_sentences"))
+    by = Scratch(df.sparkSession, "faith").save(by, "by")
+    one = by.agg(F.round(F.avg("faith"), DIGITS).alias("mean_faithfulness"), F.round(F.avg("bad"), DIGITS).alias("hallucination_rate"), F.round(F.sum("n_bad") / F.sum("n"), DIGITS).alias("contradicted"), F.sum("n").alias("n_sentences"))
+    return one.join(_median(by, "faith", "median_faithfulness"), F.lit(True), "left")  # a row each
+
+
+def _median(rows: DataFrame, value: str, name: str) -> DataFrame:
+    return medians(rows, [], value).select(F.round("median", DIGITS).alias(name))
 
 
 def entity_coverage(entities: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import align, chunks
@@ -67,6 +67,18 @@ def kept_and_dropped(df: DataFrame, reasons: dict[str, Column], by: str) -> Data
     return df.groupBy(by, reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def write_kept(df: DataFrame, reasons: dict[str, Column], by: str, groups: list[str], path: str) -> DataFrame:
+    """Write the rows of ``df`` that no reason drops to ``path`` and return (by, reason, n) as ``kept_and_dropped`` gives them, for the named groups: counted in the pass that writes, by observed metrics."""
+    reason = F.coalesce(*[F.when(c, F.lit(k)) for k, c in reasons.items()], F.lit("kept"))
+    names = [(g, k) for g in groups for k in (*reasons, "kept")]
+    counts = Observation("kept and dropped")
+    seen = df.withColumn("__reason", reason).observe(counts, *[F.count_if((F.col(by) == g) & (F.col("__reason") == k)).alias(f"n{i}") for i, (g, k) in enumerate(names)])
+    seen.where("__reason = 'kept'").drop("__reason").write.parquet(path)
+    found = counts.get
+    rows = [(g, k, found[f"n{i}"]) for i, (g, k) in enumerate(names) if found[f"n{i}"]]
+    return df.sparkSession.createDataFrame(rows, f"`{by}` string, reason string, n long")
+
+
 def summarisation_set(pairs: DataFrame, sentences: Callable[[DataFrame], DataFrame], similarity: Callable[[DataFrame, DataFrame], DataFrame], size: int = 350, most: int = 8, least: float = 0.25, k: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(aligned chunks, second-pass pairs, statistics) of pairs (doc_id, text, summary): documents of 50 words and summaries of 10 or more are cut, aligned by ``similarity`` (chunks, sentences) -> (doc_id, chunk_i, sent_idx, sim), filtered and joined again."""
     words = lambda c: F.regexp_count(c, F.lit(r"\S+"))

@@ -71,7 +71,8 @@ def m10c(spark, sf_dir):
 @query("m10_drop_reasons", "SELECT domain, reason, count(*) AS n FROM (SELECT CASE doc_id % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS domain, CASE WHEN length(text) < 200 THEN 'short' WHEN doc_id % 4 = 0 THEN 'unanswerable' ELSE 'kept' END AS reason FROM documents) GROUP BY 1, 2")
 def m10d(spark, sf_dir):
     rows = documents(spark, sf_dir).withColumn("domain", F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd"))
-    return R.kept_and_dropped(rows, {"short": F.length("text") < 200, "unanswerable": F.col("doc_id") % 4 == 0}, "domain")
+    reasons = {"short": F.length("text") < 200, "unanswerable": F.col("doc_id") % 4 == 0}
+    return R.write_kept(rows, reasons, "domain", ["even", "odd"], f"{Scratch(spark, 'm10').root}/kept")
 
 
 @query("j4_evaluation_join", "SELECT item_id AS test_id, text AS generated, coalesce(l.quality, -1) AS quality FROM benchmark b LEFT JOIN labels l ON l.doc_id = b.item_id")

@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import align as A
 from ..operators import chunks as C
 from ..operators import features as X
+from ..operators import keyfilter as B
 from ..operators import retrieval as R
 from ..operators import sampling as S
 from ..operators import search as N
@@ -195,7 +196,7 @@ def j3(spark, sf_dir):
 @query("j2_needed_documents", "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT conv_id FROM conversations)")
 def j2(spark, sf_dir):
     needed = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"))
-    return documents(spark, sf_dir).join(needed, "doc_id", "left_semi").select("doc_id", "source")
+    return B.needed_rows(documents(spark, sf_dir).select("doc_id", "source"), needed, "doc_id")
 
 
 @query("u4_first_of_copies", "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1")
