@@ -37,6 +37,8 @@ COST = 100.0
 CLEAN_COUNTS = 20.0
 #: Distinct strings that the machine is trained on, at most: those of most sentences, whatever their labels.
 STRINGS = 60_000
+#: Rows of a matrix that are worked on at a time.
+BLOCK = 4_096
 #: Best values of a text's words that its score rests on, and the value of words that are not there.
 TOP, ABSENT = 3, -3.0
 #: Words beyond which a text's length counts against its best values, since long texts meet some by chance.
@@ -147,12 +149,16 @@ def _machine(x: np.ndarray, pro: np.ndarray, con: np.ndarray, cost: float = COST
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 0.1)
     ridge[-1] = 1e-6
     for _ in range(30):
-        value = x @ w.astype(np.float32)
-        low, high = np.maximum(0, 1 - value), np.maximum(0, 1 + value)
-        curve = pro * (low > 0) + con * (high > 0)
-        on = curve > 0
-        own = x[on]
-        step = np.linalg.solve(2 * ((own.T * curve[on]) @ own).astype(float) + np.diag(ridge), ridge * w - 2 * (own.T @ (pro * low - con * high)[on]).astype(float))
+        curve, slope = np.diag(ridge), ridge * w
+        for i in range(0, len(x), BLOCK):  # blocks of rows, so that no copy of x is made
+            rows, p, c = x[i : i + BLOCK], pro[i : i + BLOCK], con[i : i + BLOCK]
+            value = rows @ w.astype(np.float32)
+            low, high = np.maximum(0, 1 - value), np.maximum(0, 1 + value)
+            bent = p * (low > 0) + c * (high > 0)
+            on = bent > 0
+            curve = curve + 2 * ((rows[on].T * bent[on]) @ rows[on])
+            slope = slope - 2 * (rows.T @ (p * low - c * high))
+        step = np.linalg.solve(curve, slope)
         w = w - step
         if np.abs(step).max() < 1e-4:
             break
@@ -175,10 +181,10 @@ class Landmarks:
         good = values > 1e-6
         self.root = vectors[:, good] / np.sqrt(values[good])
 
-    def kernel(self, strings: list[str], first: int = 0) -> np.ndarray:
-        """Kernel values of strings with the landmarks from the ``first`` on; only subsequences that a string has are visited."""
+    def kernel(self, strings: list[str], first: int = 0, out: np.ndarray | None = None) -> np.ndarray:
+        """Kernel values of strings with the landmarks from the ``first`` on, in their columns of ``out`` if it is given; only subsequences that a string has are visited."""
         columns = np.ascontiguousarray(self.own[first:].T)
-        out = np.zeros((len(strings), columns.shape[1]), np.float32)
+        out = np.zeros((len(strings), columns.shape[1]), np.float32) if out is None else out[:, first : len(self.own)]
         for i in range(0, len(strings), 512):
             index, weight = subsequences(strings[i : i + 512])
             row, place = np.nonzero(weight)
@@ -231,9 +237,11 @@ def train(texts: list[tuple[str, int]]) -> ToxicityModel:
     weight = times / (1 + CLEAN_COUNTS * usual)
     pro, con = weight, (usual > 0) * 1.0
     marks = Landmarks(list(dict.fromkeys(_spread(strings, LANDMARKS)))[:LANDMARKS])
-    kernel, used = marks.kernel(strings), set()
+    kernel, used = np.zeros((len(strings), LANDMARKS + TURNS * MORE_LANDMARKS), np.float32), set()
+    marks.kernel(strings, 0, kernel)
     for turn in range(TURNS):
-        x = np.concatenate((kernel @ marks.root.astype(np.float32), np.ones((len(strings), 1), np.float32)), axis=1)
+        x = np.ones((len(strings), marks.root.shape[1] + 1), np.float32)
+        np.matmul(kernel[:, : len(marks.own)], marks.root.astype(np.float32), out=x[:, :-1])
         w = _machine(x, pro, con)
         value = x @ w
         machine = ToxicityModel(marks.folded(w), float(w[-1]), np.zeros(TOP + 1), 0.0)
@@ -247,8 +255,9 @@ def train(texts: list[tuple[str, int]]) -> ToxicityModel:
         # Where the pull of a string on the machine is largest, the landmarks serve it worst.
         more = [strings[k] for k in np.argsort(-pull, kind="stable")[: MORE_LANDMARKS + len(used)] if strings[k] not in used][:MORE_LANDMARKS]
         used.update(more)
+        before = len(marks.own)
         marks.add(more)
-        kernel = np.concatenate((kernel, marks.kernel(strings, kernel.shape[1])), axis=1)
+        marks.kernel(strings, before, kernel)
     shown = np.array([machine.shown(t) for t, _ in rest])
     slopes, offset = _logistic(shown, np.array([y for _, y in rest], float))
     return ToxicityModel(machine.table, machine.bias, slopes, offset)
