@@ -244,8 +244,14 @@ def test_stems():
     assert [stem(w) for w in words.split()] == stems.split()
 
 
+def test_extended_stems():
+    words = "enjoy enjoyed caresses flies dies mules denied died agreed owned humbled sized meeting stating siezing itemization sensational traditional reference colonizer plotted skies sky ties news proceed dying spied happily fly by boy biology generally hopefully possibly using as"
+    stems = "enjoy enjoy caress fli die mule deni die agre own humbl size meet state siez item sensat tradit refer colon plot sky sky tie news proceed die spi happili fli by boy biolog gener hope possibl use as"
+    assert [stem(w, True) for w in words.split()] == stems.split()
+
+
 def test_rouge_stemmed(spark):
-    pairs = [tuple([stem(w) if len(w) > 3 else w for w in plain(r[c])] for c in ("generated", "reference")) for r in summaries(spark, SF).collect()]
+    pairs = [tuple([stem(w, True) if len(w) > 3 else w for w in plain(r[c])] for c in ("generated", "reference")) for r in summaries(spark, SF).collect()]
     grams = lambda w, n: collections.Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
     want = []
     for kind in (1, 2, "L"):
