@@ -163,6 +163,12 @@ def outcome_report(df: DataFrame) -> DataFrame:
     return n.select("*", F.round(F.col("n_correct") / least, DIGITS).alias("preservation"), F.round(F.col("n_inverted") / least, DIGITS).alias("inversion"))
 
 
+def substring_accuracy(df: DataFrame, by: str) -> DataFrame:
+    """(by, accuracy): the share of rows (pred, gold) whose prediction holds the gold text, case ignored; a null side holds nothing."""
+    hit = F.coalesce(F.contains(F.lower("pred"), F.lower("gold")), F.lit(False))
+    return df.groupBy(by).agg(F.round(F.avg(hit.cast("double")), DIGITS).alias("accuracy"))
+
+
 def length_report(df: DataFrame, sentences: Callable[[Column], Column]) -> DataFrame:
     """One row over (generated, source_text): words (mean, population deviation, median, least, most), sentences, compression."""
     words = T.word_count(F.col("generated"))

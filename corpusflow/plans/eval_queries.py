@@ -321,8 +321,7 @@ def a22(spark, sf_dir):
 
 @query("a28_substring_accuracy", _PRED + " SELECT source, round(avg(CASE WHEN contains(lower(predicted_answer), lower(substring(gold, 20, 30))) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM p GROUP BY source")
 def a28(spark, sf_dir):
-    hit = F.contains(F.lower("predicted_answer"), F.lower(F.substring("gold", 20, 30)))
-    return predictions(spark, sf_dir).groupBy("source").agg(F.round(F.avg(hit.cast("double")), 6).alias("accuracy"))
+    return M.substring_accuracy(predictions(spark, sf_dir).select("source", F.col("predicted_answer").alias("pred"), F.substring("gold", 20, 30).alias("gold")), "source")
 
 
 @query("v5_plausible_answer", r"""WITH q AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'What is the price?' WHEN 1 THEN 'When was it?' ELSE 'Who?' END AS q, CASE WHEN item_id % 2 = 0 THEN text || ' It cost $5 in the year.' ELSE text END AS c FROM benchmark)

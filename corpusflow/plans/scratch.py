@@ -6,11 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
-_SCOPES: list[list[Scratch]] = []
+#: Open scopes of the thread that runs: one thread's tables are not another's.
+_SCOPES: ContextVar[tuple[list[Scratch], ...]] = ContextVar("scopes", default=())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,11 +32,11 @@ def shared_folder(spark: SparkSession) -> str:
 def released() -> Iterator[None]:
     """Delete, at the end, the tables that operators write within: for code that has written its own result by then."""
     scope: list[Scratch] = []
-    _SCOPES.append(scope)
+    token = _SCOPES.set((*_SCOPES.get(), scope))
     try:
         yield
     finally:
-        _SCOPES.remove(scope)
+        _SCOPES.reset(token)
         for work in scope:
             work.drop("")
 
@@ -45,7 +47,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        for scope in _SCOPES:
+        for scope in _SCOPES.get():
             scope.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
