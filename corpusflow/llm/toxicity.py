@@ -29,14 +29,14 @@ UNIT = 24
 #: Labelled documents that training reads by class, and letters of all of them, at most (the smallest by hash; whole texts).
 TRAIN_DOCS, TRAIN_LETTERS = {1: 1500, 0: 4500}, 1 << 26
 #: Landmarks at first, and those that each turn adds.
-LANDMARKS, MORE_LANDMARKS, TURNS = 200, 100, 6
+LANDMARKS, MORE_LANDMARKS, TURNS = 200, 60, 6
 #: How much more a clean string weighs after each turn that takes it for toxic.
 HARDER = 3.0
 COST = 100.0
 #: How often a string counts against itself as a sign of toxicity for each clean sentence that has it.
 CLEAN_COUNTS = 20.0
 #: Distinct strings that the machine is trained on, at most: those of most sentences, whatever their labels.
-STRINGS = 60_000
+STRINGS = 25_000
 #: Rows of a matrix that are worked on at a time.
 BLOCK = 4_096
 #: Best values of a text's words that its score rests on, and the value of words that are not there.
