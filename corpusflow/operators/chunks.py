@@ -102,7 +102,8 @@ def sections(df: DataFrame, min_gap: int = 10) -> DataFrame:
     """
     rows = pattern_places(df, [f"(?m){p}" for p in lexicon.SECTION_PATTERNS])
     kept = F.arrow_udf(_spaced(min_gap), "array<int>")(F.transform("all", lambda x: x["start"]))
-    return rows.withColumn("kept", kept).select("doc_id", F.transform("kept", lambda i: F.get("all", i)).alias("sections"))
+    # A variable holds the matches, else each step would put them in order again.
+    return rows.withColumn("kept", kept).select("doc_id", T.let(F.col("all"), lambda a: F.transform("kept", lambda i: F.get(a, i))).alias("sections"))
 
 
 def _pack(size: int, overlap: int):
