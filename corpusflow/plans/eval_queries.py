@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +26,13 @@ SELECT doc_id AS example_id, source, doc_id % 3 <> 0 AS is_answerable, CAST((doc
   CAST(doc_id % 5 AS INTEGER) - 1 AS gold_chunk_idx, CAST(doc_id % 4 AS INTEGER) AS best_chunk
 FROM ({LEGAL}) AS legal
 """
+#: In SQL place 0 lies before a text, so a substring from there is one character shorter than asked for; Spark begins at the first place instead.
+_FROM_END = re.compile(r"substring\(text, length\(text\) - (\d+), (\d+)\)")
 _PRED = f"WITH p AS ({PREDICTIONS.format(documents='documents')})"
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, PREDICTIONS, "documents")
+    rows = view(spark, sf_dir, _FROM_END.sub(r"substring(text, length(text) - \1, \2 - CAST(length(text) = \1 AS INTEGER))", PREDICTIONS), "documents")
     return rows.withColumn("gold_answers", F.array("gold")).withColumn("retrieved", F.array("best_chunk", (F.col("best_chunk") + 1) % 4, (F.col("best_chunk") + 2) % 4))
 
 
