@@ -2,21 +2,116 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
+from ..functions import text as T
+
+#: Tokens of the documents that a task looks at together.
+TOKENS = 1 << 20
+
 
 def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def align(scores: DataFrame, least: float = 0.25, k: int = 3) -> DataFrame:
-    """Scores (doc_id, chunk_i, sent_idx, sentence, sim) to (doc_id, chunk_i, target, score): a chunk's k best sentences in text order; chunks whose best is under ``least`` are dropped. Ties go to the earlier sentence."""
-    w = Window.partitionBy("doc_id", "chunk_i").orderBy(F.desc("sim"), "sent_idx")
-    best = scores.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
-    rows = best.groupBy("doc_id", "chunk_i").agg(F.max("sim").alias("top"), F.array_sort(F.collect_list(F.struct("sent_idx", "sentence"))).alias("s"))
-    return rows.where(F.col("top") >= least).select("doc_id", "chunk_i", F.array_join(F.transform("s", lambda x: x["sentence"]), " ").alias("target"), F.round("top", 4).alias("score"))
+def _tokens(lists: pa.Array) -> np.ndarray:
+    """Tokens in each row's arrays."""
+    inner = np.concatenate(([0], np.cumsum(pc.list_value_length(lists.flatten()).to_numpy(zero_copy_only=False))))
+    outer = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
+    return np.diff(inner[outer.astype(np.int64)]).astype(np.int64)
+
+
+def _compared(measure: str):
+    """Batches of (parts, sentences), token arrays by document, to each part's similarities to the document's sentences."""
+
+    def some(parts: pa.Array, sents: pa.Array) -> pa.Array:
+        sides = [x.flatten() for x in (parts, sents)]
+        sizes = [pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (parts, sents)]
+        doc = [np.repeat(np.arange(len(n)), n) for n in sizes]
+        coded = pa.concat_arrays([x.flatten() for x in sides]).dictionary_encode()
+        code, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(coded.dictionary))
+        owner = [np.repeat(np.arange(len(x)), pc.list_value_length(x).to_numpy(zero_copy_only=False)) for x in sides]
+        at = len(owner[0])
+        # A term is a word of one document; cells are terms of a part or a sentence, with their counts.
+        terms, term = np.unique(np.concatenate((doc[0][owner[0]], doc[1][owner[1]])) * words + code, return_inverse=True)
+        cells = [np.unique(o * max(1, len(terms)) + t, return_counts=True) for o, t in ((owner[0], term[:at]), (owner[1], term[at:]))]
+        (prow, pcol, pw), (srow, scol, sw) = ((c // max(1, len(terms)), c % max(1, len(terms)), n.astype(np.float64)) for c, n in cells)
+        if measure == "share":
+            pw, sw = np.ones(len(pw)), np.ones(len(sw))
+        else:
+            pw = pw / np.sqrt(np.bincount(prow, pw * pw, len(sides[0])))[prow]
+            sw = sw / np.sqrt(np.bincount(srow, sw * sw, len(sides[1])))[srow]
+        first = np.cumsum(sizes[0]) - sizes[0]
+        number = np.arange(len(sides[0])) - first[doc[0]]
+        # One part of each document at a time.
+        most = int(sizes[0].max(initial=0))
+        total, both = np.zeros((most, len(sides[1]))), np.zeros((most, len(sides[1])), bool)
+        for k in range(most):
+            weight = np.zeros(len(terms))
+            mine = number[prow] == k
+            weight[pcol[mine]] = pw[mine]
+            total[k] = np.bincount(srow, sw * weight[scol], len(sides[1]))
+            both[k] = np.bincount(srow, weight[scol] > 0, len(sides[1])) > 0
+        if measure == "share":
+            total /= np.maximum(np.bincount(srow, minlength=len(sides[1])), 1)
+            both[:] = True
+        n = sizes[1][doc[0]]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        start = (np.cumsum(sizes[1]) - sizes[1])[doc[0]]
+        k, j = np.repeat(number, n), np.arange(ends[-1]) + np.repeat(start - ends[:-1], n)
+        flat = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(total[k, j], mask=~both[k, j]))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes[0]))).astype(np.int32)), flat)
+
+    def run(parts: pa.Array, sents: pa.Array) -> pa.Array:
+        out, low, held = [], 0, 0
+        for i, n in enumerate((_tokens(parts) + _tokens(sents)).tolist()):
+            held += n
+            if held >= TOKENS or i + 1 == len(parts):
+                out.append(some(parts.slice(low, i + 1 - low), sents.slice(low, i + 1 - low)))
+                low, held = i + 1, 0
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.list_(pa.float64())))
+
+    return run
+
+
+def similarities(rows: DataFrame, measure: str = "cosine") -> DataFrame:
+    """Documents (doc_id, sentences, part_words, sentence_words: token arrays) to (doc_id, sentences, sims): by part its similarities to the sentences, in Arrow batches.
+
+    ``cosine``: of word counts, null where no word is shared; ``share``: the share of a sentence's distinct words that the part has, 0 without any.
+    """
+    compared = _compared(measure)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sims = compared(b.column("part_words"), b.column("sentence_words"))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("sentences"), sims], ["doc_id", "sentences", "sims"])
+
+    kept = rows.select("doc_id", "sentences", "part_words", "sentence_words")
+    return kept.mapInArrow(run, StructType([*kept.schema.fields[:2], StructField("sims", ArrayType(ArrayType(DoubleType())))]))
+
+
+def vector_similarities(parts: Column, sentences: Column) -> Column:
+    """Arrays of vectors of a document's parts and sentences to an array by part of its inner products with the sentences, to twelve decimals: summed from the first component on and rounded by floor, so that any engine gives the same doubles and breaks ties alike."""
+    near = lambda x, y: F.floor(dot(x, y) * 1e12 + 0.5) / 1e12
+    return T.let(sentences, lambda b: F.transform(parts, lambda x: F.transform(b, lambda y: near(x, y))))
+
+
+def align(rows: DataFrame, least: float = 0.25, k: int = 3) -> DataFrame:
+    """Documents (doc_id, sentences, sims: by chunk the similarity to each sentence, null for none) to (doc_id, chunk_i, target, score): a chunk's k best sentences in text order; chunks whose best is under ``least`` are dropped. Ties go to the earlier sentence. Nothing is shuffled."""
+    sims = rows.select("doc_id", "sentences", F.posexplode("sims").alias("chunk_i", "sim"))
+    placed = F.filter(F.transform("sim", lambda x, i: F.struct((-x).alias("far"), i.alias("i"))), lambda x: x["far"].isNotNull())
+    best = sims.select("doc_id", "chunk_i", "sentences", F.slice(F.array_sort(placed), 1, k).alias("best"))
+    best = best.withColumn("top", -F.get("best", F.lit(0))["far"]).where(F.col("top") >= least)
+    target = F.array_join(F.transform(F.array_sort(F.transform("best", lambda x: x["i"])), lambda i: F.get("sentences", i)), " ")
+    return best.select("doc_id", "chunk_i", target.alias("target"), F.round("top", 4).alias("score"))
 
 
 def second_pass(aligned: DataFrame, key: str = "doc_id", least: int = 2, least_words: int = 0) -> DataFrame:

@@ -210,28 +210,23 @@ def _extracts(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", "text", F.array_join(F.filter(every, lambda s, k: k % 3 == 0), " ").alias("summary"))
 
 
+_SUMMARY_SENTENCES = lambda text: T.sentences(text, lexicon.GENERAL_ABBREVIATIONS, 5)
 _PAIRS = rf"""d AS (SELECT doc_id, text AS body, array_to_string(list_filter(s, lambda x, i: (i - 1) % 3 = 0), ' ') AS text FROM (SELECT doc_id, text, {_sentences_sql(lexicon.GENERAL_ABBREVIATIONS, 5)} AS s FROM documents)),
 fit AS (SELECT * FROM d WHERE len(regexp_extract_all(body, '\S+')) >= 50 AND len(regexp_extract_all(text, '\S+')) >= 10),
 k AS (SELECT doc_id, chunk_idx AS chunk_i, chunk FROM ({_chunk_sql(8).replace('FROM documents', 'FROM (SELECT doc_id, body AS text FROM fit)')})),
 s AS (SELECT doc_id, i - 1 AS sent_idx, s[i] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {_sentences_sql(lexicon.GENERAL_ABBREVIATIONS, 5)} AS s FROM fit)))"""
 _BEST = ", rk AS (SELECT sims.*, sentence, row_number() OVER (PARTITION BY sims.doc_id, chunk_i ORDER BY sim DESC, sims.sent_idx) AS n FROM sims JOIN s ON s.doc_id = sims.doc_id AND s.sent_idx = sims.sent_idx), al AS (SELECT doc_id, chunk_i, string_agg(sentence, ' ' ORDER BY sent_idx) AS target, round(max(sim), 4) AS score FROM rk WHERE n <= 3 GROUP BY 1, 2 HAVING max(sim) >= 0.25)"
-_HASHED = "(SELECT {0}, b, c / sqrt(sum(c * c) OVER (PARTITION BY {0})) AS x FROM (SELECT {0}, b, CAST(count(*) AS DOUBLE) AS c FROM (SELECT {0}, CAST('0x' || substring(md5(unnest({1})), 1, 8) AS BIGINT) % 64 AS b FROM {2}) GROUP BY ALL))"
+#: Vectors of 64 buckets, at length one; a chunk meets all of its document's sentences, also those that share no bucket with it.
+_HASHED = "(SELECT {0}, list_transform(n, lambda c: CASE WHEN list_sum(n) > 0 THEN c / sqrt(list_sum(list_transform(n, lambda e: e * e))) ELSE 0 END) AS x FROM (SELECT {0}, list_transform(range(0, 64), lambda k: CAST(len(list_filter(b, lambda e: e = k)) AS DOUBLE)) AS n FROM (SELECT {0}, list_transform({1}, lambda w: CAST('0x' || substring(md5(w), 1, 8) AS BIGINT) % 64) AS b FROM {2})))"
 
 
 @query(
     "r8_vector_alignment",
-    f"WITH {_PAIRS}, va AS {_HASHED.format('doc_id, chunk_i', _CONTENT.format('chunk'), 'k')}, vb AS {_HASHED.format('doc_id, sent_idx', _CONTENT.format('sentence'), 's')}, sims AS (SELECT va.doc_id, chunk_i, sent_idx, round(sum(va.x * vb.x), 12) AS sim FROM va JOIN vb ON va.doc_id = vb.doc_id AND va.b = vb.b GROUP BY 1, 2, 3){_BEST} SELECT * FROM al",
+    f"WITH {_PAIRS}, va AS {_HASHED.format('doc_id, chunk_i', _CONTENT.format('chunk'), 'k')}, vb AS {_HASHED.format('doc_id, sent_idx', _CONTENT.format('sentence'), 's')}, sims AS (SELECT va.doc_id, chunk_i, sent_idx, floor(list_sum(list_transform(range(1, 65), lambda k: va.x[k] * vb.x[k])) * 1e12 + 0.5) / 1e12 AS sim FROM va JOIN vb ON va.doc_id = vb.doc_id){_BEST} SELECT * FROM al",
 )
 def r8(spark, sf_dir):
     """Chunks and sentences aligned by plug-in vectors."""
-    pairs = _extracts(spark, sf_dir)
-
-    def similarity(parts, sents):
-        a = parts.select("doc_id", "chunk_i", R.hashed_vectors(F.col("text")).alias("x"))
-        b = sents.select("doc_id", "sent_idx", R.hashed_vectors(F.col("sentence")).alias("y"))
-        return a.join(b, "doc_id").select("doc_id", "chunk_i", "sent_idx", F.round(A.dot(F.col("x"), F.col("y")), 12).alias("sim"))
-
-    return R.summarisation_set(pairs, lambda df: C.sentence_rows(df, lexicon.GENERAL_ABBREVIATIONS, 5), similarity)[0]
+    return R.summarisation_set(_extracts(spark, sf_dir), _SUMMARY_SENTENCES, lambda rows: rows.select("doc_id", "sentences", A.vector_similarities(*[F.transform(c, lambda x: R.hashed_vectors(x)) for c in ("parts", "sentences")]).alias("sims")))[0]
 
 
 @query(
@@ -241,14 +236,8 @@ sims AS (SELECT ca.doc_id, chunk_i, sent_idx, CASE WHEN len(y) > 0 THEN len(list
 SELECT (SELECT count(DISTINCT doc_id) FROM k) AS papers, (SELECT count(*) FROM k) AS chunks, count(*) AS aligned, (SELECT count(*) FROM k) - count(*) AS filtered, round(100.0 * count(*) / greatest((SELECT count(*) FROM k), 1), 1) AS coverage, (SELECT count(*) FROM (SELECT doc_id FROM al GROUP BY 1 HAVING count(*) >= 2)) AS second_pass FROM al""",
 )
 def m11(spark, sf_dir):
-    pairs = _extracts(spark, sf_dir)
-
-    def similarity(parts, sents):
-        a = parts.select("doc_id", "chunk_i", F.array_distinct(T.content_words(F.col("text"))).alias("x"))
-        b = sents.select("doc_id", "sent_idx", F.array_distinct(T.content_words(F.col("sentence"))).alias("y"))
-        return a.join(b, "doc_id").select("doc_id", "chunk_i", "sent_idx", F.coalesce(T.share_kept(F.col("x"), F.col("y")), F.lit(0.0)).alias("sim"))
-
-    return R.summarisation_set(pairs, lambda df: C.sentence_rows(df, lexicon.GENERAL_ABBREVIATIONS, 5), similarity)[2]
+    words = lambda c: F.transform(c, lambda x: T.content_words(x)).alias(f"{c[:-1]}_words")
+    return R.summarisation_set(_extracts(spark, sf_dir), _SUMMARY_SENTENCES, lambda rows: A.similarities(rows.select("doc_id", "sentences", words("parts"), words("sentences")), "share"))[2]
 
 
 @query("g1_rewritten_answers", _PRED + " SELECT example_id, CASE WHEN extracted_span = '' THEN '' ELSE 'In short: ' || extracted_span END AS predicted_answer FROM p")
