@@ -90,8 +90,8 @@ def _spaced(min_gap: int):
     return run
 
 
-def pattern_places(df: DataFrame, patterns: list[str]) -> DataFrame:
-    """(doc_id, all): the matches of all patterns in a text as structs (start, end, name), in characters and in order; the name is the match with single spaces.
+def pattern_places(df: DataFrame, patterns: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ``keep``, all): the matches of all patterns in a text as structs (start, end, name), in characters and in order; the name is the match with single spaces.
 
     Positions are running sums of the pieces between matches and the matches, in Arrow batches; a null text has none.
     """
@@ -99,24 +99,24 @@ def pattern_places(df: DataFrame, patterns: list[str]) -> DataFrame:
     for i, p in enumerate(patterns):
         cut = F.arrays_zip(F.split("text", p, -1).alias("gap"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("hit"))
         parts[f"p{i}"] = F.when(F.col("text").rlike(p), cut).otherwise(F.array().cast("array<struct<gap:string,hit:string>>"))
-    rows = df.select("doc_id", *[c.alias(n) for n, c in parts.items()])
+    rows = df.select("doc_id", *keep, *[c.alias(n) for n, c in parts.items()])
     rows = rows.withColumns({f"e{i}": T.running_sums(F.transform(p, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0)))) for i, p in enumerate(parts)})
     found = []
     for i, p in enumerate(parts):
         both = F.filter(F.arrays_zip(F.col(p).alias("p"), F.col(f"e{i}").alias("end")), lambda x: x["p"]["hit"].isNotNull())
         found.append(F.transform(both, lambda x: F.struct((x["end"] - F.length(x["p"]["hit"])).alias("start"), x["end"].alias("end"), F.btrim(F.regexp_replace(x["p"]["hit"], r"\s+", " ")).alias("name"))))
-    return rows.select("doc_id", F.sort_array(F.concat(*found)).alias("all"))
+    return rows.select("doc_id", *keep, F.sort_array(F.concat(*found)).alias("all"))
 
 
-def sections(df: DataFrame, min_gap: int = 10) -> DataFrame:
-    """Rows (doc_id, sections: array of start, end, name): header matches by position, each more than ``min_gap`` after the last one kept (which at first is -1, so a header at the very start is dropped).
+def sections(df: DataFrame, min_gap: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, ``keep``, sections: array of start, end, name): header matches by position, each more than ``min_gap`` after the last one kept (which at first is -1, so a header at the very start is dropped).
 
     Work is in proportion to the text and its headers. A null text has no sections.
     """
-    rows = pattern_places(df, [f"(?m){p}" for p in lexicon.SECTION_PATTERNS])
+    rows = pattern_places(df, [f"(?m){p}" for p in lexicon.SECTION_PATTERNS], keep)
     kept = F.arrow_udf(_spaced(min_gap), "array<int>")(F.transform("all", lambda x: x["start"]))
     # A variable holds the matches, else each step would put them in order again.
-    return rows.withColumn("kept", kept).select("doc_id", T.let(F.col("all"), lambda a: F.transform("kept", lambda i: F.get(a, i))).alias("sections"))
+    return rows.withColumn("kept", kept).select("doc_id", *keep, T.let(F.col("all"), lambda a: F.transform("kept", lambda i: F.get(a, i))).alias("sections"))
 
 
 def _pack(size: int, overlap: int):
@@ -163,8 +163,17 @@ def section_chunks(sentences: DataFrame, size: int = 800, overlap: int = 50) ->
     return rows.groupBy("doc_id").applyInArrow(_pack(size, overlap), "doc_id long, chunk_index int, text string, token_count int, sentence_count int")
 
 
-def section_starts(sentences: DataFrame, texts: DataFrame, found: DataFrame, reach: int = 200) -> DataFrame:
-    """``sentences`` with starts_section: the first sentence contained in the ``reach`` characters from a section's start."""
-    heads = found.select("doc_id", F.explode("sections").alias("s")).join(texts, "doc_id").select("doc_id", F.col("s.start").alias("start"), F.substr("text", F.col("s.start") + 1, F.lit(reach)).alias("head"))
-    first = sentences.join(heads, "doc_id").where(F.col("head").contains(F.col("sentence"))).groupBy("doc_id", "start").agg(F.min("sent_idx").alias("sent_idx"))
-    return sentences.join(first.select("doc_id", "sent_idx", F.lit(True).alias("starts_section")).distinct(), ["doc_id", "sent_idx"], "left").withColumn("starts_section", F.coalesce("starts_section", F.lit(False)))
+def section_starts(texts: DataFrame, abbreviations: list[str] = lexicon.LEGAL_ABBREVIATIONS, reach: int = 200) -> DataFrame:
+    """Texts (doc_id, text) to their sentences (doc_id, sent_idx, sentence, starts_section): the first sentence contained in the ``reach`` characters from a section's start starts it. A text stays one row until its sentences are told apart, nothing is shuffled."""
+    found = F.coalesce("sections", F.array().cast("array<struct<start:int,end:int,name:string>>"))
+    whole = F.struct("text", found.alias("sections"), T.sentences(F.col("text"), abbreviations, 0).alias("sentences"))
+
+    def started(d: Column) -> Column:
+        short = F.filter(F.transform(d["sentences"], lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda x: F.length(x["s"]) <= reach)
+        head = lambda s: F.array(F.substr(d["text"], s["start"] + 1, F.lit(reach)))
+        first = lambda ss, h: F.get(F.filter(ss, lambda x: F.contains(h, x["s"])), F.lit(0))["i"]
+        return T.let(short, lambda ss: F.struct(d["sentences"].alias("sentences"), F.array_distinct(F.transform(d["sections"], lambda s: F.transform(head(s), lambda h: first(ss, h))[0])).alias("starts")))
+
+    rows = sections(texts, keep=("text",)).select("doc_id", T.let(whole, started).alias("d")).select("doc_id", "d.starts", "d.sentences")
+    parts = rows.select("doc_id", "starts", F.posexplode("sentences").alias("sent_idx", "sentence"))
+    return parts.select("doc_id", "sent_idx", "sentence", F.coalesce(F.array_contains("starts", F.col("sent_idx")), F.lit(False)).alias("starts_section"))

@@ -147,8 +147,7 @@ def f9(spark, sf_dir):
 @query("t13_section_sentences", f"WITH {_SECTIONS}, {_STARTS} SELECT DISTINCT doc_id, sent_idx FROM st")
 def t13(spark, sf_dir):
     texts = legal(spark, sf_dir).select("doc_id", "text")
-    rows = C.section_starts(C.sentence_rows(texts, lexicon.LEGAL_ABBREVIATIONS, 0), texts, C.sections(texts))
-    return rows.where("starts_section").select("doc_id", "sent_idx")
+    return C.section_starts(texts).where("starts_section").select("doc_id", "sent_idx")
 
 
 @query(

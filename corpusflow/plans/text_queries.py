@@ -226,8 +226,7 @@ c AS (
 @query("t12_section_chunks", f"WITH {_PACKED} SELECT c.doc_id, CAST(k AS INTEGER) AS chunk_index, array_to_string(t[a + 1:z], ' ') AS text, CAST(p[z + 1] - p[a + 1] AS INTEGER) AS token_count, CAST(z - a AS INTEGER) AS sentence_count FROM c JOIN d ON d.doc_id = c.doc_id WHERE k >= 0")
 def t12(spark, sf_dir):
     texts = legal(spark, sf_dir).select("doc_id", "text")
-    rows = C.sentence_rows(texts, lexicon.LEGAL_ABBREVIATIONS, 0)
-    return C.section_chunks(C.section_starts(rows, texts, C.sections(texts)), size=200, overlap=50)
+    return C.section_chunks(C.section_starts(texts), size=200, overlap=50)
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in lexicon.STOP_WORDS) + "]"
