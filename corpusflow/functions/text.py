@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -84,12 +86,35 @@ def tail(text: Column, share: float = 0.8) -> Column:
     return F.substr(text, F.floor(F.length(text) * share).cast("int") + 1)
 
 
+def _guard(abbreviations: list[str]) -> str | None:
+    """A look-behind that fails where one of these ends, as if the dots of each had been protected in this order; None for lists that need more than it."""
+    out, bound = [], set()
+    for k, b in enumerate(abbreviations):
+        inner = [i for i, c in enumerate(b[:-1]) if c == "."]
+        if not b.endswith(".") or not all(b[i + 1].isalpha() for i in inner):
+            return None
+        part = re.escape(b)
+        for head in (b[: i + 1] for i in inner):
+            for a in abbreviations[:k]:
+                if a != b and a.endswith(head[-len(a) :]):  # an earlier one takes the inner dot, as i.e. does in i.e.g.
+                    if len(a) <= len(head) or a in bound:
+                        return None
+                    part = f"(?<!{re.escape(a[: -len(head)])}){part}"
+                    bound.add(b)
+        out.append(part)
+    return f"(?<!{'|'.join(out)})" if out else ""
+
+
 def sentences(text: Column, abbreviations: list[str], least_words: int = 5) -> Column:
     """Sentences: cut after . ! or ? before white space and a capital, dots of abbreviations protected, trimmed."""
-    for a in abbreviations:
-        text = F.replace(text, F.lit(a), F.lit(a.replace(".", _DOT)))
-    parts = F.transform(F.split(text, r"(?<=[.!?])\s+(?=[A-Z])"), lambda x: F.btrim(F.translate(x, _DOT, "."), F.lit(" \n\t\r")))
-    return F.filter(parts, lambda x: (x != "") & (word_count(x) >= least_words))
+    dotted = [a for a in abbreviations if "." in a]
+    guard = _guard(dotted)  # the cut looks back, so that the text is not written anew for each
+    if guard is None:
+        for a in dotted:
+            text = F.replace(text, F.lit(a), F.lit(a.replace(".", _DOT)))
+    parts = F.transform(F.split(text, rf"(?<=[.!?]){guard or ''}\s+(?=[A-Z])"), lambda x: F.btrim(F.translate(x, _DOT, "."), F.lit(" \n\t\r")))
+    # Any sentence that is left after trimming counts, if it may be without words.
+    return F.filter(parts, lambda x: (x != "") & (word_count(x) >= least_words) if least_words > 0 else x != "")
 
 
 def fit_sentence(x: Column) -> Column:
@@ -113,9 +138,17 @@ def post_process(text: Column) -> Column:
     return drop_repeated(F.btrim(plain))
 
 
+def any_of(words: list[str]) -> str:
+    """A pattern of these words and no others, by their first two letters, so that a text's letter rules out most of them at once."""
+    heads: dict[str, dict[str, list[str]]] = {}
+    for w in sorted(set(words)):
+        heads.setdefault(re.escape(w[:1]), {}).setdefault(re.escape(w[1:2]), []).append(re.escape(w[2:]))
+    return "|".join(f"{a}(?:{'|'.join(f'{b}(?:{'|'.join(rest)})' for b, rest in more.items())})" for a, more in heads.items())
+
+
 def content_words(text: Column, stop: list[str] = lexicon.STOP_WORDS) -> Column:
     """Lower-cased word tokens that are not stop words: one pattern leaves these out, since a filter looks each word up in an interpreted expression."""
-    no = rf"(?!(?:{'|'.join(stop)})\b)" if stop else ""
+    no = rf"(?!(?:{any_of(stop)})\b)" if stop else ""
     return F.regexp_extract_all(F.lower(text), F.lit(rf"(?U)\b{no}\w++"), F.lit(0))
 
 

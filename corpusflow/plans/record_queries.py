@@ -156,8 +156,9 @@ def t13(spark, sf_dir):
 SELECT p.doc_id, p.sent_idx, CAST(count(s) - 1 AS INTEGER) AS section FROM p LEFT JOIN sec ON sec.doc_id = p.doc_id AND s <= place GROUP BY p.doc_id, p.sent_idx""",
 )
 def t7(spark, sf_dir):
-    texts = legal(spark, sf_dir).select("doc_id", "text")
-    return K.sentence_sections(C.sentence_rows(texts, lexicon.LEGAL_ABBREVIATIONS, 0), texts, C.sections(texts)).select("doc_id", "sent_idx", "section")
+    texts = C.sections(legal(spark, sf_dir).select("doc_id", "text"), keep=("text",))
+    sentences = T.sentences(F.col("text"), lexicon.LEGAL_ABBREVIATIONS, 0)
+    return texts.select("doc_id", F.posexplode(K.sentence_sections(F.col("text"), sentences, F.col("sections"))).alias("sent_idx", "section"))
 
 
 @query("t24_batch_rows", "SELECT d.doc_id, count(*) AS times, md5(any_value(d.text)) AS text_md5 FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS r, count(*) OVER (PARTITION BY source) AS size FROM documents WHERE source IN ('src0', 'src1')) b JOIN documents d ON d.doc_id = b.doc_id WHERE r <= size // 4 * 4 AND r <= (SELECT min(c) FROM (SELECT count(*) // 4 AS c FROM documents WHERE source IN ('src0', 'src1') GROUP BY source)) * 4 GROUP BY 1")
