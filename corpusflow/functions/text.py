@@ -170,7 +170,7 @@ def normalise_answer(text: Column) -> Column:
 
 def plain_tokens(text: Column) -> Column:
     """Words reduced to ASCII letters and digits, lower case, empty ones dropped."""
-    return F.filter(F.transform(words(F.lower(text)), lambda w: F.regexp_replace(w, "[^a-z0-9]", "")), lambda w: w != "")
+    return F.regexp_extract_all(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]++", ""), F.lit("[a-z0-9]++"), F.lit(0))
 
 
 def bag_overlap(a: Column, b: Column) -> Column:
@@ -287,6 +287,36 @@ def lcs_length(a: Column, b: Column) -> Column:
     return F.arrow_udf(_lcs_lengths, "int")(a, b)
 
 
+def _shared_grams(n: int):
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        sides = [x.flatten() for x in (a, b)]
+        code = pa.concat_arrays(sides).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        size = [pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b)]
+        row = np.concatenate([np.repeat(np.arange(len(a)), s) for s in size])
+        second = np.repeat((False, True), [len(x) for x in sides])
+        # A gram's number is that of its row and the gram before its last word, together with that word's.
+        gram, at = row, np.arange(len(row))
+        for k in range(n):
+            inside = at + k < len(row)
+            at, gram = at[inside], gram[inside]
+            inside = (row[at + k] == row[at]) & (second[at + k] == second[at])
+            at, gram = at[inside], gram[inside]
+            gram = np.unique(gram * (int(code.max(initial=0)) + 1) + code[at + k], return_inverse=True)[1]
+        most = int(gram.max(initial=0)) + 1
+        left, right = (np.bincount(gram[second[at] == s], minlength=most) for s in (False, True))
+        owner = np.zeros(most, np.int64)
+        owner[gram] = row[at]
+        shared = np.bincount(owner, np.minimum(left, right), len(a)).astype(np.int32)
+        return pa.array(shared, mask=pc.or_(a.is_null(), b.is_null()).to_numpy(zero_copy_only=False))
+
+    return run
+
+
+def shared_grams(a: Column, b: Column, n: int) -> Column:
+    """Size of the multiset intersection of the runs of n in two arrays of strings without nulls, in Arrow batches, in work that grows with the arrays."""
+    return F.arrow_udf(_shared_grams(n), "int")(a, b)
+
+
 def _running(a: pa.Array) -> pa.Array:
     length = pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False)
     total = np.cumsum(a.flatten().to_numpy(zero_copy_only=False), dtype=np.int64)
