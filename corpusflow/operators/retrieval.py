@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,6 +53,44 @@ def bm25(passages: DataFrame, queries: DataFrame, passage: list[str], query: str
     return rows.groupBy(*scope, query, *[p for p in passage if p not in scope]).agg(F.round(F.sum(F.col("times") * idf * gain), DIGITS).alias("score"))
 
 
+def _ranked_in_row(k1: float, b: float):
+    def some(question: pa.Array, passages: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sides = [question.flatten(), passages.flatten().flatten()]
+        coded = pa.concat_arrays(sides).dictionary_encode()
+        code, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(coded.dictionary))
+        count = lambda x: pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        n, size = count(passages), count(passages.flatten())
+        doc, at = np.repeat(np.arange(len(n)), n), len(sides[0])
+        mean = np.bincount(doc, size, len(n)) / np.maximum(n, 1)
+        asked, times = np.unique(np.repeat(np.arange(len(n)), count(question)) * words + code[:at], return_counts=True)
+        owner = np.repeat(np.arange(len(size)), size)
+        # Only the terms of a document's own question matter from here on.
+        key = doc[owner] * words + code[at:]
+        place = np.searchsorted(asked, key)
+        hit = np.append(asked, -1)[place] == key
+        cell, tf = np.unique(owner[hit] * max(1, len(asked)) + place[hit], return_counts=True)
+        row, col = cell // max(1, len(asked)), cell % max(1, len(asked))
+        df = np.bincount(col, minlength=len(asked))[col]
+        idf = np.log((n[doc[row]] - df + 0.5) / (df + 0.5) + 1.0)
+        gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[row] / mean[doc[row]]))
+        found = np.unique(row)
+        return doc[found], found - (np.cumsum(n) - n)[doc[found]], np.bincount(row, times[col] * idf * gain, len(size))[found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            question, passages = (pc.struct_field(batch.column("doc"), f) for f in ("question", "passages"))
+            doc, number, score = some(question, passages)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(score)], ["doc_id", "chunk_idx", "score"])
+
+    return run
+
+
+def bm25_in_rows(docs: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """``bm25`` within each document, its passages being in its row: (doc_id, doc: struct of question, an array of tokens, and passages, an array of such arrays) to (doc_id, chunk_idx, score) of passages that share a term with the question. Nothing is shuffled."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "doc").mapInArrow(_ranked_in_row(k1, b), "doc_id long, chunk_idx int, score double")
+    return rows.withColumn("score", F.round("score", DIGITS))
+
+
 def tfidf(df: DataFrame, keys: list[str], tokens: Column, scope: list[str] | None = None, sublinear: bool = True, max_share: float = 1.0) -> DataFrame:
     """Rows (keys, term, w): smoothed idf, L2-normalised by key; terms in over ``max_share`` of a scope's keys are left out."""
     scope = scope or []
