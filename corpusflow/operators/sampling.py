@@ -82,6 +82,15 @@ def other_document(df: DataFrame, doc: str, seed: int) -> DataFrame:
     return picks.select(doc, "to").join(ring.select(F.col("at").alias("to"), F.col(doc).alias("other_doc")), "to").drop("to")
 
 
+def _first_by(rows: DataFrame, order: str, ties: str, most: int) -> DataFrame:
+    """The first ``most`` of saved rows by order, then ties: only the orders are numbered, and of the rows those at the edge, so the others are not moved."""
+    edge = with_row_numbers(rows.select(order), [order], "__n").where(F.col("__n") == most).first()
+    if edge is None:
+        return rows
+    sure, tied = rows.where(F.col(order) < edge[order]), rows.where(F.col(order) == edge[order])
+    return sure.union(with_row_numbers(tied, [order, ties], "__n").where(F.col("__n") < most - sure.count()).drop("__n"))
+
+
 def clause_negatives(pool: DataFrame, seed: int = 42, share: float = 45 / 55) -> DataFrame:
     """Positives (doc_id, clause, question, context) and two kinds of negatives, these capped at round(positives * share): rows (question, context, doc_id, clause, neg_kind, is_answerable).
 
@@ -102,7 +111,7 @@ def clause_negatives(pool: DataFrame, seed: int = 42, share: float = 45 / 55) ->
     negatives = cross.select("doc_id", "clause", "question", "neg_context", "neg_kind").union(wrong.select("doc_id", "clause", "question", "neg_context", "neg_kind"))
     most = round(pool.count() * share)
     negatives = negatives.withColumn("__order", seeded(seed, "doc_id", "clause", "neg_kind", "question"))
-    negatives = with_row_numbers(negatives, ["__order", "neg_context"], "__n").where(F.col("__n") < most).drop("__n", "__order")
+    negatives = _first_by(Scratch(pool.sparkSession, "negatives").save(negatives, "all"), "__order", "neg_context", most).drop("__order")
     columns = ["doc_id", "clause", "question"]
     return pool.select(*columns, "context", F.lit(None).cast("string").alias("neg_kind"), F.lit(True).alias("is_answerable")).union(negatives.select(*columns, "neg_context", "neg_kind", F.lit(False)))
 
