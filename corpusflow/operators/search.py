@@ -1,7 +1,8 @@
-"""The best passages of many queries over one term index: each passage is tokenised once, scored once against all queries in its task, and only the best of each task are shuffled."""
+"""The best passages of many queries over one term index: each passage is tokenised once, cut to the terms that are asked for, scored against all queries in its task, and only the best of each task are shuffled."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from ..functions import lexicon
 from ..functions import text as T
 from ..plans.scratch import Scratch
 from .retrieval import DIGITS, term_counts, top_k
@@ -21,20 +23,29 @@ from .retrieval import DIGITS, term_counts, top_k
 QUERY_ROWS = 1_000_000
 #: Cells of a block of scores, passages times queries.
 CELLS = 1 << 22
+#: Terms whose numbers of passages go to all tasks, at most: those that most passages have. Only the others are shuffled for lengths of vectors.
+COMMON_TERMS = 1 << 19
 
 
-def _counted(keys: int):
-    """Batches (keys, w: token arrays) to (keys, len, terms, tf): each passage's distinct terms with their counts, in order of first code."""
+def _sizes(lists: pa.ListArray) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _counted(keys: int, stop: tuple[str, ...]):
+    """Batches (keys, w: token arrays) to (keys, len, terms, tf): each passage's distinct terms but for ``stop`` with their counts, in order of first code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             tokens = b.column(keys)
-            size = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             coded = tokens.flatten().dictionary_encode()
             n = max(1, len(coded.dictionary))
-            pairs, tf = np.unique(np.repeat(np.arange(b.num_rows), size) * n + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            row, code = np.repeat(np.arange(b.num_rows), _sizes(tokens)), coded.indices.to_numpy(zero_copy_only=False)
+            held = ~pc.is_in(coded.dictionary, value_set=pa.array(stop, pa.string())).to_numpy(zero_copy_only=False).astype(bool)[code]
+            row, code = row[held], code[held]
+            size = np.bincount(row, minlength=b.num_rows)
+            pairs, tf = np.unique(row * n + code, return_counts=True)
             offsets = pa.array(np.searchsorted(pairs, np.arange(b.num_rows + 1) * n).astype(np.int32))
             terms = pa.ListArray.from_arrays(offsets, coded.dictionary.take(pa.array(pairs % n)))
             columns = [*b.columns[:keys], pa.array(size), terms, pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int32)))]
@@ -43,6 +54,38 @@ def _counted(keys: int):
     return run
 
 
+def _in_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (terms) to (term, n): in how many passages of a batch a term is."""
+    for b in batches:
+        coded = b.column(0).flatten().dictionary_encode()
+        n = np.bincount(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), minlength=len(coded.dictionary))
+        yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(n)], ["term", "n"])
+
+
+def _cut(keys: int, asked: pa.Array | None, common: pa.Array, idf: np.ndarray | None):
+    """Batches (keys, len, terms, tf) to the same with asked terms only (None: all); with ``idf`` of the common terms also the sum of their squared weights, and the rare terms with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            terms, tf = b.column(keys + 1), b.column(keys + 2).flatten().to_numpy(zero_copy_only=False)
+            coded = terms.flatten().dictionary_encode()
+            row, code = np.repeat(np.arange(b.num_rows), _sizes(terms)), coded.indices.to_numpy(zero_copy_only=False)
+
+            def some(held: np.ndarray) -> list[pa.ListArray]:
+                offsets = pa.array(np.searchsorted(row[held], np.arange(b.num_rows + 1)).astype(np.int32))
+                return [pa.ListArray.from_arrays(offsets, coded.dictionary.take(pa.array(code[held]))), pa.ListArray.from_arrays(offsets, pa.array(tf[held]))]
+
+            wanted = np.ones(len(code), bool) if asked is None else pc.is_in(coded.dictionary, value_set=asked).to_numpy(zero_copy_only=False).astype(bool)[code]
+            columns, names = [*b.columns[: keys + 1], *some(wanted)], [*b.schema.names[:keys], "len", "terms", "tf"]
+            if idf is not None:
+                at = pc.index_in(coded.dictionary, value_set=common).fill_null(-1).to_numpy(zero_copy_only=False)[code]
+                squares = np.bincount(row, (np.append(idf, 0.0)[at] * tf) ** 2, b.num_rows)
+                columns, names = [*columns, pa.array(squares), *some(at < 0)], [*names, "squares", "rare", "rare_tf"]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
+
+
 @dataclass
 class Index:
     """A saved table (keys, len, terms, tf), a row per passage, with its sizes; document frequencies are counted once, when they are needed."""
@@ -54,42 +97,87 @@ class Index:
     mean_len: float
     work: Scratch
     _df: list[DataFrame] = field(default_factory=list)
+    _common: list[tuple[pa.Table, int | None]] = field(default_factory=list)
+    _asked: list[tuple] = field(default_factory=list)
 
     @classmethod
     def of(cls, passages: DataFrame, keys: list[str], tokens: Column | None = None) -> Index:
         """Of ``passages`` (keys, text); tokens are content words unless an array column is given. Null texts are passages without terms."""
         spark, work = passages.sparkSession, Scratch(passages.sparkSession, "index")
-        w = F.coalesce(tokens if tokens is not None else T.content_words(F.col("text")), F.array().cast("array<string>"))
+        # A batch's distinct words are fewer than its words: stop words leave there, not in a pattern that tries them at each word.
+        stop = lexicon.STOP_WORDS if tokens is None else ()
+        w = F.coalesce(tokens if tokens is not None else T.content_words(F.col("text"), []), F.array().cast("array<string>"))
         given = passages.select(*keys, w.alias("w"))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[: len(keys)])
-        rows = work.save(given.mapInArrow(_counted(len(keys)), f"{schema}, len long, terms array<string>, tf array<int>"), "rows")
+        rows = work.save(given.mapInArrow(_counted(len(keys), tuple(stop)), f"{schema}, len long, terms array<string>, tf array<int>"), "rows")
         n, mean = rows.agg(F.count(F.lit(1)), F.coalesce(F.avg("len"), F.lit(0.0))).first()
         return cls(spark, rows, keys, n, mean, work)
 
     def frequencies(self) -> DataFrame:
         """(term, df)."""
         if not self._df:
-            self._df.append(self.work.save(self.rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df"))
+            seen = self.rows.select("terms").mapInArrow(_in_passages, "term string, n long")
+            self._df.append(self.work.save(seen.groupBy("term").agg(F.sum("n").alias("df")), "df"))
         return self._df[0]
 
+    def common(self) -> tuple[pa.Table, DataFrame | None]:
+        """((term, df) of the terms that most passages have, ``COMMON_TERMS`` at most, and a table of all others, None if there are none). They are told apart by steps of df, eight to a doubling."""
+        df, step = self.frequencies(), F.floor(F.log2("df") * 8)
+        if not self._common:
+            least, total, split = 1 << 20, 0, None
+            for s, n in sorted(map(tuple, df.groupBy(step.alias("s")).agg(F.count(F.lit(1))).collect()), reverse=True):
+                total += n
+                if total > COMMON_TERMS:
+                    split = least
+                    break
+                least = s
+            self._common.append((df.where(step >= least).select("term", "df").toArrow(), split))
+        table, split = self._common[0]
+        return table, None if split is None else df.where(step < split)
+
+    def cut(self, queries: DataFrame, query: str, norms: bool) -> tuple[DataFrame, DataFrame]:
+        """(rows cut to the terms that queries have, those without any left out, counts (query, term, tf) of the queries). ``norms``: rows also tell squares, rare and rare_tf. Kept for the next call with the same table of queries."""
+        for given, name, normed, found in self._asked:
+            if given is queries and name == query and (normed or not norms):
+                return found
+        no = len(self._asked)
+        q = self.work.save(term_counts(queries, [query], T.content_words(F.col("text"))), f"q{no}")
+        terms = q.select("term").distinct()
+        asked = terms.toArrow().column(0).combine_chunks() if q.count() <= QUERY_ROWS else None
+        common, idf = pa.array([], pa.string()), None
+        if norms:
+            table = self.common()[0]
+            common, idf = table.column("term").combine_chunks(), np.log((1 + self.n) / (1 + table.column("df").to_numpy())) + 1
+        schema = f"{_schema(self.rows, self.keys)}, len long, terms array<string>, tf array<int>" + (", squares double, rare array<string>, rare_tf array<int>" if norms else "")
+        rows = self.rows.mapInArrow(_cut(len(self.keys), asked, common, idf), schema).where(F.size("terms") > 0)
+        found = self.work.save(rows, f"cut{no}"), q
+        self._asked.append((queries, query, norms, found))
+        return found
+
 
 def bm25_parts(index: Index, queries: DataFrame, query: str, k1: float = 1.5, b: float = 0.75) -> tuple[DataFrame, DataFrame]:
     """(impacts (keys, terms, x), weights (query, term, v)) whose products, summed over shared terms, are BM25 scores. A term that repeats in a query counts each time."""
+    rows, q = index.cut(queries, query, False)
     base = k1 * (1 - b + b * F.col("len") / F.lit(index.mean_len or 1.0))
-    impacts = index.rows.select(*index.keys, "terms", F.transform("tf", lambda t: t * (k1 + 1) / (t + base)).alias("x"))
-    q = term_counts(queries, [query], T.content_words(F.col("text"))).join(index.frequencies(), "term")
+    impacts = rows.select(*index.keys, "terms", F.transform("tf", lambda t: t * (k1 + 1) / (t + base)).alias("x"))
     idf = F.log((F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    return impacts, q.select(query, "term", (F.col("tf") * idf).alias("v"))
+    return impacts, q.join(index.frequencies(), "term").select(query, "term", (F.col("tf") * idf).alias("v"))
 
 
 def tfidf_parts(index: Index, queries: DataFrame, query: str) -> tuple[DataFrame, DataFrame]:
-    """(impacts, weights) as ``bm25_parts`` gives them, for cosines of TF-IDF vectors with smoothed idf: the squared idf of a shared term stands with the query, so a passage needs only its counts and its norm."""
-    idf = index.frequencies().select("term", (F.log((1 + F.lit(index.n)) / (1 + F.col("df"))) + 1).alias("idf"))
-    each = index.rows.select(*index.keys, F.explode(F.arrays_zip("terms", "tf")).alias("t")).select(*index.keys, "t.*").withColumnRenamed("terms", "term")
-    norms = each.join(idf, "term").groupBy(*index.keys).agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"))
-    joined = index.rows.join(norms, index.keys)
-    impacts = index.work.save(joined.select(*index.keys, "terms", F.transform("tf", lambda t: t / F.col("norm")).alias("x")), "unit")
-    q = term_counts(queries, [query], T.content_words(F.col("text"))).join(idf, "term").withColumn("raw", F.col("tf") * F.col("idf"))
+    """(impacts, weights) as ``bm25_parts`` gives them, for cosines of TF-IDF vectors with smoothed idf: the squared idf of a shared term stands with the query, so a passage needs only its counts and its norm.
+
+    Common terms' part of a norm is summed where the passage lies; only rare terms are shuffled to meet their idf.
+    """
+    rows, q = index.cut(queries, query, True)
+    idf = (F.log((1 + F.lit(index.n)) / (1 + F.col("df"))) + 1).alias("idf")
+    squares, others = F.col("squares"), index.common()[1]
+    if others is not None:
+        each = rows.select(*index.keys, F.explode(F.arrays_zip("rare", "rare_tf")).alias("t")).select(*index.keys, F.col("t.rare").alias("term"), F.col("t.rare_tf").alias("tf"))
+        more = each.join(others.select("term", idf), "term").groupBy(*index.keys).agg(F.sum((F.col("tf") * F.col("idf")) ** 2).alias("more"))
+        rows, squares = rows.select(*index.keys, "terms", "tf", "squares").join(more, index.keys, "left"), squares + F.coalesce("more", F.lit(0.0))
+    impacts = Scratch(index.spark, "unit").save(rows.select(*index.keys, "terms", F.transform("tf", lambda t: t / F.sqrt(squares)).alias("x")), "rows")
+    q = q.join(index.frequencies().select("term", idf), "term").withColumn("raw", F.col("tf") * F.col("idf"))
     unit = F.col("raw") / F.sqrt(F.sum(F.col("raw") ** 2).over(Window.partitionBy(query)))
     return impacts, q.select(query, "term", (unit * F.col("idf")).alias("v"))
 
@@ -116,7 +204,7 @@ class _Asked:
 
     def scores(self, terms: pa.ListArray, x: pa.ListArray) -> Iterator[tuple[int, np.ndarray]]:
         """(first row, scores of rows by queries) of blocks of passages; 0 where no term is shared."""
-        size = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        size = _sizes(terms)
         code = pc.index_in(terms.flatten(), value_set=self.terms).fill_null(-1).to_numpy(zero_copy_only=False)
         value, row = x.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(size)), size)
         known = code >= 0
@@ -160,10 +248,13 @@ def _found(asked: _Asked, keys: list[str], query: str, k: int, kind: pa.DataType
             b = b.take(order)
             for first, scores in asked.scores(b.column(len(keys)), b.column(len(keys) + 1)):
                 shared, scores = scores > 0, np.round(scores, DIGITS)
-                best = np.argsort(np.where(shared, -scores, np.inf), axis=0, kind="stable")[:k]
-                which = np.broadcast_to(np.arange(len(asked.names)), best.shape)
-                keep = shared[best, which]
-                rows, which = best[keep], which[keep]
+                last = max(0, len(scores) - k)
+                may = shared & (scores >= np.partition(np.where(shared, scores, -np.inf), last, axis=0)[last])
+                rows, which = np.nonzero(may)
+                order = np.lexsort((rows, -scores[rows, which], which))
+                rows, which = rows[order], which[order]
+                keep = np.arange(len(which)) - np.searchsorted(which, which) < k
+                rows, which = rows[keep], which[keep]
                 at = pa.array(first + rows)
                 yield pa.RecordBatch.from_arrays([pa.array(asked.names, kind).take(pa.array(which)), *[b.column(i).take(at) for i in range(len(keys))], pa.array(scores[rows, which])], [query, *keys, "score"])
 
@@ -193,21 +284,23 @@ def _placed(asked: _Asked, keys: list[str], query: str, goals: dict, kinds: list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {x: i for i, x in enumerate(asked.names)}
-        wanted = [(number[q], g) for q, gs in goals.items() if q in number for g in gs]
-        counts = np.zeros(len(wanted), np.int64)
+        wanted = [(number[q], np.array([score for score, _ in gs]), [name for _, name in gs]) for q, gs in goals.items() if q in number]
+        counts = [np.zeros(len(names), np.int64) for _, _, names in wanted]
         for b in batches:
             order = pc.sort_indices(pa.Table.from_batches([b]).select(keys), sort_keys=[(c, "ascending") for c in keys])
             b = b.take(order)
             names = list(zip(*[b.column(i).to_pylist() for i in range(len(keys))]))
             for first, scores in asked.scores(b.column(len(keys)), b.column(len(keys) + 1)):
-                shared, scores = scores > 0, np.round(scores, DIGITS)
-                for w, (q, (score, name)) in enumerate(wanted):
-                    column = scores[:, q]
-                    counts[w] += int(((column > score) & shared[:, q]).sum())
-                    tied = np.flatnonzero((column == score) & shared[:, q])
-                    counts[w] += sum(names[first + i] < name for i in tied.tolist())
-        if len(wanted):
-            rows = [(asked.names[q], *name, int(c)) for (q, (_, name)), c in zip(wanted, counts)]
+                for (q, score, sought), count in zip(wanted, counts):
+                    rows = np.flatnonzero(scores[:, q] > 0)
+                    values = np.round(scores[rows, q], DIGITS)
+                    order = np.argsort(values, kind="stable")
+                    left, right = (np.searchsorted(values, score, side, order) for side in ("left", "right"))
+                    count += len(values) - right
+                    for w in np.flatnonzero(left < right).tolist():  # rows of one score are in order of keys
+                        count[w] += np.searchsorted(rows[order[left[w] : right[w]]], bisect_left(names, sought[w], first, first + len(scores)) - first)
+        if wanted:
+            rows = [(asked.names[q], *name, int(c)) for (q, _, sought), count in zip(wanted, counts) for name, c in zip(sought, count)]
             yield _batch(rows, [*kinds, pa.int64()], [query, *keys, "before"])
 
     return run

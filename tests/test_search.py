@@ -83,3 +83,34 @@ def test_searches_of_nothing(spark):
     assert N.fused(N.tfidf_parts(index, asked, "item_id"), N.bm25_parts(index, asked, "item_id"), keys, "item_id", 5).collect() == []
     some = N.Index.of(spark.createDataFrame([(1, "term1")], "doc_id long, text string"), keys)
     assert N.best_passages(N.bm25_parts(some, asked.where("false"), "item_id"), keys, "item_id", 3).collect() == []
+
+
+def test_common_terms_stay_with_their_passage(spark, monkeypatch):
+    """Norms of common terms need no shuffle, and any split into common and rare terms gives the same rows."""
+    rng = random.Random(8)
+    passages, asked = corpus(rng, 30), [(q, " ".join(f"term{rng.randrange(25)}" for _ in range(4))) for q in range(5)]
+    rows, queries = spark.createDataFrame(passages, "doc_id long, chunk_idx int, text string").repartition(3), spark.createDataFrame(asked, "item_id long, text string")
+    want, keys, saved, save = rankings(passages, asked)[0], ["doc_id", "chunk_idx"], [], N.Scratch.save
+
+    def noted(self, df, name):
+        if "x" in df.columns:
+            saved.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return save(self, df, name)
+
+    monkeypatch.setattr(N.Scratch, "save", noted)
+    for most in (1 << 19, 6, 0):
+        monkeypatch.setattr(N, "COMMON_TERMS", most, raising=False)
+        got = {}
+        for r in N.best_passages(N.tfidf_parts(N.Index.of(rows, keys), queries, "item_id"), keys, "item_id", 4).orderBy("item_id", "rank").collect():
+            got.setdefault(r["item_id"], []).append(((r["doc_id"], r["chunk_idx"]), r["score"]))
+        assert got == {q: found[:4] for q, found in want.items() if found}
+    assert saved[0] == 0 < saved[1]
+
+
+def test_terms_of_an_index_are_content_words(spark):
+    """Stop words that leave after the split are those that the pattern leaves out."""
+    texts = ["The theme of it, THE_of the-of 12 the1", "été thé ́the l'été ﬁn İs", "of", "", None, "not‍the the‍ and or if"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["len"], dict(zip(r["terms"], r["tf"]))) for r in N.Index.of(df, ["doc_id"]).rows.collect()}
+    words = {r["doc_id"]: r["w"] or [] for r in df.select("doc_id", N.T.content_words(N.F.col("text")).alias("w")).collect()}
+    assert got == {d: (len(w), dict(Counter(w))) for d, w in words.items()}
