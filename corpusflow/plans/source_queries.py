@@ -263,7 +263,7 @@ def x2(spark, sf_dir):
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("key"), F.to_json(F.struct("source", "text")).alias("json"))
     files = J.write_maps(docs, f"{folder}-in")
     needed = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("key"))
-    ranges = J.index_maps(spark, files, f"{folder}-all", 1 << 20).count()
+    ranges = J.count_ranges(files, 1 << 20)
     for first, last in ((0, ranges // 2), (ranges // 2, ranges)):
         if first == last:
             continue

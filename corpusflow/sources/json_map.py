@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..plans.ranks import with_sums_before
+from ..plans.scratch import Scratch
 
 RANGE_BYTES = 16 << 20
 #: Entries that a task hands on at a time.
@@ -93,24 +94,38 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["file", "no", "start", "end", "quotes", "outside", "inside"])
 
 
-def index_maps(spark: SparkSession, files: list[str], index: str, range_bytes: int = RANGE_BYTES, first: int = 0, last: int | None = None) -> DataFrame:
-    """Write and return the index of the byte ranges of maps, a map per file: (file, no, start, end, in_string, depth), the state being that before the range's first byte.
-
-    Ranges are numbered over all files in the order given. Those from ``first`` to before ``last`` are written, appended to what the index holds if ``first`` is not 0; an empty file has none.
-    """
+def _numbered(files: list[str], range_bytes: int) -> tuple[list[tuple[str, int, int]], int]:
+    """((file, size, number of its first range) of each file, the number of ranges of all)."""
     sizes, no = [], 0
     for path in files:
         file, size = _open(path)
         file.close()
         sizes.append((path, size, no))
         no += -(-size // range_bytes)
+    return sizes, no
+
+
+def count_ranges(files: list[str], range_bytes: int = RANGE_BYTES) -> int:
+    """The number of ranges that ``index_maps`` cuts these files into; only their sizes are looked at."""
+    return _numbered(files, range_bytes)[1]
+
+
+def index_maps(spark: SparkSession, files: list[str], index: str, range_bytes: int = RANGE_BYTES, first: int = 0, last: int | None = None) -> DataFrame:
+    """Write and return the index of the byte ranges of maps, a map per file: (file, no, start, end, in_string, depth), the state being that before the range's first byte.
+
+    Ranges are numbered over all files in the order given. Those from ``first`` to before ``last`` are written, appended to what the index holds if ``first`` is not 0; an empty file has none.
+    Of the ranges before ``first``, only those of the file that it lies in are read again.
+    """
+    sizes, no = _numbered(files, range_bytes)
+    begin = max((base for _, size, base in sizes if size and base <= first), default=0)
     given = spark.createDataFrame(sizes, "file string, size long, base long").where("size > 0")
     k = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / range_bytes) - 1))
     ranges = given.select("file", "size", "base", k.alias("k")).select("file", (F.col("base") + F.col("k")).alias("no"), (F.col("k") * range_bytes).alias("start"), F.least((F.col("k") + 1) * range_bytes, "size").alias("end"))
-    if last is not None:
-        ranges = ranges.where(F.col("no") < last)
-    tasks = max(1, min(no, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    ranges = ranges.where(F.col("no").between(begin, (no if last is None else last) - 1))
+    tasks = max(1, min(no - begin, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     counted = ranges.repartition(tasks, "no").mapInArrow(_summary, "file string, no long, start long, end long, quotes long, outside long, inside long")
+    # Dealing by range samples its input first: what reads the files must not run twice.
+    counted = Scratch(spark, "ranges").save(counted, "counted")
     known = with_sums_before(counted, ["file"], ["no"], "quotes", "before").withColumn("in_string", F.col("before") % 2 == 1)
     known = known.withColumn("change", F.when(F.col("in_string"), F.col("inside")).otherwise(F.col("outside")))
     rows = with_sums_before(known, ["file"], ["no"], "change", "depth").select("file", "no", "start", "end", "in_string", "depth")

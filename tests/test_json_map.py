@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from corpusflow.plans import catalogue
 from corpusflow.sources import json_map as J
 
 
@@ -91,3 +92,31 @@ def test_written_maps(spark, tmp_path):
     assert len(files) == 3
     assert {k: v for f in files for k, v in json.load(open(f.removeprefix("file://"))).items()} == {str(i): f'a "{i}"\n' for i in range(50)}
     assert all(os.path.getsize(f.removeprefix("file://")) for f in files)
+
+
+def test_ranges_are_read_once(spark, tmp_path, monkeypatch):
+    """A later part of an index reads no file that ended before it; ranges are counted before they are dealt out; x2 indexes each range once."""
+    files = [str(tmp_path / f"m{i}.json") for i in range(3)]
+    for i, f in enumerate(files):
+        with open(f, "w", encoding="utf-8") as out:
+            json.dump({f"{i}-{k}": "x" * 90 for k in range(30)}, out)
+    whole = [tuple(r) for r in J.index_maps(spark, files, str(tmp_path / "whole"), 500).orderBy("no").collect()]
+    counted, sums = [], J.with_sums_before
+
+    def noted(df, *given):
+        counted.append((df.count(), "MapInArrow" in df._jdf.queryExecution().executedPlan().toString()))
+        return sums(df, *given)
+
+    monkeypatch.setattr(J, "with_sums_before", noted)
+    cuts = [0, 3, next(r[1] for r in whole if r[0] == files[1]), len(whole) - 2, len(whole)]
+    for first, last in zip(cuts, cuts[1:]):
+        parts = J.index_maps(spark, files, str(tmp_path / "parts"), 500, first, last)
+    assert [tuple(r) for r in parts.orderBy("no").collect()] == whole
+    assert not any(again for _, again in counted)
+    third = len(whole) - 2 - next(r[1] for r in whole if r[0] == files[2])
+    assert counted[-1][0] == third + 2 and counted[4][0] == cuts[3] - cuts[2]
+
+    made, index_maps = [], J.index_maps
+    monkeypatch.setattr(J, "index_maps", lambda spark, files, index, width, first=0, last=None: (made.append((first, last)), index_maps(spark, files, index, width, first, last))[1])
+    catalogue.queries()["x2_streamed_documents"](spark, "/root/testdata/sf0.01")
+    assert len(made) == 2 and made[0][0] == 0 and made[0][1] == made[1][0]
