@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as ds
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +23,9 @@ from ..plans.ranks import with_sums_before
 from ..plans.scratch import Scratch
 
 RANGE_BYTES = 16 << 20
-#: Entries that a task hands on at a time.
+#: Entries that a task hands on at a time, and their characters (bytes, when it writes) but for the last entry's.
 BATCH = 1_000
+BATCH_SIZE = 4 << 20
 SCHEMA = "key string, value string, at long"
 _INDEX = "file string, no long, start long, end long, in_string boolean, depth long"
 _QUOTE, _BACKSLASH, _COMMA = 34, 92, 44
@@ -182,9 +183,16 @@ def _rows(index: str) -> list[dict]:
 
 
 def _batches(r: dict) -> Iterator[pa.RecordBatch]:
-    rows = records(r["file"], r["start"], r["end"], r["in_string"], r["depth"])
-    while some := list(islice(rows, BATCH)):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), (pa.string(), pa.string(), pa.int64()))], ["key", "value", "at"])
+    batch = lambda some: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), (pa.string(), pa.string(), pa.int64()))], ["key", "value", "at"])
+    some, size = [], 0
+    for row in records(r["file"], r["start"], r["end"], r["in_string"], r["depth"]):
+        some.append(row)
+        size += len(row[0]) + len(row[1] or "")
+        if len(some) == BATCH or size >= BATCH_SIZE:
+            yield batch(some)
+            some, size = [], 0
+    if some:
+        yield batch(some)
 
 
 class _Reader(DataSourceReader):
@@ -241,14 +249,21 @@ def large_maps(spark: SparkSession, index: str, stream: bool = False) -> DataFra
 
 
 def _as_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, json) of a partition as the lines of one map; a partition without rows is an empty map."""
+    """Rows (key, json) of a partition as the lines of one map; a partition without rows is an empty map. Values stay Arrow's, and are copied some at a time."""
     before = "{"
     for b in batches:
-        lines = []
-        for key, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            lines.append(f"{before}{json.dumps(key)}: {value}")
-            before = ","
-        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            done = ends[at - 1] if at else 0
+            n = int(np.searchsorted(ends, done + BATCH_SIZE)) + 1 - at
+            part = b.slice(at, n)
+            heads = []
+            for key in part.column(0).to_pylist():
+                heads.append(f"{before}{json.dumps(key)}: ")
+                before = ","
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(pa.array(heads, pa.string()), pc.fill_null(part.column(1), "null"), "")], ["value"])
+            at += n
     yield pa.RecordBatch.from_arrays([pa.array(["}" if before == "," else "{}"])], ["value"])
 
 

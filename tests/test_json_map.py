@@ -3,7 +3,9 @@
 import json
 import os
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from corpusflow.plans import catalogue
@@ -120,3 +122,21 @@ def test_ranges_are_read_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(J, "index_maps", lambda spark, files, index, width, first=0, last=None: (made.append((first, last)), index_maps(spark, files, index, width, first, last))[1])
     catalogue.queries()["x2_streamed_documents"](spark, "/root/testdata/sf0.01")
     assert len(made) == 2 and made[0][0] == 0 and made[0][1] == made[1][0]
+
+
+def test_long_entries_are_handed_on_some_at_a_time(tmp_path):
+    """Neither writing nor reading holds copies of a batch: what is made at a time has a fixed size, whatever the entries' lengths."""
+    text = json.dumps("y" * 200_000)
+    given = pa.RecordBatch.from_arrays([pa.array([f"k{i}" for i in range(300)]), pa.array([text] * 299 + [None])], ["key", "json"])
+    tracemalloc.start()
+    made = list(J._as_map(iter([given.slice(0, 0), given])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10_000_000 and max(b.nbytes for b in made) < J.BATCH_SIZE + 300_000
+    path = str(tmp_path / "long.json")
+    with open(path, "w") as f:
+        f.write("\n".join(v for b in made for v in b.column(0).to_pylist()))
+    assert json.load(open(path)) == {f"k{i}": "y" * 200_000 if i < 299 else None for i in range(300)}
+    read = list(J._batches({"file": path, "start": 0, "end": os.path.getsize(path), "in_string": False, "depth": 0}))
+    assert sum(b.num_rows for b in read) == 300 and max(b.nbytes for b in read) < J.BATCH_SIZE + 300_000
+    assert [b.column(0).to_pylist() for b in J._as_map(iter([]))] == [["{}"]]
