@@ -137,7 +137,8 @@ def within_radius(spark: SparkSession, prints: DataFrame, work: Scratch, radius:
     first_two = least(alike).bitwiseOR(least(alike - least(alike)))
     smaller = (F.col("hi") < F.col("hi2")) | ((F.col("hi") == F.col("hi2")) & (F.col("lo") < F.col("lo2")))
     near = smaller & (F.bit_count(x) + F.bit_count(y) <= radius) & (first_two == F.col("m"))
-    pairs = entries.join(other, (F.col("m") == F.col("m2")) & (F.col("key") == F.col("key2")) & near)
+    # Spark sizes 28 entries as one row, so without the hint it would take them for small and broadcast them.
+    pairs = entries.join(other.hint("merge"), (F.col("m") == F.col("m2")) & (F.col("key") == F.col("key2")) & near)
     ends = F.explode(F.array(F.struct("hi", "lo", F.col("size2").alias("n")), F.struct(F.col("hi2").alias("hi"), F.col("lo2").alias("lo"), F.col("size").alias("n"))))
     counts = pairs.select(ends.alias("p")).select("p.*").groupBy("hi", "lo").agg(F.sum("n").alias("n_near"))
     return classes.join(counts, ["hi", "lo"], "left").select("hi", "lo", "class_id", "size", F.coalesce("n_near", F.lit(0)).alias("n_near"))
@@ -165,8 +166,9 @@ def compared(spark: SparkSession, docs: DataFrame, radius: int = RADIUS) -> Data
     sha = F.lower(F.concat(*[F.lpad(F.hex(f"d{k}"), 16, "0") for k in range(4)]))
     rows = work.save(rows.select("no", "total", "doc_id", "n_chars", sha.alias("edited_sha256"), "p", "e"), "prints")
     after = rows.select(((F.col("no") - 1 + F.col("total")) % F.col("total")).alias("no"), F.col("p").alias("after"))
-    found = rows.join(after, "no").withColumn("near_edited", likeness(F.col("p"), F.col("e"))).withColumn("near_next", likeness(F.col("p"), F.col("after")))
+    # Copies make these files smaller than their rows: all three joins of whole tables are told not to broadcast.
+    found = rows.join(after.hint("merge"), "no").withColumn("near_edited", likeness(F.col("p"), F.col("e"))).withColumn("near_next", likeness(F.col("p"), F.col("after")))
     near = work.save(within_radius(spark, rows.select("doc_id", "p.hi", "p.lo"), work, radius), "near")
-    joined = found.join(near, (F.col("p.hi") == near.hi) & (F.col("p.lo") == near.lo))
+    joined = found.join(near.hint("merge"), (F.col("p.hi") == near.hi) & (F.col("p.lo") == near.lo))
     out = joined.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("p")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"), "near_edited", "near_next", "class_id", (F.col("n_near") + F.col("size") - 1).alias("n_near"))
     return out

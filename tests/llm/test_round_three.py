@@ -178,6 +178,17 @@ def test_long_text_has_a_fingerprint(spark):
     assert {r.id: r.p for r in found.collect()} == {1: print_by_hand(text), 2: "0" * 32}
 
 
+def test_joins_of_fingerprints_broadcast_no_whole_table(spark):
+    """Spark sizes 28 entries of a fingerprint as one row; with its own threshold it still neither broadcasts them nor a table with a row per document."""
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").removesuffix("b")) == 10 << 20
+    plans, save = [], Scratch.save
+    with pytest.MonkeyPatch.context() as patched:
+        patched.setattr(Scratch, "save", lambda work, df, name: (plans.append((name, df)), save(work, df, name))[1])
+        plans.append(("out", simhash.compared(spark, spark.read.parquet(f"{SF}/documents.parquet"))))
+    plans = {name: df._jdf.queryExecution().executedPlan().toString() for name, df in plans}
+    assert all("SortMergeJoin" in plans[name] and "BroadcastExchange" not in plans[name] for name in ("near", "out"))
+
+
 # Prefix trie
 
 
