@@ -21,8 +21,8 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def _json(text: Column) -> Column:
-    """A text as a JSON string."""
-    return F.regexp_extract(F.to_json(F.struct(text.alias("t"))), r"(?s)^\{\"t\":(.*)\}$", 1)
+    """A text as a JSON string; null for none."""
+    return F.when(text.isNotNull(), F.regexp_extract(F.to_json(F.struct(text.alias("t"))), r"(?s)^\{\"t\":(.*)\}$", 1))
 
 
 @query("s1_json_lines", "SELECT doc_id, source, md5(text) AS text_md5 FROM documents")
@@ -80,7 +80,7 @@ def s6(spark, sf_dir):
     folder = _folder(spark, "s6")
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     first = docs.where(F.col("doc_id").cast("long") % 2 == 0).select(F.col("doc_id").alias("key"), _json(F.col("text")).alias("json"))
-    both = F.when(F.col("doc_id").cast("long") % 3 == 0, F.struct(F.lit("").alias("doc_text"), F.col("text").alias("text"))).otherwise(F.struct(F.col("text").alias("doc_text"), F.lit("unused").alias("text")))
+    both = F.when(F.col("doc_id").cast("long") % 3 == 0, F.struct(F.lit("").alias("doc_text"), F.col("text").alias("text"))).otherwise(F.struct(F.col("text").alias("doc_text"), F.when(F.col("text") != "", "unused").alias("text")))
     releases = [J.write_maps(first, f"{folder}-1"), J.write_maps(docs.select(F.col("doc_id").alias("key"), F.to_json(both).alias("json")), f"{folder}-2")]
     return R.source_map(spark, releases).select("doc_id", F.md5("text").alias("text_md5"))
 

@@ -26,7 +26,7 @@ RANGE_BYTES = 16 << 20
 #: Entries that a task hands on at a time, and their characters (bytes, when it writes) but for the last entry's.
 BATCH = 1_000
 BATCH_SIZE = 4 << 20
-SCHEMA = "key string, value string, at long"
+SCHEMA = "key string, value string, at long, is_text boolean"
 _INDEX = "file string, no long, start long, end long, in_string boolean, depth long"
 _QUOTE, _BACKSLASH, _COMMA = 34, 92, 44
 _DEPTH = np.zeros(256, np.int64)
@@ -139,6 +139,11 @@ def records(path: str, start: int, end: int, in_string: bool, depth: int) -> Ite
 
     The last entry is read on beyond ``end``. Strings come as their text, null as null, other values as their JSON.
     """
+    return (row[:3] for row in _told_apart(path, start, end, in_string, depth))
+
+
+def _told_apart(path: str, start: int, end: int, in_string: bool, depth: int) -> Iterator[tuple[str, str | None, int, bool]]:
+    """``records`` with whether the value is a string: a text may itself look like JSON."""
     file, size = _open(path)
     with file:
         escaped = _escaped_before(file, start)
@@ -162,7 +167,8 @@ def records(path: str, start: int, end: int, in_string: bool, depth: int) -> Ite
         text = data[a + 1 : b].strip()
         if text:
             ((key, value),) = json.loads(b"{" + text + b"}").items()
-            yield key, value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False), start + a + 1
+            is_text = isinstance(value, str)
+            yield key, value if value is None or is_text else json.dumps(value, ensure_ascii=False), start + a + 1, is_text
 
 
 def _outside(kind: np.ndarray, in_string: bool, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,9 +189,9 @@ def _rows(index: str) -> list[dict]:
 
 
 def _batches(r: dict) -> Iterator[pa.RecordBatch]:
-    batch = lambda some: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), (pa.string(), pa.string(), pa.int64()))], ["key", "value", "at"])
+    batch = lambda some: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), (pa.string(), pa.string(), pa.int64(), pa.bool_()))], ["key", "value", "at", "is_text"])
     some, size = [], 0
-    for row in records(r["file"], r["start"], r["end"], r["in_string"], r["depth"]):
+    for row in _told_apart(r["file"], r["start"], r["end"], r["in_string"], r["depth"]):
         some.append(row)
         size += len(row[0]) + len(row[1] or "")
         if len(some) == BATCH or size >= BATCH_SIZE:
@@ -226,7 +232,7 @@ class _StreamReader(DataSourceStreamReader):
 
 
 class JsonMap(DataSource):
-    """``spark.read.format("json_map").option("index", ...)``: rows (key, value, at) of indexed maps, ``at`` being an entry's place in bytes; the same as a stream."""
+    """``spark.read.format("json_map").option("index", ...)``: rows (key, value, at, is_text) of indexed maps, ``at`` being an entry's place in bytes; the same as a stream."""
 
     @classmethod
     def name(cls) -> str:
@@ -243,7 +249,7 @@ class JsonMap(DataSource):
 
 
 def large_maps(spark: SparkSession, index: str, stream: bool = False) -> DataFrame:
-    """Rows (key, value, at) of the maps of an index: a task per byte range. An entry whose key repeats comes as often as it stands there; an empty object has no rows."""
+    """Rows (key, value, at, is_text) of the maps of an index: a task per byte range. An entry whose key repeats comes as often as it stands there; an empty object has no rows."""
     spark.dataSource.register(JsonMap)
     return (spark.readStream if stream else spark.read).format("json_map").option("index", index).load()
 

@@ -76,10 +76,11 @@ def evaluation_set(generated: DataFrame, references: DataFrame, sources: DataFra
 
 
 def map_texts(rows: DataFrame) -> DataFrame:
-    """(key, value) of a keyed map, values a string or {doc_text, text}, as (doc_id, text): the first of the two that is not empty; entries without a text are left out."""
-    inner = F.from_json("value", "struct<doc_text:string,text:string>")
-    text = F.when(F.col("value").startswith("{"), F.coalesce(F.nullif("s.doc_text", F.lit("")), F.col("s.text"))).otherwise(F.col("value"))
-    return rows.withColumn("s", inner).withColumn("text", text).where("text is not null and trim(text) <> ''").select(F.col("key").alias("doc_id"), "text", *[c for c in rows.columns if c not in ("key", "value")])
+    """(key, value, is_text) of a keyed map, values a string or {doc_text, text}, as (doc_id, text): the first of the two that is not empty; entries without a text, or with one of spaces alone (of any width), are left out."""
+    inner = F.from_json("value", "struct<doc_text:string,text:string>", {"maxStringLen": str(2**31 - 1)})
+    text = F.when(~F.col("is_text") & F.col("value").startswith("{"), F.coalesce(F.nullif("s.doc_text", F.lit("")), F.col("s.text"))).otherwise(F.col("value"))
+    rows, kept = rows.withColumn("s", inner).withColumn("text", text), [c for c in rows.columns if c not in ("key", "value", "is_text")]
+    return rows.where(F.col("text").rlike(r"[^\p{Zs}]")).select(F.col("key").alias("doc_id"), "text", *kept)
 
 
 def source_map(spark: SparkSession, releases: list[list[str]]) -> DataFrame:

@@ -5,6 +5,7 @@ import os
 import random
 import tracemalloc
 
+import duckdb
 import pyarrow as pa
 import pytest
 
@@ -140,3 +141,14 @@ def test_long_entries_are_handed_on_some_at_a_time(tmp_path):
     read = list(J._batches({"file": path, "start": 0, "end": os.path.getsize(path), "in_string": False, "depth": 0}))
     assert sum(b.num_rows for b in read) == 300 and max(b.nbytes for b in read) < J.BATCH_SIZE + 300_000
     assert [b.column(0).to_pylist() for b in J._as_map(iter([]))] == [["{}"]]
+
+
+def test_source_map_of_odd_texts(spark, tmp_path):
+    """Null, empty and blank texts have no row, a text that looks like JSON stays as it is, and one over Jackson's limit of 20 million characters is whole."""
+    odd = [None, "", " ", "\t", "\n", "\u00a0", " \u3000\u2003 ", " \u200b", '{"doc_text": "other"}', '{"text": "x"', "{}", "null", '"', "\\", "a\u0000b", "[1]", '{"doc_text": "", "text": ""}', "\ufeffx", "a\r\nb\r"]
+    rows = [(6 * i + k, t) for i, t in enumerate(odd) for k in range(6)] + [(6 * len(odd) + k, "long, " * 3_400_000) for k in (1, 3)]
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'src0' AS source", "length(text) AS n_chars").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(catalogue.oracle_sql()["s6_source_map"]).fetchall()
+    assert sorted(map(tuple, catalogue.queries()["s6_source_map"](spark, str(tmp_path)).collect())) == sorted(want) and len(want) == 6 * 14 + 2
