@@ -51,23 +51,30 @@ def _compared(measure: str):
             sw = sw / np.sqrt(np.bincount(srow, sw * sw, len(sides[1])))[srow]
         first = np.cumsum(sizes[0]) - sizes[0]
         number = np.arange(len(sides[0])) - first[doc[0]]
-        # One part of each document at a time.
-        most = int(sizes[0].max(initial=0))
-        total, both = np.zeros((most, len(sides[1]))), np.zeros((most, len(sides[1])), bool)
-        for k in range(most):
-            weight = np.zeros(len(terms))
-            mine = number[prow] == k
+        ends = np.concatenate(([0], np.cumsum(sizes[1][doc[0]])))
+        total, both = np.zeros(ends[-1]), np.zeros(ends[-1], bool)
+        by_number = np.argsort(number[prow], kind="stable")
+        cuts = np.searchsorted(number[prow][by_number], np.arange(int(sizes[0].max(initial=0)) + 1))
+        weight, live = np.zeros(len(terms)), np.arange(len(sides[1]))
+        place = live - (np.cumsum(sizes[1]) - sizes[1])[doc[1]]
+        distinct = np.maximum(np.bincount(srow, minlength=len(sides[1])), 1)
+        # One part of each document at a time; documents without so many are left behind, so work grows with parts times sentences.
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            mine = by_number[a:b]
             weight[pcol[mine]] = pw[mine]
-            total[k] = np.bincount(srow, sw * weight[scol], len(sides[1]))
-            both[k] = np.bincount(srow, weight[scol] > 0, len(sides[1])) > 0
+            inside = sizes[0][doc[1][srow]] > k
+            srow, scol, sw = srow[inside], scol[inside], sw[inside]
+            live = live[sizes[0][doc[1][live]] > k]
+            at = ends[first[doc[1][live]] + k] + place[live]
+            local = np.searchsorted(live, srow)
+            total[at] = np.bincount(local, sw * weight[scol], len(live))
+            both[at] = np.bincount(local, weight[scol] > 0, len(live)) > 0
+            if measure == "share":
+                total[at] /= distinct[live]
+            weight[pcol[mine]] = 0
         if measure == "share":
-            total /= np.maximum(np.bincount(srow, minlength=len(sides[1])), 1)
             both[:] = True
-        n = sizes[1][doc[0]]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        start = (np.cumsum(sizes[1]) - sizes[1])[doc[0]]
-        k, j = np.repeat(number, n), np.arange(ends[-1]) + np.repeat(start - ends[:-1], n)
-        flat = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(total[k, j], mask=~both[k, j]))
+        flat = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(total, mask=~both))
         return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes[0]))).astype(np.int32)), flat)
 
     def run(parts: pa.Array, sents: pa.Array) -> pa.Array:
@@ -111,7 +118,8 @@ def align(rows: DataFrame, least: float = 0.25, k: int = 3) -> DataFrame:
     best = sims.select("doc_id", "chunk_i", "sentences", F.slice(F.array_sort(placed), 1, k).alias("best"))
     best = best.withColumn("top", -F.get("best", F.lit(0))["far"]).where(F.col("top") >= least)
     target = F.array_join(F.transform(F.array_sort(F.transform("best", lambda x: x["i"])), lambda i: F.get("sentences", i)), " ")
-    return best.select("doc_id", "chunk_i", target.alias("target"), F.round("top", 4).alias("score"))
+    # Rounded as SQL rounds doubles: Spark's own goes by their decimal digits, which takes another side of some halves.
+    return best.select("doc_id", "chunk_i", target.alias("target"), (F.floor(F.col("top") * 10000 + 0.5) / 10000).alias("score"))
 
 
 def second_pass(aligned: DataFrame, key: str = "doc_id", least: int = 2, least_words: int = 0) -> DataFrame:
