@@ -31,14 +31,12 @@ def word_chunks(df: DataFrame, size: int = 350, overlap: int = 50, max_chunks: i
     return rows.select("doc_id", "chunk_idx", F.when(F.size("w") <= size, F.col("text")).otherwise(part).alias("chunk"))
 
 
-def chunk_texts(text: Column, size: int = 350, overlap: int = 50, max_chunks: int | None = None) -> Column:
+def chunk_texts(text: Column, size: int = 350, overlap: int = 50) -> Column:
     """The chunks that ``word_chunks`` makes of a text, as one array; none for a null text."""
     step = size - overlap
 
     def cut(w: Column) -> Column:
         starts = F.when(F.size(w) == 0, F.array(F.lit(0))).otherwise(_windows(F.size(w), size, overlap))
-        if max_chunks is not None:
-            starts = F.slice(starts, 1, max_chunks)
         return F.transform(starts, lambda i: F.when(F.size(w) <= size, text).otherwise(F.array_join(F.slice(w, i * step + 1, F.lit(size)), " ")))
 
     return F.when(text.isNotNull(), T.let(T.words(text), cut)).otherwise(F.array().cast("array<string>"))

@@ -79,14 +79,14 @@ def write_kept(df: DataFrame, reasons: dict[str, Column], by: str, groups: list[
     return df.sparkSession.createDataFrame(rows, f"`{by}` string, reason string, n long")
 
 
-def summarisation_set(pairs: DataFrame, sentences: Callable[[Column], Column], similarity: Callable[[DataFrame], DataFrame], size: int = 350, most: int = 8, least: float = 0.25, k: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+def summarisation_set(pairs: DataFrame, sentences: Callable[[Column], Column], similarity: Callable[[DataFrame], DataFrame], size: int = 350, least: float = 0.25, k: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(aligned chunks, second-pass pairs, statistics) of pairs (doc_id, text, summary): documents of 50 words and summaries of 10 or more are cut, aligned by ``similarity`` (doc_id, parts, sentences: arrays of texts) -> (doc_id, sentences, sims: by chunk its similarities to the sentences), filtered and joined again. A document is a row throughout."""
     words = lambda c: F.regexp_count(c, F.lit(r"\S+"))
     fit = pairs.where((words(F.col("text")) >= 50) & (words(F.col("summary")) >= 10))
-    rows = fit.select("doc_id", chunks.chunk_texts(F.col("text"), size, 50, most).alias("parts"), sentences(F.col("summary")).alias("sentences"))
+    rows = fit.select("doc_id", chunks.chunk_texts(F.col("text"), size, 50).alias("parts"), sentences(F.col("summary")).alias("sentences"))
     aligned = align.align(similarity(rows.where("size(sentences) > 0")), least, k)
     passes = align.second_pass(aligned)
-    return aligned, passes, align.alignment_stats(chunks.word_chunks(fit, size, 50, most), aligned, passes)
+    return aligned, passes, align.alignment_stats(chunks.word_chunks(fit, size, 50), aligned, passes)
 
 
 def rewritten(df: DataFrame, rewrite: Callable[[Column, Column], Column] = lambda question, span: span) -> DataFrame:

@@ -213,7 +213,7 @@ def _extracts(spark, sf_dir):
 _SUMMARY_SENTENCES = lambda text: T.sentences(text, lexicon.GENERAL_ABBREVIATIONS, 5)
 _PAIRS = rf"""d AS (SELECT doc_id, text AS body, array_to_string(list_filter(s, lambda x, i: (i - 1) % 3 = 0), ' ') AS text FROM (SELECT doc_id, text, {_sentences_sql(lexicon.GENERAL_ABBREVIATIONS, 5)} AS s FROM documents)),
 fit AS (SELECT * FROM d WHERE len(regexp_extract_all(body, '\S+')) >= 50 AND len(regexp_extract_all(text, '\S+')) >= 10),
-k AS (SELECT doc_id, chunk_idx AS chunk_i, chunk FROM ({_chunk_sql(8).replace('FROM documents', 'FROM (SELECT doc_id, body AS text FROM fit)')})),
+k AS (SELECT doc_id, chunk_idx AS chunk_i, chunk FROM ({_chunk_sql(1_000_000).replace('FROM documents', 'FROM (SELECT doc_id, body AS text FROM fit)')})),
 s AS (SELECT doc_id, i - 1 AS sent_idx, s[i] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {_sentences_sql(lexicon.GENERAL_ABBREVIATIONS, 5)} AS s FROM fit)))"""
 _BEST = ", rk AS (SELECT sims.*, sentence, row_number() OVER (PARTITION BY sims.doc_id, chunk_i ORDER BY sim DESC, sims.sent_idx) AS n FROM sims JOIN s ON s.doc_id = sims.doc_id AND s.sent_idx = sims.sent_idx), al AS (SELECT doc_id, chunk_i, string_agg(sentence, ' ' ORDER BY sent_idx) AS target, round(max(sim), 4) AS score FROM rk WHERE n <= 3 GROUP BY 1, 2 HAVING max(sim) >= 0.25)"
 #: Vectors of 64 buckets, at length one; a chunk meets all of its document's sentences, also those that share no bucket with it.
