@@ -7,13 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ..functions import text as T
-
 #: Tokens of the documents that a task looks at together.
 TOKENS = 1 << 20
 
@@ -94,21 +92,44 @@ def similarities(rows: DataFrame, measure: str = "cosine") -> DataFrame:
 
     ``cosine``: of word counts, null where no word is shared; ``share``: the share of a sentence's distinct words that the part has, 0 without any.
     """
-    compared = _compared(measure)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sims = compared(b.column("part_words"), b.column("sentence_words"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("sentences"), sims], ["doc_id", "sentences", "sims"])
+    return _in_batches(rows.select("doc_id", "sentences", "part_words", "sentence_words"), _compared(measure))
 
-    kept = rows.select("doc_id", "sentences", "part_words", "sentence_words")
-    return kept.mapInArrow(run, StructType([*kept.schema.fields[:2], StructField("sims", ArrayType(ArrayType(DoubleType())))]))
 
+def _in_batches(rows: DataFrame, compared) -> DataFrame:
+    """Rows (doc_id, sentences, two sides) to (doc_id, sentences, sims: what ``compared`` makes of the sides)."""
 
-def vector_similarities(parts: Column, sentences: Column) -> Column:
-    """Arrays of vectors of a document's parts and sentences to an array by part of its inner products with the sentences, to twelve decimals: summed from the first component on and rounded by floor, so that any engine gives the same doubles and breaks ties alike."""
-    near = lambda x, y: F.floor(dot(x, y) * 1e12 + 0.5) / 1e12
-    return T.let(sentences, lambda b: F.transform(parts, lambda x: F.transform(b, lambda y: near(x, y))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), compared(b.column(2), b.column(3))], ["doc_id", "sentences", "sims"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:2], StructField("sims", ArrayType(ArrayType(DoubleType())))]))
+
+
+def _vector_products(parts: pa.Array, sents: pa.Array) -> pa.Array:
+    def matrices(side: pa.Array) -> list[np.ndarray]:
+        flat = side.flatten()
+        width = len(flat.flatten()) // max(1, len(flat))
+        if flat.null_count or not pc.all(pc.equal(pc.list_value_length(flat), width), min_count=0).as_py():
+            raise ValueError("vectors have to be given and of one length")
+        values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), width)
+        ends = np.concatenate(([0], np.cumsum(pc.list_value_length(side).to_numpy(zero_copy_only=False).astype(np.int64))))
+        return [values[a:b] for a, b in zip(ends, ends[1:])]
+
+    ends, inner, found = [0], [], []
+    for x, y in zip(matrices(parts), matrices(sents)):
+        total = np.zeros((len(x), len(y)))
+        for k in range(x.shape[1] if total.size else 0):
+            total += x[:, k, None] * y[None, :, k]
+        ends.append(ends[-1] + len(x))
+        inner += [len(y)] * len(x)
+        found.append((np.floor(total * 1e12 + 0.5) / 1e12).ravel())
+    flat = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(inner))).astype(np.int32)), pa.array(np.concatenate((np.zeros(0), *found))))
+    return pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), flat)
+
+
+def vector_similarities(rows: DataFrame) -> DataFrame:
+    """Documents (doc_id, sentences, part_vectors, sentence_vectors: arrays of vectors) to (doc_id, sentences, sims): by part its inner products with the sentences, to twelve decimals, in Arrow batches: summed from the first component on and rounded by floor, so that any engine gives the same doubles and breaks ties alike."""
+    return _in_batches(rows.select("doc_id", "sentences", "part_vectors", "sentence_vectors"), _vector_products)
 
 
 def align(rows: DataFrame, least: float = 0.25, k: int = 3) -> DataFrame:

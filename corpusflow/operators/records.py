@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -94,12 +97,23 @@ def rewritten(df: DataFrame, rewrite: Callable[[Column, Column], Column] = lambd
     return df.withColumn("predicted_answer", F.when(F.col("extracted_span") != "", rewrite(F.col("question"), F.col("extracted_span"))).otherwise(""))
 
 
-def hashed_vectors(text: Column, size: int = 64) -> Column:
-    """A stand-in for an encoder: counts of words by hash, at length one. Any column function or pandas UDF that returns an array of floats can take its place."""
-    from ..functions import text as T
+def _unit_counts(size: int):
+    def run(buckets: pa.Array) -> pa.Array:
+        texts = buckets.flatten()
+        owner = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False))
+        n = np.bincount(owner * size + texts.flatten().to_numpy(zero_copy_only=False).astype(np.int64), minlength=len(texts) * size).astype(np.float64).reshape(len(texts), size)
+        norm = np.sqrt((n * n).sum(axis=1))  # squares are whole numbers, so their order does not matter
+        n /= np.where(norm > 0, norm, 1)[:, None]
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * size, pa.int32()), pa.array(n.ravel()))
+        ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(buckets), 0).to_numpy(zero_copy_only=False))))
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), vectors)
+
+    return run
 
-    def of(w: Column) -> Column:
-        n = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(w, lambda x: x == k)).cast("double"))
-        return T.let(n, lambda v: T.let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), lambda norm: F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))))
 
-    return T.let(F.transform(T.content_words(text), lambda x: F.pmod(F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"), F.lit(size))), of)
+def hashed_vectors(texts: Column, size: int = 64) -> Column:
+    """A stand-in for an encoder: of an array of texts, each one's counts of words by hash, at length one. Any column function or Arrow UDF that returns an array of vectors can take its place."""
+    from ..functions import text as T
+
+    bucket = lambda x: F.pmod(F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"), F.lit(size))
+    return F.arrow_udf(_unit_counts(size), "array<array<double>>")(F.transform(texts, lambda t: F.transform(T.content_words(t), bucket)))

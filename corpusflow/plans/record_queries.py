@@ -226,7 +226,7 @@ _HASHED = "(SELECT {0}, list_transform(n, lambda c: CASE WHEN list_sum(n) > 0 TH
 )
 def r8(spark, sf_dir):
     """Chunks and sentences aligned by plug-in vectors."""
-    return R.summarisation_set(_extracts(spark, sf_dir), _SUMMARY_SENTENCES, lambda rows: rows.select("doc_id", "sentences", A.vector_similarities(*[F.transform(c, lambda x: R.hashed_vectors(x)) for c in ("parts", "sentences")]).alias("sims")))[0]
+    return R.summarisation_set(_extracts(spark, sf_dir), _SUMMARY_SENTENCES, lambda rows: A.vector_similarities(rows.select("doc_id", "sentences", *[R.hashed_vectors(F.col(c)).alias(f"{c[:-1]}_vectors") for c in ("parts", "sentences")])))[0]
 
 
 @query(
